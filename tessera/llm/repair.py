@@ -99,7 +99,7 @@ def decode(block: dict, k: int, terminals: int = 1 << 17) -> np.ndarray:
     return expand(symbols[firsts[k] : firsts[k + 1]], np.frombuffer(block["rules"], "<u4").reshape(-1, 2), terminals)
 
 
-def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int = 0, block_tokens: int = 1 << 20, rounds: int = 8, least: int = 24, terminals: int = 1 << 17) -> None:
+def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int = 0, block_tokens: int = 1 << 20, rounds: int = 6, least: int = 48, terminals: int = 1 << 17) -> None:
     """Writes the id files of docs(doc_id, text), ascending by doc_id, in the folder path."""
     import pyarrow as pa
 

@@ -1,19 +1,24 @@
 """Token ids of whole texts by the tokenizers library, through a bounded cache of text units.
 
-A byte-level BPE splits a text by its pattern first and merges inside the parts only. A space
-that stands before a character other than white space always begins a part, so a text can be
-cut there and each unit be encoded by itself; equal units are encoded once.
+A byte-level BPE splits a text by its pattern first and merges inside the parts only. White space
+after another character always begins a part, and so does a full stop or comma after a letter: a
+text can be cut there and each unit be encoded by itself. Equal units are encoded once.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
 
 from tessera.llm.util import Cache
 
-_UNIT = re.compile(r" (?=\S)")
+_UNIT = re.compile(r"(?<=\S)(?=\s)")
+_LETTER = re.compile(r"[^\W\d_]")
+#: white space other than a space or a line's end, after which neither begins a part
+_BLANK = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _LOADED: dict = {}
 
 
@@ -23,6 +28,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def units(text: str) -> list[str]:
+    """The text cut before white space that follows another character."""
+    plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text)
+    if plain and not any(map(text.__contains__, _OTHER)):
+        return text.replace("\n", "\0\n").replace(" ", "\0 ").removeprefix("\0").split("\0")
+    return _UNIT.split(text)
+
+
 class UnitEncoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes."""
 
@@ -40,32 +53,57 @@ class UnitEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def ask(self, units: list[str], into: dict) -> None:
-        """Encodes many units, each after a space, as one text, and cuts its ids at the units' bytes."""
-        if odd := [u for u in units if "<|" in u]:
-            into.update(zip(odd, self.alone([" " + u for u in odd])))
-            units = [u for u in units if "<|" not in u]
-        for at in range(0, len(units), 2048):
-            some = units[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(u.encode()) + 1 for u in some])
+        """Encodes units; many that begin with white space and end otherwise as one text, whose ids are cut at the units' bytes."""
+        odd, plain, ended = [], [], []
+        for u in units:
+            if u[-1] in ".," and _LETTER.match((base := u.rstrip(".,"))[-1:]):
+                ended.append((u, base, u[len(base) :]))
+                if base in into:
+                    continue
+                u, into[base] = base, b""
+            (plain if u[0] in " \n" and u[-1] not in _BLANK and "<|" not in u else odd).append(u)
+        odd += {e for _, _, e in ended if e not in into}
+        into.update(zip(odd, self.alone(odd)))
+        for at in range(0, len(plain), 2048):
+            some = plain[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(u.encode()) for u in some])
             cuts = 4 * (np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1)
             whole, start = ids.tobytes(), 0
             for u, end in zip(some, cuts.tolist()):
                 into[u] = whole[start:end]
                 start = end
+        into.update([(u, into[base] + into[end]) for u, base, end in ended])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_UNIT.split(text) if text else [""] for text in texts]
-        first = self.alone([units[0] for units in cut])
-        rest = [units[1:] for units in cut]
-        every = set().union(*rest)
-        if len(self.cache.young) + len(every) > self.cache.limit:
+        gc.disable()  # a batch makes many short-lived lists and no cycles
+        try:
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache.young) > self.cache.limit:
             self.cache.turn()
         young, old = self.cache.young, self.cache.old
-        new = every.difference(young)
-        young.update([(u, old[u]) for u in new if u in old])
-        self.ask(list(new.difference(old)), young)
-        return [b"".join([a, *map(young.__getitem__, units)]) for a, units in zip(first, rest)]
+        held, need = [], set()
+        for text in texts:
+            cut = units(text) if text else []
+            got = list(map(young.get, cut))
+            holes = [i for i, ids in enumerate(got) if ids is None]
+            need.update([cut[i] for i in holes])
+            held.append((cut, got, holes))
+        ask = []
+        for u in need:
+            if (ids := old.get(u)) is None:
+                ask.append(u)
+            else:
+                young[u] = ids
+        self.ask(ask, young)
+        for cut, got, holes in held:
+            for i in holes:
+                got[i] = young[cut[i]]
+        return [b"".join(got) for _, got, _ in held]
 
 
 def encoder(path: str) -> UnitEncoder:
