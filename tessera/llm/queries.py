@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, pieces, quality_rules, repair
+from tessera.llm import linededup, minhash, packing, pieces, quality_rules, repair, rotation, srs, suffixes
 
 
 def queries() -> dict:
     return {
         "op2_repair_ids": repair.op2,
+        "op3_stable_projection_knn": srs.op3,
         "op4_piece_codec": pieces.op4,
         "op5_bin_slack_packing": packing.op5,
+        "op6_line_chunk_dedup": linededup.op6,
+        "op7_perspective_rotation": rotation.op7,
         "op8_risk_controlled_rules": quality_rules.op8,
+        "op9_sketch_near_dedup": minhash.op9,
+        "op10_column_suffix_dedup": suffixes.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_chunk_dedup": linededup.ORACLE, "op7_perspective_rotation": rotation.ORACLE}
