@@ -27,7 +27,7 @@ from tessera.llm import util
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_upper", "n_marks", "n_lines", "top_word"]
+MORE = ["n_upper", "n_marks", "n_lines", "top_word", "n_distinct", "n_digits"]
 #: what the rules compare with their cutoffs: count, by what it is divided
 RULES = {"symbols": ("n_symbols", "word_chars"), "upper": ("n_upper", "word_chars"), "marks": ("n_marks", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "top_word": ("top_word", "n_words")}
 GRID = [0.05, 0.08, 0.12, 0.18, 0.27, 0.4, 0.6, 0.9]
@@ -36,11 +36,11 @@ GRID = [0.05, 0.08, 0.12, 0.18, 0.27, 0.4, 0.6, 0.9]
 def text_counts(text: str | None) -> tuple[int, ...]:
     """COUNTS and MORE of one whole text."""
     if not text:
-        return (0,) * 9
+        return (0,) * 11
     words = text.encode().split()  # bytes split at the ASCII blanks only
     n = len(words)
     if not n:
-        return (0,) * 9
+        return (0,) * 11
     chars = len(text) - sum(map(text.count, BLANKS))
     lines = text.split("\n")
     dup = 0
@@ -64,8 +64,8 @@ def text_counts(text: str | None) -> tuple[int, ...]:
                     repeated += i + 3 - max(i, reach)
                     reach = i + 3
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
-    most = max(Counter(words).values())
-    return (n, chars, sum(map(text.count, SYMBOLS)), dup, repeated, upper, text.count("!") + text.count("?"), len(lines), most)
+    often = Counter(words)
+    return (n, chars, sum(map(text.count, SYMBOLS)), dup, repeated, upper, text.count("!") + text.count("?"), len(lines), max(often.values()), len(often), sum(map(text.count, "0123456789")))
 
 
 def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -73,6 +73,7 @@ def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
     import pyarrow as pa
 
     names = COUNTS + MORE
+    # the text is read from a copy at the end, so that it can be among the columns that pass through
     own = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("_text"))
 
     def rows(batches):
@@ -142,12 +143,13 @@ def cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, risk: float, err
 
 def judged(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = 0.04, error: float = 0.05, keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (doc_id alone, unless told), the counts as _names, _base_failed and _kept."""
-    keep = list(dict.fromkeys(["doc_id", stratum, *(keep or [])]))
-    counts = counted(docs.withColumn("doc_id", F.col("doc_id").cast("long")), keep)
-    need = [f"_{c}" for c in COUNTS + MORE]
-    found, path = util.staged(counts.select("doc_id", stratum, *need), "counts") if keep == ["doc_id", stratum] else (None, None)
-    source = found if found is not None else counts
-    cuts, cut_path = util.staged(cutoffs(source, labels, stratum, risk, error), "cutoffs")
+    narrow = list(dict.fromkeys(["doc_id", stratum]))
+    keep = list(dict.fromkeys([*narrow, *(keep or [])]))
+    own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    counts, _ = util.staged(counted(own, narrow), "counts")
+    cuts, _ = util.staged(cutoffs(counts, labels, stratum, risk, error), "cutoffs")
+    # texts that pass through are counted again where they are, rather than moved to their counts
+    source = counts if keep == narrow else counted(own, keep)
     # one row for each stratum; Spark broadcasts it only below its own size limit
     out = source.join(cuts.withColumnRenamed("_stratum", "_of"), F.col(stratum).cast("string").eqNullSafe(F.col("_of")), "left").drop("_of")
     bad = F.lit(False)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import linededup, minhash, packing, pieces, quality_rules, repair, rotation, srs, suffixes
+from tessera.llm import linededup, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
 
 
 def queries() -> dict:
     return {
+        "op1_rule_ensemble_quality": rule_ensemble.op1,
         "op2_repair_ids": repair.op2,
         "op3_stable_projection_knn": srs.op3,
         "op4_piece_codec": pieces.op4,

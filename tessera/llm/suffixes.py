@@ -478,16 +478,17 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
                 n_gone = int(mask.sum())
                 if n_gone:
                     spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-                    out.append((who["reps"][i], who["shas"][i], n_gone, spans, np.frombuffer(text, np.uint8)[~mask].tobytes()))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in cols[4]], pa.string()), pa.array(cols[4], pa.binary())], names=["rep", "s", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    left = np.frombuffer(text, np.uint8)[~mask].tobytes()
+                    out.append((who["reps"][i], who["shas"][i], n_gone, spans, left, left.decode("utf-8", "ignore")))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in cols[4]], pa.string()), pa.array(cols[5], pa.string())], names=["rep", "s", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     def _within(size, n):
         total = np.cumsum(size) - size
         return total - np.repeat(total[np.minimum(np.cumsum(n) - n, max(len(total) - 1, 0))], n) if len(size) else size
 
     both = texts.select("chunk", F.lit(-1).alias("grp"), "who", F.col("texts").alias("raw")).unionByName(answers.select("chunk", "grp", F.lit(None).cast("binary").alias("who"), "raw"))
-    done = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "grp").mapInArrow(applied, "rep long, s binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "grp").mapInArrow(applied, "rep long, s binary, n_removed long, n_spans long, kept_sha256 string, kept string")
     done, done_path = util.staged(done, "removed")
     util.drop(spark, text_path)
     return firsts, done, [first_path, done_path]
@@ -499,7 +500,8 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, **more) -> tuple[DataFrame, list[str]]:
-    """The columns keep of docs and _n_bytes, _n_removed, _n_spans, _kept_sha256, _kept (binary; null: as the text was)."""
+    """The columns keep of docs and _n_bytes, _n_removed, _n_spans, _kept_sha256, _kept: the text that is
+    left, without characters that lost some of their bytes (null: as the text was)."""
     firsts, done, paths = removals(docs, length=length, **more)
     keep = keep or []
     own = docs.select(*[F.col(c) for c in keep], F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
@@ -520,7 +522,7 @@ def deduplicated(docs: DataFrame, *, length: int = 50, keep: list[str] | None =
         pick(F.col("_n_bytes"), F.col("_d_n_removed"), F.lit(0).cast("long")).alias("_n_removed"),
         pick(F.lit(1).cast("long"), F.col("_d_n_spans"), F.lit(0).cast("long")).alias("_n_spans"),
         pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("_d_kept_sha256"), F.col("_sha")).alias("_kept_sha256"),
-        pick(F.lit(b""), F.col("_d_kept"), F.lit(None).cast("binary")).alias("_kept"),
+        pick(F.lit(""), F.col("_d_kept"), F.lit(None).cast("string")).alias("_kept"),
     )
     return out, paths
 
