@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.plans.base import ORACLES, QUERIES
+
+
+def _load() -> None:
+    from tessera.plans import datasets, features, joins, retrieval, scalars, scans, windows  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
