@@ -13,7 +13,7 @@ def pairs(plays: DataFrame, decay: list[float] = DECAY) -> DataFrame:
     """src, dst, w of plays within the window, both ways; the same item twice is no pair. Leads replace a self-join."""
     order = Window.partitionBy("session").orderBy("pos")
     ahead = F.array(*[F.struct(F.lead("item", d).over(order).alias("dst"), F.lit(w).alias("w")) for d, w in enumerate(decay, 1)])
-    one = plays.select(F.col("item").alias("src"), F.explode(ahead).alias("x")).select("src", F.col("x.dst").alias("dst"), F.col("x.w").alias("w")).where("dst IS NOT NULL AND src != dst")
+    one = plays.select(F.col("item").alias("src"), ahead.alias("ahead")).select("src", F.explode("ahead").alias("x")).select("src", F.col("x.dst").alias("dst"), F.col("x.w").alias("w")).where("dst IS NOT NULL AND src != dst")
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
