@@ -15,7 +15,6 @@ import numpy as np
 from tessera.llm.util import Cache
 
 _UNIT = re.compile(r"(?<=\S)(?=\s)")
-_LETTER = re.compile(r"[^\W\d_]")
 #: white space other than a space or a line's end, after which neither begins a part
 _BLANK = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -43,7 +42,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Cache()
+        self.cache = Cache(800_000)
         pieces = self.tokenizer.get_vocab_size()
         # a piece's characters each stand for one byte; other added tokens never meet these units
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(pieces)], np.int64)
@@ -56,7 +55,7 @@ class UnitEncoder:
         """Encodes units; many that begin with white space and end otherwise as one text, whose ids are cut at the units' bytes."""
         odd, plain, ended = [], [], []
         for u in units:
-            if u[-1] in ".," and _LETTER.match((base := u.rstrip(".,"))[-1:]):
+            if u[-1] in ".," and (base := u.rstrip(".,"))[-1:].isalpha():
                 ended.append((u, base, u[len(base) :]))
                 if base in into:
                     continue
