@@ -14,9 +14,12 @@ results, an empty table none; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +72,11 @@ class PieceEncoder:
         self.automaton.make_automaton()
         #: pairs of characters that some piece holds: merging never reaches across others
         self.within = within = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        #: a space after another character begins a unit, if no piece holds the two
-        self.cuts = not any(b == SPACE != a for a, b in within)
-        self.unit = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
+        #: a space after another character and a line's end begin units, if no piece reaches into them
+        self.cuts = not any(b == SPACE != a or b == "\n" for a, b in within)
+        self.unit = re.compile(f"(?<=[^ {SPACE}])(?= )|(?<=.)(?=\n)", re.S)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache, self.segments = util.Cache(300_000), util.Cache(150_000)
+        self.cache, self.segments = util.Cache(400_000), util.Cache(300_000)
 
     def merged(self, text: str) -> list[str]:
         """Merging step by step: the best-scored adjacent pair, the leftmost of equals."""
@@ -128,22 +131,20 @@ class PieceEncoder:
 
     def encode_unit(self, unit: str) -> list[int]:
         within = self.within
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in within]
-        if not self.fallback:
-            cuts = []  # unknown neighbours share an id
-        ids: list[int] = []
-        start, known = 0, self.segments
-        for end in [*cuts, len(unit)]:
-            part = unit[start:end]
-            start = end
-            found = known.young.get(part)
-            if found is None:
-                found = known.old.get(part) or self.encode_segment(part)
-                if len(known.young) > known.limit:
-                    known.turn()
-                known.young[part] = found
-            ids += found
-        return ids
+        base = unit.rstrip(".,")
+        if self.fallback and base and base is not unit and base[-1] + unit[len(base)] not in within:
+            return self.segment(base) + self.segment(unit[len(base) :])
+        return self.segment(unit)
+
+    def segment(self, part: str) -> list[int]:
+        known = self.segments
+        found = known.young.get(part)
+        if found is None:
+            found = known.old.get(part) or self.encode_segment(part)
+            if len(known.young) > known.limit:
+                known.turn()
+            known.young[part] = found
+        return found
 
     def encode_segment(self, text: str) -> list[int]:
         if self.tie.search(text):
@@ -194,22 +195,46 @@ class PieceEncoder:
         return self.spelled([p for p in part if p is not None])
 
     def units(self, text: str) -> list[str]:
-        text = self.prefix + text.replace(" ", SPACE)
-        return self.unit.split(text) if self.cuts else [text]
-
-    def encode(self, texts: list[str | None]) -> list[list[list[int]]]:
-        """For each text the ids of its units."""
-        cut = [self.units(t) if t else [] for t in texts]
-        every = set().union(*cut)
-        if len(self.cache.young) + len(every) > self.cache.limit:
+        """The text after the model's prefix, cut where no piece reaches across; spaces as they are."""
+        if not self.cuts:
+            return [(" " if self.prefix else "") + text]
+        if "  " in text or SPACE in text or "\0" in text:
+            cut = self.unit.split(text)
+        else:
+            cut = text.replace("\n", "\0\n").replace(" ", "\0 ").removeprefix("\0").split("\0")
+        if self.prefix:
+            cut[0] = " " + cut[0]
+        return cut
+
+    def encode(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
+        """For each text its units' ids: as 32-bit bytes, and in decimals."""
+        gc.disable()  # a batch makes many short-lived lists and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts):
+        if len(self.cache.young) > self.cache.limit:
             self.cache.turn()
         young, old = self.cache.young, self.cache.old
-        new = every.difference(young)
-        young.update([(u, old[u]) for u in new if u in old])
-        for u in new.difference(old):
-            ids = self.encode_unit(u)
-            young[u] = (ids, ",".join(map(str, ids)))
-        return [list(map(young.__getitem__, units)) for units in cut]
+        held, need = [], set()
+        for text in texts:
+            cut = self.units(text) if text else []
+            got = list(map(young.get, cut))
+            holes = [i for i, found in enumerate(got) if found is None]
+            need.update([cut[i] for i in holes])
+            held.append((cut, got, holes))
+        for u in need:
+            found = old.get(u)
+            if found is None:
+                ids = self.encode_unit(u.replace(" ", SPACE))
+                found = (array("i", ids).tobytes(), ",".join(map(str, ids)))
+            young[u] = found
+        for cut, got, holes in held:
+            for i in holes:
+                got[i] = young[cut[i]]
+        return [got for _, got, _ in held]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -228,7 +253,7 @@ def encoded(docs: DataFrame, *, model: str | None = None, with_ids: bool = False
         coder = encoder(model)
         for batch in batches:
             found = coder.encode(batch.column(1).to_pylist())
-            ids = [[i for unit, _ in units for i in unit] for units in found]
+            ids = [np.frombuffer(b"".join([x for x, _ in units]), np.int32).tolist() for units in found]
             texts = [coder.library.decode(x) if x else "" for x in ids]
             columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(",".join([s for _, s in units]).encode()).hexdigest() for units in found], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
