@@ -14,42 +14,62 @@ loses all its chunks is empty. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import util
 
+WORDED = "[^ \\t\\x0B\\f\\r]"
 
-def _spans(rows: DataFrame, window: int, mean: int, least: int) -> DataFrame:
-    """Adds _ld_spans: array<struct<a, z, h>> over _ld_lines, its worded line counts as w."""
-    rows = rows.withColumn("_ld_h", F.expr("transform(_ld_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 8), 16, 10) as bigint))"))
-    cut = f"pmod(aggregate(slice(_ld_h, greatest(i - {window}, 0) + 1, least(i, {window})), 0L, (a, x) -> a * 65599L + x), {mean}) = 0"
-    rows = rows.withColumn("_ld_ends", F.expr(f"filter(sequence(1, size(_ld_h)), i -> i = size(_ld_h) or {cut})"))
-    worded = f"size(filter(slice(_ld_lines, a + 1, z - a), x -> x rlike '[^ \\\\t\\\\x0B\\\\f\\\\r]')) >= {least}"
-    spans = F.expr("transform(_ld_ends, (z, k) -> named_struct('a', if(k = 0, 0, _ld_ends[k - 1]), 'z', z))")
-    rows = rows.withColumn("_ld_spans", spans).withColumn("_ld_spans", F.expr(f"transform(_ld_spans, s -> named_struct('a', s.a, 'z', s.z, 'w', {worded.replace('a + 1', 's.a + 1').replace('z - a', 's.z - s.a')}))"))
-    return rows.drop("_ld_h", "_ld_ends")
 
+def chunks(text: Column, window: int, mean: int) -> Column:
+    """array<struct<n, worded, body>> of a text, in one pass over its lines; joined by line ends the bodies are the text."""
+    last = F.array().cast("array<bigint>")
+    done = F.array().cast("array<struct<n:int,worded:int,body:string>>")
+    start = F.struct(last.alias("last"), F.lit(0).alias("n"), F.lit(0).alias("worded"), F.lit("").alias("body"), done.alias("done"))
 
-def _keyed(docs: DataFrame) -> DataFrame:
+    def step(acc, line):
+        h = F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint")
+        return F.struct(F.slice(F.concat(F.array(h), acc["last"]), 1, window).alias("last"), (acc["n"] + 1).alias("n"), (acc["worded"] + line.rlike(WORDED).cast("int")).alias("worded"), F.when(acc["n"] == 0, line).otherwise(F.concat(acc["body"], F.lit("\n"), line)).alias("body"), acc["done"].alias("done"))
+
+    def close(acc):
+        # the oldest hash first; the window is short, so the array is reversed in place
+        rolled = F.aggregate(F.reverse(acc["last"]), F.lit(0).cast("bigint"), lambda a, x: a * 65599 + x)
+        whole = F.struct(acc["n"].alias("n"), acc["worded"].alias("worded"), acc["body"].alias("body"))
+        cut = F.struct(acc["last"].alias("last"), F.lit(0).alias("n"), F.lit(0).alias("worded"), F.lit("").alias("body"), F.concat(acc["done"], F.array(whole)).alias("done"))
+        return F.when(F.pmod(rolled, F.lit(mean)) == 0, cut).otherwise(acc)
+
+    def both(acc, line):
+        # one-element arrays name the stepped state, so that it is computed once
+        return F.element_at(F.transform(F.array(step(acc, line)), close), 1)
+
+    def finish(acc):
+        rest = F.array(F.struct(acc["n"].alias("n"), acc["worded"].alias("worded"), acc["body"].alias("body")))
+        return F.when(acc["n"] > 0, F.concat(acc["done"], rest)).otherwise(acc["done"])
+
+    return F.aggregate(F.split(text, "\n", -1), start, both, finish)
+
+
+def _chunked(docs: DataFrame, window: int, mean: int) -> DataFrame:
     own = docs.withColumn("_ld_id", F.col("doc_id").cast("long")).withColumn("_ld_key", F.xxhash64(F.col("text").cast("string")))
     many = F.col("_ld_id").isNotNull() & F.col("text").contains("\n")
-    return own.withColumn("_ld_lines", F.when(many, F.split(F.col("text").cast("string"), "\n", -1)))
+    return own.withColumn("_ld_chunks", F.when(many, chunks(F.col("text").cast("string"), window, mean)))
 
 
 def deduplicated(docs: DataFrame, *, window: int = 2, mean: int = 3, least: int = 2) -> tuple[DataFrame, list[str]]:
     """docs with its text rewritten, and _ld_n_lines, _ld_gone_lines and _ld_gone_chunks; the staged tables behind it."""
     key = ["_ld_id", "_ld_key"]
-    own = _spans(_keyed(docs.select("doc_id", "text")).where("_ld_lines IS NOT NULL"), window, mean, least)
+    cells = _chunked(docs.select("doc_id", "text"), window, mean).select(*key, F.posexplode("_ld_chunks").alias("place", "c")).where(F.col("c.worded") >= least)
+    cells = cells.select(*key, "place", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
     # hashes alone first: a chunk's bytes move only if its hash occurs twice
-    cells = own.select(*key, F.posexplode("_ld_spans").alias("place", "s"), "_ld_lines").where("s.w")
-    chunk = F.expr("array_join(slice(_ld_lines, s.a + 1, s.z - s.a), '\n')")
-    cells, cell_path = util.staged(cells.select(*key, "place", F.col("s.a").alias("a"), F.col("s.z").alias("z"), F.xxhash64(chunk).alias("h")), "cells")
-    often = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    found = cells.join(often, "h", "left_semi").groupBy(*key).agg(F.collect_set(F.struct("place", "a", "z", "h")).alias("cells"))
-    texts = _keyed(docs.select("doc_id", "text")).where("_ld_lines IS NOT NULL").select(*key, "_ld_lines").join(found, key)
-    texts = texts.select(*key, F.explode("cells").alias("s"), "_ld_lines").select(*key, F.col("s.place").alias("place"), F.col("s.h").alias("h"), chunk.alias("chunk"))
-    texts, text_path = util.staged(texts, "chunks")
+    marks, mark_path = util.staged(cells.drop("body"), "marks")
+    often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    found = marks.join(often, "h", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("places"))
+    found, found_path = util.staged(found.select(F.col("_ld_id").alias("_i"), F.col("_ld_key").alias("_k"), "places"), "found")
+    own = docs.select("doc_id", "text").withColumn("_ld_key", F.xxhash64(F.col("text").cast("string")))
+    texts = own.join(found, (F.col("doc_id").cast("long") == F.col("_i")) & (F.col("_ld_key") == F.col("_k"))).select("doc_id", "text", "places")
+    texts = _chunked(texts, window, mean).select(*key, "places", F.posexplode("_ld_chunks").alias("place", "c")).where(F.array_contains("places", F.col("place")))
+    texts, text_path = util.staged(texts.select(*key, "place", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("chunk")), "chunks")
     # equal bytes: one row for each different chunk, with its first occurrence
     first = texts.groupBy("h", "chunk").agg(F.min(F.struct(*key, "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select(F.col("h").alias("fh"), F.col("chunk").alias("fc"), "first")
@@ -57,14 +77,15 @@ def deduplicated(docs: DataFrame, *, window: int = 2, mean: int = 3, least: int
     gone = again.groupBy(*key).agg(F.collect_set("place").alias("_ld_gone"))
     gone, gone_path = util.staged(gone.select(F.col("_ld_id").alias("_ld_i"), F.col("_ld_key").alias("_ld_k"), "_ld_gone"), "gone")
 
-    out = _spans(_keyed(docs), window, mean, least).join(gone, (F.col("_ld_id") == F.col("_ld_i")) & (F.col("_ld_key") == F.col("_ld_k")), "left")
-    kept = "filter(_ld_spans, (s, k) -> not array_contains(_ld_gone, k))"
-    text = F.expr(f"array_join(transform({kept}, s -> array_join(slice(_ld_lines, s.a + 1, s.z - s.a), '\n')), '\n')")
-    out = out.withColumn("text", F.when(F.col("_ld_gone").isNotNull(), text).otherwise(F.col("text")))
-    lines = F.when(F.col("_ld_lines").isNotNull(), F.size("_ld_lines")).when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    lost = F.expr("aggregate(filter(_ld_spans, (s, k) -> array_contains(_ld_gone, k)), 0, (a, s) -> a + s.z - s.a)")
-    out = out.withColumn("_ld_n_lines", lines.cast("long")).withColumn("_ld_gone_lines", F.coalesce(lost, F.lit(0)).cast("long")).withColumn("_ld_gone_chunks", F.coalesce(F.when(F.col("_ld_gone").isNotNull(), F.size("_ld_gone")), F.lit(0)).cast("long"))
-    return out.drop("_ld_id", "_ld_key", "_ld_lines", "_ld_spans", "_ld_i", "_ld_k", "_ld_gone"), [cell_path, text_path, gone_path]
+    own = docs.withColumn("_ld_id", F.col("doc_id").cast("long")).withColumn("_ld_key", F.xxhash64(F.col("text").cast("string")))
+    own = own.join(gone, (F.col("_ld_id") == F.col("_ld_i")) & (F.col("_ld_key") == F.col("_ld_k")), "left")
+    # only texts that lose chunks are cut again: what stays, and how many lines go
+    cut = F.aggregate(chunks(F.col("text").cast("string"), window, mean), F.struct(F.lit(0).alias("k"), F.lit(0).alias("lines"), F.array().cast("array<string>").alias("kept")), lambda a, c: F.struct((a["k"] + 1).alias("k"), (a["lines"] + F.when(F.array_contains("_ld_gone", a["k"]), c["n"]).otherwise(0)).alias("lines"), F.when(F.array_contains("_ld_gone", a["k"]), a["kept"]).otherwise(F.concat(a["kept"], F.array(c["body"]))).alias("kept")), lambda a: F.struct(a["lines"].alias("lines"), F.array_join(a["kept"], "\n").alias("text")))
+    own = own.withColumn("_ld_cut", F.when(F.col("_ld_gone").isNotNull(), cut))
+    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    out = own.withColumn("_ld_n_lines", lines.cast("long")).withColumn("_ld_gone_lines", F.coalesce(F.col("_ld_cut.lines"), F.lit(0)).cast("long")).withColumn("_ld_gone_chunks", F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_gone")).cast("long"))
+    out = out.withColumn("text", F.when(F.col("_ld_cut").isNotNull(), F.col("_ld_cut.text")).otherwise(F.col("text")))
+    return out.drop("_ld_id", "_ld_key", "_ld_i", "_ld_k", "_ld_gone", "_ld_cut"), [mark_path, found_path, text_path, gone_path]
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
