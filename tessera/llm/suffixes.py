@@ -114,7 +114,13 @@ def strings_of(coder: Names, texts: list[bytes], known: np.ndarray):
     found = np.searchsorted(known, key)
     good = inside[at] & (found < len(known))
     good[good] = known[found[good]] == key[good]
-    return data, starts, at[good], windows[good], low[at[good]]
+    # a name that recurs in periodic text gives long runs: strings stay short, so the rounds stay few
+    at, windows, name = at[good], windows[good], low[at[good]]
+    cuts = -(-windows // coder.width)
+    nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin = np.repeat(at, cuts) + nth * coder.width
+    windows = np.minimum(np.repeat(windows, cuts) - nth * coder.width, coder.width)
+    return data, starts, begin, windows, np.repeat(name, cuts)
 
 
 class Sequence:
