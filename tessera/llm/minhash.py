@@ -5,10 +5,12 @@ round t + j every shingle falls into bin j, so each bin is filled after 2 t roun
 bin keeps the least value of the first round that reaches it. Bands of the bins are the buckets.
 
 Texts of equal shingle sets are one class, and one text stands for it. In each bucket all texts
-are compared with the bucket's first one. Then, only where a bucket still holds more than one
-component, the texts outside its first one's component are compared with all others of other
-components there. So no bucket of a large group of copies is paired out, and no link between
-different texts that share a bucket is left out unless its ends are connected already. The
+are compared with the bucket's first and last ones. Then, only where a bucket still holds more
+than one component, the texts outside its first one's component are compared with those of other
+components there. The Jaccard distance is a metric: two texts whose distances to the first (or
+the last) one differ by more than the threshold allows are no link, and are never paired. So no
+bucket of a large group of copies is paired out, and no link between different texts that share
+a bucket is left out unless its ends are connected already. The
 number of bands follows from the threshold: a pair at the threshold shares no bucket with a
 probability of at most ``miss``. Links are confirmed on the full sets of the texts themselves.
 
@@ -128,33 +130,31 @@ def sketched(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets are alike enough. texts(rep, text) has one row for each rep."""
+    """pairs(a, b) with the Jaccard distance of their full sets, and ok: alike enough. texts(rep, text) has one row for each rep."""
     import pyarrow as pa
 
     def check(batches):
         for batch in batches:
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a_ids = batch.column(0).to_pylist()
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             own: dict = {}
-            found = []
+            away, ok = [], []
             for a, x, y in zip(a_ids, left, right):
                 p = own.get(a)
                 if p is None:
                     if len(own) > 64:
                         own.clear()
                     p = own[a] = shingle_set(x, width)
-                q = shingle_of(y)
+                q = shingle_set(y, width)
                 both = len(p & q)
-                found.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(found, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    def shingle_of(y):
-        return shingle_set(y, width)
+                every = len(p) + len(q) - both
+                ok.append(100 * both >= percent * every)
+                away.append(1 - both / every)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away, pa.float64()), pa.array(ok, pa.bool_())], names=["a", "b", "away", "ok"])
 
     near = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b")
     near = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a")
-    return near.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    return near.select("a", "b", "left", "right").mapInArrow(check, "a long, b long, away double, ok boolean")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, rows: int = 6, miss: float = 1e-8) -> DataFrame:
@@ -166,31 +166,36 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     first = sk.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = sk.where("sig IS NOT NULL").join(first.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
     cells = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead < other").select("cell", "lead")
+    shared = cells.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     met, met_path = util.staged(cells.join(shared, "cell").distinct(), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    leads = met.where("rep = lead").select(F.col("cell").alias("at"), F.col("n").alias("lead_n"))
-    pairs = met.where("rep != lead").join(leads, F.col("cell") == F.col("at")).where(alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs, pair_path = util.staged(pairs, "pairs")
+    sizes = met.select("rep", "n").distinct()
+    pairs = met.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(met.where("rep != last").select(F.col("rep").alias("a"), F.col("last").alias("b"))).distinct()
+    pairs = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+    pairs, pair_path = util.staged(pairs.where(alike(F.col("na"), F.col("nb"))).select("a", "b"), "pairs")
     known = met.select("rep").distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts, text_path = util.staged(whole.join(known, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text")), "texts")
     links, link_path = util.staged(verified(pairs, texts, width, percent), "links")
-    comps, comp_path = components.components(links)
+    comps, comp_path = components.components(links.where("ok").select("a", "b"))
 
-    # buckets that still hold two components or more
-    placed = met.join(comps, F.col("rep") == F.col("node"), "left").select("cell", "rep", "n", "lead", F.coalesce("component", "rep").alias("comp"))
+    # buckets that still hold two components or more, with each text's distances to the first and last
+    placed = met.join(comps, F.col("rep") == F.col("node"), "left").select("cell", "rep", "n", "lead", "last", F.coalesce("component", "rep").alias("comp"))
     lead_comp = comps.withColumnRenamed("component", "lead_comp")
-    placed = placed.join(lead_comp, F.col("lead") == lead_comp["node"], "left").select("cell", "rep", "n", "comp", F.coalesce("lead_comp", "lead").alias("lead_comp"))
-    placed, placed_path = util.staged(placed, "placed")
-    aside = placed.where("comp != lead_comp").select(F.col("cell").alias("at"), F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    open_cells = aside.select(F.col("at").alias("cell")).distinct()
-    rest = placed.join(open_cells, "cell", "left_semi")
-    second = rest.join(aside, (F.col("cell") == F.col("at")) & (F.col("comp") != F.col("x_comp")) & alike(F.col("n"), F.col("x_n")) & ((F.col("comp") == F.col("lead_comp")) | (F.col("rep") < F.col("x"))))
+    placed = placed.join(lead_comp, F.col("lead") == lead_comp["node"], "left").select("cell", "rep", "n", "lead", "last", "comp", F.coalesce("lead_comp", "lead").alias("lead_comp"))
+    aside = placed.where("comp != lead_comp").select("cell").distinct()
+    rest = placed.join(aside, "cell", "left_semi")
+    to = links.select("a", "b", "away")
+    rest = rest.join(to.select(F.col("a").alias("lead"), F.col("b").alias("rep"), F.col("away").alias("d1")), ["lead", "rep"], "left").join(to.select(F.col("a").alias("rep"), F.col("b").alias("last"), F.col("away").alias("d2")), ["last", "rep"], "left")
+    rest = rest.select("cell", "rep", "n", "comp", "lead_comp", F.when(F.col("rep") == F.col("lead"), 0.0).otherwise(F.col("d1")).alias("d1"), F.when(F.col("rep") == F.col("last"), 0.0).otherwise(F.col("d2")).alias("d2"))
+    placed, placed_path = util.staged(rest, "placed")
+    aside = placed.where("comp != lead_comp").select(F.col("cell").alias("at"), F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("d1").alias("x_d1"), F.col("d2").alias("x_d2"))
+    close = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    second = placed.join(aside, (F.col("cell") == F.col("at")) & (F.col("comp") != F.col("x_comp")) & alike(F.col("n"), F.col("x_n")) & ((F.col("comp") == F.col("lead_comp")) | (F.col("rep") < F.col("x"))) & close("d1", "x_d1") & close("d2", "x_d2"))
     second = second.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     second, second_path = util.staged(second, "pairs")
     more, more_path = util.staged(verified(second, texts, width, percent), "links")
-    final, final_path = components.components(links.unionByName(more))
+    final, final_path = components.components(links.unionByName(more).where("ok").select("a", "b"))
 
     class_of = first.join(final, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("found"))
     out = sk.join(class_of, F.col("sig") == F.col("s"), "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
