@@ -1 +1,113 @@
+"""The 70-column feature matrix (K, I28), interaction columns (H28) and the checks of both.
 
+A row is a candidate of a prediction turn. Turns are the sessions' last plays; candidates the
+60 items a session played most. Signals come from the tables' stand-ins: vectors by
+``item % number of vectors``, feedback by the return flag, text features by the part's name.
+Columns keep the fixed order that trained models read by position.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import ranking, text, vector
+from tessera.operators import cooccur
+from tessera.plans.base import CAT, PLAYS, PRED, query
+from tessera.plans.joins import gold, predictions
+from tessera.plans.windows import LIST
+from tessera.sources import tables as t
+
+#: fixed values: the columns in their order
+COLUMNS = ["tt_cos", "qm_cos", "ql_cos", "clap_cos", "cf_cos", "bm25_signal", "tt_rank_sig", "artist_sig", "nn_sig", "bm25_origin", "artist_origin", "tt_origin", "pool_size", "qm_origin", "qm_rank_sig", "nn_source_count", "mean_nn_origin", "mean_nn_rank_sig", "dist_to_last", "dist_to_recent_mean", "collab_origin", "collab_rank_sig", "collab_score", "collab_source_count", "popularity", "track_year", "n_sources", "turn_number", "history_len", "popularity_pctile", "years_since_release", "tag_overlap_count", "query_len_tokens", "cf_dist_to_last", "cf_dist_to_recent_mean", "goal_category", "user_has_negation", "user_has_followup", "query_track_tag_sim", "n_sources_norm", "log1p_n_sources", "bm25_top1", "sim_to_pos_hist_mean", "sim_to_neg_hist_mean", "artist_in_rejected_set", "n_rejected_in_history", "within_artist_trans_rank", "within_artist_pop_rank", "turns_toward_goal", "consecutive_rejections_tail", "same_album_as_last_history", "n_same_album_in_history", "album_in_recent_window", "q_has_era", "q_era_year", "q_genre_count", "q_mood_count", "q_instrument_count", "cand_genre_match", "cand_era_match", "cand_sem_l0_match_last", "cand_sem_leaf_match_last", "cand_sem_l0_match_count", "cand_sem_l0_match_moves", "from_sem_bucket", "sem_bucket_l0_rank", "sem_bucket_l0_score", "from_sem_centroid", "sem_centroid_l0_rank", "sem_centroid_l0_score"]
+#: fixed values: products of two columns, and their names
+PRODUCTS = [("tt_cos", "bm25_signal", "tt_x_bm25"), ("tt_rank_sig", "bm25_origin", "ttrank_x_bm25orig"), ("tt_cos", "tt_rank_sig", "tt_x_ttrank"), ("qm_cos", "bm25_signal", "qm_x_bm25"), ("artist_sig", "artist_origin", "artist_x_orig"), ("nn_sig", "tt_cos", "nn_x_tt"), ("collab_rank_sig", "collab_score", "collab_rank_x_score"), ("popularity", "tt_cos", "pop_x_tt"), ("popularity", "bm25_signal", "pop_x_bm25"), ("tag_overlap_count", "bm25_signal", "tagoverlap_x_bm25"), ("tag_overlap_count", "tt_cos", "tagoverlap_x_tt"), ("cf_dist_to_last", "cf_cos", "cfdist_x_cfcos"), ("n_sources", "tt_cos", "nsrc_x_tt"), ("popularity_pctile", "tt_cos", "poppctile_x_tt")]
+
+
+def matrix(spark, d) -> DataFrame:
+    """query, item, label and COLUMNS, all double."""
+    plays, cat = t.plays(spark, d), t.catalog(spark, d)
+    vecs = t.vectors(spark, d).select(F.col("item").alias("vid"), "v", "l0")
+    n_vecs = vecs.count()  # the vectors stand for items by remainder
+    by_item = cat.select("item", (F.col("item") % n_vecs).alias("vid")).join(vecs, "vid").select("item", "v", "l0")
+    n = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos")))
+    past = plays.withColumn("back", n).where("back > 1").withColumn("back", F.col("back") - 1).join(cat.select("item", "artist", "name", "size"), "item").join(by_item, "item")
+    mean = lambda c, name: F.array(*[F.avg(F.when(c, F.element_at("v", i + 1))) for i in range(64)]).alias(name)
+    one = lambda col, name: F.max_by(F.when(F.col("back") == 1, F.col(col)), F.when(F.col("back") == 1, F.lit(1))).alias(name)
+    moves, no = F.col("label") == "MOVES", F.col("label") == "DOES_NOT"
+    turns = past.groupBy(F.col("session").alias("query")).agg(
+        F.count(F.lit(1)).alias("history_len"), F.count(F.when(moves, 1)).alias("turns_toward_goal"), F.count(F.when(no, 1)).alias("n_no"), (F.coalesce(F.min(F.when(F.coalesce(~no, F.lit(True)), F.col("back"))), F.count(F.lit(1)) + 1) - 1).alias("consecutive_rejections_tail"),
+        mean(F.col("back") == 1, "last_v"), mean(F.col("back") <= 4, "recent_v"), mean(moves, "liked_v"), mean(no, "no_v"), one("l0", "last_l0"), one("artist", "last_artist"), one("item", "last_item"), one("name", "last_name"),
+        F.collect_set(F.when(no, F.lower("artist"))).alias("no_artists"), F.collect_set(F.when(F.col("back") <= 3, F.col("artist"))).alias("recent_artists"))
+    turns = turns.withColumn("q_text", F.col("last_name")).withColumn("q_era", text.era(F.col("q_text")))
+    artist_of = past.groupBy(F.col("session").alias("query"), "artist").agg(F.count(F.lit(1)).alias("n_artist"), F.min("back").alias("artist_back"))
+    l0_of = past.groupBy(F.col("session").alias("query"), "l0").agg(F.count(F.lit(1)).alias("n_l0"), F.count(F.when(moves, 1)).alias("n_l0_moves"))
+    hist = past.select(F.col("session").alias("turn"), "item", "back")
+    near = cooccur.neighbours(plays, top=50)
+    collab = hist.where("back <= 3").join(near, F.col("item") == F.col("src")).groupBy(F.col("turn").alias("query"), F.col("dst").alias("item")).agg(F.min("rank").alias("collab_rank"), F.max("w").alias("collab_w"), F.count(F.lit(1)).alias("collab_n"))
+
+    cat = cat.withColumn("pop_pct", F.percent_rank().over(Window.partitionBy("artist").orderBy("popularity")))
+    total = cat.agg(F.count(F.lit(1)).alias("n_cat"))
+    # ties take different places: the count of cheaper items plus the place among equals
+    prices = cat.groupBy("popularity").agg(F.count(F.lit(1)).alias("m")).withColumn("ahead", F.sum("m").over(Window.orderBy("popularity")) - F.col("m"))
+    cat = cat.join(prices, "popularity").withColumn("place", F.col("ahead") + F.row_number().over(Window.partitionBy("popularity").orderBy("item")) - 1).crossJoin(F.broadcast(total))
+    rows = predictions(spark, d, 60).join(cat, "item").join(by_item, "item", "left").join(turns, "query").join(artist_of, ["query", "artist"], "left").join(l0_of, ["query", "l0"], "left").join(collab, ["query", "item"], "left")
+    rows = rows.join(gold(spark, d).select("query", "gold"), "query")
+    over = Window.partitionBy("query")
+    cos = lambda c: F.coalesce(vector.cosine(F.col("v"), F.col(c)), F.lit(0.0))
+    num = lambda c: F.coalesce(F.col(c), F.lit(0))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    words = F.split(F.lower("q_text"), "[^a-z0-9]+")
+    overlap = F.size(F.filter("tags", lambda x: F.array_contains(words, F.lower(x))))
+    year = F.lit(1970) + F.col("size")
+    n_src = 1 + flag(F.col("artist_back").isNotNull()) + flag(F.col("collab_rank").isNotNull())
+    values = {
+        "tt_cos": cos("last_v"), "qm_cos": cos("recent_v"), "ql_cos": F.lit(0.0), "clap_cos": cos("liked_v"), "cf_cos": cos("no_v"), "bm25_signal": F.lit(1.0) / F.col("rank"), "tt_rank_sig": ranking.rank_signal(F.col("rank") - 1), "artist_sig": ranking.rank_signal(F.col("artist_back") - 1), "nn_sig": ranking.rank_signal(F.col("collab_rank") - 1),
+        "bm25_origin": F.lit(1), "artist_origin": flag(F.col("artist_back").isNotNull()), "tt_origin": flag(F.col("rank") <= 20), "pool_size": F.count(F.lit(1)).over(over), "qm_origin": flag(F.col("rank") <= 10), "qm_rank_sig": F.when(F.col("rank") <= 10, ranking.rank_signal(F.col("rank") - 1)).otherwise(0), "nn_source_count": num("collab_n"), "mean_nn_origin": flag(F.col("collab_n") > 1), "mean_nn_rank_sig": F.when(F.col("collab_n") > 1, ranking.rank_signal(F.col("collab_rank") - 1)).otherwise(0),
+        "dist_to_last": cos("last_v"), "dist_to_recent_mean": cos("recent_v"), "collab_origin": flag(F.col("collab_rank").isNotNull()), "collab_rank_sig": ranking.rank_signal(F.col("collab_rank") - 1), "collab_score": num("collab_w"), "collab_source_count": num("collab_n"), "popularity": F.col("popularity"), "track_year": year, "n_sources": n_src, "turn_number": F.col("history_len") + 1, "history_len": F.col("history_len"), "popularity_pctile": F.col("place") / F.greatest(F.col("n_cat") - 1, F.lit(1)), "years_since_release": 2026 - year,
+        "tag_overlap_count": overlap, "query_len_tokens": F.size(words), "cf_dist_to_last": cos("last_v"), "cf_dist_to_recent_mean": cos("recent_v"), "goal_category": F.col("query") % 4, "user_has_negation": text.mentions(F.col("q_text"), text.NEGATION).cast("int"), "user_has_followup": text.mentions(F.col("q_text"), text.FOLLOWUP).cast("int"), "query_track_tag_sim": overlap / F.greatest(F.size("tags"), F.lit(1)), "n_sources_norm": n_src / (2 + F.col("history_len")), "log1p_n_sources": F.log1p(n_src), "bm25_top1": flag(F.col("rank") == 1),
+        "sim_to_pos_hist_mean": cos("liked_v"), "sim_to_neg_hist_mean": cos("no_v"), "artist_in_rejected_set": flag(F.array_contains("no_artists", F.lower("artist"))), "n_rejected_in_history": ranking.clipped(F.col("n_no")), "within_artist_trans_rank": F.when(F.max("collab_w").over(Window.partitionBy("query", "artist")).isNull(), 0.0).otherwise(F.percent_rank().over(Window.partitionBy("query", "artist").orderBy(num("collab_w")))), "within_artist_pop_rank": F.col("pop_pct"), "turns_toward_goal": F.col("turns_toward_goal"), "consecutive_rejections_tail": F.col("consecutive_rejections_tail"),
+        "same_album_as_last_history": flag(F.col("artist") == F.col("last_artist")), "n_same_album_in_history": ranking.clipped(num("n_artist")), "album_in_recent_window": flag(F.array_contains("recent_artists", F.col("artist"))), "q_has_era": flag(F.col("q_era.found")), "q_era_year": F.col("q_era.centre"), "q_genre_count": text.keyword_count(F.col("q_text"), text.GENRES), "q_mood_count": text.keyword_count(F.col("q_text"), text.MOODS), "q_instrument_count": text.keyword_count(F.col("q_text"), text.INSTRUMENTS),
+        "cand_genre_match": F.size(F.array_intersect(F.array_intersect(words, F.array(*map(F.lit, text.GENRES))), F.col("tags"))), "cand_era_match": flag(year.between(F.col("q_era.lo"), F.col("q_era.hi"))), "cand_sem_l0_match_last": flag(F.col("l0") == F.col("last_l0")), "cand_sem_leaf_match_last": flag((F.col("l0") == F.col("last_l0")) & (F.col("item") % 64 == F.col("last_item") % 64)), "cand_sem_l0_match_count": ranking.clipped(num("n_l0")), "cand_sem_l0_match_moves": ranking.clipped(num("n_l0_moves")),
+        "from_sem_bucket": flag(F.col("n_l0") > 2), "sem_bucket_l0_rank": F.when(F.col("n_l0") > 2, F.col("l0") / 10).otherwise(0), "sem_bucket_l0_score": num("n_l0") / F.col("history_len"), "from_sem_centroid": flag(F.col("n_l0_moves") > 1), "sem_centroid_l0_rank": F.when(F.col("n_l0_moves") > 1, F.col("l0") / 10).otherwise(0), "sem_centroid_l0_score": num("n_l0_moves") / F.col("history_len"),
+    }
+    return rows.select("query", "item", (F.col("item") == F.col("gold")).cast("int").alias("label"), *[values[c].cast("double").alias(c) for c in COLUMNS])
+
+
+def with_products(features: DataFrame) -> DataFrame:
+    return features.select("*", *[(F.col(a) * F.col(b)).alias(n) for a, b, n in PRODUCTS])
+
+
+@query("i28_feature_matrix")
+def i28(spark, d):
+    return matrix(spark, d)
+
+
+@query("h28_interactions")
+def h28(spark, d):
+    return with_products(matrix(spark, d)).select("query", "item", *[n for _, _, n in PRODUCTS])
+
+
+def digest(names: list[str]):
+    def run(spark, d):
+        return matrix(spark, d).select("query", "item", *[F.round(c, 6).alias(c) for c in names])
+
+    return run
+
+
+FEEDBACK = """past AS (SELECT *, back - 1 AS b FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays) WHERE back > 1),
+tn AS (SELECT session AS query, count(*) AS history_len, count(*) FILTER (WHERE label = 'MOVES') AS moves, count(*) FILTER (WHERE label = 'DOES_NOT') AS n_no,
+  coalesce(min(b) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT'), count(*) + 1) - 1 AS tail FROM past GROUP BY 1)"""
+
+query("k_feedback_columns", "SELECT query, item, CAST(history_len AS DOUBLE) AS history_len, CAST(moves AS DOUBLE) AS turns_toward_goal, round(least(n_no, 10) / 10, 6) AS n_rejected_in_history, CAST(tail AS DOUBLE) AS consecutive_rejections_tail FROM lst JOIN tn USING (query)", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["history_len", "turns_toward_goal", "n_rejected_in_history", "consecutive_rejections_tail"]))
+query("k_rank_columns", "SELECT query, item, round(1 / log2(rank + 1), 6) AS tt_rank_sig, round(1 / rank, 6) AS bm25_signal, CAST((rank = 1)::INT AS DOUBLE) AS bm25_top1, CAST(count(*) OVER (PARTITION BY query) AS DOUBLE) AS pool_size, popularity FROM lst JOIN tn USING (query)", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["tt_rank_sig", "bm25_signal", "bm25_top1", "pool_size", "popularity"]))
+query("k_artist_columns", "SELECT l.query, l.item, round(coalesce(1 / log2(min(p.b) + 1), 0), 6) AS artist_sig, round(least(count(p.b), 10) / 10, 6) AS n_same_album_in_history, coalesce(max((p.b <= 3)::INT), 0)::DOUBLE AS album_in_recent_window, coalesce(max((p.label = 'DOES_NOT')::INT), 0)::DOUBLE AS artist_in_rejected_set FROM lst l JOIN tn USING (query) LEFT JOIN (SELECT session, b, label, artist FROM past JOIN cat USING (item)) p ON p.session = l.query AND p.artist = l.artist GROUP BY 1, 2", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["artist_sig", "n_same_album_in_history", "album_in_recent_window", "artist_in_rejected_set"]))
+query("k_catalog_columns", "SELECT query, l.item, CAST(1970 + l.size AS DOUBLE) AS track_year, CAST(2026 - 1970 - l.size AS DOUBLE) AS years_since_release, round(c.p, 6) AS popularity_pctile, round(c.r, 6) AS within_artist_pop_rank FROM lst l JOIN tn USING (query) JOIN (SELECT item, (row_number() OVER (ORDER BY popularity, item) - 1) / greatest(count(*) OVER () - 1, 1) AS p, percent_rank() OVER (PARTITION BY artist ORDER BY popularity) AS r FROM cat) c ON c.item = l.item", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["track_year", "years_since_release", "popularity_pctile", "within_artist_pop_rank"]))
+
+
+@query("j20_feature_guard")
+def j20(spark, d):
+    """One row for each column: nulls, NaN, range, whether it is constant zero."""
+    f = matrix(spark, d)
+    parts = [F.struct(F.lit(c).alias("name"), F.count(F.when(F.col(c).isNull() | F.isnan(c), 1)).alias("missing"), F.min(c).alias("least"), F.max(c).alias("most"), (F.coalesce(F.max(F.abs(c)), F.lit(0.0)) == 0).alias("zero")) for c in COLUMNS]
+    return f.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
