@@ -1 +1,163 @@
+"""Model and dataset building (J), streaming analogues (L) and strategy lookup (M)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions import ranking, vector
+from tessera.operators import codebook, cooccur, metrics, retrieval
+from tessera.plans.base import CAT, EPLAYS, PLAYS, PRED, TURNS, VECS, query
+from tessera.plans.joins import predictions
+from tessera.plans.windows import LIST, lists
+from tessera.sources import tables as t
+from tessera.streaming import sessions
+
+
+@query("j1_residual_codes")
+def j1(spark, d):
+    return codebook.two_level(t.vectors(spark, d), 8, 8)
+
+
+@query("j2_projected_codes")
+def j2(spark, d):
+    """Principal components, then k-means on the projections."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = t.vectors(spark, d).select("item", array_to_vector(vector.unit(F.col("v"))).alias("x"))
+    small = PCA(k=16, inputCol="x", outputCol="y").fit(x).transform(x).select("item", vector_to_array("y").alias("v"))
+    return codebook.two_level(small, 8, 8)
+
+
+@query("j3_flat_codes")
+def j3(spark, d):
+    return codebook.assign(t.vectors(spark, d).select("item", vector.unit(F.col("v")).alias("v")), 20, 42)[0].select("item", "code")
+
+
+@query("j5_sequences", "SELECT session, string_agg(item % 64, ' ' ORDER BY pos) AS codes, count(*) AS n FROM plays GROUP BY 1 HAVING count(*) >= 3", PLAYS)
+def j5(spark, d):
+    rows = t.plays(spark, d).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"] % 64).alias("c"))
+    return rows.where(F.size("c") >= 3).select("session", F.array_join(F.col("c").cast("array<string>"), " ").alias("codes"), F.size("c").cast("long").alias("n"))
+
+
+@query("j6_cooccurrence_events", "SELECT src, dst, w FROM (SELECT a.item AS src, b.item AS dst, sum(CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END) AS w FROM eplays a JOIN eplays b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item GROUP BY 1, 2) WHERE w >= 1", EPLAYS)
+def j6(spark, d):
+    return cooccur.neighbours(t.event_plays(spark, d)).select("src", "dst", "w")
+
+
+@query("j7_bm25_index", r"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT item, term, count(*) AS tf FROM (SELECT doc_id AS item, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def j7(spark, d):
+    tf, _ = retrieval.index(t.table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text"))
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("j9_contrastive_pairs", "SELECT a.session, a.item AS positive, n.item AS negative FROM (SELECT session, item, pos FROM plays WHERE label = 'MOVES' QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) = 1) a JOIN (SELECT session, item, row_number() OVER (PARTITION BY session ORDER BY min(pos)) AS r FROM plays p WHERE label = 'DOES_NOT' AND NOT EXISTS (SELECT 1 FROM plays m WHERE m.session = p.session AND m.item = p.item AND m.label = 'MOVES') GROUP BY 1, 2) n ON n.session = a.session AND r <= 4", PLAYS)
+def j9(spark, d):
+    p = t.plays(spark, d)
+    liked = p.where("label = 'MOVES'")
+    last = liked.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos")))).where("n = 1").select("session", F.col("item").alias("positive"))
+    bad = p.where("label = 'DOES_NOT'").join(liked.select("session", "item").distinct(), ["session", "item"], "left_anti").groupBy("session", F.col("item").alias("negative")).agg(F.min("pos").alias("pos"))
+    bad = bad.withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy("pos"))).where("r <= 4")
+    return last.join(bad, "session").select("session", "positive", "negative")
+
+
+@query("j10_cold_pairs", "SELECT item, CASE WHEN item % 2 = 0 THEN name ELSE artist END AS a, CASE WHEN item % 2 = 0 THEN artist ELSE name END AS b FROM cat WHERE item NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)", CAT)
+def j10(spark, d):
+    cold = t.catalog(spark, d).join(t.table(spark, d, "lineitem").where("l_quantity > 20").select(F.col("l_partkey").alias("item")), "item", "left_anti")
+    even = F.col("item") % 2 == 0
+    return cold.select("item", F.when(even, F.col("name")).otherwise(F.col("artist")).alias("a"), F.when(even, F.col("artist")).otherwise(F.col("name")).alias("b"))
+
+
+@query("j11_listwise_groups", "SELECT query, item, (rank = 1)::INT AS label FROM lst QUALIFY row_number() OVER (PARTITION BY query ORDER BY (rank = 1) DESC, sha256(query || '/' || item), item) <= 8", PRED, CAT, LIST)
+def j11(spark, d):
+    key = F.sha2(F.concat_ws("/", F.col("query").cast("string"), F.col("item").cast("string")), 256)
+    first = (F.col("rank") == 1).cast("int")
+    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(first), key, "item"))
+    return lists(spark, d).withColumn("n", n).where("n <= 8").select("query", "item", first.alias("label"))
+
+
+@query("j12_instruction_rows", "SELECT item, 'code' AS kind, name AS prompt, CAST(item % 64 AS VARCHAR) AS reply FROM cat UNION ALL SELECT item, 'text', CAST(item % 64 AS VARCHAR), name FROM cat, range(1, 4)", CAT)
+def j12(spark, d):
+    c = t.catalog(spark, d)
+    code = (F.col("item") % 64).cast("string")
+    a = c.select("item", F.lit("code").alias("kind"), F.col("name").alias("prompt"), code.alias("reply"))
+    b = c.select("item", F.lit("text").alias("kind"), code.alias("prompt"), F.col("name").alias("reply"), F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("col")
+    return a.unionByName(b)
+
+
+@query("j13_balanced_rows", "SELECT item, item % 64 AS code FROM cat QUALIFY row_number() OVER (PARTITION BY item % 64 ORDER BY sha256(CAST(item AS VARCHAR)), item) <= 20", CAT)
+def j13(spark, d):
+    c = t.catalog(spark, d).select("item", (F.col("item") % 64).alias("code"))
+    n = F.row_number().over(Window.partitionBy("code").orderBy(F.sha2(F.col("item").cast("string"), 256), "item"))
+    return c.withColumn("n", n).where("n <= 20").select("item", "code")
+
+
+@query("j14_preference_pairs", "SELECT query, max(item) FILTER (WHERE rank = 1) AS chosen, max(item) FILTER (WHERE rank = 5) AS rejected FROM pred GROUP BY 1 HAVING count(*) >= 5", PRED)
+def j14(spark, d):
+    p = predictions(spark, d)
+    return p.groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("item"))).alias("chosen"), F.max(F.when(F.col("rank") == 5, F.col("item"))).alias("rejected"), F.count(F.lit(1)).alias("n")).where("n >= 5").drop("n")
+
+
+def _ranker(spark, d, trees, depth):
+    cols = ["popularity", "signal", "size"]
+    rows = lists(spark, d).select("query", "item", (F.col("rank") == 1).cast("double").alias("label"), "popularity", ranking.rank_signal(F.col("rank") - 1).alias("signal"), F.col("size").cast("double").alias("size"), (F.col("query") % 2).cast("int").alias("fold"))
+    return codebook.cross_validated(rows, cols, "fold", trees, depth, 2)
+
+
+@query("j15_boosted_ranker")
+def j15(spark, d):
+    return _ranker(spark, d, 3, 3).select("query", "item", "score")
+
+
+@query("i15_tree_scoring")
+def i15(spark, d):
+    return retrieval.top_k(_ranker(spark, d, 2, 2), ["query"], 20).select("query", "item", "rank")
+
+
+@query("j16_ranker_sweep")
+def j16(spark, d):
+    out = None
+    for depth in (1, 2):
+        ranks = retrieval.top_k(_ranker(spark, d, 2, depth), ["query"], 20).where("label = 1")
+        one = ranks.agg(F.avg(ranking.ndcg(F.col("rank"))).alias("ndcg")).withColumn("depth", F.lit(depth))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("j19_prefix_table", "SELECT artist, string_agg(DISTINCT size, ',' ORDER BY size) AS fine FROM cat GROUP BY 1", CAT)
+def j19(spark, d):
+    return t.catalog(spark, d).groupBy("artist").agg(F.array_join(F.array_sort(F.collect_set("size")).cast("array<string>"), ",").alias("fine"))
+
+
+@query("l1_windowed_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def l1(spark, d):
+    """Event counts by ten-minute windows under a watermark, as a stream that ends; summed by type."""
+    return sessions.windowed(spark, d).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+@query("l2_session_state", "SELECT session, count(*) AS plays, count(DISTINCT item) AS kinds FROM eplays GROUP BY 1", EPLAYS)
+def l2(spark, d):
+    return sessions.running_state(spark, d)
+
+
+@query("l3_available_now", "SELECT user_id AS session, count(*) AS n FROM events GROUP BY 1")
+def l3(spark, d):
+    return sessions.appended(spark, d).groupBy(F.col("user_id").alias("session")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SCORES = {"plays": lambda: -F.col("rank"), "price": lambda: F.col("popularity"), "size": lambda: F.col("size")}
+
+
+@query("m2_strategies", "SELECT query, strategy, item FROM (SELECT query, item, 'plays' AS strategy, row_number() OVER (PARTITION BY query ORDER BY -rank DESC, item) AS n FROM lst UNION ALL SELECT query, item, 'price', row_number() OVER (PARTITION BY query ORDER BY popularity DESC, item) FROM lst UNION ALL SELECT query, item, 'size', row_number() OVER (PARTITION BY query ORDER BY size DESC, item) FROM lst) WHERE n = 1", PRED, CAT, LIST)
+def m2(spark, d):
+    rows, out = lists(spark, d), None
+    for name, score in SCORES.items():
+        one = retrieval.top_k(rows.withColumn("score", score()).drop("rank"), ["query"], 1).select("query", F.lit(name).alias("strategy"), "item")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("m5_list_folds")
+def m5(spark, d):
+    return metrics.distinct_2(t.turns(spark, d))

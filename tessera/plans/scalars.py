@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ def h1(spark, d):
 @query("h2_unicode_fold")
 def h2(spark, d):
     """Marks off, brackets and "feat." out; decomposition has no built-in form, so it runs on Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
