@@ -64,11 +64,13 @@ class PieceEncoder:
         #: pieces whose score is another's too
         self.tied = {p for p, s in self.score.items() if met[s] > 1 and len(p) > 1}
         ties = [p for p in self.tied if not any(q in p for q in self.tied if q != p)]
-        self.tie = re.compile("|".join(map(re.escape, ties))) if ties else re.compile(r"(?!)")
-        self.automaton = ahocorasick.Automaton()
+        self.ties = ties
+        self.automaton, self.whole = ahocorasick.Automaton(), set()
         for p in self.id:
             if self.merged(p) == [p]:  # others are never the result of merging
-                self.automaton.add_word(p, len(p))
+                self.whole.add(p)
+                if len(p) > 1:
+                    self.automaton.add_word(p, len(p) - 1)
         self.automaton.make_automaton()
         #: pairs of characters that some piece holds: merging never reaches across others
         self.within = within = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
@@ -76,7 +78,7 @@ class PieceEncoder:
         self.cuts = not any(b == SPACE != a or b == "\n" for a, b in within)
         self.unit = re.compile(f"(?<=[^ {SPACE}])(?= )|(?<=.)(?=\n)", re.S)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache, self.segments = util.Cache(400_000), util.Cache(300_000)
+        self.cache, self.segments = util.Cache(600_000), util.Cache(450_000)
 
     def merged(self, text: str) -> list[str]:
         """Merging step by step: the best-scored adjacent pair, the leftmost of equals."""
@@ -93,19 +95,18 @@ class PieceEncoder:
         return parts
 
     def go_together(self, a: str, b: str) -> bool:
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 700_000:
             self.pairs.clear()
         found = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return found
 
     def backtracked(self, text: str) -> list[str]:
         n = len(text)
+        if text in self.whole:  # a piece that merging gives
+            return [text]
         ends: list[list[int]] = [[i] for i in range(1, n + 1)]  # a character that no piece is stays alone
         for end, length in self.automaton.iter(text):
-            if length > 1:
-                ends[end - length + 1].append(end + 1)
-        if ends[0][-1] == n:  # a piece that merging gives
-            return [text]
+            ends[end - length].append(end + 1)
         pairs, failed, taken, tried, at, last = self.pairs, 0, [], [], 0, None
         rest = ends[0]
         while at < n:
@@ -147,7 +148,7 @@ class PieceEncoder:
         return found
 
     def encode_segment(self, text: str) -> list[int]:
-        if self.tie.search(text):
+        if any(map(text.__contains__, self.ties)):
             return self.long_tied(text)
         parts = self.backtracked(text)
         ids = list(map(self.id.get, parts))
