@@ -67,7 +67,8 @@ def deduplicated(docs: DataFrame, *, window: int = 2, mean: int = 3, least: int
     found = marks.join(often, "h", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("places"))
     found, found_path = util.staged(found.select(F.col("_ld_id").alias("_i"), F.col("_ld_key").alias("_k"), "places"), "found")
     own = docs.select("doc_id", "text").withColumn("_ld_key", F.xxhash64(F.col("text").cast("string")))
-    texts = own.join(found, (F.col("doc_id").cast("long") == F.col("_i")) & (F.col("_ld_key") == F.col("_k"))).select("doc_id", "text", "places")
+    # what is found grows with the texts: never broadcast, and the same plan at every size
+    texts = own.join(found.hint("merge"), (F.col("doc_id").cast("long") == F.col("_i")) & (F.col("_ld_key") == F.col("_k"))).select("doc_id", "text", "places")
     texts = _chunked(texts, window, mean).select(*key, "places", F.posexplode("_ld_chunks").alias("place", "c")).where(F.array_contains("places", F.col("place")))
     texts, text_path = util.staged(texts.select(*key, "place", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("chunk")), "chunks")
     # equal bytes: one row for each different chunk, with its first occurrence
@@ -78,7 +79,7 @@ def deduplicated(docs: DataFrame, *, window: int = 2, mean: int = 3, least: int
     gone, gone_path = util.staged(gone.select(F.col("_ld_id").alias("_ld_i"), F.col("_ld_key").alias("_ld_k"), "_ld_gone"), "gone")
 
     own = docs.withColumn("_ld_id", F.col("doc_id").cast("long")).withColumn("_ld_key", F.xxhash64(F.col("text").cast("string")))
-    own = own.join(gone, (F.col("_ld_id") == F.col("_ld_i")) & (F.col("_ld_key") == F.col("_ld_k")), "left")
+    own = own.join(gone.hint("merge"), (F.col("_ld_id") == F.col("_ld_i")) & (F.col("_ld_key") == F.col("_ld_k")), "left")
     # only texts that lose chunks are cut again: what stays, and how many lines go
     cut = F.aggregate(chunks(F.col("text").cast("string"), window, mean), F.struct(F.lit(0).alias("k"), F.lit(0).alias("lines"), F.array().cast("array<string>").alias("kept")), lambda a, c: F.struct((a["k"] + 1).alias("k"), (a["lines"] + F.when(F.array_contains("_ld_gone", a["k"]), c["n"]).otherwise(0)).alias("lines"), F.when(F.array_contains("_ld_gone", a["k"]), a["kept"]).otherwise(F.concat(a["kept"], F.array(c["body"]))).alias("kept")), lambda a: F.struct(a["lines"].alias("lines"), F.array_join(a["kept"], "\n").alias("text")))
     own = own.withColumn("_ld_cut", F.when(F.col("_ld_gone").isNotNull(), cut))
