@@ -40,7 +40,7 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 class Names:
     """The least k-gram hash of every window of a byte array."""
 
-    def __init__(self, length: int, block: int = 1 << 21):
+    def __init__(self, length: int, block: int = 1 << 19):
         self.length, self.block = length, block
         self.width = length - K + 1
         powers = np.full(block + length + 1, _BASE, np.uint64)
@@ -253,7 +253,7 @@ def _groups(batches, of: int):
         yield key, held
 
 
-def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory: int = 1 << 26) -> tuple[DataFrame, DataFrame, list[str]]:
+def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 4, in_memory: int = 1 << 26) -> tuple[DataFrame, DataFrame, list[str]]:
     """(sha, rep) of distinct texts; (rep, s, n_removed, n_spans, kept_sha256, kept) of those that lose bytes; the paths of both."""
     import pyarrow as pa
 
@@ -262,6 +262,10 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts, first_path = util.staged(own.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("rep")), "first")
 
+    # rows that share both doc_id and text are one text; only if there are any are texts compared for it
+    repeated_rows = own.where("doc_id IS NOT NULL").groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    once = lambda df: df.dropDuplicates(["sha"]) if repeated_rows else df
+
     # 1: names of each distinct text, in chunks of texts
     def named(batches):
         coder = Names(length)
@@ -298,7 +302,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
         if held:
             yield out()
 
-    chunks, chunk_path = util.staged(names.dropDuplicates(["sha"]).mapInArrow(chunked, "chunk long, who binary, names binary"), "names")
+    chunks, chunk_path = util.staged(once(names).mapInArrow(chunked, "chunk long, who binary, names binary"), "names")
 
     def dealt(batches):
         for batch in batches:
@@ -379,7 +383,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
             yield out()
 
     texts = own.join(wanted, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("rep", "sha", "names", F.col("text").cast("binary").alias("text"))
-    texts, text_path = util.staged(texts.dropDuplicates(["sha"]).mapInArrow(gathered, "chunk long, who binary, texts binary"), "texts")
+    texts, text_path = util.staged(once(texts).mapInArrow(gathered, "chunk long, who binary, texts binary"), "texts")
     util.drop(spark, wanted_path)
 
     def opened(who: bytes, raw: bytes):
@@ -400,16 +404,16 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
         np.minimum.at(least, which, reps)
         group = ((name[one].astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32) if len(index) else np.zeros(0, np.int32)
         order = np.argsort(group, kind="stable")
-        return who, each, data, starts, begin, windows, reps, which, list(index), least, group, order
+        return who, each, data, starts, begin, windows, reps, which, list(index), least, name[one] if len(index) else name, group, order
 
     def cut_out(batches):
         for batch in batches:
             for chunk, who, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                *_, strings, least, group, order = opened(who, raw)
+                *_, strings, least, name, group, order = opened(who, raw)
                 cut = np.flatnonzero(np.diff(group[order], prepend=-1)).tolist()
                 for a, z in zip(cut, [*cut[1:], len(order)]):
                     some = order[a:z]
-                    blob = _pack(sizes=np.array([len(strings[i]) for i in some], np.uint16), least=least[some], flat=b"".join([strings[i] for i in some]))
+                    blob = _pack(sizes=np.array([len(strings[i]) for i in some], np.uint16), least=least[some], names=name[some], flat=b"".join([strings[i] for i in some]))
                     yield pa.RecordBatch.from_arrays([pa.array([int(group[some[0]])], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["grp", "chunk", "blob"])
 
     # 3: suffixes of each group
@@ -417,14 +421,16 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
         for group, rows in _groups(batches, 0):
             index: dict = {}
             least: list[int] = []
+            named: list[int] = []
             back = []
             for _, _, blob in rows:
                 x = _unpack(blob)
                 sizes, flat, at, mine = np.frombuffer(x["sizes"], np.uint16).tolist(), x["flat"], 0, []
-                for n, low in zip(sizes, np.frombuffer(x["least"], np.int64).tolist()):
+                for n, low, name in zip(sizes, np.frombuffer(x["least"], np.int64).tolist(), np.frombuffer(x["names"], np.uint32).tolist()):
                     i = index.setdefault(flat[at : at + n], len(index))
                     if i == len(least):
                         least.append(low)
+                        named.append(name)
                     elif low < least[i]:
                         least[i] = low
                     at += n
@@ -432,12 +438,18 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
                 back.append(mine)
             strings = list(index)
             sizes = np.array([len(s) for s in strings], np.int64)
-            # symbols are at least 1; the 256th would not fit, and no UTF-8 text holds byte 255
-            flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-            begin = np.cumsum(sizes) - sizes
-            low = least_owner(flat, begin, sizes, np.array(least, np.int64), length, in_memory)
             windows = sizes - length + 1
             first = np.cumsum(windows) - windows
+            owner = np.array(least, np.int64)
+            low = np.repeat(owner, windows)
+            # equal windows have equal names: where only one string has a name, its owner stands
+            _, of, often = np.unique(np.array(named, np.uint32), return_inverse=True, return_counts=True)
+            many = np.flatnonzero(often[of] > 1)
+            if len(many):
+                # symbols are at least 1; the 256th would not fit, and no UTF-8 text holds byte 255
+                flat = np.frombuffer(b"".join([strings[i] for i in many.tolist()]), np.uint8) + np.uint8(1)
+                found = least_owner(flat, np.cumsum(sizes[many]) - sizes[many], sizes[many], owner[many], length, in_memory)
+                low[np.repeat(first[many] - (np.cumsum(windows[many]) - windows[many]), windows[many]) + np.arange(len(found))] = found
             # runs of equal owners, string by string
             head = np.ones(len(low), bool)
             head[1:] = low[1:] != low[:-1]
@@ -460,7 +472,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 8, in_memory:
     # 4: back to the texts
     def applied(batches):
         for _, rows in _groups(batches, 0):
-            who, each, data, starts, begin, windows, reps, which, uniq, _, _, order = opened(rows[0][2], rows[0][3])
+            who, each, data, starts, begin, windows, reps, which, uniq, _, _, _, order = opened(rows[0][2], rows[0][3])
             got = [_unpack(r[3]) for r in rows[1:]]
             n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["n"], np.uint16).astype(np.int64) for x in got)])
             lengths = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["lengths"], np.uint16).astype(np.int64) for x in got)])

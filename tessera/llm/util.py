@@ -57,8 +57,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def parts(df: DataFrame, mb: int = 16) -> int:
-    """Partitions so that one holds about so many MB of the input's files, at least the session's own count."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Partitions so that one holds about so many MB of the files that df reads, at least the session's own count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # sources without files say that they are larger than anything
+    size = sum(x for x in sizes if x < 1 << 50)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20) + 1, 1 << 17))
 
 
