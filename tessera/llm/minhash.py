@@ -65,7 +65,7 @@ class Sketcher:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 600_000:
+        if len(known) > 300_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.hash(w)
