@@ -161,3 +161,33 @@ def m2(spark, d):
 @query("m5_list_folds")
 def m5(spark, d):
     return metrics.distinct_2(t.turns(spark, d))
+
+
+@query("a7_codebook_tables", "SELECT item, item % 8 AS l0, item % 64 AS l1 FROM vecs", VECS)
+def a7(spark, d):
+    """A codebook is two tables, codes and centroids, written and read by name."""
+    from tessera.plans.scans import _temp
+
+    at = _temp(spark)
+    t.vectors(spark, d).select("item", (F.col("item") % 8).alias("l0"), (F.col("item") % 64).alias("l1")).write.parquet(f"{at}/codes")
+    return spark.read.schema("item long, l0 long, l1 long").parquet(f"{at}/codes")
+
+
+@query("i16_network_scoring")
+def i16(spark, d):
+    """Standardised columns into a small network; the probability of the first class is the score."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = lists(spark, d).select("query", "item", (F.col("rank") == 1).cast("double").alias("label"), "popularity", F.col("size").cast("double").alias("size"))
+    m = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("popularity", "size") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = rows.crossJoin(F.broadcast(m)).select("query", "item", "label", *[((F.col(c) - F.col(f"m_{c}")) / (F.col(f"s_{c}") + 1e-8)).alias(c) for c in ("popularity", "size")])
+    x = VectorAssembler(inputCols=["popularity", "size"], outputCol="x").transform(z)
+    model = MultilayerPerceptronClassifier(layers=[2, 4, 2], seed=7, maxIter=10, featuresCol="x").fit(x)
+    return model.transform(x).select("query", "item", vector_to_array("probability")[1].alias("score"))
+
+
+@query("m6_generator_rows", "SELECT item, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS at FROM cat", CAT)
+def m6(spark, d):
+    return t.catalog(spark, d).select("item", F.posexplode("tags").alias("at", "tag")).select("item", "tag", F.col("at").cast("long").alias("at"))
