@@ -163,8 +163,10 @@ def column_wise(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, in_memory
             who = slot[order]
             fresh = np.flatnonzero(who >= 0)
             # a new suffix and the one after it get their common prefix with the one before
-            ask = np.unique(np.concatenate([fresh, fresh[fresh + 1 < len(order)] + 1]))
-            ask = ask[ask > 0] if len(ask) else ask
+            asked = np.zeros(len(order) + 1, bool)
+            asked[fresh] = asked[fresh + 1] = True
+            asked[0] = False
+            ask = np.flatnonzero(asked[:-1])
             same = now[order[ask]] == now[order[ask - 1]]
             ask_same = ask[same]
             lows = _range_min(common, order[ask_same - 1] + 1, order[ask_same] + 1)
@@ -253,7 +255,7 @@ def _groups(batches, of: int):
         yield key, held
 
 
-def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 4, in_memory: int = 1 << 26) -> tuple[DataFrame, DataFrame, list[str]]:
+def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory: int = 1 << 26) -> tuple[DataFrame, DataFrame, list[str]]:
     """(sha, rep) of distinct texts; (rep, s, n_removed, n_spans, kept_sha256, kept) of those that lose bytes; the paths of both."""
     import pyarrow as pa
 
@@ -279,7 +281,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 4, in_memory:
     firsts_k = firsts.select(F.col("sha").alias("s"), "rep")
     names = names.join(firsts_k, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("rep", "sha", "names")
     parts = max(shuffles, util.parts(docs, 8))
-    groups = parts * 8
+    groups = parts * 24
 
     def chunked(batches):
         from pyspark import TaskContext
