@@ -1,9 +1,11 @@
 """Every query with SQL gives the rows that SQL gives, on the smallest tables."""
 
-import math
+import numbers
 from decimal import Decimal
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans import registry
@@ -21,11 +23,11 @@ def duck(sf):
 
 def rows(frame):
     def value(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or (not hasattr(x, "__len__") and pd.isna(x)):
             return None
-        if isinstance(x, (float, Decimal)) or type(x).__name__ in ("float64", "float32"):
-            return round(float(x), 6)
-        return x if isinstance(x, (int, str, bool)) else str(x)
+        if isinstance(x, (bool, np.bool_)):
+            return bool(x)
+        return round(float(x), 6) if isinstance(x, (numbers.Number, Decimal)) else str(x)
 
     frame = frame[sorted(frame.columns)]
     return sorted(repr(tuple(value(x) for x in r)) for r in frame.itertuples(index=False, name=None))
