@@ -78,7 +78,7 @@ class PieceEncoder:
         self.cuts = not any(b == SPACE != a or b == "\n" for a, b in within)
         self.unit = re.compile(f"(?<=[^ {SPACE}])(?= )|(?<=.)(?=\n)", re.S)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache, self.segments = util.Cache(600_000), util.Cache(450_000)
+        self.cache, self.segments = util.Cache(700_000), util.Cache(550_000)
 
     def merged(self, text: str) -> list[str]:
         """Merging step by step: the best-scored adjacent pair, the leftmost of equals."""
@@ -108,25 +108,27 @@ class PieceEncoder:
         for end, length in self.automaton.iter(text):
             ends[end - length].append(end + 1)
         pairs, failed, taken, tried, at, last = self.pairs, 0, [], [], 0, None
-        rest = ends[0]
+        k = len(ends[0]) - 1
         while at < n:
-            while rest:
-                end, rest = rest[-1], rest[:-1]
-                if failed >> end & 1:
+            here = ends[at]
+            while k >= 0:
+                end = here[k]
+                k -= 1
+                if failed and failed >> end & 1:
                     continue
                 piece = text[at:end]
                 if last is None or (pairs[last, piece] if (last, piece) in pairs else self.go_together(last, piece)):
                     taken.append(piece)
-                    tried.append((at, rest))
+                    tried.append((at, k))
                     at, last = end, piece
-                    rest = ends[at] if at < n else rest
+                    k = len(ends[at]) - 1 if at < n else 0
                     break
             else:
                 if not taken:
                     raise AssertionError(f"no encoding of {text!r}")
                 failed |= 1 << at
                 taken.pop()
-                at, rest = tried.pop()
+                at, k = tried.pop()
                 last = taken[-1] if taken else None
         return taken
 
