@@ -109,12 +109,9 @@ def sketched(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, sig (null: links with nothing), bands."""
     import pyarrow as pa
 
-    held: dict = {}
-
     def run(batches):
-        coder = held.get("coder")
-        if coder is None:
-            coder = Sketcher(width, bins, rows)
+        util.lean()
+        coder = Sketcher(width, bins, rows)
         for batch in batches:
             ids, n, sig, bands = batch.column(0), [], [], []
             for d, text in zip(ids.to_pylist(), batch.column(1).to_pylist()):
@@ -134,6 +131,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     import pyarrow as pa
 
     def check(batches):
+        util.lean()
         for batch in batches:
             a_ids = batch.column(0).to_pylist()
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()

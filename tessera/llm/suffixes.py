@@ -270,6 +270,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
 
     # 1: names of each distinct text, in chunks of texts
     def named(batches):
+        util.lean()
         coder = Names(length)
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
@@ -284,6 +285,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     groups = parts * 24
 
     def chunked(batches):
+        util.lean()
         from pyspark import TaskContext
 
         base, n, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
@@ -307,6 +309,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     chunks, chunk_path = util.staged(once(names).mapInArrow(chunked, "chunk long, who binary, names binary"), "names")
 
     def dealt(batches):
+        util.lean()
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = np.frombuffer(raw, "<u4")
@@ -317,6 +320,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
                 yield pa.RecordBatch.from_arrays([pa.array(group[order][cut], pa.int32()), pa.array([chunk] * len(cut), pa.int64()), pa.array([values[order[a:z]].tobytes() for a, z in zip(cut.tolist(), ends)], pa.binary())], names=["grp", "chunk", "names"])
 
     def repeated(batches):
+        util.lean()
         for group, rows in _groups(batches, 0):
             values = np.concatenate([np.frombuffer(x, "<u4") for _, _, x in rows])
             s = np.sort(values)
@@ -340,6 +344,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     both = chunks.select("chunk", F.lit(-1).alias("grp"), "who", F.col("names").alias("raw")).unionByName(marks.select("chunk", "grp", F.lit(None).cast("binary").alias("who"), F.col("marks").alias("raw")))
 
     def resolved(batches):
+        util.lean()
         for _, rows in _groups(batches, 0):
             who, values = _unpack(rows[0][2]), np.frombuffer(rows[0][3], "<u4")
             group = ((values.astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
@@ -364,6 +369,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     util.drop(spark, chunk_path)
 
     def gathered(batches):
+        util.lean()
         from pyspark import TaskContext
 
         base, n, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
@@ -409,6 +415,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
         return who, each, data, starts, begin, windows, reps, which, list(index), least, name[one] if len(index) else name, group, order
 
     def cut_out(batches):
+        util.lean()
         for batch in batches:
             for chunk, who, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 *_, strings, least, name, group, order = opened(who, raw)
@@ -420,6 +427,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
 
     # 3: suffixes of each group
     def ordered(batches):
+        util.lean()
         for group, rows in _groups(batches, 0):
             index: dict = {}
             least: list[int] = []
@@ -473,6 +481,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
 
     # 4: back to the texts
     def applied(batches):
+        util.lean()
         for _, rows in _groups(batches, 0):
             who, each, data, starts, begin, windows, reps, which, uniq, _, _, _, order = opened(rows[0][2], rows[0][3])
             got = [_unpack(r[3]) for r in rows[1:]]

@@ -74,6 +74,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def lean() -> None:
+    """Has the C library give large freed arrays back to the system at once, where it can."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped by themselves
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class Cache:
     """Two generations of a bounded map: the older goes when the younger is full."""
 
