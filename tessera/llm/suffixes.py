@@ -7,12 +7,14 @@ the later ones goes if they are that long. For the distinct texts:
 1. Each window of ``length`` bytes is named by the least hash among its k-grams. Equal windows
    have equal names, so only windows whose name occurs in two texts can repeat.
 2. Runs of windows with one such name are cut out as strings and dealt by name, equal strings of
-   a chunk of texts once with their least doc_id. All equal windows meet in one group, and a
-   name with very many different strings is dealt further by the windows' first bytes.
+   a chunk of texts once with their least doc_id. All equal windows meet in one group. A name
+   in more than ``hot`` texts is dealt further, window by window: each gets a name from all of
+   its bytes, as first bytes inside a common passage would all be the same.
 3. A group's strings are inserted column by column, from their ends: in each round every string
    gives one symbol, the places of the new suffixes follow from the ranks in the transform so
-   far, and transform and common prefixes are rewritten in one sequential pass. Beyond
-   ``in_memory`` bytes both are files of the task, which go with it.
+   far, and transform and common prefixes are rewritten. A round holds all of both, and index
+   arrays of the same length, in memory: what bounds them is the size of the groups. Beyond
+   ``in_memory`` bytes both lie in files of the task from one round to the next only.
 4. Suffixes with a common prefix of ``length`` or more are one class; its least doc_id goes back
    to the texts, where the windows' bytes are removed.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -97,8 +100,11 @@ def names_of(coder: Names, texts: list[bytes]):
     return [values[cut[i] : cut[i + 1]] for i in range(len(texts))]
 
 
-def strings_of(coder: Names, texts: list[bytes], known: np.ndarray):
-    """Runs of windows with a name in known: (data, starts, begin, windows, name). known holds text << 32 | name, in order."""
+def strings_of(coder: Names, texts: list[bytes], known: np.ndarray, hot: np.ndarray):
+    """Runs of windows with a name in known: (data, starts, begin, windows, name). known holds text << 32 | name, in order.
+
+    Names in hot give single windows, named by the checksum of all their bytes.
+    """
     data, starts, _, inside = joined(texts, coder.length)
     low = coder.windows(data)
     if not len(low):
@@ -116,15 +122,22 @@ def strings_of(coder: Names, texts: list[bytes], known: np.ndarray):
     good[good] = known[found[good]] == key[good]
     # a name that recurs in periodic text gives long runs: strings stay short, so the rounds stay few
     at, windows, name = at[good], windows[good], low[at[good]]
-    cuts = -(-windows // coder.width)
+    single = np.isin(name, hot)
+    wide = np.where(single, 1, coder.width)
+    cuts = -(-windows // wide)
     nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = np.repeat(at, cuts) + nth * coder.width
-    windows = np.minimum(np.repeat(windows, cuts) - nth * coder.width, coder.width)
-    return data, starts, begin, windows, np.repeat(name, cuts)
+    wide = np.repeat(wide, cuts)
+    begin = np.repeat(at, cuts) + nth * wide
+    windows = np.minimum(np.repeat(windows, cuts) - nth * wide, wide)
+    name = np.repeat(name, cuts)
+    if single.any():
+        some = np.flatnonzero(np.repeat(single, cuts))
+        name[some] = [zlib.crc32(data[a : a + coder.length]) for a in begin[some].tolist()]
+    return data, starts, begin, windows, name
 
 
 class Sequence:
-    """Bytes in memory, or beyond a limit in a file that is read and written in order."""
+    """Bytes in memory, or beyond a limit in a file; get() reads all of it."""
 
     def __init__(self, limit: int, folder: str):
         self.limit, self.folder, self.n, self.held = limit, folder, 0, None
@@ -255,7 +268,7 @@ def _groups(batches, of: int):
         yield key, held
 
 
-def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory: int = 1 << 26) -> tuple[DataFrame, DataFrame, list[str]]:
+def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory: int = 1 << 26, hot: int = 1 << 14) -> tuple[DataFrame, DataFrame, list[str]]:
     """(sha, rep) of distinct texts; (rep, s, n_removed, n_spans, kept_sha256, kept) of those that lose bytes; the paths of both."""
     import pyarrow as pa
 
@@ -325,7 +338,9 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
             values = np.concatenate([np.frombuffer(x, "<u4") for _, _, x in rows])
             s = np.sort(values)
             twice = s[1:][s[1:] == s[:-1]]
-            twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
+            heads = np.flatnonzero(np.append(True, twice[1:] != twice[:-1])) if len(twice) else np.zeros(0, np.int64)
+            often = np.diff(np.append(heads, len(twice))) + 1 > hot
+            twice = twice[heads]
             at, marks = 0, []
             for _, _, x in rows:
                 some = values[at : at + len(x) // 4]
@@ -334,7 +349,9 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
                 hit = np.zeros(len(some), bool)
                 ok = k < len(twice)
                 hit[ok] = twice[k[ok]] == some[ok]
-                marks.append(np.packbits(hit).tobytes())
+                many = np.zeros(len(some), bool)
+                many[hit] = often[k[hit]]
+                marks.append(np.packbits(hit).tobytes() + np.packbits(many).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([group] * len(rows), pa.int32()), pa.array(marks, pa.binary())], names=["chunk", "grp", "marks"])
 
     sent = chunks.select("chunk", "names").mapInArrow(dealt, "grp int, chunk long, names binary")
@@ -349,22 +366,25 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
             who, values = _unpack(rows[0][2]), np.frombuffer(rows[0][3], "<u4")
             group = ((values.astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(group, kind="stable")
-            hit, at = np.zeros(len(values), bool), 0
+            hit, many, at = np.zeros(len(values), bool), np.zeros(len(values), bool), 0
             for _, g, _, raw in rows[1:]:
                 n = int(np.searchsorted(group[order], g, "right")) - at
-                hit[order[at : at + n]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+                bits = np.frombuffer(raw, np.uint8).reshape(2, -1)
+                hit[order[at : at + n]] = np.unpackbits(bits[0], count=n).astype(bool)
+                many[order[at : at + n]] = np.unpackbits(bits[1], count=n).astype(bool)
                 at += n
             ends = np.cumsum(who["counts"])
-            shas, reps, some = [], [], []
+            shas, reps, some, often = [], [], [], []
             for i, (a, z) in enumerate(zip((ends - who["counts"]).tolist(), ends.tolist())):
                 x = values[a:z][hit[a:z]]
                 if len(x):
                     shas.append(who["shas"][i])
                     reps.append(who["reps"][i])
                     some.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(shas, pa.binary()), pa.array(some, pa.binary())], names=["rep", "s", "names"])
+                    often.append(values[a:z][many[a:z]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(shas, pa.binary()), pa.array(some, pa.binary()), pa.array(often, pa.binary())], names=["rep", "s", "names", "hot"])
 
-    wanted = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "grp").mapInArrow(resolved, "rep long, s binary, names binary")
+    wanted = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "grp").mapInArrow(resolved, "rep long, s binary, names binary, hot binary")
     wanted, wanted_path = util.staged(wanted, "wanted")
     util.drop(spark, chunk_path)
 
@@ -376,21 +396,21 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
 
         def out():
             nonlocal n, size, held
-            raw = _pack(reps=[r[0] for r in held], shas=[r[1] for r in held], names=[r[2] for r in held], sizes=[len(r[3]) for r in held])
-            row = pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([raw], pa.binary()), pa.array([b"".join(r[3] for r in held)], pa.binary())], names=["chunk", "who", "texts"])
+            raw = _pack(reps=[r[0] for r in held], shas=[r[1] for r in held], names=[r[2] for r in held], hot=b"".join(r[3] for r in held), sizes=[len(r[4]) for r in held])
+            row = pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([raw], pa.binary()), pa.array([b"".join(r[4] for r in held)], pa.binary())], names=["chunk", "who", "texts"])
             n, size, held = n + 1, 0, []
             return row
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 if size >= chunk_mb << 20:
                     yield out()
         if held:
             yield out()
 
-    texts = own.join(wanted, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("rep", "sha", "names", F.col("text").cast("binary").alias("text"))
+    texts = own.join(wanted, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("rep", "sha", "names", "hot", F.col("text").cast("binary").alias("text"))
     texts, text_path = util.staged(once(texts).mapInArrow(gathered, "chunk long, who binary, texts binary"), "texts")
     util.drop(spark, wanted_path)
 
@@ -400,7 +420,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
         ends = np.cumsum(who["sizes"]).tolist()
         each = [raw[z - n : z] for z, n in zip(ends, who["sizes"])]
         known = np.concatenate([(np.uint64(i) << np.uint64(32)) | np.frombuffer(x, "<u4").astype(np.uint64) for i, x in enumerate(who["names"])])
-        data, starts, begin, windows, name = strings_of(Names(length), each, known)
+        data, starts, begin, windows, name = strings_of(Names(length), each, known, np.unique(np.frombuffer(who["hot"], "<u4")))
         owner = np.searchsorted(starts, begin, "right") - 1
         reps = np.array(who["reps"], np.int64)[owner]
         index: dict = {}

@@ -223,6 +223,28 @@ def test_repeated_strings(spark, edges, empty):
     assert len(rows) == len(EDGES) and {r._id: r._n_removed for r in rows}[5] == len(LONG) and {r._id: r._n_removed for r in rows}[None] == 0
 
 
+def test_hot_names_are_dealt_by_windows(spark):
+    random.seed(12)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(90))
+    own = lambda n: "".join(random.choice("stuvwxyz") for _ in range(n))
+    texts = [(i, own(30) + passage + own(30)) for i in range(40)] + [(90, passage[20:] + passage[20:]), (91, "q" * 90 + passage)]
+    coder, raw = suffixes.Names(50), [t.encode() for _, t in texts]
+    names = suffixes.names_of(coder, raw)
+    known = np.concatenate([(np.uint64(i) << np.uint64(32)) | x.astype(np.uint64) for i, x in enumerate(names)])
+    values, counts = np.unique(np.concatenate(names), return_counts=True)
+    often = values[counts > 8]
+    _, _, _, _, name = suffixes.strings_of(coder, raw, known, often[:0])
+    data, _, begin, windows, dealt = suffixes.strings_of(coder, raw, known, often)
+    assert len(often) and not np.isin(dealt, often).any() and len(np.unique(dealt)) > 10 * len(np.unique(name[np.isin(name, often)]))
+    by = {}
+    for a, w, n in zip(begin.tolist(), windows.tolist(), dealt.tolist()):
+        for k in range(a, a + w):
+            by.setdefault(data[k : k + 50].tobytes(), set()).add(n)
+    assert all(len(n) == 1 for n in by.values())  # equal windows meet
+    out, _ = suffixes.deduplicated(frame(spark, texts), hot=8)
+    assert {r._id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in out.collect()} == removed(texts, 50)
+
+
 def test_column_wise_order():
     random.seed(7)
     for _ in range(60):
