@@ -16,7 +16,8 @@ probability of at most ``miss``. Links are confirmed on the full sets of the tex
 
 A text of fewer words than a shingle is one shingle; without words or with null it has none and
 links with nothing, as rows without a doc_id do (component_id null, kept). Rows that share a
-doc_id are one node. Extra columns are not read. An empty table gives no rows.
+doc_id are one node of the components, with the links of each of their texts: texts are paired
+and verified by keys of their own. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,6 +156,44 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return near.select("a", "b", "left", "right").mapInArrow(check, "a long, b long, away double, ok boolean")
 
 
+def keyed(docs: DataFrame, sk: DataFrame, first: DataFrame, width: int):
+    """Keys of texts where rows share a doc_id and differ: (first with node, extra(sig, rep, node), several(id), texts(node, text), paths).
+
+    A text's key is its rep; of several texts with one rep all but one get keys that are no doc_id.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    rows = sk.where("sig IS NOT NULL").select("doc_id", "sig").distinct()
+    several, several_path = util.staged(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "several")
+    if not several.limit(1).count():
+        return first.withColumn("node", F.col("rep")), None, None, None, [several_path]
+    mine = first.join(several, F.col("rep") == F.col("id"), "left_semi")
+    kept = mine.groupBy("rep").agg(F.min("sig").alias("own")).withColumnRenamed("rep", "of")
+    extra, extra_path = util.staged(mine.join(kept, F.col("rep") == F.col("of")).where("sig != own").select("sig", "rep", F.monotonically_increasing_id().alias("nth")), "extra")
+    least, most = sk.agg(F.min("doc_id"), F.max("doc_id")).first()
+    room = (extra.agg(F.max("nth")).first()[0] or 0) + 1
+    if most + room < 1 << 63:
+        node = F.col("nth") + F.lit(most + 1)
+    elif least - room >= -(1 << 63):
+        node = F.lit(least - 1) - F.col("nth")
+    else:
+        raise ValueError("doc_ids leave no room for the keys of texts that share one")
+    extra = extra.select(F.col("sig").alias("e"), F.col("rep").alias("of"), node.alias("key"))
+    nodes = first.join(extra, F.col("sig") == F.col("e"), "left").select("sig", "rep", F.coalesce("key", "rep").alias("node"))
+
+    def run(batches):
+        util.lean()
+        coder = Sketcher(width, 1, 1)
+        for batch in batches:
+            sig = [coder.digest(x.tobytes()) if len(x := coder.shingles(t)) else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), batch.column(1)], names=["doc_id", "s", "text"])
+
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(several, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = whole.mapInArrow(run, "doc_id long, s binary, text string").join(nodes, (F.col("s") == F.col("sig")) & (F.col("doc_id") == F.col("rep"))).select(F.col("node").alias("rep"), "text")
+    return nodes, extra, several, texts, [several_path, extra_path]
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, rows: int = 6, miss: float = 1e-8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -162,8 +201,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     bins = rows * bands_for(threshold, rows, miss)
     sk, sk_path = util.staged(sketched(docs, width, bins, rows), "sketches")
     first = sk.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = sk.where("sig IS NOT NULL").join(first.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
-    cells = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("cell"))
+    nodes, extra, several, shared_texts, key_paths = keyed(docs, sk, first, width)
+    # from here to the components rep is a text's key
+    reps = sk.where("sig IS NOT NULL").join(nodes.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
+    cells = reps.select(F.col("node").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     met, met_path = util.staged(cells.join(shared, "cell").distinct(), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -173,6 +214,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     pairs, pair_path = util.staged(pairs.where(alike(F.col("na"), F.col("nb"))).select("a", "b"), "pairs")
     known = met.select("rep").distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    if several is not None:
+        whole = whole.join(several, F.col("rep") == F.col("id"), "left_anti").unionByName(shared_texts)
     texts, text_path = util.staged(whole.join(known, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text")), "texts")
     links, link_path = util.staged(verified(pairs, texts, width, percent), "links")
     comps, comp_path = components.components(links.where("ok").select("a", "b"))
@@ -193,12 +236,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     second = second.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     second, second_path = util.staged(second, "pairs")
     more, more_path = util.staged(verified(second, texts, width, percent), "links")
-    final, final_path = components.components(links.unionByName(more).where("ok").select("a", "b"))
+    edges = links.unionByName(more).where("ok").select("a", "b")
+    if several is not None:
+        # keys are doc_ids again, and a doc_id joins the classes of all its texts
+        for end in ("a", "b"):
+            edges = edges.join(extra.select("key", "of"), F.col(end) == F.col("key"), "left").withColumn(end, F.coalesce("of", end)).select("a", "b")
+        held = sk.where("sig IS NOT NULL").join(several, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", F.col("sig").alias("s")).distinct()
+        edges = edges.unionByName(held.join(first, F.col("s") == F.col("sig")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final, final_path = components.components(edges)
 
     class_of = first.join(final, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("found"))
     out = sk.join(class_of, F.col("sig") == F.col("s"), "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    return util.result(out, sk_path, met_path, pair_path, text_path, link_path, comp_path, placed_path, second_path, more_path, final_path)
+    return util.result(out, sk_path, met_path, pair_path, text_path, link_path, comp_path, placed_path, second_path, more_path, final_path, *key_paths)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -172,6 +172,23 @@ def test_near_duplicates(spark, edges, empty):
     assert len(rows) == len(EDGES) and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
 
 
+@pytest.mark.parametrize("top", [900, (1 << 63) - 1])
+def test_texts_that_share_an_id_keep_their_links(spark, top):
+    random.seed(13)
+    text = lambda: [f"v{random.randrange(5000)}" for _ in range(150)]
+    near = lambda x: " ".join(x[:70] + ["changed"] + x[71:])
+    base = [text() for _ in range(6)]
+    whole = [" ".join(x) for x in base]
+    # 5 has three texts, each near another id; 9 has the text of 3 and one near 10; 20 ties 17 to 18
+    texts = [(5, whole[0]), (5, whole[1]), (5, whole[2]), (6, near(base[0])), (7, near(base[1])), (8, near(base[2]))]
+    texts += [(3, whole[3]), (9, whole[3]), (9, whole[4]), (10, near(base[4])), (17, whole[5]), (18, "a few other words here"), (20, whole[5]), (20, "a few other words here"), (top, "nothing like the others at all")]
+    for _ in range(2):
+        random.shuffle(texts)
+        rows = minhash.near_duplicates(frame(spark, texts), width=3, threshold=0.85, rows=7).collect()
+        assert len(rows) == len(texts)
+        assert {(r.doc_id, r.component_id) for r in rows} == {(5, 5), (6, 5), (7, 5), (8, 5), (3, 3), (9, 3), (10, 3), (17, 17), (18, 17), (20, 17), (top, top)}
+
+
 def test_sketch_fills_and_estimates():
     s = minhash.Sketcher(3, 336, 7)
     a = minhash.mix(np.arange(400, dtype=np.uint64))
