@@ -1,7 +1,7 @@
 """Token-id files compressed by a Re-Pair grammar.
 
 A block holds whole documents in ascending doc_id order. Frequent adjacent id pairs are replaced
-by nonterminals, round after round, until no pair is frequent enough or the rounds end; a
+by nonterminals, round after round, until no pair occurs twice in the block; a
 document's end id is part of its last symbol only, so no rule spans two documents. A block
 stores the symbols, the rules, the length to which each rule expands and, for each document,
 the place of its first symbol: one document is decoded without the others.
@@ -25,19 +25,20 @@ _SLOTS = 1 << 16
 BLOCK = "block_of int, block int, doc_ids array<bigint>, firsts array<int>, symbols binary, rules binary, lengths binary, n_tokens long"
 
 
-def compress(ids: np.ndarray, firsts: np.ndarray, terminals: int, rounds: int, least: int):
+def compress(ids: np.ndarray, firsts: np.ndarray, terminals: int, rounds: int | None, least: int):
     """(symbols, firsts, rules, lengths): rules[i] is what symbol terminals + i stands for.
 
     Each round counts all adjacent pairs, takes the most frequent ones (a pair whose slot in
     the round's hash table is taken waits for the next round) and replaces their occurrences
-    from left to right without overlap.
+    from left to right without overlap. Without a number of rounds it goes on until no pair
+    occurs least times.
     """
     s, firsts = ids.astype(np.uint64), firsts.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     n_rules = 0
     mult, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
-    for _ in range(rounds):
+    for _ in range(len(s) if rounds is None else rounds):  # each round shortens s
         if len(s) < 2:
             break
         keys = (s[:-1] << np.uint64(32)) | s[1:]
@@ -99,7 +100,7 @@ def decode(block: dict, k: int, terminals: int = 1 << 17) -> np.ndarray:
     return expand(symbols[firsts[k] : firsts[k + 1]], np.frombuffer(block["rules"], "<u4").reshape(-1, 2), terminals)
 
 
-def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int = 0, block_tokens: int = 1 << 20, rounds: int = 6, least: int = 48, terminals: int = 1 << 17) -> None:
+def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int = 0, block_tokens: int = 1 << 20, rounds: int | None = None, least: int = 2, terminals: int = 1 << 17) -> None:
     """Writes the id files of docs(doc_id, text), ascending by doc_id, in the folder path."""
     import pyarrow as pa
 

@@ -79,6 +79,19 @@ def test_id_files(spark, edges, empty, tmp_path):
     assert repair.digests(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_grammar_goes_on_until_no_pair_occurs_twice(spark, tmp_path):
+    random.seed(14)
+    copy = " ".join(str(random.randrange(10**6)) for _ in range(400))
+    texts = [(i, copy) for i in range(3)] + [(9, " ".join(random.choice(["one", "two", "three"]) for _ in range(300)))]
+    repair.write(frame(spark, texts).coalesce(1), str(tmp_path / "a"))
+    for b in spark.read.parquet(str(tmp_path / "a")).collect():
+        symbols, firsts = np.frombuffer(b.symbols, "<u4").tolist(), [*b.firsts, len(b.symbols) // 4]
+        pairs = [p for a, z in zip(firsts, firsts[1:]) for p in zip(symbols[a : z - 1], symbols[a + 1 : z])]
+        assert len(pairs) == len(set(pairs))
+    got = {r.doc_id: r.ids for r in repair.read(spark, str(tmp_path / "a")).collect()}
+    assert all(got[i] == libs().encode(x, add_special_tokens=False).ids + [0] for i, x in texts)
+
+
 def test_packing(spark, edges, empty):
     assert packing.packed(empty).count() == 0
     rows = packing.packed(edges, window=64, with_ids=True).collect()
