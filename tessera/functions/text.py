@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +12,50 @@ GENRES = ["rock", "pop", "jazz", "blues", "country", "folk", "hip hop", "hip-hop
 MOODS = ["chill", "relax", "relaxing", "calm", "mellow", "soothing", "sad", "melancholy", "melancholic", "happy", "joyful", "cheerful", "upbeat", "energetic", "energizing", "uplifting", "dark", "moody", "angry", "aggressive", "intense", "dramatic", "romantic", "love", "sexy", "sensual", "dreamy", "ethereal", "nostalgic", "epic"]
 INSTRUMENTS = ["guitar", "piano", "violin", "drums", "bass", "saxophone", "sax", "trumpet", "synth", "synthesizer", "vocals", "vocal", "acoustic", "electric", "cello", "flute", "harp", "harmonica", "banjo", "ukulele", "organ", "keyboard", "strings"]
 DECADES = {"forties": 1940, "fifties": 1950, "sixties": 1960, "seventies": 1970, "eighties": 1980, "nineties": 1990}
-FILLER = r"can you|could you|would you|please|i want|i'd like|i would like|i need|i'm looking for|i am looking for|something that(?:'s| is)|something|recommend(?:ation)?|suggest(?:ion)?|play(?: me)?|find me|show me|give me|how about|what about|i feel like(?: listening to)?|i(?:'m| am) in the mood for|do you have|do you know"
-POSITIVE = r"yes|yeah|yep|perfect|exactly|that'?s (?:it|exactly|right|perfect)|love (?:it|this)|great (?:choice|pick|selection)?|awesome|fantastic|excellent|found (?:it|what)|keep (?:going|them coming|it up)|more like (?:this|that)|that'?s the (?:one|song|track)|this is (?:perfect|it|exactly)|that is (?:perfect|it|exactly)"
-NEGATIVE = r"not (?:quite|really|this|that|it)|something (?:different|else|more|other)|try (?:something|another|a different)|rather (?:have|get|hear)|instead|don'?t (?:want|like|think)|that'?s not|not what i|too (?:slow|fast|heavy|light|pop|dark|upbeat|sad|old|new)|i was (?:thinking|hoping|looking for)|i'?m (?:looking for|hoping for|thinking more)"
-NEGATION = r"not what|not quite|not really|not exactly|doesn't|don't|didn't|isn't|wasn't|that's not|but i(?:'m| am)|but i want|but i(?:'d| would)|too much|too little|wrong|different|instead|rather|no[,.]|nope|not the|without|less|more of a|looking for something"
-FOLLOWUP = r"more like|more of|another|similar|same|again|keep|continue|along those lines|in that vein|that direction|like that|the same|one more|next|also|too"
-PIVOT = r"break away|branch out|move on|move away|get away from|move past|switch (?:it|things) up|change (?:it|things) up|mix (?:it|things) up|something (?:different|else|new)|different (?:artist|band|sound|style|direction|vibe|genre|phase)|new (?:\w+ ){0,3}(?:artist|band|artists|bands)|other (?:artist|artists|bands)|(?:discover|find|explore|hoping for|looking for)(?: a| an| some)? new|tired of|sick of|bored of|enough of|done with|move beyond|stop (?:giving|playing|recommending|with)|no more|not (?:this|that|what|really what|looking for more|interested)|away from|instead of|rather than|other than|besides|discover (?:new|other|different)|explore (?:new|other|different)"
+FILLER = (
+    r"can you|could you|would you|please|i want|i'd like|i would like|"
+    r"i need|i'm looking for|i am looking for|something that(?:'s| is)|something|"
+    r"recommend(?:ation)?|suggest(?:ion)?|play(?: me)?|find me|show me|give me|"
+    r"how about|what about|i feel like(?: listening to)?|i(?:'m| am) in the mood for|"
+    r"do you have|do you know"
+)
+POSITIVE = (
+    r"yes\b|yeah|yep|perfect|exactly|that'?s (it|exactly|right|perfect)|love (it|this)|"
+    r"great (choice|pick|selection)?|awesome|fantastic|excellent|found (it|what)|"
+    r"keep (going|them coming|it up)|more like (this|that)|that'?s the (one|song|track)|"
+    r"this is (perfect|it|exactly)|that is (perfect|it|exactly)"
+)
+NEGATIVE = (
+    r"not (quite|really|this|that|it)|something (different|else|more|other)|"
+    r"try (something|another|a different)|rather (have|get|hear)|instead|"
+    r"don'?t (want|like|think)|that'?s not|not what i|too (slow|fast|heavy|light|pop|dark|upbeat|sad|old|new)|"
+    r"i was (thinking|hoping|looking for)|i'?m (looking for|hoping for|thinking more)"
+)
+NEGATION = (
+    r"not what|not quite|not really|not exactly|doesn't|don't|didn't|"
+    r"isn't|wasn't|that's not|but i(?:'m| am)|but i want|but i(?:'d| would)|"
+    r"too much|too little|wrong|different|instead|rather|no[,.]|nope|"
+    r"not the|without|less|more of a|looking for something"
+)
+FOLLOWUP = (
+    r"more like|more of|another|similar|same|again|keep|continue|"
+    r"along those lines|in that vein|that direction|like that|"
+    r"the same|one more|next|also|too"
+)
+PIVOT = (
+    r"break away|branch out|move on|move away|get away from|move past|"
+    r"switch (it|things) up|change (it|things) up|mix (it|things) up|"
+    r"something (different|else|new)|different (artist|band|sound|style|direction|vibe|genre|phase)|"
+    r"new (\w+ ){0,3}(artist|band|artists|bands)|other (artist|artists|bands)|"
+    r"(discover|find|explore|hoping for|looking for)( a| an| some)? new\b|"
+    r"tired of|sick of|bored of|enough of|done with|move beyond|"
+    r"stop (giving|playing|recommending|with)|no more|"
+    r"not (this|that|what|really what|looking for more|interested)|"
+    r"(this|that)('| i)?s? (is)?\s?n[o']t (what|it|right|working)|"
+    r"isn'?t what i|don'?t want (more|another|any more)|"
+    r"away from|instead of|rather than|other than|besides|"
+    r"discover (new|other|different)|explore (new|other|different)"
+)
 LYRICS = ["lyrics", "meaning", "sing", "words", "sung", "singing"]
 SIMILAR = ["like this", "similar", "more like", "same vibe", "another one", "like that"]
 MOOD_WORDS = ["sad", "happy", "chill", "energetic", "calm", "party", "sleep", "study", "workout", "mellow", "upbeat", "melancholy", "romantic", "angry", "nostalgic", "dreamy", "relaxing", "soft", "hard", "loud", "quiet", "intense", "dark", "bright", "cheerful"]
@@ -29,11 +69,11 @@ KEY_L, KEY_R = "(^|[^a-z0-9])", "([^a-z0-9]|$)"
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
 def ascii_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def normal(text: Column) -> Column:
@@ -42,7 +82,8 @@ def normal(text: Column) -> Column:
 
 
 def mention_pattern(phrases: str) -> str:
-    return f"(?i){EDGE_L}({phrases}){EDGE_R}"
+    """Whole words, in any case; an edge takes no character, so phrases that follow one another are all found."""
+    return rf"(?i)\b({phrases})\b"
 
 
 def mentions(text: Column, phrases: str) -> Column:
@@ -51,7 +92,7 @@ def mentions(text: Column, phrases: str) -> Column:
 
 def without_filler(text: Column) -> Column:
     """Filler phrases out; a text that is nothing else stays."""
-    left = F.regexp_replace(text, f"(?i){EDGE_L}({FILLER}){EDGE_R}", " ")
+    left = F.regexp_replace(text, mention_pattern(FILLER), " ")
     left = F.trim(F.regexp_replace(left, r"\s+", " "))
     return F.coalesce(F.nullif(left, F.lit("")), text)
 
@@ -67,9 +108,12 @@ def keyword_pattern(word: str) -> str:
 def keyword_count(text: Column, keywords: list[str]) -> Column:
     """Different keywords found as whole words; matches may overlap."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    total = F.lit(0)
+    # words of letters and digits are parts between all other characters: the text is cut once for all of them
+    plain = [k for k in keywords if re.fullmatch("[a-z0-9]+", k)]
+    total = F.size(F.array_intersect(F.split(low, "[^a-z0-9]+"), F.array(*map(F.lit, plain)))) if plain else F.lit(0)
     for k in keywords:
-        total = total + low.rlike(keyword_pattern(k)).cast("int")
+        if k not in plain:
+            total = total + (low.contains(k) & low.rlike(keyword_pattern(k))).cast("int")
     return total
 
 

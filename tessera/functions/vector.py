@@ -1,4 +1,4 @@
-"""Vector arithmetic on array columns, in double precision and generated code."""
+"""Vector arithmetic on array columns, in double precision; lambdas over arrays are interpreted, element by element."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(1e-8)))
+    # the norm is an element of an array of one, so that it is computed once and not for each number
+    return F.element_at(F.transform(F.array(F.greatest(norm(a), F.lit(1e-8))), lambda n: F.transform(a, lambda x: x / n)), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -21,35 +21,102 @@ def index(docs: DataFrame, tokens=text.words) -> tuple[DataFrame, DataFrame]:
     return tf, words.select("item", F.size("w").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.5, b: float = 0.75, repeats: bool = False, tokens=text.words) -> DataFrame:
-    """query, item, score, rank of queries(query, text). Postings are cut to the queries' terms before anything is joined; repeats: a term counts as often as the query says it."""
-    tf, dl = index(docs, tokens)
+def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.5, b: float = 0.75, repeats: bool = False, tokens=text.words, exclude: DataFrame | None = None) -> DataFrame:
+    """query, item, score, rank of queries(query, text). Words are cut to the queries' terms before they are counted; repeats: a term counts as often as the query says it; exclude(query, item): no candidates."""
+    words = docs.select("item", tokens(F.col("text")).alias("w")).select("item", F.size("w").alias("dl"), "w")
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    tf = tf.join(asked.select("term").distinct(), "term", "left_semi")
-    stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    met = words.select("item", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = met.groupBy("term", "item").agg(F.count(F.lit(1)).alias("tf"), F.min("dl").alias("dl"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row of totals; a document's length joins the postings that are left
-    weight = tf.join(df, "term").join(dl, "item").crossJoin(F.broadcast(stats))
+    # one row of totals
+    weight = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = weight.select("term", "item", part.alias("part")).join(asked, "term").groupBy("query", "item").agg(F.sum(F.col("part") * (F.col("qtf") if repeats else F.lit(1))).alias("score"))
+    if exclude is not None:
+        scored = scored.join(exclude.select("query", "item"), ["query", "item"], "left_anti")
     return top_k(scored.withColumn("score", F.round("score", 9)), ["query"], k)
 
 
-def scores(queries: DataFrame, items: DataFrame, *, block: int = 256) -> DataFrame:
-    """query, item, score (dot product) of queries(query, q) and items(item, v): queries travel in blocks of bounded size, one equi-join for each."""
-    n = max(1, -(-queries.count() // block))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
-    rows = items.select("item", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    rows = rows.join(packed, "block").select("item", "v", F.explode("qs").alias("x"))
-    return rows.select(F.col("x.query").alias("query"), "item", vector.dot(F.col("x.q"), F.col("v")).alias("score"))
-
-
-def dense(queries: DataFrame, items: DataFrame, k: int, *, itself: bool = True) -> DataFrame:
-    found = scores(queries, items)
+def _blocks(rows: DataFrame, key: str, vector_col: str, size: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows in blocks of about so many for each cell, and how many blocks a cell has."""
+    n = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+    dealt = rows.join(n, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n")).cast("int"))
+    return dealt.groupBy("cell", "block").agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector_col).alias("v"), *more)).alias("rows")), n
+
+
+def _products(queries: DataFrame, items: DataFrame, k: int | None, size: int) -> DataFrame:
+    """cell, query, item, score of queries(cell, query, q, more) and items(cell, item, v): in each pair of blocks of a cell the k + more best of each query, all without k."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = queries.schema["cell"].dataType.simpleString()
+    left, n_left = _blocks(items.withColumn("cell", F.col("cell").cast(kind)), "item", "v", size)
+    right, n_right = _blocks(queries, "query", "q", size, "more")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.withColumnRenamed("block", "b").join(n_right.withColumnRenamed("n", "nr"), "cell").select("cell", "b", span("nr").alias("c"), F.col("rows").alias("items"))
+    right = right.withColumnRenamed("block", "c").join(n_left.withColumnRenamed("n", "nl"), "cell").select("cell", span("nl").alias("b"), "c", F.col("rows").alias("asked"))
+    both = left.join(right, ["cell", "b", "c"]).select("cell", "items", "asked")
+
+    def column(part, field):
+        return pa.concat_arrays([part]).field(field) if part.offset == 0 else part.take(pa.array(range(len(part)))).field(field)
+
+    def matrix(part):
+        v = column(part, 1)
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        return column(part, 0).to_numpy(zero_copy_only=False), flat.reshape(len(part), -1)
+
+    def best(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, v = matrix(batch.column(1)[i].values)
+                q_ids, w = matrix(batch.column(2)[i].values)
+                more = column(batch.column(2)[i].values, 2).to_numpy(zero_copy_only=False)
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], np.ascontiguousarray(v[order].T)
+                found = []
+                for a in range(0, len(q_ids), 256):
+                    for j, row in enumerate(np.round(w[a : a + 256] @ v, 9)):
+                        need = len(ids) if k is None else min(len(ids), k + int(more[a + j]))
+                        at = np.flatnonzero(row >= np.partition(row, len(row) - need)[len(row) - need])
+                        at = at[np.argsort(-row[at], kind="stable")][:need]  # ids ascend, so ties go to the smaller
+                        found.append((np.full(len(at), q_ids[a + j]), ids[at], row[at]))
+                cols = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                cell = pa.array([batch.column(0)[i].as_py()] * len(cols[0]), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([cell, *cols], names=["cell", "query", "item", "score"])
+
+    return both.mapInArrow(best, f"cell {kind}, query long, item long, score double")
+
+
+def scores(queries: DataFrame, items: DataFrame, *, size: int = 4096) -> DataFrame:
+    """query, item, score (dot product, 9 digits) of all of queries(query, q) and items(item, v)."""
+    q = queries.select("query", "q", F.lit(0).alias("cell"), F.lit(0).alias("more"))
+    return _products(q, items.select("item", "v", F.lit(0).alias("cell")), None, size).drop("cell")
+
+
+def dense(queries: DataFrame, items: DataFrame, k: int, *, itself: bool = True, exclude: DataFrame | None = None, cells: bool = False, size: int = 4096) -> DataFrame:
+    """query, item, score (dot product, 9 digits), rank of queries(query, q) and items(item, v).
+
+    Both sides are cut into blocks of bounded size; a task multiplies a block of queries by a
+    block of items and hands on the best of each query only, so no row is made for a pair.
+    exclude(query, item): no candidates; so many more are taken of a block. cells: both sides
+    have a column cell, and only equal ones meet; ranks are then within query and cell.
+    """
+    q, x = queries, items
+    if not cells:
+        q, x = q.withColumn("cell", F.lit(0)), x.withColumn("cell", F.lit(0))
+    more = F.lit(0 if itself else 1)
+    if exclude is not None:
+        q = q.join(exclude.groupBy("query").agg(F.count(F.lit(1)).alias("_n")), "query", "left")
+        more = more + F.coalesce("_n", F.lit(0))
+    got = _products(q.select("query", "q", "cell", more.cast("int").alias("more")), x.select("item", "v", "cell"), k, size)
     if not itself:
-        found = found.where(F.col("query") != F.col("item"))
-    return top_k(found.withColumn("score", F.round("score", 9)), ["query"], k)
+        got = got.where(F.col("query") != F.col("item"))
+    if exclude is not None:
+        got = got.join(exclude.select("query", "item"), ["query", "item"], "left_anti")
+    found = top_k(got, ["query", "cell"] if cells else ["query"], k)
+    return found if cells else found.drop("cell")
 
 
 def mean_vectors(rows: DataFrame, by: list[str], dims: int) -> DataFrame:

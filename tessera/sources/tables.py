@@ -41,8 +41,10 @@ def merged_shards(shards: list[DataFrame], group: list[str]) -> DataFrame:
     out = shards[0]
     for s in shards[1:]:
         out = out.unionByName(s)
-    ids = out.select(*group).distinct()
-    return out.join(ids.withColumn("group_id", (F.row_number().over(Window.orderBy(*group)) - 1).cast("long")), group)
+    from tessera.operators.ordering import numbered
+
+    ids = numbered(out.select(*group).distinct(), *group, name="group_id")
+    return out.join(ids.withColumn("group_id", F.col("group_id") - 1), group)
 
 
 def last_wins(splits: list[DataFrame], key: str) -> DataFrame:
