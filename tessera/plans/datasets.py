@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ranking, vector
 from tessera.operators import codebook, cooccur, metrics, retrieval
 from tessera.plans.base import CAT, EPLAYS, PLAYS, PRED, TURNS, VECS, query
-from tessera.plans.joins import predictions
+from tessera.plans.joins import CENT,  predictions
 from tessera.plans.windows import LIST, lists
 from tessera.sources import tables as t
 from tessera.streaming import sessions
@@ -52,16 +52,6 @@ def j7(spark, d):
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-@query("j9_contrastive_pairs", "SELECT a.session, a.item AS positive, n.item AS negative FROM (SELECT session, item, pos FROM plays WHERE label = 'MOVES' QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) = 1) a JOIN (SELECT session, item, row_number() OVER (PARTITION BY session ORDER BY min(pos)) AS r FROM plays p WHERE label = 'DOES_NOT' AND NOT EXISTS (SELECT 1 FROM plays m WHERE m.session = p.session AND m.item = p.item AND m.label = 'MOVES') GROUP BY 1, 2) n ON n.session = a.session AND r <= 4", PLAYS)
-def j9(spark, d):
-    p = t.plays(spark, d)
-    liked = p.where("label = 'MOVES'")
-    last = liked.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos")))).where("n = 1").select("session", F.col("item").alias("positive"))
-    bad = p.where("label = 'DOES_NOT'").join(liked.select("session", "item").distinct(), ["session", "item"], "left_anti").groupBy("session", F.col("item").alias("negative")).agg(F.min("pos").alias("pos"))
-    bad = bad.withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy("pos"))).where("r <= 4")
-    return last.join(bad, "session").select("session", "positive", "negative")
-
-
 @query("j10_cold_pairs", "SELECT item, CASE WHEN item % 2 = 0 THEN name ELSE artist END AS a, CASE WHEN item % 2 = 0 THEN artist ELSE name END AS b FROM cat WHERE item NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)", CAT)
 def j10(spark, d):
     cold = t.catalog(spark, d).join(t.table(spark, d, "lineitem").where("l_quantity > 20").select(F.col("l_partkey").alias("item")), "item", "left_anti")
@@ -69,14 +59,6 @@ def j10(spark, d):
     return cold.select("item", F.when(even, F.col("name")).otherwise(F.col("artist")).alias("a"), F.when(even, F.col("artist")).otherwise(F.col("name")).alias("b"))
 
 
-@query("j11_listwise_groups", "SELECT query, item, (rank = 1)::INT AS label FROM lst QUALIFY row_number() OVER (PARTITION BY query ORDER BY (rank = 1) DESC, sha256(query || '/' || item), item) <= 8", PRED, CAT, LIST)
-def j11(spark, d):
-    key = F.sha2(F.concat_ws("/", F.col("query").cast("string"), F.col("item").cast("string")), 256)
-    first = (F.col("rank") == 1).cast("int")
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(first), key, "item"))
-    return lists(spark, d).withColumn("n", n).where("n <= 8").select("query", "item", first.alias("label"))
-
-
 @query("j12_instruction_rows", "SELECT item, 'code' AS kind, name AS prompt, CAST(item % 64 AS VARCHAR) AS reply FROM cat UNION ALL SELECT item, 'text', CAST(item % 64 AS VARCHAR), name FROM cat, range(1, 4)", CAT)
 def j12(spark, d):
     c = t.catalog(spark, d)
@@ -93,12 +75,6 @@ def j13(spark, d):
     return c.withColumn("n", n).where("n <= 20").select("item", "code")
 
 
-@query("j14_preference_pairs", "SELECT query, max(item) FILTER (WHERE rank = 1) AS chosen, max(item) FILTER (WHERE rank = 5) AS rejected FROM pred GROUP BY 1 HAVING count(*) >= 5", PRED)
-def j14(spark, d):
-    p = predictions(spark, d)
-    return p.groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("item"))).alias("chosen"), F.max(F.when(F.col("rank") == 5, F.col("item"))).alias("rejected"), F.count(F.lit(1)).alias("n")).where("n >= 5").drop("n")
-
-
 def _ranker(spark, d, trees, depth):
     cols = ["popularity", "signal", "size"]
     rows = lists(spark, d).select("query", "item", (F.col("rank") == 1).cast("double").alias("label"), "popularity", ranking.rank_signal(F.col("rank") - 1).alias("signal"), F.col("size").cast("double").alias("size"), (F.col("query") % 2).cast("int").alias("fold"))
@@ -130,12 +106,6 @@ def j19(spark, d):
     return t.catalog(spark, d).groupBy("artist").agg(F.array_join(F.array_sort(F.collect_set("size")).cast("array<string>"), ",").alias("fine"))
 
 
-@query("l1_windowed_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def l1(spark, d):
-    """Event counts by ten-minute windows under a watermark, as a stream that ends; summed by type."""
-    return sessions.windowed(spark, d).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
-
-
 @query("l2_session_state", "SELECT session, count(*) AS plays, count(DISTINCT item) AS kinds FROM eplays GROUP BY 1", EPLAYS)
 def l2(spark, d):
     return sessions.running_state(spark, d)
@@ -163,16 +133,6 @@ def m5(spark, d):
     return metrics.distinct_2(t.turns(spark, d))
 
 
-@query("a7_codebook_tables", "SELECT item, item % 8 AS l0, item % 64 AS l1 FROM vecs", VECS)
-def a7(spark, d):
-    """A codebook is two tables, codes and centroids, written and read by name."""
-    from tessera.plans.scans import _temp
-
-    at = _temp(spark)
-    t.vectors(spark, d).select("item", (F.col("item") % 8).alias("l0"), (F.col("item") % 64).alias("l1")).write.parquet(f"{at}/codes")
-    return spark.read.schema("item long, l0 long, l1 long").parquet(f"{at}/codes")
-
-
 @query("i16_network_scoring")
 def i16(spark, d):
     """Standardised columns into a small network; the probability of the first class is the score."""
@@ -191,3 +151,23 @@ def i16(spark, d):
 @query("m6_generator_rows", "SELECT item, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS at FROM cat", CAT)
 def m6(spark, d):
     return t.catalog(spark, d).select("item", F.posexplode("tags").alias("at", "tag")).select("item", "tag", F.col("at").cast("long").alias("at"))
+
+
+@query("a7_codebook_tables", "SELECT item, vecs.l0, round(c[1], 6) AS first, round(c[64], 6) AS last FROM vecs JOIN cent USING (l0)", VECS, CENT)
+def a7(spark, d):
+    """A codebook is two tables, codes and centroids, written and read by name."""
+    from tessera.plans.scans import _temp
+
+    at, v = _temp(spark), t.vectors(spark, d)
+    mean = F.array(*[F.avg(F.element_at("v", i + 1)) for i in range(64)])
+    v.select("item", "l0").write.parquet(f"{at}/codes")
+    v.groupBy("l0").agg(mean.alias("c")).write.parquet(f"{at}/centroids")
+    codes, centres = spark.read.schema("item long, l0 int").parquet(f"{at}/codes"), spark.read.schema("l0 int, c array<double>").parquet(f"{at}/centroids")
+    return codes.join(centres, "l0").select("item", "l0", F.round(F.element_at("c", 1), 6).alias("first"), F.round(F.element_at("c", 64), 6).alias("last"))
+
+
+@query("l1_windowed_stream", "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def l1(spark, d):
+    """Event counts and sums by ten-minute window and type, from the stream alone."""
+    rows = sessions.windowed(spark, d)
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

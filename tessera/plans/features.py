@@ -1,9 +1,10 @@
-"""The 70-column feature matrix (K, I28), interaction columns (H28) and the checks of both.
+"""The 70-column feature matrix (K, I28), interaction columns (H28) and the checks of both (J20).
 
-A row is a candidate of a prediction turn. Turns are the sessions' last plays; candidates the
-60 items a session played most. Signals come from the tables' stand-ins: vectors by
-``item % number of vectors``, feedback by the return flag, text features by the part's name.
-Columns keep the fixed order that trained models read by position.
+A row is a candidate of a turn's pool (see ``pooling``). A part's album is its brand and type, its
+tags are the words of its name, its type and one genre word, its year 1970 plus its size; a leaf
+code is its label and its number modulo 8. A turn's latest message is one of the hand-made texts
+and names the last item, in a third of the turns its artist too. Columns keep the fixed order that trained models read by
+position.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ranking, text, vector
-from tessera.operators import cooccur
-from tessera.plans.base import CAT, PLAYS, PRED, query
-from tessera.plans.joins import gold, predictions
-from tessera.plans.windows import LIST
+from tessera.functions import ranking, text
+from tessera.operators import pool
+from tessera.plans.base import query
+from tessera.plans.joins import gold
+from tessera.plans.pooling import POOL, SIGNALS, WEIGHTS, WORLD, World
+from tessera.plans.scalars import FIXTURES, _era_sql, _list, hit, sql_text
 from tessera.sources import tables as t
+from tessera.sources.staging import kept
 
 #: fixed values: the columns in their order
 COLUMNS = ["tt_cos", "qm_cos", "ql_cos", "clap_cos", "cf_cos", "bm25_signal", "tt_rank_sig", "artist_sig", "nn_sig", "bm25_origin", "artist_origin", "tt_origin", "pool_size", "qm_origin", "qm_rank_sig", "nn_source_count", "mean_nn_origin", "mean_nn_rank_sig", "dist_to_last", "dist_to_recent_mean", "collab_origin", "collab_rank_sig", "collab_score", "collab_source_count", "popularity", "track_year", "n_sources", "turn_number", "history_len", "popularity_pctile", "years_since_release", "tag_overlap_count", "query_len_tokens", "cf_dist_to_last", "cf_dist_to_recent_mean", "goal_category", "user_has_negation", "user_has_followup", "query_track_tag_sim", "n_sources_norm", "log1p_n_sources", "bm25_top1", "sim_to_pos_hist_mean", "sim_to_neg_hist_mean", "artist_in_rejected_set", "n_rejected_in_history", "within_artist_trans_rank", "within_artist_pop_rank", "turns_toward_goal", "consecutive_rejections_tail", "same_album_as_last_history", "n_same_album_in_history", "album_in_recent_window", "q_has_era", "q_era_year", "q_genre_count", "q_mood_count", "q_instrument_count", "cand_genre_match", "cand_era_match", "cand_sem_l0_match_last", "cand_sem_leaf_match_last", "cand_sem_l0_match_count", "cand_sem_l0_match_moves", "from_sem_bucket", "sem_bucket_l0_rank", "sem_bucket_l0_score", "from_sem_centroid", "sem_centroid_l0_rank", "sem_centroid_l0_score"]
@@ -24,90 +27,269 @@ COLUMNS = ["tt_cos", "qm_cos", "ql_cos", "clap_cos", "cf_cos", "bm25_signal", "t
 PRODUCTS = [("tt_cos", "bm25_signal", "tt_x_bm25"), ("tt_rank_sig", "bm25_origin", "ttrank_x_bm25orig"), ("tt_cos", "tt_rank_sig", "tt_x_ttrank"), ("qm_cos", "bm25_signal", "qm_x_bm25"), ("artist_sig", "artist_origin", "artist_x_orig"), ("nn_sig", "tt_cos", "nn_x_tt"), ("collab_rank_sig", "collab_score", "collab_rank_x_score"), ("popularity", "tt_cos", "pop_x_tt"), ("popularity", "bm25_signal", "pop_x_bm25"), ("tag_overlap_count", "bm25_signal", "tagoverlap_x_bm25"), ("tag_overlap_count", "tt_cos", "tagoverlap_x_tt"), ("cf_dist_to_last", "cf_cos", "cfdist_x_cfcos"), ("n_sources", "tt_cos", "nsrc_x_tt"), ("popularity_pctile", "tt_cos", "poppctile_x_tt")]
 
 
+GENRE = [g for g in text.GENRES if g.isalpha()]
+
+
+def facts(spark, d) -> DataFrame:
+    """item, artist, album, tags, popularity, year, pctile of the parts."""
+    p = t.table(spark, d, "part")
+    genre = F.element_at(F.array(*map(F.lit, GENRE)), (F.col("p_partkey") % len(GENRE) + 1).cast("int"))
+    tags = F.concat(F.split("p_name", " "), F.array(F.lower("p_type"), genre))
+    c = p.select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name"), F.col("p_brand").alias("artist"), F.concat_ws("/", "p_brand", "p_type").alias("album"), tags.alias("tags"), F.col("p_retailprice").alias("popularity"), (F.col("p_size") + 1970).alias("year"))
+    # the share of cheaper items: counts of prices, so that no task orders all items
+    prices = c.groupBy("popularity").agg(F.count(F.lit(1)).alias("m"))
+    ranged = prices.repartitionByRange("popularity").withColumn("part", F.spark_partition_id())
+    ranged = kept(ranged)  # the ranges are drawn once
+    before = ranged.groupBy("part").agg(F.sum("m").alias("n")).withColumn("ahead", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # a row for each range
+    inside = F.sum("m").over(Window.partitionBy("part").orderBy("popularity")) - F.col("m")
+    places = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("popularity", (F.col("ahead") + F.col("inside")).alias("cheaper"))
+    total = c.agg(F.count(F.lit(1)).alias("n_items"))
+    c = c.join(places, "popularity").crossJoin(F.broadcast(total))
+    place = F.col("cheaper") + F.row_number().over(Window.partitionBy("popularity").orderBy("item")) - 1
+    return c.withColumn("pctile", place / F.greatest(F.col("n_items") - 1, F.lit(1))).drop("cheaper", "n_items")
+
+
+def messages(h: DataFrame, items: DataFrame) -> DataFrame:
+    """query, said: the turn's latest message."""
+    choice = F.element_at(F.array(*map(F.lit, FIXTURES)), (F.floor(F.col("query") / 20) % len(FIXTURES) + 1).cast("int"))
+    return h.where("back = 1").join(items.select("item", "name", "artist"), "item").select("query", F.concat(choice, F.lit(" "), "name", F.when(F.floor(F.col("query") / 20) % 3 == 0, F.concat(F.lit(" by "), "artist")).otherwise("")).alias("said"))
+
+
+def found_words(column, words: list[str]):
+    """The words of a list that occur in a text."""
+    low = F.lower(column)
+    return F.array_compact(F.array(*[F.when(low.contains(w) & low.rlike(text.keyword_pattern(w)), F.lit(w)) for w in words]))
+
+
+def turns(w: World, items: DataFrame) -> DataFrame:
+    """One row for each turn: counts of its history and what its texts hold."""
+    h = w.h.join(items.select("item", "artist", "album"), "item").join(w.items.select("item", "l0"), "item")
+    moves, no = F.col("label") == "MOVES", F.coalesce(F.col("label") == "DOES_NOT", F.lit(False))
+    last = lambda c: F.max(F.when(F.col("back") == 1, F.col(c))).alias(f"last_{c}")
+    n = F.count(F.lit(1))
+    out = h.groupBy("query").agg(n.alias("history_len"), F.count(F.when(moves, 1)).alias("n_moves"), F.count(F.when(no, 1)).alias("n_no"), (F.coalesce(F.min(F.when(~no, F.col("back"))), n + 1) - 1).alias("tail"), last("album"), last("l0"), last("item"))
+    customers = t.table(w.spark, w.d, "customer").select(F.col("c_custkey").alias("query"), "c_mktsegment")
+    segments = customers.select("c_mktsegment").distinct().withColumn("goal", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)  # a few rows
+    out = out.join(customers.join(F.broadcast(segments), "c_mktsegment").select("query", "goal"), "query")
+    from tessera.plans.pooling import asked
+
+    words = lambda c: F.array_distinct(text.ascii_words(F.col(c)))
+    out = out.join(asked(w.h, w.spark, w.d).withColumnRenamed("text", "wanted"), "query").join(messages(w.h, items), "query")
+    out = out.withColumns({"wanted_words": words("wanted"), "said_words": words("said"), "n_words": F.size(text.ascii_words(F.col("said"))), "era": text.era(F.col("said")), "genres": found_words(F.col("said"), text.GENRES)})
+    return out.withColumns({"n_genres": F.size("genres"), "n_moods": text.keyword_count(F.col("said"), text.MOODS), "n_instruments": text.keyword_count(F.col("said"), text.INSTRUMENTS), "negation": text.mentions(F.col("said"), text.NEGATION), "followup": text.mentions(F.col("said"), text.FOLLOWUP)})
+
+
 def matrix(spark, d) -> DataFrame:
     """query, item, label and COLUMNS, all double."""
-    plays, cat = t.plays(spark, d), t.catalog(spark, d)
-    vecs = t.vectors(spark, d).select(F.col("item").alias("vid"), "v", "l0")
-    n_vecs = vecs.count()  # the vectors stand for items by remainder
-    by_item = cat.select("item", (F.col("item") % n_vecs).alias("vid")).join(vecs, "vid").select("item", "v", "l0")
-    n = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos")))
-    past = plays.withColumn("back", n).where("back > 1").withColumn("back", F.col("back") - 1).join(cat.select("item", "artist", "name", "size"), "item").join(by_item, "item")
-    mean = lambda c, name: F.array(*[F.avg(F.when(c, F.element_at("v", i + 1))) for i in range(64)]).alias(name)
-    one = lambda col, name: F.max_by(F.when(F.col("back") == 1, F.col(col)), F.when(F.col("back") == 1, F.lit(1))).alias(name)
-    moves, no = F.col("label") == "MOVES", F.col("label") == "DOES_NOT"
-    turns = past.groupBy(F.col("session").alias("query")).agg(
-        F.count(F.lit(1)).alias("history_len"), F.count(F.when(moves, 1)).alias("turns_toward_goal"), F.count(F.when(no, 1)).alias("n_no"), (F.coalesce(F.min(F.when(F.coalesce(~no, F.lit(True)), F.col("back"))), F.count(F.lit(1)) + 1) - 1).alias("consecutive_rejections_tail"),
-        mean(F.col("back") == 1, "last_v"), mean(F.col("back") <= 4, "recent_v"), mean(moves, "liked_v"), mean(no, "no_v"), one("l0", "last_l0"), one("artist", "last_artist"), one("item", "last_item"), one("name", "last_name"),
-        F.collect_set(F.when(no, F.lower("artist"))).alias("no_artists"), F.collect_set(F.when(F.col("back") <= 3, F.col("artist"))).alias("recent_artists"))
-    turns = turns.withColumn("q_text", F.col("last_name")).withColumn("q_era", text.era(F.col("q_text")))
-    artist_of = past.groupBy(F.col("session").alias("query"), "artist").agg(F.count(F.lit(1)).alias("n_artist"), F.min("back").alias("artist_back"))
-    l0_of = past.groupBy(F.col("session").alias("query"), "l0").agg(F.count(F.lit(1)).alias("n_l0"), F.count(F.when(moves, 1)).alias("n_l0_moves"))
-    hist = past.select(F.col("session").alias("turn"), "item", "back")
-    near = cooccur.neighbours(plays, top=50)
-    collab = hist.where("back <= 3").join(near, F.col("item") == F.col("src")).groupBy(F.col("turn").alias("query"), F.col("dst").alias("item")).agg(F.min("rank").alias("collab_rank"), F.max("w").alias("collab_w"), F.count(F.lit(1)).alias("collab_n"))
-
-    cat = cat.withColumn("pop_pct", F.percent_rank().over(Window.partitionBy("artist").orderBy("popularity")))
-    total = cat.agg(F.count(F.lit(1)).alias("n_cat"))
-    # ties take different places: the count of cheaper items plus the place among equals
-    prices = cat.groupBy("popularity").agg(F.count(F.lit(1)).alias("m")).withColumn("ahead", F.sum("m").over(Window.orderBy("popularity")) - F.col("m"))
-    cat = cat.join(prices, "popularity").withColumn("place", F.col("ahead") + F.row_number().over(Window.partitionBy("popularity").orderBy("item")) - 1).crossJoin(F.broadcast(total))
-    rows = predictions(spark, d, 60).join(cat, "item").join(by_item, "item", "left").join(turns, "query").join(artist_of, ["query", "artist"], "left").join(l0_of, ["query", "l0"], "left").join(collab, ["query", "item"], "left")
-    rows = rows.join(gold(spark, d).select("query", "gold"), "query")
-    over = Window.partitionBy("query")
-    cos = lambda c: F.coalesce(vector.cosine(F.col("v"), F.col(c)), F.lit(0.0))
+    w = World(spark, d)
+    items = facts(spark, d)
+    h = w.h.join(items.select("item", "artist", "album"), "item").join(w.items.select("item", "l0"), "item")
+    albums = h.groupBy("query", "album").agg(F.count(F.lit(1)).alias("n_album"), F.min("back").alias("album_back"))
+    rejected = h.where("label = 'DOES_NOT'").select("query", "artist", F.lit(1).alias("artist_no")).distinct()
+    buckets = h.groupBy("query", "l0").agg(F.count(F.lit(1)).alias("n_l0"), F.count(F.when(F.col("label") == "MOVES", 1)).alias("n_l0_moves"))
+    rows = w.signals().join(items, "item").join(turns(w, items), "query").join(albums, ["query", "album"], "left").join(rejected, ["query", "artist"], "left").join(buckets, ["query", "l0"], "left").join(gold(spark, d).select("query", "gold", "turn"), "query")
     num = lambda c: F.coalesce(F.col(c), F.lit(0))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    words = F.split(F.lower("q_text"), "[^a-z0-9]+")
-    overlap = F.size(F.filter("tags", lambda x: F.array_contains(words, F.lower(x))))
-    year = F.lit(1970) + F.col("size")
-    n_src = 1 + flag(F.col("artist_back").isNotNull()) + flag(F.col("collab_rank").isNotNull())
-    values = {
-        "tt_cos": cos("last_v"), "qm_cos": cos("recent_v"), "ql_cos": F.lit(0.0), "clap_cos": cos("liked_v"), "cf_cos": cos("no_v"), "bm25_signal": F.lit(1.0) / F.col("rank"), "tt_rank_sig": ranking.rank_signal(F.col("rank") - 1), "artist_sig": ranking.rank_signal(F.col("artist_back") - 1), "nn_sig": ranking.rank_signal(F.col("collab_rank") - 1),
-        "bm25_origin": F.lit(1), "artist_origin": flag(F.col("artist_back").isNotNull()), "tt_origin": flag(F.col("rank") <= 20), "pool_size": F.count(F.lit(1)).over(over), "qm_origin": flag(F.col("rank") <= 10), "qm_rank_sig": F.when(F.col("rank") <= 10, ranking.rank_signal(F.col("rank") - 1)).otherwise(0), "nn_source_count": num("collab_n"), "mean_nn_origin": flag(F.col("collab_n") > 1), "mean_nn_rank_sig": F.when(F.col("collab_n") > 1, ranking.rank_signal(F.col("collab_rank") - 1)).otherwise(0),
-        "dist_to_last": cos("last_v"), "dist_to_recent_mean": cos("recent_v"), "collab_origin": flag(F.col("collab_rank").isNotNull()), "collab_rank_sig": ranking.rank_signal(F.col("collab_rank") - 1), "collab_score": num("collab_w"), "collab_source_count": num("collab_n"), "popularity": F.col("popularity"), "track_year": year, "n_sources": n_src, "turn_number": F.col("history_len") + 1, "history_len": F.col("history_len"), "popularity_pctile": F.col("place") / F.greatest(F.col("n_cat") - 1, F.lit(1)), "years_since_release": 2026 - year,
-        "tag_overlap_count": overlap, "query_len_tokens": F.size(words), "cf_dist_to_last": cos("last_v"), "cf_dist_to_recent_mean": cos("recent_v"), "goal_category": F.col("query") % 4, "user_has_negation": text.mentions(F.col("q_text"), text.NEGATION).cast("int"), "user_has_followup": text.mentions(F.col("q_text"), text.FOLLOWUP).cast("int"), "query_track_tag_sim": overlap / F.greatest(F.size("tags"), F.lit(1)), "n_sources_norm": n_src / (2 + F.col("history_len")), "log1p_n_sources": F.log1p(n_src), "bm25_top1": flag(F.col("rank") == 1),
-        "sim_to_pos_hist_mean": cos("liked_v"), "sim_to_neg_hist_mean": cos("no_v"), "artist_in_rejected_set": flag(F.array_contains("no_artists", F.lower("artist"))), "n_rejected_in_history": ranking.clipped(F.col("n_no")), "within_artist_trans_rank": F.when(F.max("collab_w").over(Window.partitionBy("query", "artist")).isNull(), 0.0).otherwise(F.percent_rank().over(Window.partitionBy("query", "artist").orderBy(num("collab_w")))), "within_artist_pop_rank": F.col("pop_pct"), "turns_toward_goal": F.col("turns_toward_goal"), "consecutive_rejections_tail": F.col("consecutive_rejections_tail"),
-        "same_album_as_last_history": flag(F.col("artist") == F.col("last_artist")), "n_same_album_in_history": ranking.clipped(num("n_artist")), "album_in_recent_window": flag(F.array_contains("recent_artists", F.col("artist"))), "q_has_era": flag(F.col("q_era.found")), "q_era_year": F.col("q_era.centre"), "q_genre_count": text.keyword_count(F.col("q_text"), text.GENRES), "q_mood_count": text.keyword_count(F.col("q_text"), text.MOODS), "q_instrument_count": text.keyword_count(F.col("q_text"), text.INSTRUMENTS),
-        "cand_genre_match": F.size(F.array_intersect(F.array_intersect(words, F.array(*map(F.lit, text.GENRES))), F.col("tags"))), "cand_era_match": flag(year.between(F.col("q_era.lo"), F.col("q_era.hi"))), "cand_sem_l0_match_last": flag(F.col("l0") == F.col("last_l0")), "cand_sem_leaf_match_last": flag((F.col("l0") == F.col("last_l0")) & (F.col("item") % 64 == F.col("last_item") % 64)), "cand_sem_l0_match_count": ranking.clipped(num("n_l0")), "cand_sem_l0_match_moves": ranking.clipped(num("n_l0_moves")),
-        "from_sem_bucket": flag(F.col("n_l0") > 2), "sem_bucket_l0_rank": F.when(F.col("n_l0") > 2, F.col("l0") / 10).otherwise(0), "sem_bucket_l0_score": num("n_l0") / F.col("history_len"), "from_sem_centroid": flag(F.col("n_l0_moves") > 1), "sem_centroid_l0_rank": F.when(F.col("n_l0_moves") > 1, F.col("l0") / 10).otherwise(0), "sem_centroid_l0_score": num("n_l0_moves") / F.col("history_len"),
+    has = lambda name: F.array_contains(F.split("sources", ","), name).cast("int")
+    tags_in = lambda c: F.size(F.filter("tags", lambda x: F.array_contains(F.col(c), F.lower(x))))
+    cos = lambda role, space="tt": w.cosine(role, space)
+    by_artist = Window.partitionBy("query", "artist")
+    own = {
+        "artist_origin": has("artist"),
+        "tt_origin": has("tt"),
+        "pool_size": F.count(F.lit(1)).over(Window.partitionBy("query")),
+        "qm_origin": has("qm"),
+        "nn_source_count": num("nn_from"),
+        "mean_nn_origin": has("mean_nn"),
+        "dist_to_last": cos("last"),
+        "dist_to_recent_mean": cos("recent"),
+        "collab_origin": has("collab"),
+        "collab_score": num("collab_w"),
+        "collab_source_count": num("collab_from"),
+        "track_year": F.col("year"),
+        "turn_number": F.col("turn") + 1,
+        "popularity_pctile": F.col("pctile"),
+        "years_since_release": 2026 - F.col("year"),
+        "tag_overlap_count": tags_in("wanted_words"),
+        "query_len_tokens": F.col("n_words"),
+        "cf_dist_to_last": cos("last", "cf"),
+        "cf_dist_to_recent_mean": cos("recent", "cf"),
+        "goal_category": F.col("goal"),
+        "user_has_negation": F.col("negation").cast("int"),
+        "user_has_followup": F.col("followup").cast("int"),
+        "query_track_tag_sim": tags_in("said_words") / F.size("tags"),
+        "n_sources_norm": F.col("n_sources") / (F.col("turn") + 2),
+        "log1p_n_sources": F.log1p("n_sources"),
+        "bm25_top1": flag(F.col("bm25_rank") == 1),
+        "sim_to_pos_hist_mean": cos("liked"),
+        "sim_to_neg_hist_mean": cos("no"),
+        "artist_in_rejected_set": num("artist_no"),
+        "n_rejected_in_history": ranking.clipped(F.col("n_no")),
+        "within_artist_trans_rank": F.percent_rank().over(by_artist.orderBy(num("collab_w"))),
+        "within_artist_pop_rank": F.percent_rank().over(by_artist.orderBy("popularity")),
+        "turns_toward_goal": F.col("n_moves"),
+        "consecutive_rejections_tail": F.col("tail"),
+        "same_album_as_last_history": flag(F.col("album") == F.col("last_album")),
+        "n_same_album_in_history": ranking.clipped(num("n_album")),
+        "album_in_recent_window": flag(F.col("album_back") <= 3),
+        "q_has_era": F.col("era.found").cast("int"),
+        "q_era_year": F.col("era.centre"),
+        "q_genre_count": F.col("n_genres"),
+        "q_mood_count": F.col("n_moods"),
+        "q_instrument_count": F.col("n_instruments"),
+        "cand_genre_match": F.size(F.array_intersect("genres", F.transform("tags", F.lower))),
+        "cand_era_match": flag(F.col("year").between(F.col("era.lo"), F.col("era.hi"))),
+        "cand_sem_l0_match_last": flag(F.col("l0") == F.col("last_l0")),
+        "cand_sem_leaf_match_last": flag((F.col("l0") == F.col("last_l0")) & (F.col("item") % 8 == F.col("last_item") % 8)),
+        "cand_sem_l0_match_count": ranking.clipped(num("n_l0")),
+        "cand_sem_l0_match_moves": ranking.clipped(num("n_l0_moves")),
+        "from_sem_bucket": has("bucket"),
+        "sem_bucket_l0_rank": F.coalesce((F.col("bucket_l0_rank") - 1) / 3, F.lit(0.0)),
+        "sem_bucket_l0_score": num("bucket_l0_score"),
+        "from_sem_centroid": has("centroid"),
+        "sem_centroid_l0_rank": F.coalesce((F.col("centroid_l0_rank") - 1) / 3, F.lit(0.0)),
+        "sem_centroid_l0_score": num("centroid_l0_score"),
     }
-    return rows.select("query", "item", (F.col("item") == F.col("gold")).cast("int").alias("label"), *[values[c].cast("double").alias(c) for c in COLUMNS])
+    return rows.select("query", "item", flag(F.col("item") == F.col("gold")).alias("label"), *[own.get(c, F.col(c)).cast("double").alias(c) for c in COLUMNS])
 
 
 def with_products(features: DataFrame) -> DataFrame:
     return features.select("*", *[(F.col(a) * F.col(b)).alias(n) for a, b, n in PRODUCTS])
 
 
-@query("i28_feature_matrix")
+# ---- the same in SQL
+
+_SAID = "(SELECT [" + ", ".join(map(sql_text, FIXTURES)) + f"][CAST(floor(query / 20) AS BIGINT) % {len(FIXTURES)} + 1])"
+MESSAGES = f"said AS (SELECT query AS item, {_SAID} || ' ' || p_name || CASE WHEN CAST(floor(query / 20) AS BIGINT) % 3 = 0 THEN ' by ' || p_brand ELSE '' END AS text FROM hs JOIN part ON p_partkey = item WHERE back = 1)"
+
+
+def _count(words) -> str:
+    return " + ".join(f"regexp_matches(lower(text), {sql_text(text.keyword_pattern(w))})::INT" for w in words)
+
+
+def _words(x: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda e: e <> ''))"
+
+
+FEATURES = f"""fct AS (SELECT p_partkey AS item, p_name AS name, p_brand AS artist, p_brand || '/' || p_type AS album, list_concat(string_split(p_name, ' '), [lower(p_type), {_list(GENRE)}[p_partkey % {len(GENRE)} + 1]]) AS tags, p_retailprice AS popularity, p_size + 1970 AS year,
+    (row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1) / greatest(count(*) OVER () - 1, 1) AS pctile FROM part),
+{MESSAGES},
+erax AS ({_era_sql()}),
+hx AS (SELECT hs.*, artist, album, l0 FROM hs JOIN fct USING (item) JOIN iv USING (item)),
+tn AS (SELECT query, count(*) AS history_len, count(*) FILTER (WHERE label = 'MOVES') AS n_moves, count(*) FILTER (WHERE label = 'DOES_NOT') AS n_no, coalesce(min(back) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT'), count(*) + 1) - 1 AS tail,
+    max(album) FILTER (WHERE back = 1) AS last_album, max(l0) FILTER (WHERE back = 1) AS last_l0, max(item) FILTER (WHERE back = 1) AS last_item FROM hx GROUP BY 1),
+tx AS (SELECT tn.*, (SELECT count(DISTINCT x.c_mktsegment) FROM customer x WHERE x.c_mktsegment < c.c_mktsegment) AS goal, erax.found, erax.centre, erax.lo, erax.hi, {_words('asked.text')} AS wanted_words, {_words('said.text')} AS said_words,
+    len(list_filter(string_split_regex(lower(said.text), '[^a-z0-9]+'), lambda e: e <> '')) AS n_words, g.*
+    FROM tn JOIN customer c ON c_custkey = query JOIN asked USING (query) JOIN said ON said.item = query JOIN erax ON erax.item = query
+    JOIN (SELECT item AS g_query, {_count(text.GENRES)} AS n_genres, {_count(text.MOODS)} AS n_moods, {_count(text.INSTRUMENTS)} AS n_instruments, {hit(text.NEGATION)}::INT AS negation, {hit(text.FOLLOWUP)}::INT AS followup,
+      list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(text), {sql_text(text.keyword_pattern(w))}) THEN {sql_text(w)} END" for w in text.GENRES)}], lambda e: e IS NOT NULL) AS genres FROM said) g ON g_query = query),
+al AS (SELECT query, album, count(*) AS n_album, min(back) AS album_back FROM hx GROUP BY 1, 2),
+rj AS (SELECT DISTINCT query, artist, 1 AS artist_no FROM hx WHERE label = 'DOES_NOT'),
+bk AS (SELECT query, l0, count(*) AS n_l0, count(*) FILTER (WHERE label = 'MOVES') AS n_l0_moves FROM hx GROUP BY 1, 2),
+gd AS (SELECT session AS query, session % 7 AS turn, item AS gold FROM plays QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) = 1),
+rows AS (SELECT * FROM sig JOIN fct USING (item) JOIN tx USING (query) LEFT JOIN al USING (query, album) LEFT JOIN rj USING (query, artist) LEFT JOIN bk USING (query, l0) JOIN gd USING (query))"""
+
+
+def _has(name: str) -> str:
+    return f"list_contains(string_split(sources, ','), '{name}')::INT"
+
+
+def _cos(x: str, mean: str) -> str:
+    return f"round(coalesce(list_dot_product({x}, {mean}), 0), 9)"
+
+
+def _tags(words: str) -> str:
+    return f"len(list_filter(tags, lambda e: list_contains({words}, lower(e))))"
+
+
+#: what a column is in SQL, where it isn't a signal's or the catalog's name
+IN_SQL = {
+    "artist_origin": _has("artist"), "tt_origin": _has("tt"), "pool_size": "count(*) OVER (PARTITION BY query)", "qm_origin": _has("qm"), "nn_source_count": "coalesce(nn_from, 0)", "mean_nn_origin": _has("mean_nn"),
+    "dist_to_last": _cos("v_tt", "u_last"), "dist_to_recent_mean": _cos("v_tt", "u_recent"), "collab_origin": _has("collab"), "collab_score": "coalesce(collab_w, 0)", "collab_source_count": "coalesce(collab_from, 0)", "track_year": "year",
+    "turn_number": "turn + 1", "popularity_pctile": "pctile", "years_since_release": "2026 - year", "tag_overlap_count": _tags("wanted_words"), "query_len_tokens": "n_words", "cf_dist_to_last": _cos("v_cf", "c_last"), "cf_dist_to_recent_mean": _cos("v_cf", "c_recent"),
+    "goal_category": "goal", "user_has_negation": "negation", "user_has_followup": "followup", "query_track_tag_sim": f"{_tags('said_words')} / len(tags)", "n_sources_norm": "n_sources / (turn + 2)", "log1p_n_sources": "ln(1 + n_sources)", "bm25_top1": "coalesce((bm25_rank = 1)::INT, 0)",
+    "sim_to_pos_hist_mean": _cos("v_tt", "u_liked"), "sim_to_neg_hist_mean": _cos("v_tt", "u_no"), "artist_in_rejected_set": "coalesce(artist_no, 0)", "n_rejected_in_history": "least(n_no, 10) / 10",
+    "within_artist_trans_rank": "percent_rank() OVER (PARTITION BY query, artist ORDER BY coalesce(collab_w, 0))", "within_artist_pop_rank": "percent_rank() OVER (PARTITION BY query, artist ORDER BY popularity)", "turns_toward_goal": "n_moves", "consecutive_rejections_tail": "tail",
+    "same_album_as_last_history": "(album = last_album)::INT", "n_same_album_in_history": "least(coalesce(n_album, 0), 10) / 10", "album_in_recent_window": "coalesce((album_back <= 3)::INT, 0)", "q_has_era": "found::INT", "q_era_year": "centre", "q_genre_count": "n_genres", "q_mood_count": "n_moods", "q_instrument_count": "n_instruments",
+    "cand_genre_match": "len(list_distinct(list_intersect(genres, list_transform(tags, lambda e: lower(e)))))", "cand_era_match": "coalesce((year BETWEEN lo AND hi)::INT, 0)", "cand_sem_l0_match_last": "(l0 = last_l0)::INT", "cand_sem_leaf_match_last": "(l0 = last_l0 AND item % 8 = last_item % 8)::INT",
+    "cand_sem_l0_match_count": "least(coalesce(n_l0, 0), 10) / 10", "cand_sem_l0_match_moves": "least(coalesce(n_l0_moves, 0), 10) / 10", "from_sem_bucket": _has("bucket"), "sem_bucket_l0_rank": "coalesce((bucket_l0_rank - 1) / 3, 0)", "sem_bucket_l0_score": "coalesce(bucket_l0_score, 0)",
+    "from_sem_centroid": _has("centroid"), "sem_centroid_l0_rank": "coalesce((centroid_l0_rank - 1) / 3, 0)", "sem_centroid_l0_score": "coalesce(centroid_l0_score, 0)",
+}
+MATRIX = "mx AS (SELECT query, item, (item = gold)::INT AS label, " + ", ".join(f"CAST({IN_SQL.get(c, c)} AS DOUBLE) AS {c}" for c in COLUMNS) + " FROM rows)"
+ALL = (WORLD, POOL, SIGNALS, FEATURES, MATRIX)
+
+
+def _rounded(columns: list[str]) -> list:
+    return [F.round(c, 9).alias(c) for c in columns]
+
+
+@query("i28_feature_matrix", "SELECT query, item, label, " + ", ".join(f"round({c}, 9) AS {c}" for c in COLUMNS) + " FROM mx", *ALL)
 def i28(spark, d):
-    return matrix(spark, d)
+    return matrix(spark, d).select("query", "item", "label", *_rounded(COLUMNS))
 
 
-@query("h28_interactions")
+@query("h28_interactions", "SELECT query, item, " + ", ".join(f"round({a} * {b}, 4) AS {n}" for a, b, n in PRODUCTS) + " FROM mx", *ALL)
 def h28(spark, d):
-    return with_products(matrix(spark, d)).select("query", "item", *[n for _, _, n in PRODUCTS])
+    return with_products(matrix(spark, d)).select("query", "item", *[F.round(n, 4).alias(n) for _, _, n in PRODUCTS])
 
 
-def digest(names: list[str]):
-    def run(spark, d):
-        return matrix(spark, d).select("query", "item", *[F.round(c, 6).alias(c) for c in names])
+def guarded(features: DataFrame, columns: list[str], least_rows: int, prefix: str = "sem_") -> DataFrame:
+    """One row for each column: its place, nulls and NaN, infinities, share that is not 0, range, the checks of the
+    whole table (row count, prefix columns free of gaps and not all 0) and a fingerprint of ids and codes that doesn't depend on the order of rows."""
+    bad = lambda c: F.count(F.when(F.col(c).isNull() | F.isnan(c), 1))
+    parts = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), bad(c).alias("missing"), F.count(F.when(F.abs(F.col(c)) == float("inf"), 1)).alias("infinite"), F.round(F.avg((F.coalesce(F.col(c), F.lit(0.0)) != 0).cast("double")), 6).alias("nonzero"), F.round(F.min(c), 9).alias("least"), F.round(F.max(c), 9).alias("most")) for i, c in enumerate(columns, 1)]
+    mark = F.sum(F.conv(F.substring(F.sha2(F.concat_ws("/", F.col("query").cast("string"), F.col("item").cast("string")), 256), 1, 8), 16, 10).cast("long"))
+    rows = features.agg(F.array(*parts).alias("x"), F.count(F.lit(1)).alias("n_rows"), mark.alias("fingerprint")).select(F.explode("x").alias("x"), "n_rows", "fingerprint").select("x.*", "n_rows", "fingerprint")
+    fine = (F.col("missing") == 0) & (F.col("infinite") == 0) & ((F.col("nonzero") > 0) | ~F.col("name").contains(prefix))
+    return rows.withColumn("passes", fine & (F.col("n_rows") >= least_rows))
 
-    return run
 
+_ONE = "SELECT {i} AS place, '{c}' AS name, count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS missing, count(*) FILTER (WHERE isinf({c})) AS infinite, round(avg((coalesce({c}, 0) <> 0)::INT), 6) AS nonzero, round(min({c}), 9) AS least, round(max({c}), 9) AS most FROM mx"
 
-FEEDBACK = """past AS (SELECT *, back - 1 AS b FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays) WHERE back > 1),
-tn AS (SELECT session AS query, count(*) AS history_len, count(*) FILTER (WHERE label = 'MOVES') AS moves, count(*) FILTER (WHERE label = 'DOES_NOT') AS n_no,
-  coalesce(min(b) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT'), count(*) + 1) - 1 AS tail FROM past GROUP BY 1)"""
 
-query("k_feedback_columns", "SELECT query, item, CAST(history_len AS DOUBLE) AS history_len, CAST(moves AS DOUBLE) AS turns_toward_goal, round(least(n_no, 10) / 10, 6) AS n_rejected_in_history, CAST(tail AS DOUBLE) AS consecutive_rejections_tail FROM lst JOIN tn USING (query)", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["history_len", "turns_toward_goal", "n_rejected_in_history", "consecutive_rejections_tail"]))
-query("k_rank_columns", "SELECT query, item, round(1 / log2(rank + 1), 6) AS tt_rank_sig, round(1 / rank, 6) AS bm25_signal, CAST((rank = 1)::INT AS DOUBLE) AS bm25_top1, CAST(count(*) OVER (PARTITION BY query) AS DOUBLE) AS pool_size, popularity FROM lst JOIN tn USING (query)", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["tt_rank_sig", "bm25_signal", "bm25_top1", "pool_size", "popularity"]))
-query("k_artist_columns", "SELECT l.query, l.item, round(coalesce(1 / log2(min(p.b) + 1), 0), 6) AS artist_sig, round(least(count(p.b), 10) / 10, 6) AS n_same_album_in_history, coalesce(max((p.b <= 3)::INT), 0)::DOUBLE AS album_in_recent_window, coalesce(max((p.label = 'DOES_NOT')::INT), 0)::DOUBLE AS artist_in_rejected_set FROM lst l JOIN tn USING (query) LEFT JOIN (SELECT session, b, label, artist FROM past JOIN cat USING (item)) p ON p.session = l.query AND p.artist = l.artist GROUP BY 1, 2", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["artist_sig", "n_same_album_in_history", "album_in_recent_window", "artist_in_rejected_set"]))
-query("k_catalog_columns", "SELECT query, l.item, CAST(1970 + l.size AS DOUBLE) AS track_year, CAST(2026 - 1970 - l.size AS DOUBLE) AS years_since_release, round(c.p, 6) AS popularity_pctile, round(c.r, 6) AS within_artist_pop_rank FROM lst l JOIN tn USING (query) JOIN (SELECT item, (row_number() OVER (ORDER BY popularity, item) - 1) / greatest(count(*) OVER () - 1, 1) AS p, percent_rank() OVER (PARTITION BY artist ORDER BY popularity) AS r FROM cat) c ON c.item = l.item", PLAYS, PRED, CAT, LIST, FEEDBACK)(digest(["track_year", "years_since_release", "popularity_pctile", "within_artist_pop_rank"]))
+@query("j20_feature_guard", "SELECT x.*, n_rows, fingerprint, missing = 0 AND infinite = 0 AND (nonzero > 0 OR NOT contains(name, 'sem_')) AND n_rows >= 1000 AS passes FROM (" + " UNION ALL ".join(_ONE.format(i=i, c=c) for i, c in enumerate(COLUMNS, 1)) + ") x, (SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || sha256(query || '/' || item)[1:8] AS BIGINT)) AS BIGINT) AS fingerprint FROM mx)", WORLD, POOL, SIGNALS, FEATURES, MATRIX.replace("mx AS (", "mx AS MATERIALIZED ("))
+def j20(spark, d):
+    return guarded(matrix(spark, d), COLUMNS, 1000)
 
 
-@query("j20_feature_guard")
-def j20(spark, d):
-    """One row for each column: nulls, NaN, range, whether it is constant zero."""
-    f = matrix(spark, d)
-    parts = [F.struct(F.lit(c).alias("name"), F.count(F.when(F.col(c).isNull() | F.isnan(c), 1)).alias("missing"), F.min(c).alias("least"), F.max(c).alias("most"), (F.coalesce(F.max(F.abs(c)), F.lit(0.0)) == 0).alias("zero")) for c in COLUMNS]
-    return f.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+# ---- rewriting of the fused list by what the message says (F7, F8)
+
+
+def _fused(spark, d):
+    """(query, item, rank, name, artist, said), best fused score first; the world and the catalog."""
+    w, items = World(spark, d), facts(spark, d)
+    rows = pool.weighted(w.signals(), WEIGHTS).withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
+    rows = rows.select("query", "item", rank.alias("rank")).join(items.select("item", "name", "artist"), "item").join(messages(w.h, items), "query")
+    return rows, w, items
+
+
+FUSED = "fused AS (SELECT query, item, name, artist, text, row_number() OVER (PARTITION BY query ORDER BY round(" + " + ".join(f"{w} * {n}" for n, w in WEIGHTS.items()) + ", 6) DESC, item) AS rank FROM sig JOIN fct USING (item) JOIN said ON said.item = query)"
+_FACTS = FEATURES[: FEATURES.index("erax AS")].rstrip().rstrip(",")
+
+
+def _holds(message, name):
+    return F.concat(F.lit(" "), text.normal(message), F.lit(" ")).contains(F.concat(F.lit(" "), text.normal(name), F.lit(" ")))
+
+
+def _holds_sql(name: str) -> str:
+    normal = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+    return f"contains(' ' || {normal('text')} || ' ', ' ' || {normal(name)} || ' ')"
+
+
+@query("f7_named_boost", f"SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY (rank <= 400 AND length(name) >= 4 AND {_holds_sql('name')} AND {_holds_sql('artist')})::INT DESC, rank) AS rank FROM fused", WORLD, POOL, SIGNALS, _FACTS, FUSED.replace("said.item = query", "said.item = sig.query"))
+def f7(spark, d):
+    """Candidates whose name and artist the message holds as whole words come first."""
+    rows, _, _ = _fused(spark, d)
+    match = (F.length(text.normal(F.col("name"))) >= 4) & _holds(F.col("said"), F.col("name")) & _holds(F.col("said"), F.col("artist"))
+    return pool.boosted(rows, match, 400).select("query", "item", F.col("new_rank").cast("long").alias("rank"))
+
+
+@query("f8_pivot_suppress", f"SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY (hit AND others >= 20)::INT, rank) AS rank FROM (SELECT *, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY query) AS others FROM (SELECT f.query, f.item, f.rank, {hit(text.PIVOT, 'f.text')} AND a.artist IS NOT NULL AS hit FROM fused f LEFT JOIN (SELECT DISTINCT query, p_brand AS artist FROM hs JOIN part ON p_partkey = item) a ON a.query = f.query AND a.artist = f.artist))", WORLD, POOL, SIGNALS, _FACTS, FUSED.replace("said.item = query", "said.item = sig.query"))
+def f8(spark, d):
+    """Where the message wants something else, artists of the history go to the end, if enough others remain."""
+    rows, w, items = _fused(spark, d)
+    past = w.h.join(items.select("item", "artist"), "item").select("query", "artist", F.lit(True).alias("past")).distinct()
+    rows = rows.join(past, ["query", "artist"], "left")
+    hit_ = text.mentions(F.col("said"), text.PIVOT) & F.coalesce("past", F.lit(False))
+    return pool.suppressed(rows, hit_, 20).select("query", "item", F.col("new_rank").cast("long").alias("rank"))

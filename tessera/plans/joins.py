@@ -46,10 +46,10 @@ def c2(spark, d):
     return t.table(spark, d, "documents").select("doc_id").join(v, F.col("doc_id") == F.col("item"), "left").select("doc_id", F.round(F.coalesce(vector.dot(F.col("v"), F.col("v")), F.lit(0.0)), 6).alias("score"))
 
 
-@query("c3_dense_scoring", "SELECT q.item AS query, count(*) AS n, round(sum(list_dot_product(q.v, x.v)), 4) AS total FROM vecs q, vecs x WHERE q.item % 25 = 0 GROUP BY 1", VECS)
+@query("c3_dense_scoring", "SELECT q.item AS query, count(*) AS n, round(sum(list_dot_product(q.v, x.v)), 4) AS total FROM vecs q, vecs x WHERE q.item % 20 = 0 GROUP BY 1", VECS)
 def c3(spark, d):
     v = t.vectors(spark, d)
-    s = retrieval.scores(v.where("item % 25 = 0").select(F.col("item").alias("query"), F.col("v").alias("q")), v)
+    s = retrieval.scores(v.where("item % 20 = 0").select(F.col("item").alias("query"), F.col("v").alias("q")), v)
     return s.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
@@ -100,23 +100,6 @@ def c9(spark, d):
     return history.running_feedback(t.plays(spark, d)).select("session", F.col("pos").cast("long").alias("pos"), "last_liked")
 
 
-@query("c10_mention_join", "SELECT DISTINCT session, turn, w AS name FROM turns JOIN (SELECT DISTINCT unnest(tags) AS w FROM cat) ON contains(lower(text), w)", TURNS, CAT)
-def c10(spark, d):
-    names = t.catalog(spark, d).select(F.explode("tags").alias("name")).distinct()
-    # a name can start anywhere in a text, so no key decides; the names are a dimension of a few words
-    return t.turns(spark, d).join(names, F.lower("text").contains(F.col("name"))).select("session", "turn", "name").distinct()
-
-
-@query("c10_greedy_mentions")
-def c10_greedy(spark, d):
-    """Longest names first; what a name has matched is blanked for the next ones."""
-    names = t.catalog(spark, d).select(F.explode("tags").alias("name")).distinct()
-    hits = t.turns(spark, d).join(names, F.lower("text").contains(F.col("name"))).groupBy("session", "turn").agg(F.first(F.lower("text")).alias("text"), F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name"))).alias("names"))
-    start = F.struct(F.col("text").alias("left"), F.array().cast("array<string>").alias("found"))
-    step = lambda a, x: F.when(F.instr(a["left"], x["name"]) > 0, F.struct(F.replace(a["left"], x["name"], F.lit(" ")).alias("left"), F.concat(a["found"], F.array(x["name"])).alias("found"))).otherwise(a)
-    return hits.select("session", "turn", F.explode(F.aggregate("names", start, step)["found"]).alias("name"))
-
-
 @query("c11_artist_expansion", "SELECT DISTINCT p.session, x.item FROM plays p JOIN cat c USING (item) JOIN (SELECT item, artist, row_number() OVER (PARTITION BY artist ORDER BY popularity DESC, item) AS n FROM cat) x ON x.artist = c.artist AND n <= 5 WHERE p.pos <= 3", PLAYS, CAT)
 def c11(spark, d):
     c = t.catalog(spark, d)
@@ -124,12 +107,12 @@ def c11(spark, d):
     return t.plays(spark, d).where("pos <= 3").join(c.select("item", "artist"), "item").join(best, "artist").select("session", F.col("cand").alias("item")).distinct()
 
 
-@query("c12_bucket_expansion", "SELECT query, item, rank FROM (SELECT q.item AS query, x.item, row_number() OVER (PARTITION BY q.item ORDER BY round(list_dot_product(q.v, x.v), 9) DESC, x.item) AS rank FROM vecs q JOIN vecs x ON q.l0 = x.l0 WHERE q.item % 25 = 0) WHERE rank <= 5", VECS)
+@query("c12_bucket_expansion", "SELECT query, item, rank FROM (SELECT q.item AS query, x.item, row_number() OVER (PARTITION BY q.item ORDER BY round(list_dot_product(q.v, x.v), 9) DESC, x.item) AS rank FROM vecs q JOIN vecs x ON q.l0 = x.l0 WHERE q.item % 20 = 0) WHERE rank <= 5", VECS)
 def c12(spark, d):
     v = t.vectors(spark, d)
-    q = v.where("item % 25 = 0").select(F.col("item").alias("query"), F.col("v").alias("q"), "l0")
-    s = q.join(v, "l0").select("query", "item", F.round(vector.dot(F.col("q"), F.col("v")), 9).alias("score"))
-    return retrieval.top_k(s, ["query"], 5).select("query", "item", F.col("rank").cast("long").alias("rank"))
+    q = v.where("item % 20 = 0").select(F.col("item").alias("query"), F.col("v").alias("q"), F.col("l0").alias("cell"))
+    found = retrieval.dense(q, v.select("item", "v", F.col("l0").alias("cell")), 5, cells=True)
+    return found.select("query", "item", F.col("rank").cast("long").alias("rank"))
 
 
 CENT = "cent AS (SELECT l0, list(a ORDER BY i) AS c FROM (SELECT l0, i, avg(x) AS a FROM (SELECT l0, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs) GROUP BY 1, 2) GROUP BY 1)"
@@ -142,11 +125,16 @@ def c13(spark, d):
     return retrieval.top_k(near.withColumn("score", F.round("score", 9)), ["query"], 3).select(F.col("query").alias("l0"), F.col("item").alias("near"))
 
 
-@query("c14_name_match", "SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS n FROM supplier JOIN customer ON regexp_replace(lower(s_name), '[^0-9]', '', 'g') = regexp_replace(lower(c_name), '[^0-9]', '', 'g')) WHERE n = 1")
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query("c14_name_match", f"SELECT item, found, n FROM (SELECT item, {_NORMAL.format(x='upper(name)')} AS k, {_NORMAL.format(x='artist')} AS a FROM cat) JOIN (SELECT {_NORMAL.format(x='name')} AS k, {_NORMAL.format(x='artist')} AS a, min(item) AS found, count(*) AS n FROM cat GROUP BY 1, 2) USING (k, a)", CAT)
 def c14(spark, d):
-    key = lambda c: F.regexp_replace(F.lower(c), "[^0-9]", "")
-    both = t.table(spark, d, "supplier").select("s_suppkey", key("s_name").alias("k")).join(t.table(spark, d, "customer").select("c_custkey", key("c_name").alias("k")), "k")
-    return both.groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
+    """The first item of equal normal title and artist, and how many there are."""
+    c = t.catalog(spark, d)
+    index = c.groupBy(text.normal(F.col("name")).alias("k"), text.normal(F.col("artist")).alias("a")).agg(F.min("item").alias("found"), F.count(F.lit(1)).alias("n"))
+    asked = c.select("item", text.normal(F.upper("name")).alias("k"), text.normal(F.col("artist")).alias("a"))
+    return asked.join(index, ["k", "a"]).select("item", "found", "n")
 
 
 @query("c15_overlap_join", "SELECT count(*) AS both_n, round(100.0 * count(*) / (SELECT count(*) FROM vecs), 4) AS percent FROM vecs WHERE item IN (SELECT doc_id FROM documents)", VECS)
@@ -162,13 +150,6 @@ def c16(spark, d):
     return predictions(spark, d, 20).join(log, "item", "left").select("query", "item", F.coalesce("popularity", -F.col("rank").cast("double")).alias("score"))
 
 
-@query("c17_decision_join", "SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY src, rank) AS rank FROM (SELECT query, item, rank, CASE WHEN item % 3 = 0 THEN 0 WHEN item % 3 = 1 THEN 1 ELSE 2 END AS src FROM pred WHERE rank <= 30) QUALIFY row_number() OVER (PARTITION BY query ORDER BY src, rank) <= 20", PRED)
-def c17(spark, d):
-    src = F.when(F.col("item") % 3 == 0, 0).when(F.col("item") % 3 == 1, 1).otherwise(2)
-    p = predictions(spark, d, 30).withColumn("src", src)
-    return p.withColumn("new", F.row_number().over(Window.partitionBy("query").orderBy("src", "rank"))).where("new <= 20").select("query", "item", F.col("new").cast("long").alias("rank"))
-
-
 @query("c18_parallel_join", "SELECT session, pos, item, label FROM plays WHERE pos <= 5", PLAYS)
 def c18(spark, d):
     a = t.plays(spark, d).where("pos <= 5").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "item", "label"))).alias("x"))
@@ -253,13 +234,6 @@ def d13(spark, d):
     return retrieval.mean_vectors(t.vectors(spark, d), ["l0"], 64).select("l0", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
 
 
-@query("d14_history_means", "SELECT session, round(avg(popularity) FILTER (WHERE back <= 4), 6) AS recent, round(avg(popularity) FILTER (WHERE label = 'MOVES'), 6) AS liked, round(avg(popularity) FILTER (WHERE label = 'DOES_NOT'), 6) AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays) JOIN cat USING (item) GROUP BY 1", PLAYS, CAT)
-def d14(spark, d):
-    p = t.plays(spark, d).withColumn("back", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos")))).join(t.catalog(spark, d).select("item", "popularity"), "item")
-    mean = lambda c: F.round(F.avg(F.when(c, F.col("popularity"))), 6)
-    return p.groupBy("session").agg(mean(F.col("back") <= 4).alias("recent"), mean(F.col("label") == "MOVES").alias("liked"), mean(F.col("label") == "DOES_NOT").alias("rejected"))
-
-
 @query("d15_quantiles", "SELECT role, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90 FROM (SELECT role, length(text) AS n FROM turns) GROUP BY 1", TURNS)
 def d15(spark, d):
     n = t.turns(spark, d).select("role", F.length("text").alias("n"))
@@ -293,8 +267,10 @@ def d19(spark, d):
 
 @query("d20_segmented_recall", "SELECT turn, coalesce(label, CASE WHEN grouping(label) = 1 THEN '*' ELSE 'none' END) AS segment, count(*) AS n, round(avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0 END), 6) AS recall FROM ranks GROUP BY GROUPING SETS ((turn), (turn, label), ())", *ALL)
 def d20(spark, d):
-    ranks(spark, d).createOrReplaceTempView("tessera_ranks")
-    return spark.sql("SELECT turn, coalesce(label, CASE WHEN grouping(label) = 1 THEN '*' ELSE 'none' END) AS segment, count(*) AS n, round(avg(CASE WHEN rank <= 20 THEN 1.0D ELSE 0D END), 6) AS recall FROM tessera_ranks GROUP BY GROUPING SETS ((turn), (turn, label), ())")
+    sets = ranks(spark, d).groupingSets([["turn"], ["turn", "label"], []], "turn", "label")
+    hit = F.coalesce((F.col("rank") <= 20).cast("double"), F.lit(0.0))
+    rows = sets.agg(F.grouping("label").alias("all_labels"), F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("recall"))
+    return rows.select("turn", F.coalesce("label", F.when(F.col("all_labels") == 1, "*").otherwise("none")).alias("segment"), "n", "recall")
 
 
 KS = (5, 10, 20, 50)
@@ -348,11 +324,18 @@ def d27(spark, d):
     return folds.agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
 
 
-@query("d28_composite", "SELECT turn, round(.5 * avg(CASE WHEN rank <= 20 THEN 1 / log2(rank + 1) ELSE 0 END) + .1 * 0.48 + .1 * 0.2 + .3 * (4.4 - 1) / 4, 6) AS score FROM ranks GROUP BY 1", *ALL)
+@query("d28_composite", r"SELECT round(.5 * ndcg + .1 * diversity + .1 * lexical + .3 * (judge - 1) / 4, 6) AS score FROM (SELECT avg(CASE WHEN rank <= 20 THEN 1 / log2(rank + 1) ELSE 0 END) AS ndcg FROM ranks), (SELECT count(DISTINCT item) / (SELECT count(*) FROM part) AS diversity FROM pred WHERE rank <= 20), (SELECT count(DISTINCT b) / count(*) AS lexical FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM turns WHERE role = 'assistant'))), (SELECT 1 + 4 * avg(quality) AS judge FROM labels)", *ALL, TURNS)
 def d28(spark, d):
+    """Gain, catalog diversity, lexical diversity and a judge's mark from 1 to 5 (here from the labels)."""
     from tessera.functions import ranking
 
-    return ranks(spark, d).groupBy("turn").agg(F.round(0.5 * F.avg(ranking.ndcg(F.col("rank"))) + 0.1 * 0.48 + 0.1 * 0.2 + 0.3 * (4.4 - 1) / 4, 6).alias("score"))
+    gain = ranks(spark, d).agg(F.avg(ranking.ndcg(F.col("rank"))).alias("ndcg"))
+    items = t.table(spark, d, "part").agg(F.count(F.lit(1)).alias("total"))
+    shown = predictions(spark, d, 20).agg(F.count_distinct("item").alias("items"))
+    pairs = metrics.distinct_2(t.turns(spark, d).where("role = 'assistant'")).select((F.col("different") / F.col("n")).alias("lexical"))
+    judge = t.table(spark, d, "labels").agg((1 + 4 * F.avg("quality")).alias("judge"))
+    one = gain.crossJoin(items).crossJoin(shown).crossJoin(pairs).crossJoin(judge)  # one row each
+    return one.select(F.round(0.5 * F.col("ndcg") + 0.1 * F.col("items") / F.col("total") + 0.1 * F.col("lexical") + 0.3 * (F.col("judge") - 1) / 4, 6).alias("score"))
 
 
 @query("d29_distinct_exact", "SELECT count(DISTINCT item) AS items, count(DISTINCT session) AS sessions FROM plays", PLAYS)

@@ -39,49 +39,6 @@ def i1s(spark, d):
     return rows.select("query", "item", F.round(retrieval.signal(F.col("score"), Window.partitionBy("query")), 6).alias("signal"))
 
 
-@query("i2_sharp_bm25", "SELECT query, item, rank, round(score, 6) AS score FROM top", "asked AS (SELECT item_id AS query, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark)", BM25, TOP.format(k=10))
-def i2(spark, d):
-    sharp = asked(spark, d).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
-    return out(retrieval.bm25(sharp, docs(spark, d), 10))
-
-
-@query("i3_entity_bm25")
-def i3(spark, d):
-    from tessera.plans.joins import c10_greedy
-
-    names = c10_greedy(spark, d).groupBy(F.col("session").alias("query")).agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("text"))
-    cat = t.catalog(spark, d).select("item", F.col("name").alias("text"))
-    return out(retrieval.bm25(names, cat, 10))
-
-
-DENSE = "SELECT q.item AS query, x.item, round(list_dot_product(q.v, x.v), 9) AS score FROM vecs q, vecs x WHERE q.item % 25 = 0"
-
-
-@query("i4_dense_topk", f"SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank, round(score, 6) AS score FROM ({DENSE}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= 20", VECS)
-def i4(spark, d):
-    v = t.vectors(spark, d)
-    return out(retrieval.dense(v.where("item % 25 = 0").select(F.col("item").alias("query"), F.col("v").alias("q")), v, 20))
-
-
-@query("i5_last_play_neighbours", f"SELECT query, item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS n FROM ({DENSE} AND q.item <> x.item)) WHERE n <= 10 AND item % 7 <> 0", VECS)
-def i5(spark, d):
-    v = t.vectors(spark, d)
-    near = retrieval.dense(v.where("item % 25 = 0").select(F.col("item").alias("query"), F.col("v").alias("q")), v, 10, itself=False)
-    return near.where("item % 7 != 0").select("query", "item")
-
-
-MEAN = "means AS (SELECT query, list(a / greatest(n, 1e-8) ORDER BY i) AS q FROM (SELECT *, sqrt(sum(a * a) OVER (PARTITION BY query)) AS n FROM (SELECT query, i, avg(x) AS a FROM (SELECT item // 10 AS query, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs WHERE item % 10 < 4) GROUP BY 1, 2)) GROUP BY 1)"
-
-
-@query("i6_session_mean", "SELECT query, item FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY round(list_dot_product(q, v), 9) DESC, item) AS n FROM means, vecs WHERE NOT (item // 10 = query AND item % 10 < 4)) WHERE n <= 5", VECS, MEAN)
-def i6(spark, d):
-    v = t.vectors(spark, d)
-    past = v.where("item % 10 < 4").withColumn("query", F.floor(F.col("item") / 10))
-    means = retrieval.mean_vectors(past, ["query"], 64).select("query", F.col("v").alias("q"))
-    s = retrieval.scores(means, v).join(past.select("query", "item"), ["query", "item"], "left_anti")
-    return retrieval.top_k(s.withColumn("score", F.round("score", 9)), ["query"], 5).select("query", "item")
-
-
 EXP = """tab AS (SELECT src, dst, w FROM (SELECT src, dst, sum(w) AS w FROM (SELECT a.item AS src, b.item AS dst, CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END AS w FROM plays a JOIN plays b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item) GROUP BY 1, 2 HAVING sum(w) >= 1)),
 hs AS (SELECT session AS turn, item, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays),
 ex AS (SELECT turn, back, dst, w, row_number() OVER (PARTITION BY turn, back ORDER BY w DESC, dst) - 1 AS r FROM hs JOIN tab ON src = item WHERE back <= 3 AND NOT EXISTS (SELECT 1 FROM plays p WHERE p.session = turn AND p.item = dst))"""
@@ -103,104 +60,6 @@ def i8(spark, d):
     return got.withColumn("n", n).where("n <= 20").select("query", F.col("cand").alias("item"))
 
 
-@query("i9_markov_buckets", "SELECT src, dst, round(n / sum(n) OVER (PARTITION BY src), 6) AS p FROM (SELECT src, dst, count(*) AS n FROM (SELECT item AS src, lead(item) OVER (PARTITION BY session ORDER BY pos) AS dst FROM eplays) WHERE dst IS NOT NULL GROUP BY 1, 2)", EPLAYS)
-def i9(spark, d):
-    nxt = t.event_plays(spark, d).select(F.col("item").alias("src"), F.lead("item").over(Window.partitionBy("session").orderBy("pos")).alias("dst")).where("dst IS NOT NULL")
-    n = nxt.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("src", "dst", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 6).alias("p"))
-
-
-@query("i10_centroid_buckets", "SELECT query, l0, rank FROM (SELECT item AS query, cent.l0, row_number() OVER (PARTITION BY item ORDER BY round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 9) DESC, cent.l0) AS rank FROM vecs, cent) WHERE rank <= 3", VECS, CENT)
-def i10(spark, d):
-    v = t.vectors(spark, d)
-    c = retrieval.mean_vectors(v, ["l0"], 64).select(F.col("l0").alias("query"), F.col("v").alias("q"))
-    near = retrieval.scores(c, v).select(F.col("item").alias("query"), F.col("query").alias("item"), F.round("score", 9).alias("score"))
-    return retrieval.top_k(near, ["query"], 3).select("query", F.col("item").alias("l0"), F.col("rank").cast("long").alias("rank"))
-
-
-@query("i12_pool", "SELECT query, item, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n_sources FROM (SELECT query, item, 'play' AS source FROM lst WHERE rank <= 10 UNION ALL SELECT query, item, 'price' FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY popularity DESC, item) AS r FROM lst) WHERE r <= 10 UNION ALL SELECT query, item, 'size' FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY size DESC, item) AS r FROM lst) WHERE r <= 10) GROUP BY 1, 2", PRED, CAT, LIST)
-def i12(spark, d):
-    rows = lists(spark, d).drop("rank")
-    top = lambda c: retrieval.top_k(rows, ["query"], 10, c)
-    return pool.union_sources([("play", predictions(spark, d, 10)), ("price", top("popularity")), ("size", top("size"))]).select("query", "item", "sources", "n_sources")
-
-
-@query("i13_linear_fusion", "SELECT query, item, round(.5 * popularity / 2000 + .3 / log2(rank + 1) + .2 * (size > 25)::INT, 6) AS score FROM lst", PRED, CAT, LIST)
-def i13(spark, d):
-    rows = lists(spark, d).select("query", "item", (F.col("popularity") / 2000).alias("a"), ranking.rank_signal(F.col("rank") - 1).alias("b"), (F.col("size") > 25).cast("int").alias("c"))
-    return pool.weighted(rows, {"a": 0.5, "b": 0.3, "c": 0.2}).select("query", "item", F.round("score", 6).alias("score"))
-
-
-@query("i14_baseline_fusion", "SELECT query, item, round(.7 * popularity / 2000 + .3 * CASE WHEN rank <= 20 THEN 1 / rank ELSE 0 END, 6) AS score FROM lst", PRED, CAT, LIST)
-def i14(spark, d):
-    rows = lists(spark, d).select("query", "item", (F.col("popularity") / 2000).alias("a"), F.when(F.col("rank") <= 20, 1 / F.col("rank")).alias("b"))
-    return pool.weighted(rows, {"a": 0.7, "b": 0.3}).select("query", "item", F.round("score", 6).alias("score"))
-
-
-@query("i17_rrf", "SELECT query, item, round(1 / (60 + coalesce(a.rank, na)) + 1 / (60 + coalesce(b.rank, nb)), 6) AS score FROM (SELECT query, item, rank FROM lst WHERE rank <= 20) a FULL JOIN (SELECT query, item, rank FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY popularity DESC, item) AS rank FROM lst) WHERE rank <= 20) b USING (query, item) JOIN (SELECT query, least(max(rank), 20) AS na, least(max(rank), 20) AS nb FROM lst GROUP BY 1) USING (query)", PRED, CAT, LIST)
-def i17(spark, d):
-    rows = lists(spark, d)
-    price = retrieval.top_k(rows.drop("rank"), ["query"], 20, "popularity")
-    return pool.rrf(rows.where("rank <= 20"), price).select("query", "item", F.round("score", 6).alias("score"))
-
-
-@query("i18_dense_bm25", "SELECT query, item, round(.7 * popularity / 2000 + .3 / rank, 6) AS score FROM lst", PRED, CAT, LIST)
-def i18(spark, d):
-    return lists(spark, d).select("query", "item", F.round(0.7 * F.col("popularity") / 2000 + 0.3 * ranking.reciprocal(F.col("rank") - 1), 6).alias("score"))
-
-
-@query("i19_hybrid", "SELECT query, item, round(.4 * (n - rank + 1) / n + .6 * CASE WHEN hi > lo THEN (popularity - lo) / (hi - lo) ELSE 1 END, 6) AS score FROM (SELECT *, count(*) OVER w AS n, min(popularity) OVER w AS lo, max(popularity) OVER w AS hi FROM lst WINDOW w AS (PARTITION BY query))", PRED, CAT, LIST)
-def i19(spark, d):
-    w = Window.partitionBy("query")
-    s = 0.4 * ranking.linear(F.col("rank") - 1, F.count(F.lit(1)).over(w)) + 0.6 * ranking.min_max(F.col("popularity"), w)
-    return lists(spark, d).select("query", "item", F.round(s, 6).alias("score"))
-
-
-@query("i20_append", "SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY (rank > 10)::INT, CASE WHEN rank <= 10 THEN rank ELSE size END, item) AS rank FROM lst", PRED, CAT, LIST)
-def i20(spark, d):
-    rows = lists(spark, d)
-    rest = rows.where("rank > 10").select("query", "item", F.col("size").alias("rank"))
-    return ranked(pool.padded(rows.where("rank <= 10").select("query", "item", "rank"), rest, 10_000))
-
-
-@query("i21_feedback_terms")
-def i21(spark, d):
-    """The three best documents' rarest words go into a second retrieval."""
-    q, x = asked(spark, d), docs(spark, d)
-    first = retrieval.bm25(q, x, 3).join(x, "item").select("query", F.slice(F.array_sort(F.array_distinct(text.words(F.col("text"))), lambda a, b: F.length(b) - F.length(a)), 1, 5).alias("w"))
-    more = first.groupBy("query").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("w"))), " ").alias("more"))
-    return out(retrieval.bm25(q.join(more, "query", "left").select("query", F.concat_ws(" ", "text", "more").alias("text")), x, 20))
-
-
-@query("i22_cluster_recall", "SELECT DISTINCT q.item AS query, x.item FROM vecs q JOIN vecs x ON q.l0 = x.l0 AND x.item % 5 = 0 WHERE q.item % 25 = 0", VECS)
-def i22(spark, d):
-    v = t.vectors(spark, d)
-    return v.where("item % 25 = 0").select(F.col("item").alias("query"), "l0").join(v.where("item % 5 = 0").select("item", "l0"), "l0").select("query", "item").distinct()
-
-
-@query("i23_tag_expanded", "SELECT query, item, rank, round(score, 6) AS score FROM top", "asked AS (SELECT p_partkey AS query, p_name || ' ' || lower(p_type) AS text FROM part WHERE p_size = 7)", "documents AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' ' || lower(p_type) AS text FROM part)", BM25, TOP.format(k=5))
-def i23(spark, d):
-    p = t.table(spark, d, "part")
-    q = p.where("p_size = 7").select(F.col("p_partkey").alias("query"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
-    x = p.select(F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type")).alias("text"))
-    return out(retrieval.bm25(q, x, 5))
-
-
-@query("i25_coarse_popularity", "SELECT query, item FROM (SELECT v.query, c.item, row_number() OVER (PARTITION BY v.query ORDER BY v.n DESC, c.popularity DESC, c.item) AS r FROM (SELECT query, artist, count(*) AS n FROM lst GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, artist) <= 2) v JOIN cat c USING (artist)) WHERE r <= 20", PRED, CAT, LIST)
-def i25(spark, d):
-    votes = lists(spark, d).groupBy("query", "artist").agg(F.count(F.lit(1)).alias("n"))
-    votes = retrieval.top_k(votes, ["query"], 2, "n", "artist").drop("rank")
-    got = votes.join(t.catalog(spark, d).select("item", "artist", "popularity"), "artist")
-    return got.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), F.desc("popularity"), "item"))).where("r <= 20").select("query", "item")
-
-
-@query("i26_dense_extras", f"SELECT query, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS n FROM ({DENSE})) WHERE n <= 10 AND item % 2 = 1", VECS)
-def i26(spark, d):
-    v = t.vectors(spark, d)
-    rows = retrieval.dense(v.where("item % 25 = 0").select(F.col("item").alias("query"), F.col("v").alias("q")), v, 10)
-    return rows.join(v.where("item % 2 = 0").select("item"), "item", "left_anti").select("query", "item", F.round("score", 6).alias("score"))
-
-
 @query("i29_labels", "SELECT session, pos, CASE label WHEN 'MOVES' THEN 2 WHEN 'DOES_NOT' THEN 0 ELSE 1 END AS soft, (label = 'MOVES') IS TRUE AS hard FROM plays", PLAYS)
 def i29(spark, d):
     soft = F.when(F.col("label") == "MOVES", 2).when(F.col("label") == "DOES_NOT", 0).otherwise(1)
@@ -218,7 +77,7 @@ def i31(spark, d):
     return rows.select("session", F.col("pos").cast("long").alias("pos"), history.goal_slot(F.lit("goal"), F.col("last_liked").cast("string"), F.col("tail"), 2).alias("slot"))
 
 
-@query("i32_positive_history", "SELECT session, string_agg(item, ',' ORDER BY pos) AS items FROM (SELECT *, count(*) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT') OVER (PARTITION BY session) AS good FROM plays WHERE pos <= 10) WHERE good = 0 OR coalesce(label, '') <> 'DOES_NOT' GROUP BY 1", PLAYS)
+@query("i32_positive_history", "SELECT session, string_agg(item, ',' ORDER BY pos) AS items FROM (SELECT *, count(*) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT') OVER (PARTITION BY session) AS good FROM plays) WHERE good = 0 OR coalesce(label, '') <> 'DOES_NOT' GROUP BY 1", PLAYS)
 def i32(spark, d):
-    h = t.plays(spark, d).where("pos <= 10").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "item", "label"))).alias("h"))
+    h = t.plays(spark, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "item", "label"))).alias("h"))
     return h.select("session", F.array_join(history.positive_history(F.col("h")).cast("array<string>"), ",").alias("items"))

@@ -201,7 +201,7 @@ def h21(spark, d):
     return t.catalog(spark, d).select("item", F.explode(every).alias("s")).select("item", "s.strategy", "s.x")
 
 
-@query("h22_token_budget")
+@query("h22_token_budget", r"SELECT session, array_to_string(list_reduce(list_prepend({'used': 0::BIGINT, 'kept': []::VARCHAR[], 't': ''}, parts), lambda a, x: CASE WHEN a.used + len(string_split_regex(x.t, '\s+')) <= 60 THEN {'used': a.used + len(string_split_regex(x.t, '\s+')), 'kept': list_append(a.kept, x.t), 't': ''} ELSE a END).kept, ' ') AS x FROM (SELECT session, list({'used': 0::BIGINT, 'kept': []::VARCHAR[], 't': text} ORDER BY turn DESC, text DESC) AS parts FROM turns GROUP BY 1)", TURNS)
 def h22(spark, d):
     """Turns newest first while their words fit 60; one that doesn't fit gives way to the next."""
     parts = F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ranking, text, vector
 from tessera.operators import history
 from tessera.plans.base import CAT, PLAYS, TURNS, VECS, query
+from tessera.operators.ordering import numbered
 from tessera.sources import tables as t
 
 
@@ -214,10 +215,11 @@ def b12(spark, d):
     return t.turns(spark, d).select("session").distinct().orderBy("session").offset(10).limit(20)
 
 
-@query("b13_seeded_shuffle")
+@query("b13_seeded_shuffle", "SELECT session, row_number() OVER (ORDER BY sha256('42/' || session), session) AS n FROM (SELECT DISTINCT session FROM turns)", TURNS)
 def b13(spark, d):
-    ids = t.turns(spark, d).select("session").distinct()
-    return ids.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(42), "session"), "session")))
+    """The order is that of a hash with the seed, equal on every run."""
+    ids = t.turns(spark, d).select("session").distinct().withColumn("h", F.sha2(F.concat(F.lit("42/"), F.col("session").cast("string")), 256))
+    return numbered(ids, "h", "session").select("session", "n")
 
 
 @query("b14_hash_sample", "SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295 < 0.25")
@@ -252,11 +254,6 @@ def b18(spark, d):
     return rows.where(F.coalesce(F.col("l_shipdate") <= F.col("o_orderdate"), F.lit(True))).select("l_orderkey", "l_partkey", "l_shipdate")
 
 
-@query("b19_source_gate", "SELECT session, turn, NOT regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS open FROM turns WHERE role = 'user'", TURNS)
-def b19(spark, d):
-    return t.turns(spark, d).where("role = 'user'").select("session", "turn", (~F.lower("text").rlike(text.keyword_pattern("the"))).alias("open"))
-
-
 @query("b20_progress_only", "SELECT session, max(pos) AS last_liked FROM plays WHERE label = 'MOVES' GROUP BY 1", PLAYS)
 def b20(spark, d):
     order = Window.partitionBy("session").orderBy(F.desc("pos"))
@@ -268,7 +265,7 @@ def b21(spark, d):
     return t.plays(spark, d).where("coalesce(label, '') != 'DOES_NOT'").select("session", F.col("pos").cast("long").alias("pos"))
 
 
-@query("b22_drop_zero_groups", "SELECT session, pos FROM plays WHERE session IN (SELECT session FROM plays WHERE label = 'MOVES' AND item < 500)", PLAYS)
+@query("b22_drop_zero_groups", "SELECT session, pos FROM (SELECT session, pos, max((coalesce(label, '') = 'MOVES' AND item < 500)::INT) OVER (PARTITION BY session) AS y FROM plays) WHERE y > 0", PLAYS)
 def b22(spark, d):
     good = ((F.col("label") == "MOVES") & (F.col("item") < 500)).cast("int")
     return t.plays(spark, d).withColumn("y", F.max(good).over(Window.partitionBy("session"))).where("y > 0").select("session", F.col("pos").cast("long").alias("pos"))
@@ -305,8 +302,8 @@ def b27(spark, d):
 @query("b28_session_split", "SELECT session, n * 20 <= total AS valid FROM (SELECT session, row_number() OVER (ORDER BY sha256(CAST(session AS VARCHAR)), session) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT session FROM turns))", TURNS)
 def b28(spark, d):
     ids = t.turns(spark, d).select("session").distinct()
-    n = F.row_number().over(Window.orderBy(F.sha2(F.col("session").cast("string"), 256), "session"))
-    return ids.withColumn("n", n).crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("total")))).select("session", (F.col("n") * 20 <= F.col("total")).alias("valid"))
+    ids = numbered(ids.withColumn("h", F.sha2(F.col("session").cast("string"), 256)), "h", "session")
+    return ids.crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("total")))).select("session", (F.col("n") * 20 <= F.col("total")).alias("valid"))
 
 
 @query("b29_held_out", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

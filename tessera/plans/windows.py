@@ -9,6 +9,7 @@ from tessera.functions import ranking, vector
 from tessera.operators import history, metrics, pool, retrieval
 from tessera.plans.base import CAT, PLAYS, PRED, TURNS, VECS, query
 from tessera.plans.joins import ALL, gold, predictions, ranks
+from tessera.operators.ordering import numbered
 from tessera.sources import tables as t
 
 LIST = "lst AS (SELECT p.query, p.item, p.rank, c.artist, c.popularity, c.name, c.size FROM pred p JOIN cat c ON c.item = p.item WHERE p.rank <= 60)"
@@ -43,11 +44,8 @@ def e3(spark, d):
 @query("e4_rank_percentile", "SELECT item, round((row_number() OVER (ORDER BY popularity, item) - 1) / greatest(count(*) OVER () - 1, 1), 6) AS pctile FROM cat", CAT)
 def e4(spark, d):
     c = t.catalog(spark, d).select("item", "popularity")
-    # ranks by range partitions: rows before a partition plus the place inside it, so no task sorts all rows
-    ordered = c.repartitionByRange("popularity", "item").sortWithinPartitions("popularity", "item").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
-    n = c.agg(F.count(F.lit(1)).alias("n"))
-    before = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("m")).withColumn("ahead", F.sum("m").over(Window.orderBy("part")) - F.col("m")).drop("m")
-    return ordered.join(F.broadcast(before), "part").crossJoin(F.broadcast(n)).select("item", F.round((F.col("at") + F.col("ahead")) / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("pctile"))
+    n = c.agg(F.count(F.lit(1)).alias("total"))
+    return numbered(c, "popularity", "item").crossJoin(F.broadcast(n)).select("item", F.round((F.col("n") - 1) / F.greatest(F.col("total") - 1, F.lit(1)), 6).alias("pctile"))
 
 
 @query("e5_group_percent_rank", "SELECT item, round(percent_rank() OVER (PARTITION BY artist ORDER BY popularity), 6) AS r FROM cat", CAT)
@@ -99,7 +97,8 @@ def e13(spark, d):
 @query("e14_fold_assignment", "SELECT session, (row_number() OVER (ORDER BY sha256(CAST(session AS VARCHAR)), session) - 1) % 5 AS fold FROM (SELECT DISTINCT session FROM turns)", TURNS)
 def e14(spark, d):
     ids = t.turns(spark, d).select("session").distinct()
-    return ids.select("session", ((F.row_number().over(Window.orderBy(F.sha2(F.col("session").cast("string"), 256), "session")) - 1) % 5).cast("long").alias("fold"))
+    ids = numbered(ids.withColumn("h", F.sha2(F.col("session").cast("string"), 256)), "h", "session")
+    return ids.select("session", ((F.col("n") - 1) % 5).cast("long").alias("fold"))
 
 
 @query("e15_last_user_text", "SELECT session, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said FROM turns", TURNS)
@@ -154,7 +153,7 @@ def f4(spark, d):
 
 def _candidates(spark, d, k=20):
     v = t.vectors(spark, d)
-    q = v.where("item % 50 = 0").select(F.col("item").alias("query"), F.col("v").alias("q"))
+    q = v.where("item % 20 = 0").select(F.col("item").alias("query"), F.col("v").alias("q"))
     return retrieval.dense(q, v, k).join(v.select("item", "v"), "item").select("query", "item", "score", "v")
 
 
@@ -173,16 +172,6 @@ def f6(spark, d):
     return out
 
 
-@query("f7_named_boost", "SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY (size % 10 = query % 10 AND rank <= 40)::INT DESC, rank) AS rank FROM lst", PRED, CAT, LIST)
-def f7(spark, d):
-    return ranked(pool.boosted(lists(spark, d), F.col("size") % 10 == F.col("query") % 10, 40))
-
-
-@query("f8_pivot_suppress", "SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY (size > 25 AND others >= 20)::INT, rank) AS rank FROM (SELECT *, sum((size <= 25)::INT) OVER (PARTITION BY query) AS others FROM lst)", PRED, CAT, LIST)
-def f8(spark, d):
-    return ranked(pool.suppressed(lists(spark, d), F.col("size") > 25, 20))
-
-
 BLEND = "mixed AS (SELECT *, CASE WHEN rank <= 30 THEN round({a} * (n - rank + 1) / n + (1 - {a}) * CASE WHEN hi > lo THEN (popularity - lo) / (hi - lo) ELSE 1 END, 9) END AS blend FROM (SELECT *, count(*) OVER w AS n, min(popularity) OVER w AS lo, max(popularity) OVER w AS hi FROM lst WINDOW w AS (PARTITION BY query, rank <= 30)))"
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/tessera-stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-stream-")
 
 
@@ -27,14 +29,25 @@ def _done(stream: DataFrame, mode: str, at: str) -> None:
     (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()).awaitTermination()
 
 
-def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and sums by ten-minute windows; windows that the watermark hasn't passed are completed by a batch over the same rows."""
+def windowed(spark: SparkSession, sf_dir: str, mode: str = "complete") -> DataFrame:
+    """start, event_type, n, total by ten-minute windows under a watermark of an hour.
+
+    complete: all windows, as the last micro-batch has them. append: those that the watermark has
+    passed, each once, when it can't change any more; rows later than that are dropped.
+    """
     at = _folder(spark)
     stream = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    _done(stream.select(F.col("window.start").alias("start"), "event_type", "n", "total"), "append", at)
-    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{at}/out")
-    rest = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
-    return out.unionByName(rest.join(out.select("start", "event_type"), ["start", "event_type"], "left_anti"))
+    stream = stream.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    schema = "start timestamp, event_type string, n long, total double"
+    if mode == "append":
+        _done(stream, "append", at)
+        return spark.read.schema(schema).parquet(f"{at}/out")
+
+    def replace(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out")
 
 
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +59,28 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, plays, kinds: each micro-batch's sums by session, item go to a table; the table is summed. Late rows only add."""
+    """session, plays, kinds: a state for each session, kept by the stream from one micro-batch to the next.
+
+    The state is a count and the kinds of item met so far (a few). Every batch writes the
+    sessions that it changed; counts only grow, so a session's largest row is its latest.
+    """
     at = _folder(spark)
 
+    def update(key, frames, state):
+        import pandas as pd
+
+        plays, kinds = state.get if state.exists else (0, [])
+        kinds = set(kinds)
+        for f in frames:
+            plays += len(f)
+            kinds.update(f.event_type.dropna())
+        state.update((plays, sorted(kinds)))
+        yield pd.DataFrame({"session": [key[0]], "plays": [plays], "kinds": [len(kinds)]})
+
     def add(batch: DataFrame, n: int) -> None:
-        batch.groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("item")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
-    events(spark, sf_dir).writeStream.foreachBatch(add).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema("session long, item string, n long, batch int").parquet(f"{at}/out")
-    return rows.groupBy("session").agg(F.sum("n").alias("plays"), F.count_distinct("item").alias("kinds"))
+    rows = events(spark, sf_dir).select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(update, "session long, plays long, kinds long", "plays long, kinds array<string>", "update", "NoTimeout")
+    rows.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("session long, plays long, kinds long, batch int").parquet(f"{at}/out")
+    return out.groupBy("session").agg(F.max("plays").alias("plays"), F.max("kinds").alias("kinds"))

@@ -122,3 +122,85 @@ def test_last_wins_and_missing(spark):
 def test_pareto(spark):
     rows = spark.createDataFrame([(1, 0.1), (2, 0.1), (3, 0.3)], "n int, g double")
     assert [r.n for r in metrics.pareto(rows, "n", "g").orderBy("n").collect()] == [1, 3]
+
+
+def test_fillers_that_follow_one_another_all_go(spark):
+    texts = ["please play me jazz", "can you please recommend something calm", "playful pleasers", "please", "I'd like something that's soft"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    got = [r.x for r in df.select("i", text.without_filler(F.col("text")).alias("x")).orderBy("i").collect()]
+    assert got == ["jazz", "calm", "playful pleasers", "please", "soft"]
+
+
+def test_pivot_phrases(spark):
+    yes = ["this isn't working", "that's not it", "it isn't what i meant", "I don't want any more of it", "don't want another one", "move on", "hoping for something new", "a new indie rock band"]
+    no = ["more of this", "newer bands", "the instead-ofs", ""]
+    df = spark.createDataFrame([(x,) for x in yes + no], "text string")
+    got = {r.text: r.p for r in df.select("text", text.mentions(F.col("text"), text.PIVOT).alias("p")).collect()}
+    assert [x for x in yes if not got[x]] == [] and not any(got[x] for x in no)
+
+
+def test_keyword_counts_by_pattern(spark):
+    import random
+    import re
+
+    random.seed(1)
+    words = ["hip hop", "hip-hop", "k-pop", "r&b", "rock", "rocker", "drum and bass", "pop", "jazz", "JAZZ", "x", "é"]
+    texts = ["".join(random.choice(words) + random.choice([" ", ",", "-", "", "&", "é"]) for _ in range(random.randint(0, 8))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    got = {r.i: r.n for r in df.select("i", text.keyword_count(F.col("text"), text.GENRES).alias("n")).collect()}
+    for i, x in enumerate(texts):
+        low = (x or "").lower()
+        assert got[i] == sum(bool(re.search(r"(?<![a-z0-9])" + re.escape(k) + r"(?![a-z0-9])", low)) for k in text.GENRES), x
+
+
+def test_mentions_and_greedy(spark):
+    from tessera.operators import mentions
+
+    texts = [(1, "We like The Red Stone and stone"), (2, "abc"), (3, None), (4, ""), (5, "redstone red")]
+    names = spark.createDataFrame([("red stone",), ("stone",), ("red",), ("ab",), ("zzzz",), ("",), (None,)], "name string")
+    df = spark.createDataFrame(texts, "i int, text string")
+    got = {(r.i, r["name"]) for r in mentions.mentions(df, names).collect()}
+    assert got == {(1, "red stone"), (1, "stone"), (1, "red"), (2, "ab"), (5, "red"), (5, "stone")}
+    got = sorted((r.i, r["name"]) for r in mentions.greedy(df, names, ["i"]).collect())
+    assert got == [(1, "red stone"), (1, "stone"), (2, "ab"), (5, "red"), (5, "stone")]
+
+
+def test_places_in_order(spark):
+    from tessera.operators.ordering import numbered
+
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "a long, b long"), "a").collect()
+    assert all(r.n == r.a + 1 for r in got) and len(got) == 1000
+    assert numbered(spark.createDataFrame([], "a long"), "a").count() == 0
+
+
+def test_dense_blocks_by_brute_force(spark):
+    import numpy as np
+
+    from tessera.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.standard_normal((90, 6)), 1)  # ties too
+    items = spark.createDataFrame([(i, [float(x) for x in r], int(i % 3)) for i, r in enumerate(v)], "item long, v array<double>, cell int")
+    queries = items.where("item % 9 = 0").selectExpr("item AS query", "v AS q", "cell")
+    gone = spark.createDataFrame([(q, i) for q in range(0, 90, 9) for i in range(q, q + 5)], "query long, item long")
+    for size in (4, 1000):
+        for cells in (False, True):
+            got = {}
+            for r in retrieval.dense(queries, items, 7, itself=False, exclude=gone, cells=cells, size=size).orderBy("query", "rank").collect():
+                got.setdefault(r.query, []).append((r.item, r.score))
+            for q in range(0, 90, 9):
+                own = [(-round(float(v[q] @ v[i]), 9), i) for i in range(90) if i != q and not q <= i < q + 5 and (not cells or i % 3 == q % 3)]
+                assert [i for i, _ in got[q]] == [i for _, i in sorted(own)[:7]]
+    assert retrieval.scores(queries, items, size=8).count() == 10 * 90
+    assert retrieval.dense(queries.limit(0), items, 3).count() == 0
+
+
+def test_windows_that_the_watermark_has_passed(spark, sf):
+    from tessera.streaming import sessions
+
+    key = lambda df: {(r.start, r.event_type): (r.n, round(r.total, 4)) for r in df.collect()}
+    whole, closed = key(sessions.windowed(spark, sf)), key(sessions.windowed(spark, sf, "append"))
+    assert closed.items() <= whole.items()
+    last = max(k[0] for k in whole)
+    assert all((last - k[0]).total_seconds() < 7200 for k in whole.keys() - closed.keys())
