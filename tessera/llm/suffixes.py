@@ -10,11 +10,12 @@ the later ones goes if they are that long. For the distinct texts:
    a chunk of texts once with their least doc_id. All equal windows meet in one group. A name
    in more than ``hot`` texts is dealt further, window by window: each gets a name from all of
    its bytes, as first bytes inside a common passage would all be the same.
-3. A group's strings are inserted column by column, from their ends: in each round every string
-   gives one symbol, the places of the new suffixes follow from the ranks in the transform so
-   far, and transform and common prefixes are rewritten. A round holds all of both, and index
-   arrays of the same length, in memory: what bounds them is the size of the groups. Beyond
-   ``in_memory`` bytes both lie in files of the task from one round to the next only.
+3. In a group, runs of windows whose hash occurs twice are what may repeat; equal runs are one
+   string. The strings of names that still have several are inserted column by column, from
+   their ends: in each round every string gives one symbol. The rows of the transform and their
+   common prefixes are read in blocks, from the first to the last, to count the ranks of the new
+   suffixes, and once more to write them between the others. Beyond ``in_memory`` rows they
+   lie in files in the shared folder; a round holds a block and some numbers for each string.
 4. Suffixes with a common prefix of ``length`` or more are one class; its least doc_id goes back
    to the texts, where the windows' bytes are removed.
 
@@ -25,7 +26,6 @@ and doc_id are judged alike. Extra columns aren't read. An empty table gives no
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import zlib
 
 import numpy as np
@@ -37,7 +37,10 @@ from tessera.llm.minhash import mix
 
 K = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SALT = np.uint64(0x5851F42D4C957F2D)
+_SHIFT = np.uint32(15)
+_RANDOM = mix(np.arange(1, 321, dtype=np.uint64) * np.uint64(_BASE))
+_BYTES = (_RANDOM[:256] >> np.uint64(32)).astype(np.uint32)
+_DOUBLE, _TAIL = ((_RANDOM[a : a + 32] >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for a in (256, 288))
 
 
 class Names:
@@ -45,7 +48,8 @@ class Names:
 
     def __init__(self, length: int, block: int = 1 << 19):
         self.length, self.block = length, block
-        self.width = length - K + 1
+        self.k = min(K, length)
+        self.width = length - self.k + 1
         powers = np.full(block + length + 1, _BASE, np.uint64)
         powers[0] = 1
         self.up = np.multiply.accumulate(powers)
@@ -59,17 +63,36 @@ class Names:
             return np.zeros(0, np.uint32)
         return np.concatenate([self._some(data[a : a + self.block + self.length - 1]) for a in range(0, n, self.block)])
 
-    def _some(self, data: np.ndarray) -> np.ndarray:
+    def prints(self, data: np.ndarray) -> np.ndarray:
+        """A hash of all bytes of every window."""
+        n = max(0, len(data) - self.length + 1)
+        return np.concatenate([np.zeros(0, np.uint64), *(mix(self._grams(data[a : a + self.block + self.length - 1], self.length)) for a in range(0, n, self.block))])
+
+    def _grams(self, data: np.ndarray, k: int) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=total[1:])
-        grams = (total[K:] - total[:-K]) * self.down[: len(data) - K + 1]
-        h = (mix(grams ^ _SALT) >> np.uint64(32)).astype(np.uint32)
-        done, low = 1, h
+        return (total[k:] - total[:-k]) * self.down[: len(data) - k + 1]
+
+    def _some(self, data: np.ndarray) -> np.ndarray:
+        # hashes of 1, 2, 4 ... bytes: two neighbours of one width make one of twice the width
+        h, have, rest, n = _BYTES[data], 1, None, 0
+        for bit in range(self.k.bit_length()):
+            if self.k >> bit & 1:
+                rest, n = (h, have) if rest is None else (rest[: len(h) - n] * _TAIL[bit] + h[n:] if n else h, n + have)
+                rest ^= rest >> _SHIFT
+            if have * 2 <= self.k:
+                h = h[:-have] * _DOUBLE[bit] + h[have:]
+                h ^= h >> _SHIFT
+                have *= 2
+        low = rest[: len(data) - self.k + 1] * _TAIL[31]
+        low ^= low >> _SHIFT
+        low *= _DOUBLE[31]
+        done = 1
         while done * 2 <= self.width:
             low = np.minimum(low[:-done], low[done:])
             done *= 2
-        if rest := self.width - done:
-            low = np.minimum(low[: len(low) - rest], low[rest:])
+        if more := self.width - done:
+            low = np.minimum(low[: len(low) - more], low[more:])
         return low
 
 
@@ -136,76 +159,181 @@ def strings_of(coder: Names, texts: list[bytes], known: np.ndarray, hot: np.ndar
     return data, starts, begin, windows, name
 
 
-class Sequence:
-    """Bytes in memory, or beyond a limit in a file; get() reads all of it."""
+class Store:
+    """Rows of the transform, read in blocks from the first to the last while the next state is written.
 
-    def __init__(self, limit: int, folder: str):
-        self.limit, self.folder, self.n, self.held = limit, folder, 0, None
+    A row is a symbol, the common prefix with the row before and a window's number (or -1). Up
+    to ``limit`` rows lie in memory, more in files of ``folder``, a path that pyarrow opens.
+    """
 
-    def put(self, data: np.ndarray) -> None:
-        if len(data) <= self.limit:
-            self.held = data
+    KINDS = [("symbol", "u1"), ("prefix", "<u2"), ("window", "<i4")]
+
+    def __init__(self, limit: int, block: int, folder: str | None):
+        self.limit, self.block, self.folder = limit, block, folder
+        self.files = self.base = None
+        self.n, self.turns, self.held, self.at = 0, 0, [], None
+
+    def _path(self, turn: int, name: str) -> str:
+        return f"{self.base}-{turn % 2}-{name}"
+
+    def write(self, rows: int, blocks) -> None:
+        """The next state has so many rows, which blocks yields as triples of arrays."""
+        if rows <= self.limit or self.folder is None:
+            self.held, self.at = [x for x in blocks], None
+        else:
+            if self.files is None:
+                import uuid
+
+                from pyarrow import fs
+
+                self.files, root = fs.FileSystem.from_uri(self.folder)
+                self.base = f"{root.rstrip('/')}/tessera-rows-{uuid.uuid4().hex}"
+            turn = self.turns + 1
+            outs = [self.files.open_output_stream(self._path(turn, name)) for name, _ in self.KINDS]
+            try:
+                for x in blocks:
+                    for out, part, (_, kind) in zip(outs, x, self.KINDS):
+                        out.write(part.astype(kind, copy=False).data)
+            finally:
+                for out in outs:
+                    out.close()
+            self.held, self.at, self.turns = [], turn, turn
+        self.n = rows
+
+    def read(self):
+        if self.at is None:
+            yield from self.held
             return
-        self.n += 1
-        self.held = f"{self.folder}/{id(self)}-{self.n % 2}"
-        data.tofile(self.held)
-
-    def get(self) -> np.ndarray:
-        return np.fromfile(self.held, np.uint8) if isinstance(self.held, str) else self.held
-
-
-def column_wise(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, in_memory: int = 1 << 26):
-    """(transform, common prefixes) of the strings' suffixes, ends first; 0 stands for an end.
-
-    flat holds symbols of at least 1. The ends come first, in the strings' order; after round j
-    all suffixes of up to j symbols are in their places.
+        ins = [self.files.open_input_stream(self._path(self.at, name)) for name, _ in self.KINDS]
+        try:
+            for a in range(0, self.n, self.block):
+                n = min(self.block, self.n - a)
+                yield tuple(np.frombuffer(x.read(n * np.dtype(kind).itemsize), kind) for x, (_, kind) in zip(ins, self.KINDS))
+        finally:
+            for x in ins:
+                x.close()
+
+    def drop(self) -> None:
+        for turn in range(2 if self.files is not None else 0):
+            for name, _ in self.KINDS:
+                path = self._path(turn, name)
+                if self.files.get_file_info(path).is_file:
+                    self.files.delete_file(path)
+
+
+def column_wise(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int, in_memory: int = 1 << 24, folder: str | None = None, block: int = 1 << 18) -> Store:
+    """The transform of the strings' suffixes: ends first, in the strings' order, symbol 0 before a whole string.
+
+    flat holds symbols of at least 1. After round j all suffixes of up to j symbols are in
+    their places. A round reads the rows twice, from the first to the last: for the ranks and
+    common prefixes of the suffixes that are new, and to write them between the others. What it
+    holds besides a block is a few numbers for each string and each symbol.
     """
     m = len(begin)
     end = begin + size
-    with tempfile.TemporaryDirectory() as folder:
-        text, prefix = Sequence(in_memory, folder), Sequence(in_memory, folder)
-        text.put(np.where(size > 0, flat[np.maximum(end - 1, 0)], 0).astype(np.uint8))
-        prefix.put(np.zeros(m, np.uint8))
-        place = np.arange(m)
-        for j in range(1, int(size.max(initial=0)) + 1):
-            now, common = text.get(), prefix.get()
-            slot = np.full(len(now), -1, np.int32)
-            live = size >= j
-            slot[place[live]] = np.flatnonzero(live)
-            order = np.argsort(now, kind="stable")[int((now == 0).sum()) :]
-            who = slot[order]
-            fresh = np.flatnonzero(who >= 0)
-            # a new suffix and the one after it get their common prefix with the one before
-            asked = np.zeros(len(order) + 1, bool)
-            asked[fresh] = asked[fresh + 1] = True
-            asked[0] = False
-            ask = np.flatnonzero(asked[:-1])
-            same = now[order[ask]] == now[order[ask - 1]]
-            ask_same = ask[same]
-            lows = _range_min(common, order[ask_same - 1] + 1, order[ask_same] + 1)
-            made = np.zeros(len(order), np.uint8)
-            made[ask_same] = np.minimum(lows, 254) + 1
-            total = m + len(order)
-            old = np.ones(total, bool)
-            old[m + fresh] = False
-            out, out_common = np.empty(total, np.uint8), np.empty(total, np.uint8)
-            out[old], out_common[old] = now, common
-            strings = who[fresh]
-            before = end[strings] - j - 1
-            out[m + fresh] = np.where(size[strings] > j, flat[np.maximum(before, 0)], 0)
-            out_common[m + ask] = made[ask]
-            out_common[m + fresh] = made[fresh]
-            place[strings] = m + fresh
-            text.put(out)
-            prefix.put(out_common)
-        return text.get(), prefix.get()
+    windows = np.maximum(size - length + 1, 0)
+    first = np.cumsum(windows) - windows
+    store = Store(in_memory, block, folder)
+    last = np.where(size > 0, flat[np.maximum(end - 1, 0)], 0).astype(np.uint8)
+    store.write(m, ((last[a : a + block], np.zeros(len(last[a : a + block]), np.uint16), np.full(len(last[a : a + block]), -1, np.int32)) for a in range(0, m, block)))
+    total = np.bincount(last, minlength=256)
+    who = np.flatnonzero(size > 0)
+    place = who.copy()
+    for j in range(1, int(size.max(initial=0)) + 1):
+        total[0] = 0
+        at, common, string = _ranks(store, place, who, m + np.cumsum(total) - total)
+        order = np.argsort(at)
+        at, common, string = at[order], common[order], string[order]
+        fresh = string >= 0
+        place, who, low = at[fresh], string[fresh], common[fresh]
+        symbol = np.where(size[who] > j, flat[np.maximum(end[who] - j - 1, 0)], 0).astype(np.uint8)
+        window = np.where(j >= length, first[who] + size[who] - j, -1).astype(np.int32)
+        old = Store(0, block, None)
+        old.__dict__.update(store.__dict__)
+        store.write(old.n + len(place), _merged(old, place, symbol, low, window, at[~fresh], common[~fresh]))
+        total += np.bincount(symbol, minlength=256)
+        live = size[who] > j
+        place, who = place[live], who[live]
+    return store
+
+
+def _ranks(store: Store, place: np.ndarray, who: np.ndarray, start: np.ndarray):
+    """(place, common prefix, string or -1) of the new suffixes and of those that follow one, from the rows so far.
+
+    place (ascending) holds the rows whose symbols are inserted, start each symbol's first place.
+    The suffix that a row's symbol begins ranks after those of the symbol's earlier rows; its
+    common prefix with the one before is one more than the least prefix since that row.
+    """
+    met, least, new = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, bool)
+    out, base = [], 0
+    for symbols, prefix, _ in store.read():
+        n = len(symbols)
+        lo, hi = np.searchsorted(place, [base, base + n])
+        string = np.full(n, -1, np.int64)
+        string[place[lo:hi] - base] = who[lo:hi]
+        order = np.argsort(symbols, kind="stable")
+        counts = np.bincount(symbols, minlength=256)
+        order = order[counts[0] :]
+        counts[0] = 0
+        present = np.flatnonzero(counts)
+        heads = (np.cumsum(counts) - counts)[present]
+        tails = heads + counts[present] - 1
+        fresh = string[order] >= 0
+        asked = fresh.copy()
+        asked[1:] |= fresh[:-1]
+        asked[heads] = fresh[heads] | new[present]
+        ask = np.flatnonzero(asked)
+        s = symbols[order[ask]]
+        rank = start[s] + met[s] + ask - (np.cumsum(counts) - counts)[s]
+        common = np.zeros(len(ask), np.int64)
+        opens = np.zeros(len(order) + 1, bool)
+        opens[heads] = True
+        inner = ~opens[ask]
+        common[inner] = 1 + _range_min(prefix, order[ask[inner] - 1] + 1, order[ask[inner]] + 1)
+        if not inner.all():
+            reach = np.minimum.accumulate(prefix)[order[ask[~inner]]]
+            c = s[~inner]
+            common[~inner] = np.where(met[c] > 0, 1 + np.minimum(least[c], reach), 0)
+        out.append((rank, common, string[order[ask]]))
+        least = np.minimum(least, int(prefix.min(initial=65535)))
+        since = np.append(np.minimum.accumulate(prefix[::-1])[::-1].astype(np.int64), 1 << 16)
+        least[present] = since[order[tails] + 1]
+        new[present] = fresh[tails]
+        met += counts
+        base += n
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+
+
+def _merged(old: Store, place, symbol, low, window, changed, common):
+    """The rows with new ones at their places, and with changed common prefixes."""
+    before = place - np.arange(len(place))  # rows ahead of each
+    base = 0
+    for symbols, prefix, windows in old.read():
+        n = len(symbols)
+        lo = np.searchsorted(before, base)
+        hi = len(place) if base + n == old.n else np.searchsorted(before, base + n)
+        a = base + lo
+        rows = n + int(hi - lo)
+        put = place[lo:hi] - a
+        stay = np.ones(rows, bool)
+        stay[put] = False
+        made = []
+        for x, y in ((symbols, symbol), (prefix, low), (windows, window)):
+            z = np.empty(rows, x.dtype)
+            z[stay], z[put] = x, y[lo:hi]
+            made.append(z)
+        c, d = np.searchsorted(changed, [a, a + rows])
+        made[1][changed[c:d] - a] = common[c:d]
+        for x in range(0, rows, old.block):
+            yield tuple(y[x : x + old.block] for y in made)
+        base += n
 
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(values[lo:hi]) for each pair, from minima over doubled spans."""
-    out = np.empty(len(lo), np.uint8)
+    out = np.empty(len(lo), values.dtype)
     level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-    by = np.argsort(level, kind="stable")
+    by = np.argsort(level.astype(np.uint8), kind="stable")
     bounds = np.searchsorted(level[by], np.arange(int(level.max(initial=-1)) + 2))
     span = values
     for k in range(len(bounds) - 1):
@@ -218,27 +346,46 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def least_owner(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int, in_memory: int = 1 << 26) -> np.ndarray:
+def least_owner(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int, in_memory: int = 1 << 24, folder: str | None = None, block: int = 1 << 18) -> np.ndarray:
     """For every window of every string, in order, the least owner of a string that holds it."""
-    text, common = column_wise(flat, begin, size, in_memory)
-    step = np.empty(len(text), np.int32)
-    order = np.argsort(text, kind="stable")[int((text == 0).sum()) :]
-    m = len(begin)
-    step[order] = m + np.arange(len(order), dtype=np.int32)
-    windows = size - length + 1
-    first = np.cumsum(windows) - windows
-    ranks = np.empty(int(windows.sum()), np.int64)
-    place = np.arange(m)
-    for j in range(1, int(size.max(initial=0)) + 1):
-        live = np.flatnonzero(size >= j)
-        place[live] = step[place[live]]
-        if j >= length:
-            ranks[first[live] + size[live] - j] = place[live]
-    where = np.full(len(text), np.iinfo(np.int64).max)
-    where[ranks] = np.repeat(owner, windows)
-    heads = np.flatnonzero(common < length)
-    least = np.minimum.reduceat(where, heads)
-    return least[np.searchsorted(heads, ranks, "right") - 1]
+    windows = np.maximum(size - length + 1, 0)
+    of = np.repeat(owner, windows)
+    kind = np.zeros(len(of), np.int64)
+    store = column_wise(flat, begin, size, length, in_memory, folder, block)
+    try:
+        least, n = [np.full(1, np.iinfo(np.int64).max)], 0
+        for _, prefix, window in store.read():
+            head = prefix < length  # a class goes on over the end of a block
+            some = window >= 0
+            mine = n + np.cumsum(head)[some]
+            kind[window[some]] = mine
+            made = np.full(int(head.sum()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(made, mine - n, of[window[some]])
+            least[-1][-1] = min(least[-1][-1], made[0])
+            least.append(made[1:]) if len(made) > 1 else None
+            n += len(made) - 1
+    finally:
+        store.drop()
+    return np.concatenate(least)[kind]
+
+
+def repeated_parts(strings: list[bytes], coder: Names):
+    """(parts, string, start in it, windows) for the runs of windows whose bytes may be in two places: a candidate search by 64-bit hashes."""
+    data, starts, _, inside = joined(strings, coder.length)
+    prints = coder.prints(data)
+    at = np.flatnonzero(inside)
+    order = np.argsort(prints[at], kind="stable")
+    s = prints[at][order]
+    twin = np.zeros(len(s) + 1, bool)
+    twin[1:-1] = s[1:] == s[:-1]
+    good = np.zeros(len(inside) + 1, bool)
+    good[at[order]] = twin[:-1] | twin[1:]
+    edge = np.diff(good[: len(inside)].astype(np.int8), prepend=0, append=0)
+    a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    string = np.searchsorted(starts, a, "right") - 1
+    raw = data.tobytes()
+    parts = [raw[x : y + coder.length - 1] for x, y in zip(a.tolist(), z.tolist())]
+    return parts, string, a - starts[string], z - a
 
 
 def _pack(**arrays) -> bytes:
@@ -253,6 +400,17 @@ def _unpack(raw: bytes) -> dict:
     return pickle.loads(raw)
 
 
+def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] of them, and so on."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _shared(names: np.ndarray) -> np.ndarray:
+    """Where names occur that occur twice."""
+    _, of, often = np.unique(names, return_inverse=True, return_counts=True)
+    return np.flatnonzero(often[of] > 1)
+
+
 def _groups(batches, of: int):
     """Runs of rows with one value in a column, from batches in that column's order."""
     key, held = None, []
@@ -268,12 +426,15 @@ def _groups(batches, of: int):
         yield key, held
 
 
-def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory: int = 1 << 26, hot: int = 1 << 14) -> tuple[DataFrame, DataFrame, list[str]]:
+def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory: int = 1 << 24, hot: int = 1 << 14) -> tuple[DataFrame, DataFrame, list[str]]:
     """(sha, rep) of distinct texts; (rep, s, n_removed, n_spans, kept_sha256, kept) of those that lose bytes; the paths of both."""
     import pyarrow as pa
 
+    if not 1 <= length <= 1 << 14:
+        raise ValueError("strings have 1 to 16384 bytes")
     spark = util.settle(docs.sparkSession)
     own = _own(docs)
+    folder = util.shared_dir(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts, first_path = util.staged(own.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("rep")), "first")
 
@@ -295,7 +456,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     firsts_k = firsts.select(F.col("sha").alias("s"), "rep")
     names = names.join(firsts_k, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("rep", "sha", "names")
     parts = max(shuffles, util.parts(docs, 8))
-    groups = parts * 24
+    groups = parts * 12
 
     def chunked(batches):
         util.lean()
@@ -439,15 +600,17 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
         for batch in batches:
             for chunk, who, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 *_, strings, least, name, group, order = opened(who, raw)
-                cut = np.flatnonzero(np.diff(group[order], prepend=-1)).tolist()
-                for a, z in zip(cut, [*cut[1:], len(order)]):
-                    some = order[a:z]
-                    blob = _pack(sizes=np.array([len(strings[i]) for i in some], np.uint16), least=least[some], names=name[some], flat=b"".join([strings[i] for i in some]))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(group[some[0]])], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["grp", "chunk", "blob"])
+                cut = np.flatnonzero(np.diff(group[order], prepend=-1))
+                strings = [strings[i] for i in order.tolist()]
+                sizes = np.fromiter(map(len, strings), np.uint16, len(strings))
+                least, name, ends = least[order], name[order], [*cut[1:].tolist(), len(order)]
+                blobs = [_pack(sizes=sizes[a:z], least=least[a:z], names=name[a:z], flat=b"".join(strings[a:z])) for a, z in zip(cut.tolist(), ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(group[order][cut], pa.int32()), pa.array(np.full(len(cut), chunk)), pa.array(blobs, pa.binary())], names=["grp", "chunk", "blob"])
 
     # 3: suffixes of each group
     def ordered(batches):
         util.lean()
+        coder = Names(length)
         for group, rows in _groups(batches, 0):
             index: dict = {}
             least: list[int] = []
@@ -473,13 +636,28 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
             owner = np.array(least, np.int64)
             low = np.repeat(owner, windows)
             # equal windows have equal names: where only one string has a name, its owner stands
-            _, of, often = np.unique(np.array(named, np.uint32), return_inverse=True, return_counts=True)
-            many = np.flatnonzero(often[of] > 1)
+            many = _shared(np.array(named, np.uint32))
             if len(many):
-                # symbols are at least 1; the 256th would not fit, and no UTF-8 text holds byte 255
-                flat = np.frombuffer(b"".join([strings[i] for i in many.tolist()]), np.uint8) + np.uint8(1)
-                found = least_owner(flat, np.cumsum(sizes[many]) - sizes[many], sizes[many], owner[many], length, in_memory)
-                low[np.repeat(first[many] - (np.cumsum(windows[many]) - windows[many]), windows[many]) + np.arange(len(found))] = found
+                parts_of, string, start, wide = repeated_parts([strings[i] for i in many.tolist()], coder)
+                string = many[string]
+                uniq: dict = {}
+                which = np.array([uniq.setdefault(x, len(uniq)) for x in parts_of], np.int64)
+                own = np.full(len(uniq), np.iinfo(np.int64).max)
+                np.minimum.at(own, which, owner[string])
+                size = np.array([len(x) for x in uniq], np.int64)
+                of_name = np.zeros(len(uniq), np.uint32)
+                of_name[which] = np.array(named, np.uint32)[string]
+                span = size - length + 1
+                before = np.cumsum(span) - span
+                found = np.repeat(own, span)
+                again = _shared(of_name)
+                if len(again):
+                    # symbols are at least 1; no UTF-8 text holds byte 255
+                    texts_of = list(uniq)
+                    flat = np.frombuffer(b"".join([texts_of[i] for i in again.tolist()]), np.uint8) + np.uint8(1)
+                    got = least_owner(flat, np.cumsum(size[again]) - size[again], size[again], own[again], length, in_memory, folder)
+                    found[_spans(before[again], span[again])] = got
+                low[_spans(first[string] + start, wide)] = found[_spans(before[which], wide)]
             # runs of equal owners, string by string
             head = np.ones(len(low), bool)
             head[1:] = low[1:] != low[:-1]
@@ -497,7 +675,8 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([group] * len(rows), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "grp", "raw"])
 
     strings = texts.mapInArrow(cut_out, "grp int, chunk long, blob binary").repartition(parts, "grp").sortWithinPartitions("grp", "chunk")
-    answers = strings.mapInArrow(ordered, "chunk long, grp int, raw binary")
+    # written, so that the strings' shuffle files go before the texts are dealt
+    answers, answer_path = util.staged(strings.mapInArrow(ordered, "chunk long, grp int, raw binary"), "answers")
 
     # 4: back to the texts
     def applied(batches):
@@ -539,7 +718,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     both = texts.select("chunk", F.lit(-1).alias("grp"), "who", F.col("texts").alias("raw")).unionByName(answers.select("chunk", "grp", F.lit(None).cast("binary").alias("who"), "raw"))
     done = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "grp").mapInArrow(applied, "rep long, s binary, n_removed long, n_spans long, kept_sha256 string, kept string")
     done, done_path = util.staged(done, "removed")
-    util.drop(spark, text_path)
+    util.drop(spark, text_path, answer_path)
     return firsts, done, [first_path, done_path]
 
 
