@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts can be long, so far fewer than Spark's default.
-ARROW_ROWS = "512"
+#: Rows and bytes in one Arrow batch: texts can be long and staged blobs are, so far fewer than Spark's defaults.
+ARROW_ROWS, ARROW_BYTES = "512", "8m"
 
 
 def settle(spark: SparkSession) -> SparkSession:
     """Keeps Arrow batches of long texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
         return found
@@ -34,13 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it back: lineage ends at the written table."""
+    """Writes df to the shared folder and reads it back: lineage ends at the written table.
+
+    Spark's cleaner deletes shuffle files when the driver collects what refers to them, else
+    only twice an hour: the files behind a written table go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _forget(spark: SparkSession) -> None:
+    """Lets the driver collect finished plans, once listeners have seen their last events, which refer to them."""
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Exception:  # slow listeners: the files go later
+        pass
+    for _ in range(2):  # what the first pass lets go of still refers to the rest
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def result(df: DataFrame, *paths: str) -> DataFrame:
     """The final rows, checkpointed in the shared folder; the staged tables behind them go."""
     shared_dir(df.sparkSession)
