@@ -400,6 +400,13 @@ def _unpack(raw: bytes) -> dict:
     return pickle.loads(raw)
 
 
+def _group(names: np.ndarray, groups: int) -> np.ndarray:
+    """Names are least hashes, so most are small: they are mixed again before they are dealt."""
+    x = names.astype(np.uint32) * _DOUBLE[0]
+    x ^= x >> _SHIFT
+    return (((x * _TAIL[0]).astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
+
+
 def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... n[0] of them, and so on."""
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -487,7 +494,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = np.frombuffer(raw, "<u4")
-                group = ((values.astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
+                group = _group(values, groups)
                 order = np.argsort(group, kind="stable")
                 cut = np.flatnonzero(np.diff(group[order], prepend=-1))
                 ends = [*cut[1:].tolist(), len(order)]
@@ -525,7 +532,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
         util.lean()
         for _, rows in _groups(batches, 0):
             who, values = _unpack(rows[0][2]), np.frombuffer(rows[0][3], "<u4")
-            group = ((values.astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
+            group = _group(values, groups)
             order = np.argsort(group, kind="stable")
             hit, many, at = np.zeros(len(values), bool), np.zeros(len(values), bool), 0
             for _, g, _, raw in rows[1:]:
@@ -591,7 +598,7 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
         one[which[::-1]] = np.arange(len(which))[::-1]
         least = np.full(len(index), np.iinfo(np.int64).max)
         np.minimum.at(least, which, reps)
-        group = ((name[one].astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32) if len(index) else np.zeros(0, np.int32)
+        group = _group(name[one], groups) if len(index) else np.zeros(0, np.int32)
         order = np.argsort(group, kind="stable")
         return who, each, data, starts, begin, windows, reps, which, list(index), least, name[one] if len(index) else name, group, order
 
