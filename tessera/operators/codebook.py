@@ -30,12 +30,33 @@ def two_level(rows: DataFrame, coarse: int, fine: int, seed: int = 42) -> DataFr
     return second.select("item", "l0", F.col("code").alias("l1"))
 
 
-def cross_validated(features: DataFrame, columns: list[str], fold: str, trees: int, depth: int, folds: int) -> DataFrame:
-    """fold, item columns and score: each fold is scored by a model of the others."""
-    data = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(features)
-    out = None
+def multimodal(rows: DataFrame, parts: list, coarse: int, fine: int, seed: int = 42) -> DataFrame:
+    """item, l0, l1: several parts of a vector (columns of item rows), each scaled to length 1 and side by side, in two levels of unit vectors and unit residuals."""
+    joint = vector.unit(F.concat(*[vector.unit(p) for p in parts]))
+    first, centres = assign(rows.select("item", joint.alias("v")), coarse, seed)
+    left = first.join(F.broadcast(centres), "code").select("item", F.col("code").alias("l0"), vector.unit(vector.residual(F.col("v"), F.col("c"))).alias("v"))
+    second, _ = assign(left, fine, seed + 1)
+    return second.select("item", "l0", F.col("code").alias("l1"))
+
+
+def boosted(data: DataFrame, trees: int, depth: int):
+    return GBTRegressor(featuresCol="_x", labelCol="label", predictionCol="score", maxIter=trees, maxDepth=depth, seed=7).fit(data)
+
+
+def assembled(features: DataFrame, columns: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(features)
+
+
+def ranker(features: DataFrame, columns: list[str], fold: str, folds: int, trees: int, depth: int):
+    """(scored, rounds, model): each fold scored by the model of the others, the best round of each fold by its own
+    loss, and a model of all rows with the mean of the best rounds."""
+    data = assembled(features, columns)
+    out, rounds = None, []
     for i in range(folds):
-        model = GBTRegressor(featuresCol="_x", labelCol="label", predictionCol="score", maxIter=trees, maxDepth=depth, seed=7).fit(data.where(F.col(fold) != i))
-        one = model.transform(data.where(F.col(fold) == i)).drop("_x")
+        held = data.where(F.col(fold) == i)
+        model = boosted(data.where(F.col(fold) != i), trees, depth)
+        loss = model.evaluateEachIteration(held, "squared")
+        rounds.append(1 + min(range(len(loss)), key=loss.__getitem__))
+        one = model.transform(held).drop("_x")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out, rounds, boosted(data, max(1, round(sum(rounds) / len(rounds))), depth)

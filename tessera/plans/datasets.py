@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import ranking, vector
 from tessera.operators import codebook, cooccur, metrics, retrieval
 from tessera.plans.base import CAT, EPLAYS, PLAYS, PRED, TURNS, VECS, query
-from tessera.plans.joins import CENT,  predictions
+from tessera.plans.joins import CENT, predictions
 from tessera.plans.windows import LIST, lists
 from tessera.sources import tables as t
+from tessera.sources.staging import kept
 from tessera.streaming import sessions
 
 
@@ -21,13 +22,9 @@ def j1(spark, d):
 
 @query("j2_projected_codes")
 def j2(spark, d):
-    """Principal components, then k-means on the projections."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    x = t.vectors(spark, d).select("item", array_to_vector(vector.unit(F.col("v"))).alias("x"))
-    small = PCA(k=16, inputCol="x", outputCol="y").fit(x).transform(x).select("item", vector_to_array("y").alias("v"))
-    return codebook.two_level(small, 8, 8)
+    """Two modalities, the vector's halves: each scaled by itself, then coded together."""
+    v = F.col("v")
+    return codebook.multimodal(t.vectors(spark, d), [F.slice(v, 1, 32), F.slice(v, 33, 32)], 8, 8)
 
 
 @query("j3_flat_codes")
@@ -75,29 +72,62 @@ def j13(spark, d):
     return c.withColumn("n", n).where("n <= 20").select("item", "code")
 
 
-def _ranker(spark, d, trees, depth):
-    cols = ["popularity", "signal", "size"]
-    rows = lists(spark, d).select("query", "item", (F.col("rank") == 1).cast("double").alias("label"), "popularity", ranking.rank_signal(F.col("rank") - 1).alias("signal"), F.col("size").cast("double").alias("size"), (F.col("query") % 2).cast("int").alias("fold"))
-    return codebook.cross_validated(rows, cols, "fold", trees, depth, 2)
+#: a prefix of the feature columns, as older models read them
+PREFIX = 12
+
+
+def _rows(spark, d):
+    """Feature rows with folds by turn; written, as every fold reads them."""
+    from tessera.plans.features import COLUMNS, matrix
+
+    rows = matrix(spark, d).select("query", "item", F.col("label").cast("double").alias("label"), *COLUMNS[:PREFIX])
+    return kept(rows.withColumn("fold", (F.floor(F.col("query") / 20) % 2).cast("int"))), COLUMNS[:PREFIX]
 
 
 @query("j15_boosted_ranker")
 def j15(spark, d):
-    return _ranker(spark, d, 3, 3).select("query", "item", "score")
+    """Scores of held-out turns; the model itself is refitted at the mean of the folds' best rounds."""
+    rows, columns = _rows(spark, d)
+    scored, _, model = codebook.ranker(rows, columns, "fold", 2, 6, 3)
+    final = model.transform(codebook.assembled(rows, columns)).select("query", "item", F.col("score").alias("final_score"))
+    return scored.select("query", "item", "score").join(final, ["query", "item"])
 
 
 @query("i15_tree_scoring")
 def i15(spark, d):
-    return retrieval.top_k(_ranker(spark, d, 2, 2), ["query"], 20).select("query", "item", "rank")
+    """A saved model, loaded again, scores the columns it was trained on; the best 20 of each turn."""
+    from pyspark.ml.regression import GBTRegressionModel
+
+    from tessera.plans.scans import _temp
+
+    rows, columns = _rows(spark, d)
+    at = f"{_temp(spark)}/model"
+    codebook.boosted(codebook.assembled(rows, columns), 4, 3).write().save(at)
+    model = GBTRegressionModel.load(at)
+    if model.numFeatures != len(columns):
+        raise ValueError("the model was trained on other columns")
+    scored = model.transform(codebook.assembled(rows, columns)).withColumn("score", F.round("score", 9))
+    return retrieval.top_k(scored, ["query"], 20).select("query", "item", "rank")
+
+
+#: depth and trees of the ten points
+GRID = [(depth, trees) for depth in (1, 2, 3, 4, 5) for trees in (2, 4)]
 
 
 @query("j16_ranker_sweep")
 def j16(spark, d):
+    """The gain of held-out turns at each point of a grid."""
+    rows, columns = _rows(spark, d)
+    data = codebook.assembled(rows, columns).cache()
     out = None
-    for depth in (1, 2):
-        ranks = retrieval.top_k(_ranker(spark, d, 2, depth), ["query"], 20).where("label = 1")
-        one = ranks.agg(F.avg(ranking.ndcg(F.col("rank"))).alias("ndcg")).withColumn("depth", F.lit(depth))
+    for depth, trees in GRID:
+        scored = codebook.boosted(data.where("fold = 0"), trees, depth).transform(data.where("fold = 1")).drop("_x")
+        ranks = retrieval.top_k(scored.withColumn("score", F.round("score", 9)), ["query"], 20)
+        one = ranks.agg(F.round(F.sum(F.when(F.col("label") == 1, ranking.ndcg(F.col("rank"))).otherwise(0.0)) / F.greatest(F.count_distinct("query"), F.lit(1)), 6).alias("ndcg"))
+        one = one.select("ndcg", F.lit(depth).alias("depth"), F.lit(trees).alias("trees"))
         out = one if out is None else out.unionByName(one)
+    out = kept(out)
+    data.unpersist()
     return out
 
 
@@ -128,26 +158,6 @@ def m2(spark, d):
     return out
 
 
-@query("m5_list_folds")
-def m5(spark, d):
-    return metrics.distinct_2(t.turns(spark, d))
-
-
-@query("i16_network_scoring")
-def i16(spark, d):
-    """Standardised columns into a small network; the probability of the first class is the score."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = lists(spark, d).select("query", "item", (F.col("rank") == 1).cast("double").alias("label"), "popularity", F.col("size").cast("double").alias("size"))
-    m = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("popularity", "size") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = rows.crossJoin(F.broadcast(m)).select("query", "item", "label", *[((F.col(c) - F.col(f"m_{c}")) / (F.col(f"s_{c}") + 1e-8)).alias(c) for c in ("popularity", "size")])
-    x = VectorAssembler(inputCols=["popularity", "size"], outputCol="x").transform(z)
-    model = MultilayerPerceptronClassifier(layers=[2, 4, 2], seed=7, maxIter=10, featuresCol="x").fit(x)
-    return model.transform(x).select("query", "item", vector_to_array("probability")[1].alias("score"))
-
-
 @query("m6_generator_rows", "SELECT item, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS at FROM cat", CAT)
 def m6(spark, d):
     return t.catalog(spark, d).select("item", F.posexplode("tags").alias("at", "tag")).select("item", "tag", F.col("at").cast("long").alias("at"))
@@ -171,3 +181,32 @@ def l1(spark, d):
     """Event counts and sums by ten-minute window and type, from the stream alone."""
     rows = sessions.windowed(spark, d)
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_USED = r"list_reduce(list_prepend({'used': 0::BIGINT, 't': ''}, parts), lambda a, x: CASE WHEN a.used + len(string_split_regex(x.t, '\s+')) <= 60 THEN {'used': a.used + len(string_split_regex(x.t, '\s+')), 't': ''} ELSE a END).used"
+
+
+@query("m5_list_folds", f"SELECT session, round(mean_chars, 6) AS mean_chars, {_USED} AS packed_words FROM (SELECT session, avg(length(text)) AS mean_chars, list({{'used': 0::BIGINT, 't': text}} ORDER BY turn DESC, text DESC) AS parts FROM turns GROUP BY 1)", TURNS)
+def m5(spark, d):
+    """Folds over a session's texts, the latest first: a mean with its own merge and finish, and a greedy packing."""
+    texts = F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]))
+    rows = t.turns(spark, d).groupBy("session").agg(texts.alias("parts"))
+    mean = F.aggregate("parts", F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")), lambda a, x: F.struct((a["total"] + F.length(x)).alias("total"), (a["n"] + 1).alias("n")), lambda a: a["total"] / a["n"])
+    words = lambda x: F.size(F.split(x, r"\s+")).cast("long")
+    packed = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: F.when(a + words(x) <= 60, a + words(x)).otherwise(a))
+    return rows.select("session", F.round(mean, 6).alias("mean_chars"), packed.alias("packed_words"))
+
+
+@query("i16_network_scoring")
+def i16(spark, d):
+    """Columns standardised by the training turns go into a small network; the probability of the first class scores the other turns."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    rows, columns = _rows(spark, d)
+    train = rows.where("fold = 0")
+    m = train.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
+    z = rows.crossJoin(F.broadcast(m)).select("query", "item", "label", "fold", *[((F.col(c) - F.col(f"m_{c}")) / (F.col(f"s_{c}") + 1e-8)).alias(c) for c in columns])
+    x = codebook.assembled(z, columns)
+    model = MultilayerPerceptronClassifier(layers=[len(columns), 6, 2], seed=7, maxIter=10, featuresCol="_x").fit(x.where("fold = 0"))
+    return model.transform(x.where("fold = 1")).select("query", "item", vector_to_array("probability")[1].alias("score"))
