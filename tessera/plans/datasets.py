@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ranking, vector
-from tessera.operators import codebook, cooccur, metrics, retrieval
+from tessera.operators import codebook, cooccur, retrieval
 from tessera.plans.base import CAT, EPLAYS, PLAYS, PRED, TURNS, VECS, query
-from tessera.plans.joins import CENT, predictions
+from tessera.plans.joins import CENT
 from tessera.plans.windows import LIST, lists
 from tessera.sources import tables as t
 from tessera.sources.staging import kept

@@ -1,4 +1,4 @@
-"""Names in texts and what follows from them: C10, I3, B19; training sets from the pool: J9, J11, J14; C17."""
+"""Names in texts and what follows from them: C10, I3, B19, H12; training sets from the pool: J9, J11, J14; C17."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from tessera.operators import pool, retrieval
 from tessera.plans.base import CAT, TURNS, query
 from tessera.plans.features import _FACTS, FUSED, MESSAGES, _fused, facts, messages
 from tessera.plans.joins import gold
-from tessera.plans.pooling import AGAIN, MORE, POOL, SIGNALS, WORLD, World, _of
+from tessera.plans.pooling import AGAIN, MORE, POOL, SIGNALS, WORLD, World, _of, asked
 from tessera.plans.scalars import QUOTED, sql_text
 from tessera.sources import tables as t
 
@@ -114,3 +114,36 @@ def j14(spark, d):
     rows = rows.where("rank IN (1, 5)").withColumn("response", F.format_string('I recommend "%s" by %s.', "name", "artist"))
     at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
     return rows.groupBy("query").agg(at(1, "item").alias("chosen"), at(5, "item").alias("rejected"), at(1, "response").alias("chosen_response"), at(5, "response").alias("rejected_response")).where("rejected IS NOT NULL")
+
+
+#: why a turn's item is or isn't reached, by its places in the whole lists of two vector spaces (a, c) and of BM25 (b); the first that holds
+REACH = [("history_len = 1", "cold_start"), ("named AND b IS NULL", "entity_link_gap"), ("a <= 0.06 * n", "mid_range_tt"), ("coalesce(b, n) < 0.02 * n AND a > 0.1 * n", "bm25_only"), ("a > 0.1 * n AND c > 0.1 * n", "truly_unreachable")]
+
+
+def _place_sql(space: str) -> str:
+    return f"SELECT g.query, 1 + count(*) FILTER (WHERE x.s > g.s OR (x.s = g.s AND x.item < g.item)) AS place FROM (SELECT query, item, round(list_dot_product(qv.{space}, sv.{space}), 9) AS s FROM qv, sv WHERE qv.{space} IS NOT NULL) x JOIN (SELECT gd.query, sv.item, round(list_dot_product(qv.{space}, sv.{space}), 9) AS s FROM gd JOIN qv USING (query) JOIN sv ON sv.item = gold WHERE qv.{space} IS NOT NULL) g ON g.query = x.query GROUP BY 1"
+
+
+@query("h12_reach", "SELECT query, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in REACH) + " ELSE 'high_rank_tt' END AS bucket FROM (SELECT gd.query, len AS history_len, query IN (SELECT query FROM named) AS named, (SELECT count(*) FROM part) AS n, "
+    f"(SELECT place FROM ({_place_sql('tt')}) p WHERE p.query = gd.query) AS a, (SELECT rank FROM ball WHERE ball.query = gd.query AND ball.item = gold) AS b, (SELECT place FROM ({_place_sql('cf')}) p WHERE p.query = gd.query) AS c FROM gd JOIN (SELECT query, count(*) AS len FROM hs GROUP BY 1) USING (query))",
+    WORLD, MESSAGES, NAMED, "gd AS (SELECT session AS query, item AS gold FROM plays WHERE session % 20 = 0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) = 1)", "ball AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM sc)")
+def h12(spark, d):
+    w, items = World(spark, d), facts(spark, d)
+    g = gold(spark, d).select("query", "gold").join(w.h.groupBy("query").agg(F.count(F.lit(1)).alias("history_len")), "query")
+
+    def place(space: str, name: str) -> DataFrame:
+        rows = retrieval.scores(w.asking(space), w.spaced(space)).join(g.select("query", "gold"), "query")
+        mine = F.max(F.when(F.col("item") == F.col("gold"), F.col("score"))).over(Window.partitionBy("query"))
+        rows = rows.withColumn("mine", mine)
+        ahead = (F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("item") < F.col("gold")))
+        return rows.groupBy("query").agg((F.count(F.when(ahead, 1)) + 1).alias(name))
+
+    ranked = retrieval.bm25(asked(w.h, spark, d), w.docs, 1 << 30)
+    ranked = ranked.select("query", F.col("item").alias("gold"), F.col("rank").alias("b"))
+    said = found.mentions(messages(w.h, items).withColumnRenamed("said", "text"), _artists(items)).select("query", F.lit(True).alias("named")).distinct()
+    rows = g.join(place("tt", "a"), "query", "left").join(place("cf", "c"), "query", "left").join(ranked, ["query", "gold"], "left").join(said, "query", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    rows = rows.withColumn("n", F.lit(t.table(spark, d, "part").count()))
+    out = F.when(F.lit(False), "")
+    for cond, name in REACH:
+        out = out.when(F.expr(cond), name)
+    return rows.select("query", out.otherwise("high_rank_tt").alias("bucket"))

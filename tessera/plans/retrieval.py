@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ranking, text, vector
-from tessera.operators import cooccur, history, metrics, pool, retrieval
-from tessera.plans.base import CAT, EPLAYS, PLAYS, PRED, TURNS, VECS, query
-from tessera.plans.joins import ALL, BM25, CENT, gold, predictions
-from tessera.plans.windows import LIST, lists, ranked
+from tessera.operators import cooccur, history, retrieval
+from tessera.plans.base import CAT, PLAYS, PRED, query
+from tessera.plans.joins import BM25, predictions
+from tessera.plans.windows import LIST, lists
 from tessera.sources import tables as t
 
 ASKED = "asked AS (SELECT item_id AS query, text FROM benchmark)"

@@ -119,18 +119,6 @@ def h11(spark, d):
     return said(spark, d).select("item", text.pool_bucket(F.col("text"), F.col("item") % 2 == 0).alias("bucket"))
 
 
-REACH = [("pos = 1", "cold_start"), ("item % 11 = 0", "entity_link_gap"), ("a <= 3000", "mid_range_tt"), ("b < 1000 AND a > 5000", "bm25_only"), ("a > 5000 AND c > 5000 AND b >= 1000", "truly_unreachable")]
-
-
-@query("h12_reach", "SELECT session, pos, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in REACH) + " ELSE 'high_rank_tt' END AS bucket FROM (SELECT *, item * 7 % 9000 AS a, item * 13 % 3000 AS b, item * 17 % 9000 AS c FROM plays)", PLAYS)
-def h12(spark, d):
-    p = t.plays(spark, d).selectExpr("session", "cast(pos as long) AS pos", "item", "item * 7 % 9000 AS a", "item * 13 % 3000 AS b", "item * 17 % 9000 AS c")
-    out = F.when(F.lit(False), "")
-    for cond, name in REACH:
-        out = out.when(F.expr(cond), name)
-    return p.select("session", "pos", out.otherwise("high_rank_tt").alias("bucket"))
-
-
 @query("h13_first_sentence", "SELECT item, CASE WHEN instr(text, '. ') > 0 AND instr(text, '. ') < 200 THEN substr(text, 1, instr(text, '. ')) ELSE substr(text, 1, 200) END AS x FROM said", SAID)
 def h13(spark, d):
     return said(spark, d).select("item", text.first_sentence(F.col("text")).alias("x"))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ranking, vector
+from tessera.functions import ranking
 from tessera.operators import history, metrics, pool, retrieval
-from tessera.plans.base import CAT, PLAYS, PRED, TURNS, VECS, query
+from tessera.plans.base import CAT, PLAYS, PRED, TURNS, query
 from tessera.plans.joins import ALL, gold, predictions, ranks
 from tessera.operators.ordering import numbered
 from tessera.sources import tables as t
 
-LIST = "lst AS (SELECT p.query, p.item, p.rank, c.artist, c.popularity, c.name, c.size FROM pred p JOIN cat c ON c.item = p.item WHERE p.rank <= 60)"
+LIST = "lst AS (SELECT p.query, p.item, p.rank, c.artist, c.popularity, c.name, c.size FROM pred p JOIN cat c ON c.item = p.item)"
 
 
 def lists(spark, d):
-    return predictions(spark, d, 60).join(t.catalog(spark, d).select("item", "artist", "popularity", "name", "size"), "item")
+    return predictions(spark, d).join(t.catalog(spark, d).select("item", "artist", "popularity", "name", "size"), "item")
 
 
 def ranked(df, *more, k=None):
