@@ -220,17 +220,17 @@ ALL = (WORLD, POOL, SIGNALS, FEATURES, MATRIX)
 
 
 def _rounded(columns: list[str]) -> list:
-    return [F.round(c, 9).alias(c) for c in columns]
+    return [(F.round(c, 9) + 0.0).alias(c) for c in columns]  # no negative zeros
 
 
-@query("i28_feature_matrix", "SELECT query, item, label, " + ", ".join(f"round({c}, 9) AS {c}" for c in COLUMNS) + " FROM mx", *ALL)
+@query("i28_feature_matrix", "SELECT query, item, label, " + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in COLUMNS) + " FROM mx", *ALL)
 def i28(spark, d):
     return matrix(spark, d).select("query", "item", "label", *_rounded(COLUMNS))
 
 
-@query("h28_interactions", "SELECT query, item, " + ", ".join(f"round({a} * {b}, 4) AS {n}" for a, b, n in PRODUCTS) + " FROM mx", *ALL)
+@query("h28_interactions", "SELECT query, item, " + ", ".join(f"round({a} * {b}, 4) + 0.0 AS {n}" for a, b, n in PRODUCTS) + " FROM mx", *ALL)
 def h28(spark, d):
-    return with_products(matrix(spark, d)).select("query", "item", *[F.round(n, 4).alias(n) for _, _, n in PRODUCTS])
+    return with_products(matrix(spark, d)).select("query", "item", *[(F.round(n, 4) + 0.0).alias(n) for _, _, n in PRODUCTS])
 
 
 def guarded(features: DataFrame, columns: list[str], least_rows: int, prefix: str = "sem_") -> DataFrame:
