@@ -88,7 +88,7 @@ def c7(spark, d):
     return history.shifted_feedback(t.plays(spark, d)).select("session", F.col("pos").cast("long").alias("pos"), "judged")
 
 
-@query("c8_feedback_inference", rf"""SELECT session, turn, CASE WHEN nxt IS NULL THEN '' WHEN regexp_matches(nxt, '{text.mention_pattern(text.POSITIVE).replace("'", "''")}') THEN 'MOVES_TOWARD_GOAL' WHEN regexp_matches(nxt, '{text.mention_pattern(text.NEGATIVE).replace("'", "''")}') THEN 'DOES_NOT_MOVE_TOWARD_GOAL' ELSE '' END AS label FROM (SELECT *, first_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM turns) WHERE role = 'assistant'""", TURNS)
+@query("c8_feedback_inference", rf"""SELECT session, turn, CASE WHEN nxt IS NULL THEN '' WHEN regexp_matches(regexp_replace(nxt, '[^\x00-\x7F\P{{L}}]', 'q', 'g'), '{text.mention_pattern(text.POSITIVE).replace("'", "''")}') THEN 'MOVES_TOWARD_GOAL' WHEN regexp_matches(regexp_replace(nxt, '[^\x00-\x7F\P{{L}}]', 'q', 'g'), '{text.mention_pattern(text.NEGATIVE).replace("'", "''")}') THEN 'DOES_NOT_MOVE_TOWARD_GOAL' ELSE '' END AS label FROM (SELECT *, first_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM turns) WHERE role = 'assistant'""", TURNS)
 def c8(spark, d):
     after = Window.partitionBy("session").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
     rows = t.turns(spark, d).withColumn("nxt", F.first(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(after))

@@ -27,7 +27,8 @@ def said(spark, d):
 
 
 def hit(phrases: str, column: str = "text") -> str:
-    return f"regexp_matches({column}, {sql_text(text.mention_pattern(phrases))})"
+    """A word's edge is where ASCII letters end there; other letters become one of them first."""
+    return rf"regexp_matches(regexp_replace({column}, '[^\x00-\x7F\P{{L}}]', 'q', 'g'), {sql_text(text.mention_pattern(phrases))})"
 
 
 @query("h1_normal_text", r"SELECT item, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS x FROM said", SAID)
@@ -35,7 +36,7 @@ def h1(spark, d):
     return said(spark, d).select("item", text.normal(F.col("text")).alias("x"))
 
 
-@query("h2_unicode_fold")
+@query("h2_unicode_fold", r"SELECT item, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '\bfeat\.?\s.*$', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS x FROM said", SAID)
 def h2(spark, d):
     """Marks off, brackets and "feat." out; decomposition has no built-in form, so it runs on Arrow batches."""
     @F.pandas_udf("string")

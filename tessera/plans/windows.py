@@ -11,6 +11,7 @@ from tessera.plans.base import CAT, PLAYS, PRED, TURNS, query
 from tessera.plans.joins import ALL, gold, predictions, ranks
 from tessera.operators.ordering import numbered
 from tessera.sources import tables as t
+from tessera.sources.staging import kept
 
 LIST = "lst AS (SELECT p.query, p.item, p.rank, c.artist, c.popularity, c.name, c.size FROM pred p JOIN cat c ON c.item = p.item)"
 
@@ -157,16 +158,27 @@ def _candidates(spark, d, k=20):
     return retrieval.dense(q, v, k).join(v.select("item", "v"), "item").select("query", "item", "score", "v")
 
 
-@query("f5_mmr")
+#: the greedy picks, one for each query and step; ties go to the better score, then to the smaller item
+_CAND = "RECURSIVE vecs AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), near AS (SELECT query, item, score FROM (SELECT q.item AS query, x.item, round(list_dot_product(q.v, x.v), 9) AS score FROM vecs q, vecs x WHERE q.item % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= 20), cand AS (SELECT query, item, score, list_transform(v, lambda e: e / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS rel FROM near JOIN vecs USING (item) WINDOW w AS (PARTITION BY query))"
+_PICK = """{name} AS (SELECT DISTINCT query, 0 AS n, []::BIGINT[] AS chosen FROM cand
+  UNION ALL SELECT query, n + 1, list_append(any_value(chosen), arg_max(item, {{'g': round({lam} * rel - (1 - {lam}) * near, 9), 's': score, 'i': -item}})) FROM (
+    SELECT p.query, p.n, any_value(p.chosen) AS chosen, c.item, any_value(c.rel) AS rel, any_value(c.score) AS score, coalesce(max(list_dot_product(c.u, x.u)), 0) AS near
+    FROM {name} p JOIN cand c ON c.query = p.query AND NOT list_contains(p.chosen, c.item) LEFT JOIN cand x ON x.query = p.query AND list_contains(p.chosen, x.item) WHERE p.n < 10 GROUP BY p.query, p.n, c.item) GROUP BY query, n)"""
+
+
+@query("f5_mmr", "SELECT query, unnest(chosen) AS item, generate_subscripts(chosen, 1) AS new_rank FROM p WHERE n = 10", _CAND, _PICK.format(name="p", lam=0.7))
 def f5(spark, d):
     return pool.mmr(_candidates(spark, d), 0.7, 10)
 
 
-@query("f6_mmr_sweep")
+LAMBDAS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@query("f6_mmr_sweep", " UNION ALL ".join(f"SELECT count(DISTINCT item) AS items, {lam} AS lam FROM (SELECT unnest(chosen) AS item FROM p{i} WHERE n = 10)" for i, lam in enumerate(LAMBDAS)), _CAND, *[_PICK.format(name=f"p{i}", lam=lam) for i, lam in enumerate(LAMBDAS)])
 def f6(spark, d):
-    rows = _candidates(spark, d)
+    rows = kept(_candidates(spark, d))
     out = None
-    for lam in (0.0, 0.25, 0.5, 0.75, 1.0):
+    for lam in LAMBDAS:
         one = pool.mmr(rows, lam, 10).groupBy().agg(F.count_distinct("item").alias("items")).withColumn("lam", F.lit(lam))
         out = one if out is None else out.unionByName(one)
     return out
