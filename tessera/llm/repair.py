@@ -4,7 +4,7 @@ A block holds whole documents in ascending doc_id order. Frequent adjacent id pa
 by nonterminals, round after round, until no pair occurs twice in the block; a
 document's end id is part of its last symbol only, so no rule spans two documents. A block
 stores the symbols, the rules, the length to which each rule expands and, for each document,
-the place of its first symbol: one document is decoded without the others.
+the place of its first symbol: one document, or any range of its ids, is decoded without the rest.
 
 Empty or null texts are documents with the end id alone. Rows that share a doc_id are kept, each
 as a document of its own, in order of their text's hash. An empty table gives no block. Other
@@ -22,82 +22,110 @@ from pyspark.sql import functions as F
 from tessera.llm import tokens, util
 
 _SLOTS = 1 << 16
+#: blocks are large: a row group, and so what a reader holds at once, ends after a few of them
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 BLOCK = "block_of int, block int, doc_ids array<bigint>, firsts array<int>, symbols binary, rules binary, lengths binary, n_tokens long"
 
 
 def compress(ids: np.ndarray, firsts: np.ndarray, terminals: int, rounds: int | None, least: int):
     """(symbols, firsts, rules, lengths): rules[i] is what symbol terminals + i stands for.
 
-    Each round counts all adjacent pairs, takes the most frequent ones (a pair whose slot in
-    the round's hash table is taken waits for the next round) and replaces their occurrences
-    from left to right without overlap. Without a number of rounds it goes on until no pair
-    occurs least times.
+    Each round counts adjacent pairs, takes the most frequent ones (a pair whose slot in the
+    round's hash table is taken waits for the next round) and replaces their occurrences from
+    left to right without overlap. A pair can only be new, or have waited, where it holds a symbol
+    of the round before or has a waiting pair's slot: after the first round only such pairs are
+    counted. Without a number of rounds it goes on until no pair occurs least times.
     """
-    s, firsts = ids.astype(np.uint64), firsts.astype(np.int64)
+    s, firsts = ids.astype(np.uint32), firsts.astype(np.int64)
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    n_rules = 0
+    n_rules, base, waiting = 0, 0, np.zeros(_SLOTS, bool)
     mult, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
     for _ in range(len(s) if rounds is None else rounds):  # each round shortens s
         if len(s) < 2:
             break
-        keys = (s[:-1] << np.uint64(32)) | s[1:]
+        keys = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         keys[firsts[1:] - 1] = 0  # a pair across documents; the pair (0, 0) is never replaced either
         slot = ((keys * mult) >> shift).astype(np.int64)
-        heavy = np.bincount(slot, minlength=_SLOTS) >= least
-        found, counts = np.unique(keys[heavy[slot]], return_counts=True)
-        keep = (counts >= least) & (found != 0)
-        found, counts = found[keep], counts[keep]
+        new = s >= base
+        place = np.flatnonzero((new[:-1] | new[1:] | waiting[slot]) & (keys != 0))
+        keys, slot = keys[place], slot[place]
+        order = np.sort(keys)
+        head = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
+        found, counts = order[head], np.diff(np.append(head, len(order)))
+        found, counts = found[counts >= least], counts[counts >= least]
         if not len(found):
             break
-        order = np.lexsort((found, -counts))[: _SLOTS // 8]
-        at, pick = np.unique(((found[order] * mult) >> shift).astype(np.int64), return_index=True)
-        chosen = found[order][np.sort(pick)]
-        table, symbol = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint64)
-        home = ((chosen * mult) >> shift).astype(np.int64)
+        found = found[np.argsort(-counts, kind="stable")]
+        home = ((found * mult) >> shift).astype(np.int64)
+        _, pick = np.unique(home[: _SLOTS // 8], return_index=True)
+        pick.sort()
+        waiting[:] = False
+        waiting[np.delete(home, pick)] = True
+        chosen, home = found[pick], home[pick]
+        table, symbol = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint32)
         table[home] = chosen
-        symbol[home] = np.arange(len(chosen), dtype=np.uint64) + np.uint64(terminals + n_rules)
-        where = np.flatnonzero((table[slot] == keys) & (keys != 0))
+        base = terminals + n_rules
+        symbol[home] = np.arange(base, base + len(chosen), dtype=np.uint32)
+        hit = table[slot] == keys
+        where, slot = place[hit], slot[hit]
         run = np.flatnonzero(np.diff(where, prepend=-2) != 1)
         within = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
-        where = where[within % 2 == 0]
-        s[where] = symbol[slot[where]]
+        where, slot = where[within % 2 == 0], slot[within % 2 == 0]
+        s[where] = symbol[slot]
         left = np.ones(len(s), bool)
         left[where + 1] = False
-        place = np.cumsum(left) - 1
-        firsts = place[firsts]
+        firsts = firsts - np.searchsorted(where + 1, firsts)
         s = s[left]
-        pair = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
-        known = np.concatenate([np.zeros(0, np.int64), *lengths])
-        length = lambda x: np.where(x < terminals, 1, known[np.maximum(x - terminals, 0)] if len(known) else 1)
-        lengths.append(length(pair[:, 0]) + length(pair[:, 1]))
-        rules.append(pair)
+        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype("<u4"))
         n_rules += len(chosen)
-    none = np.zeros((0, 2), np.int64)
-    return s.astype("<u4"), firsts, np.concatenate([none, *rules]).astype("<u4"), np.concatenate([none[:, 0], *lengths]).astype("<u4")
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids for which any slice of symbols stands."""
-    s = symbols.astype(np.int64)
-    rules = rules.astype(np.int64)
-    while len(big := np.flatnonzero(s >= terminals)):
-        width = np.ones(len(s), np.int64)
-        width[big] = 2
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[at] = s
-        pair = rules[s[big] - terminals]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        s = out
-    return s.astype("<u4")
-
-
-def decode(block: dict, k: int, terminals: int = 1 << 17) -> np.ndarray:
-    """The ids of the k-th document of a block, without the others."""
-    symbols = np.frombuffer(block["symbols"], "<u4")
+    return s.astype("<u4"), firsts, np.concatenate([np.zeros((0, 2), "<u4"), *rules]), _lengths(rules, terminals)
+
+
+def _lengths(rounds: list[np.ndarray], terminals: int) -> np.ndarray:
+    """How many ids each rule stands for; the rules of a round hold symbols of earlier ones only."""
+    known = np.zeros(sum(map(len, rounds)), "<u4")
+    n = 0
+    for pair in rounds:
+        inner = pair.astype(np.int64) - terminals
+        known[n : n + len(pair)] = np.where(inner < 0, 1, known[np.maximum(inner, 0)]).sum(axis=1)
+        n += len(pair)
+    return known
+
+
+def widths(symbols: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    inner = symbols.astype(np.int64) - terminals
+    return np.where(inner < 0, 1, lengths[np.maximum(inner, 0)].astype(np.int64)) if len(lengths) else np.ones(len(symbols), np.int64)
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids for which any slice of symbols stands: each nonterminal's place is known, so a step touches those that are left only."""
+    wide = widths(symbols, lengths, terminals)
+    at = np.cumsum(wide) - wide
+    out = np.empty(int(wide.sum()), "<u4")
+    s = symbols
+    while len(s):
+        big = s >= terminals
+        out[at[~big]] = s[~big]
+        at, inner = at[big], s[big].astype(np.int64) - terminals
+        left, right = rules[inner, 0], rules[inner, 1]
+        s, at = np.concatenate([left, right]), np.concatenate([at, at + widths(left, lengths, terminals)])
+    return out
+
+
+def decode(block: dict, k: int, start: int = 0, stop: int | None = None, terminals: int = 1 << 17) -> np.ndarray:
+    """The ids start to stop of the k-th document of a block, without the others: symbols outside are never expanded."""
+    symbols, lengths = np.frombuffer(block["symbols"], "<u4"), np.frombuffer(block["lengths"], "<u4")
     firsts = [*block["firsts"], len(symbols)]
-    return expand(symbols[firsts[k] : firsts[k + 1]], np.frombuffer(block["rules"], "<u4").reshape(-1, 2), terminals)
+    symbols = symbols[firsts[k] : firsts[k + 1]]
+    ends = np.cumsum(widths(symbols, lengths, terminals))
+    total = int(ends[-1]) if len(ends) else 0
+    stop = total if stop is None else min(stop, total)
+    if start >= stop:
+        return np.zeros(0, "<u4")
+    a, z = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+    ahead = int(ends[a - 1]) if a else 0
+    return expand(symbols[a:z], np.frombuffer(block["rules"], "<u4").reshape(-1, 2), lengths, terminals)[start - ahead : stop - ahead]
 
 
 def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int = 0, block_tokens: int = 1 << 20, rounds: int | None = None, least: int = 2, terminals: int = 1 << 17) -> None:
@@ -134,7 +162,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int
     util.settle(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    own.repartitionByRange(util.parts(docs), *order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCK).write.parquet(path)
+    own.repartitionByRange(util.parts(docs), *order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCK).write.options(**SMALL_GROUPS).parquet(path)
 
 
 def read(spark, path: str, *, terminals: int = 1 << 17) -> DataFrame:
@@ -156,10 +184,10 @@ def _documents(spark, path: str, terminals: int, whole: bool) -> DataFrame:
         for batch in batches:
             for b in batch.to_pylist():
                 symbols, rules = np.frombuffer(b["symbols"], "<u4"), np.frombuffer(b["rules"], "<u4").reshape(-1, 2)
-                lengths = np.frombuffer(b["lengths"], "<u4").astype(np.int64)
-                width = np.where(symbols < terminals, 1, lengths[np.maximum(symbols.astype(np.int64) - terminals, 0)] if len(lengths) else 1)
+                lengths = np.frombuffer(b["lengths"], "<u4")
+                width = widths(symbols, lengths, terminals)
                 begins = (np.cumsum(width) - width)[np.array(b["firsts"], np.int64)]
-                ids = expand(symbols, rules, terminals)
+                ids = expand(symbols, rules, lengths, terminals)
                 ends = [*begins[1:].tolist(), len(ids)]
                 raw = ids.tobytes()
                 rows = [ids[a:z] if whole else zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends)]
@@ -172,7 +200,6 @@ def _documents(spark, path: str, terminals: int, whole: bool) -> DataFrame:
     ahead = ranges.select("block_of", (F.sum("n").over(Window.orderBy("block_of")) - F.col("n")).alias("ahead"))
     inside = Window.partitionBy("block_of").orderBy("block")
     starts = sizes.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(ahead, "block_of").select("block_of", "block", (F.col("inside") + F.col("ahead")).alias("before"))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "16")
     made = files.mapInArrow(docs, f"block_of int, block int, doc_id long, within long, n_tokens long, {kind[0]} {'array<bigint>' if whole else 'bigint'}")
     return made.join(starts, ["block_of", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", kind[0])
 
