@@ -145,8 +145,12 @@ def scored(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, cutoff:
     own, path = util.staged(counts.select("doc_id", *[v.alias(f"s_{n}") for n, v in stats.items()]), "statistics")
     own = own.withColumn("held_out", F.coalesce(util.held_out(), F.lit(False)))
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
-    learn = own.where(~F.col("held_out")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    seen = learn.select(*names, "quality").toPandas().to_numpy(np.float64)  # at most sample rows
+    learn = own.where(~F.col("held_out")).join(marks, "doc_id").select(*names, "quality", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at"))
+    n = learn.count()
+    if n > sample:
+        # a share of the hashes that gives a few rows less than sample: nothing is sorted, and only what the fit sees is collected
+        learn = learn.where(F.col("at") < int((1 << 40) * sample / n * max(0.0, 1 - 5 / sample**0.5))).limit(sample)
+    seen = learn.toPandas().sort_values(["at", *names, "quality"])[[*names, "quality"]].to_numpy(np.float64)
     bias, rules = fit(seen[:, :-1], seen[:, -1], **model)
     score = compiled(bias, rules, names)
     out = own.withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
