@@ -1,12 +1,21 @@
 """Nearest neighbours by low-dimensional stable projections and kd-trees.
 
 Vectors are projected on a few Gaussian directions, so that a distance d becomes d times the
-root of a chi-square variable. Rows are dealt over blocks of bounded size; each block has a
-kd-tree of its rows' projections. A query takes the leaves in order of their projected distance,
-measures their rows exactly, and stops when a row as near as its k-th best would have shown up
-with probability ``sure``: when the chi-square distribution at (next projected distance / k-th
-best distance) squared reaches it. The blocks' best rows are merged. Queries come in chunks, so
-a task holds one block and one chunk, whatever the table's size.
+root of a chi-square variable. A kd-tree over the projections has two levels: its upper part, of
+at most ``leaves`` leaves, is drawn from a bounded sample and deals the rows, so that a task
+holds one leaf (or one of the parts of a leaf that is larger than ``block``) with a tree of its own.
+A query takes rows in order of their projected distance, measures them exactly, and stops when a
+row as near as its k-th best would have shown up with probability ``sure``: when the chi-square
+distribution at (next projected distance / k-th best distance) squared reaches it.
+
+A query begins in the leaf where it lies itself. The k-th best distance found there is its bound
+elsewhere: leaves whose box in the projections is beyond the stopping distance get no copy of
+it, and the others begin with that bound. Queries of a leaf come in chunks, so a task's size is
+bounded on both sides, and copies of rows follow the chunks of queries that visit their leaf.
+``n_verified`` tells how many rows a query was measured against.
+
+``sure`` is calibrated: 0.45 of 6 dimensions gave a recall of 0.97 or more against brute force on
+20 to 100 queries of tables of 500 to 50,000 vectors of 64 dimensions (see the README).
 
 Vectors that are null, zero or hold null, NaN or infinite numbers take no part, nor do rows
 without an id. Vectors of different lengths are no candidates of one another. A query id that is
@@ -23,6 +32,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import util
+
 
 def chi_square(x: float, m: int) -> float:
     """The distribution function for an even number of degrees."""
@@ -79,32 +90,78 @@ class Tree:
                 heapq.heappush(heap, (away[c], c))
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, dims: int, sure: float, seed: int, leaf: int = 64):
-    """(query id, id, distance) of each query's nearest rows found; the query's own id is no candidate."""
-    directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
+def directions(length: int, dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((length, dims))
+
+
+def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, dims: int, sure: float, seed: int, leaf: int = 32):
+    """(query id, rows measured, ids, distances) of each query's nearest rows found within its bound; the query's own id is no candidate."""
+    by = directions(vectors.shape[1], dims, seed)
     scale = max(float(np.abs(vectors).max()), float(np.abs(queries).max()))
-    tree = Tree((vectors / scale) @ directions, leaf)
+    tree = Tree((vectors / scale) @ by, leaf)
     ratio = stop_ratio(dims, sure) / (scale * scale)
-    projected = (queries / scale) @ directions
-    for qi, q, p in zip(q_ids.tolist(), queries, projected):
-        best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
+    projected = (queries / scale) @ by
+    for qi, q, p, bound in zip(q_ids.tolist(), queries, projected, bounds.tolist()):
+        best_d, best_i, n = np.zeros(0), np.zeros(0, np.int64), 0
         for away, rows in tree.near(p):
-            if len(best_d) == k and away > ratio * best_d[-1] ** 2:
+            if away > ratio * bound * bound:
                 break
             rows = rows[ids[rows] != qi]
+            n += len(rows)
             d = np.sqrt(((vectors[rows] - q) ** 2).sum(axis=1))
-            if len(best_d) == k:
-                rows, d = rows[d <= best_d[-1]], d[d <= best_d[-1]]
+            rows, d = rows[d <= bound], d[d <= bound]
             if len(rows):
                 best_d, best_i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[rows]])
                 top = np.lexsort((best_i, best_d))[:k]
                 best_d, best_i = best_d[top], best_i[top]
-        for i, d in zip(best_i.tolist(), best_d.tolist()):
-            yield qi, i, d
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, dims: int = 8, sure: float = 0.98, block: int = 8192, chunk: int = 4096, blocks: int = 48, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score for queries and vectors of (vec_id, embedding)."""
+                if len(best_d) == k:
+                    bound = min(bound, float(best_d[-1]))
+        yield qi, n, best_i, best_d
+
+
+def splits(points: np.ndarray, leaves: int) -> tuple[list, list, list]:
+    """A kd-tree's upper part as (side, cut, children) of its nodes: a leaf has side -1 and its number as cut. At most so many leaves."""
+    side, cut, child, n = [0], [0.0], [(0, 0)], 0
+    stack = [(0, np.arange(len(points)), leaves)]
+    while stack:
+        node, rows, share = stack.pop()
+        p = points[rows]
+        spread = p.max(axis=0) - p.min(axis=0) if len(p) else np.zeros(1)
+        if share < 2 or len(p) < 2 or spread.max() <= 0:
+            side[node], cut[node] = -1, float(n)
+            n += 1
+            continue
+        by = int(spread.argmax())
+        at = float(np.median(p[:, by]))
+        below = p[:, by] < at
+        if not below.any():  # many equal values: all of them above
+            at = float(p[:, by][p[:, by] > at].min())
+            below = p[:, by] < at
+        side[node], cut[node] = by, at
+        left, right = len(side), len(side) + 1
+        child[node] = (left, right)
+        side += [0, 0]
+        cut += [0.0, 0.0]
+        child += [(0, 0), (0, 0)]
+        stack += [(left, rows[below], share // 2), (right, rows[~below], share - share // 2)]
+    return side, cut, child
+
+
+def leaf_of(tree, points: np.ndarray) -> np.ndarray:
+    side, cut, child = (np.array(x) for x in tree)
+    node = np.zeros(len(points), np.int64)
+    while len(inner := np.flatnonzero(side[node] >= 0)):
+        at = node[inner]
+        node[inner] = np.where(points[inner, side[at]] < cut[at], child[at, 0], child[at, 1])
+    return cut[node].astype(np.int64)
+
+
+FOUND = "query_id long, n_verified long, vec_ids array<bigint>, scores array<double>"
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, dims: int = 6, sure: float = 0.45, block: int = 2048, chunk: int = 4096, leaves: int = 4096, sample: int = 65_536, seed: int = 7) -> DataFrame:
+    """query_id, rank, vec_id, score, n_verified for queries and vectors of (vec_id, embedding)."""
+    import pyarrow as pa
 
     def sound(df: DataFrame) -> DataFrame:
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -112,25 +169,77 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, dims: int =
         return df.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("dims", F.size("v"))
 
     rows, asked = sound(vectors), sound(queries)
-    n, m = rows.count(), asked.count()
-    n_blocks, n_chunks = max(blocks, -(-n // block)), max(1, -(-m // chunk))
-    asked = asked.groupBy("vec_id", "dims").agg(F.min("v").alias("v"))
-    left = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    right = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # lengths of more rows than one leaf takes are split; they are fewer than the leaves there can be
+    sizes = {r.dims: r.n for r in rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}
+    n = sum(sizes.values())
+    trees: dict[int, tuple] = {}
+    if n:
+        some = rows.where(F.col("dims").isin(*sizes)).where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / n)))
+        held: dict[int, list] = {}
+        for r in some.select("dims", "v").toLocalIterator():  # about sample rows, projected one by one
+            held.setdefault(r.dims, []).append(np.array(r.v) @ directions(r.dims, dims, seed))
+        for length, points in held.items():
+            trees[length] = splits(np.array(points), max(1, min(-(-sizes[length] // block), leaves * sizes[length] // n)))
+
+    def placed(batches):
+        for batch in batches:
+            lengths = batch.column(2).to_numpy()
+            leaf, points = np.zeros(len(lengths), np.int32), np.zeros((len(lengths), dims))
+            for length in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == length)
+                flat = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                # numbers near the largest there are would overflow, in which case any place will do
+                points[at] = np.nan_to_num(flat @ directions(length, dims, seed), nan=0.0, posinf=1e150, neginf=-1e150)
+                if length in trees:
+                    leaf[at] = leaf_of(trees[length], points[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), dims).cast(pa.list_(pa.float64()))], names=["vec_id", "v", "dims", "leaf", "point"])
+
+    kind = "vec_id long, v array<double>, dims int, leaf int, point array<double>"
+    once = asked.groupBy("vec_id", "dims").agg(F.min("v").alias("v")).select("vec_id", "v", "dims")
+    # both are written: the leaves' sizes and boxes, and both rounds, read them
+    left, left_path = util.staged(rows.select("vec_id", "v", "dims").mapInArrow(placed, kind), "vectors")
+    right, right_path = util.staged(once.mapInArrow(placed, kind), "queries")
+    corner = lambda f: F.array(*[f(F.get("point", F.lit(i))) for i in range(dims)])
+    boxes = left.groupBy("dims", "leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), corner(F.min).alias("low"), corner(F.max).alias("high"))
+    boxes, box_path = util.staged(boxes, "boxes")
+    dealt = left.join(boxes.select("dims", "leaf", "parts"), ["dims", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
     def one(a, b):
         import pandas as pd
 
         found = []
         if len(a) and len(b):
-            found = list(search(a.vec_id.to_numpy(), np.array(a.v.tolist(), np.float64), b.vec_id.to_numpy(), np.array(b.v.tolist(), np.float64), k, dims, sure, seed))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    key = ["dims", "block", "chunk"]
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(one, "query_id long, vec_id long, score double")
+            found = [(q, n, i.tolist(), d.tolist()) for q, n, i, d in search(a.vec_id.to_numpy(), np.array(a.v.tolist(), np.float64), b.vec_id.to_numpy(), np.array(b.v.tolist(), np.float64), b.bound.to_numpy(np.float64), k, dims, sure, seed)]
+        return pd.DataFrame(found, columns=["query_id", "n_verified", "vec_ids", "scores"])
+
+    def visits(visiting: DataFrame) -> DataFrame:
+        """Queries (vec_id, v, dims, leaf, part, bound) meet their part of a leaf, in chunks."""
+        key = ["dims", "leaf", "part"]
+        n = visiting.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+        b = visiting.join(n, key).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int")).select(*key, "chunk", "vec_id", "v", "bound")
+        a = dealt.join(n, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*key, "chunk", "vec_id", "v")
+        return a.groupBy(*key, "chunk").cogroup(b.groupBy(*key, "chunk")).applyInPandas(one, FOUND)
+
+    # a query whose own leaf has no rows begins without a bound
+    home = right.join(boxes.select("dims", "leaf", "parts"), ["dims", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    first, first_path = util.staged(visits(home.withColumn("bound", F.lit(float("inf")))), "near")
+    bounds = first.select(F.col("query_id").alias("_q"), F.when(F.size("scores") == k, F.element_at("scores", -1)).otherwise(F.lit(float("inf"))).alias("bound"))
+    # a query has one vector for each length only; rows with one id and several lengths are bounded by the largest
+    bounds = bounds.groupBy("_q").agg(F.max("bound").alias("bound"))
+    near = right.join(bounds, F.col("vec_id") == F.col("_q"), "left").select("vec_id", "v", "dims", F.col("leaf").alias("own"), "point", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    # a length has at most ``leaves`` boxes, and those beyond a query's bound drop out in the join
+    near = near.join(F.broadcast(boxes) if boxes.count() <= 1 << 14 else boxes, "dims")
+    gap = lambda i: F.greatest(F.get("low", F.lit(i)) - F.get("point", F.lit(i)), F.get("point", F.lit(i)) - F.get("high", F.lit(i)), F.lit(0.0))
+    away = sum((gap(i) * gap(i) for i in range(1, dims)), gap(0) * gap(0))
+    near = near.where(away <= stop_ratio(dims, sure) * F.col("bound") * F.col("bound")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    near = near.where((F.col("leaf") != F.col("own")) | (F.col("part") != F.pmod(F.xxhash64("vec_id"), F.col("parts"))))
+    found, found_path = util.staged(first.unionByName(visits(near.select("vec_id", "v", "dims", "leaf", "part", "bound"))), "near")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    verified = found.groupBy("query_id").agg(F.sum("n_verified").alias("n_verified"))
+    each = found.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("x")).select("query_id", F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(verified, "query_id")
+    ranked = ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "n_verified")
+    return util.result(ranked, left_path, right_path, box_path, first_path, found_path)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
