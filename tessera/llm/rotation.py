@@ -11,7 +11,8 @@ sums of the ranges before.
 Turns are ordered by turn, speaker and text, nulls first; turns that are equal in all three are
 interchangeable. A null speaker is named ``unknown``, a null text is empty, and turns without a
 conversation id are one conversation. A conversation of system turns alone has no participant
-and gives no rows, as an empty table does. Extra columns aren't read.
+and gives no rows, as an empty table does. Extra columns aren't read. Texts stay as they are,
+marks such as ``<|end|>`` in them too: places and masks go by length and never search for marks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ END = "<|end|>"
 
 def rotated(turns: DataFrame, *, conversation: str = "conv_id", order: str = "turn", speaker: str = "role", text: str = "text", system: str = "system") -> tuple[DataFrame, list[str]]:
     """conv_id, perspective, turn, position, role, name, start, length, mask_start, mask_end, segment."""
-    spark = turns.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = util.parts(turns)
     own = turns.select(F.col(conversation).alias("conv_id"), F.col(order).alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     by = ["conv_id", "turn", "speaker", "text"]
     ranged = own.repartitionByRange(n, *by).sortWithinPartitions(*by)
@@ -55,8 +55,8 @@ def rotated(turns: DataFrame, *, conversation: str = "conv_id", order: str = "tu
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    out, _ = rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out
+    out, paths = rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return util.result(out, *paths)
 
 
 ORACLE = """
