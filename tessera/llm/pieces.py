@@ -140,6 +140,8 @@ class PieceEncoder:
         return self.segment(unit)
 
     def segment(self, part: str) -> list[int]:
+        if len(part) > util.LONG:
+            return self.long_segment(part)
         known = self.segments
         found = known.young.get(part)
         if found is None:
@@ -149,6 +151,15 @@ class PieceEncoder:
             known.young[part] = found
         return found
 
+    def long_segment(self, part: str) -> list[int]:
+        """Not remembered as a whole, but cut wherever no piece reaches across (bytes stand for unknown characters, so they don't join)."""
+        if not self.fallback:
+            return self.encode_segment(part)
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.within]
+        if not cuts:
+            return self.encode_segment(part)
+        return [i for a, z in zip([0, *cuts], [*cuts, len(part)]) for i in (self.segment if z - a <= util.LONG else self.encode_segment)(part[a:z])]
+
     def encode_segment(self, text: str) -> list[int]:
         if any(map(text.__contains__, self.ties)):
             return self.long_tied(text)
@@ -237,12 +248,16 @@ class PieceEncoder:
         for cut, got, holes in held:
             for i in holes:
                 got[i] = young[cut[i]]
+        for u in need:  # a bound in entries is one in bytes only without long units
+            if len(u) > util.LONG:
+                del young[u]
         return [got for _, got, _ in held]
 
 
 def encoder(path: str) -> PieceEncoder:
     if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
+        found = _LOADED[path] = PieceEncoder(path)
+        util.HELD.extend([found.cache.clear, found.segments.clear, found.pairs.clear])
     return _LOADED[path]
 
 

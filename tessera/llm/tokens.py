@@ -8,11 +8,12 @@ text can be cut there and each unit be encoded by itself. Equal units are encode
 from __future__ import annotations
 
 import gc
+import json
 import re
 
 import numpy as np
 
-from tessera.llm.util import Cache
+from tessera.llm.util import HELD, LONG, Cache
 
 _UNIT = re.compile(r"(?<=\S)(?=\s)")
 #: white space other than a space or a line's end, after which neither begins a part
@@ -42,6 +43,10 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        #: whether units are what the file's own split and merges can't reach across; else whole texts are encoded
+        self.cuts = spec.get("normalizer") is None and spec.get("post_processor") is None and spec["model"]["type"] == "BPE" and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.cache = Cache(800_000)
         pieces = self.tokenizer.get_vocab_size()
         # a piece's characters each stand for one byte; other added tokens never meet these units
@@ -82,6 +87,8 @@ class UnitEncoder:
             gc.enable()
 
     def _ids(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return self.alone([t or "" for t in texts])
         if len(self.cache.young) > self.cache.limit:
             self.cache.turn()
         young, old = self.cache.young, self.cache.old
@@ -102,6 +109,9 @@ class UnitEncoder:
         for cut, got, holes in held:
             for i in holes:
                 got[i] = young[cut[i]]
+        for u in need:  # a bound in entries is one in bytes only without long units
+            if len(u) > LONG:
+                del young[u]
         return [b"".join(got) for _, got, _ in held]
 
 
@@ -111,5 +121,6 @@ def encoder(path: str) -> UnitEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LOADED[path] = UnitEncoder(path)
+        found = _LOADED[path] = UnitEncoder(path)
+        HELD.append(found.cache.clear)
     return _LOADED[path]

@@ -41,12 +41,14 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back: lineage ends at the written table.
 
     Spark's cleaner deletes shuffle files when the driver collects what refers to them, else
-    only twice an hour: the files behind a written table go at once.
+    only twice an hour: the files behind a large written table go at once, with those of smaller ones before it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _forget(spark)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength() > 16 << 20:
+        _forget(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -94,10 +96,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+#: what empties the caches that a worker process keeps from task to task
+HELD: list = []
+
+
 def lean() -> None:
-    """Has the C library give large freed arrays back to the system at once, where it can."""
+    """Called where a task begins that needs none of the caches that earlier operators left in this worker: they go,
+    and the C library gives large freed arrays back to the system at once, where it can."""
     import ctypes
 
+    for empty in HELD:
+        empty()
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped by themselves
@@ -106,6 +115,10 @@ def lean() -> None:
         pass
 
 
+#: characters from which a unit of text is not remembered
+LONG = 512
+
+
 class Cache:
     """Two generations of a bounded map: the older goes when the younger is full."""
 
@@ -114,3 +127,6 @@ class Cache:
 
     def turn(self) -> None:
         self.old, self.young = self.young, {}
+
+    def clear(self) -> None:
+        self.old, self.young = {}, {}
