@@ -6,11 +6,14 @@ bin keeps the least value of the first round that reaches it. Bands of the bins
 
 Texts of equal shingle sets are one class, and one text stands for it. In each bucket all texts
 are compared with the bucket's first and last ones. Then, only where a bucket still holds more
-than one component, the texts outside its first one's component are compared with those of other
-components there. The Jaccard distance is a metric: two texts whose distances to the first (or
-the last) one differ by more than the threshold allows are no link, and are never paired. So no
-bucket of a large group of copies is paired out, and no link between different texts that share
-a bucket is left out unless its ends are connected already. The
+than one component, the texts outside its first one's component meet those of other components
+there, and are compared unless two exact bounds say that they can't be a link. The Jaccard
+distance is a metric: two texts whose distances to the first (or the last) one differ by more
+than the threshold allows are none. And odd sketches (the parity of how many shingles a text has
+in each of ``ODD`` parts of the hash space) differ in no more bits than the sets do in shingles.
+So no bucket of a large group of copies is paired out: the bounds are part of the join, and what
+leaves it are links and few others. No link between different texts that share a bucket is left
+out unless its ends are connected already. The
 number of bands follows from the threshold: a pair at the threshold shares no bucket with a
 probability of at most ``miss``. Links are confirmed on the full sets of the texts themselves.
 
@@ -34,6 +37,10 @@ _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+#: bits of an odd sketch
+ODD = 1024
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
@@ -97,6 +104,10 @@ class Sketcher:
                 break
         return out
 
+    def odd(self, x: np.ndarray) -> np.ndarray:
+        """For each of ODD parts of the hashes, whether the set has an odd number there: where two texts differ, there is a shingle that only one of them has."""
+        return np.packbits(np.bincount((x & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD).astype(np.uint8) & 1).view(np.int64)
+
     def bands(self, x: np.ndarray) -> np.ndarray:
         s = mix(self.sketch(x)).reshape(-1, self.rows)
         return mix((s * self.mult).sum(axis=1, dtype=np.uint64) + np.arange(len(s), dtype=np.uint64) * _A).view(np.int64)
@@ -107,24 +118,25 @@ def bands_for(threshold: float, rows: int, miss: float) -> int:
 
 
 def sketched(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, sig (null: links with nothing), bands."""
+    """doc_id, n_shingles, sig (null: links with nothing), bands, odd."""
     import pyarrow as pa
 
     def run(batches):
         util.lean()
         coder = Sketcher(width, bins, rows)
         for batch in batches:
-            ids, n, sig, bands = batch.column(0), [], [], []
+            ids, n, sig, bands, odd = batch.column(0), [], [], [], []
             for d, text in zip(ids.to_pylist(), batch.column(1).to_pylist()):
                 x = coder.shingles(text)
                 n.append(len(x))
                 ok = d is not None and len(x)
                 sig.append(coder.digest(x.tobytes()) if ok else None)
                 bands.append(coder.bands(x) if ok else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig", "bands"])
+                odd.append(coder.odd(x) if ok else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig", "bands", "odd"])
 
     util.settle(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig binary, bands array<bigint>, odd array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -194,6 +206,29 @@ def keyed(docs: DataFrame, sk: DataFrame, first: DataFrame, width: int):
     return nodes, extra, several, texts, [several_path, extra_path]
 
 
+def _in_cells(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows(cell, rep, lead ...) with comp and lead_comp: the components of the text and of its bucket's lead."""
+    mine = comps.select(F.col("node").alias("_c"), F.col("component").alias("_m"))
+    found = rows.join(mine, F.col("rep") == F.col("_c"), "left").withColumn("comp", F.coalesce("_m", "rep")).drop("_c", "_m")
+    return found.join(mine, F.col("lead") == F.col("_c"), "left").withColumn("lead_comp", F.coalesce("_m", "lead")).drop("_c", "_m")
+
+
+def _away(rows: DataFrame, links: DataFrame, to: str, name: str) -> DataFrame:
+    """rows with the distance of rep to the text in the column to, where it is known."""
+    found = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("away").alias("_d"))
+    near = (F.least("rep", to) == F.col("_a")) & (F.greatest("rep", to) == F.col("_b"))
+    return rows.join(found, near, "left").withColumn(name, F.when(F.col("rep") == F.col(to), 0.0).otherwise(F.col("_d"))).drop("_a", "_b", "_d")
+
+
+def _possible(percent: int, known: list[str]):
+    """Whether the odd sketches and the distances to third texts allow a link of a row and a row x_."""
+    differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("x_odd", F.lit(i)))) for i in range(1, ODD // 64)), F.bit_count(F.get("odd", F.lit(0)).bitwiseXOR(F.get("x_odd", F.lit(0)))))
+    fits = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("x_n"))
+    for d in known:
+        fits = fits & F.coalesce(F.abs(F.col(d) - F.col(f"x_{d}")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    return fits
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, rows: int = 6, miss: float = 1e-8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -208,11 +243,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     shared = cells.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     met, met_path = util.staged(cells.join(shared, "cell").distinct(), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    sizes = met.select("rep", "n").distinct()
+    known = met.select(F.col("rep").alias("_k")).distinct()
+    facts = reps.select(F.col("node").alias("rep"), F.col("n_shingles").alias("n"), "odd").join(known, F.col("rep") == F.col("_k"), "left_semi").dropDuplicates(["rep"])
+    facts, fact_path = util.staged(facts, "facts")
     pairs = met.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(met.where("rep != last").select(F.col("rep").alias("a"), F.col("last").alias("b"))).distinct()
-    pairs = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    pairs, pair_path = util.staged(pairs.where(alike(F.col("na"), F.col("nb"))).select("a", "b"), "pairs")
-    known = met.select("rep").distinct()
+    other = facts.select(F.col("rep").alias("b"), F.col("n").alias("x_n"), F.col("odd").alias("x_odd"))
+    # a text's distances to the first and last are windows for the others too, so only sizes keep these apart
+    pairs = pairs.join(facts.withColumnRenamed("rep", "a"), "a").join(other, "b").where(alike(F.col("n"), F.col("x_n"))).select("a", "b")
+    pairs, pair_path = util.staged(pairs, "pairs")
+    known = known.withColumnRenamed("_k", "rep")
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     if several is not None:
         whole = whole.join(several, F.col("rep") == F.col("id"), "left_anti").unionByName(shared_texts)
@@ -221,19 +260,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     comps, comp_path = components.components(links.where("ok").select("a", "b"))
 
     # buckets that still hold two components or more, with each text's distances to the first and last
-    placed = met.join(comps, F.col("rep") == F.col("node"), "left").select("cell", "rep", "n", "lead", "last", F.coalesce("component", "rep").alias("comp"))
-    lead_comp = comps.withColumnRenamed("component", "lead_comp")
-    placed = placed.join(lead_comp, F.col("lead") == lead_comp["node"], "left").select("cell", "rep", "n", "lead", "last", "comp", F.coalesce("lead_comp", "lead").alias("lead_comp"))
-    aside = placed.where("comp != lead_comp").select("cell").distinct()
-    rest = placed.join(aside, "cell", "left_semi")
-    to = links.select("a", "b", "away")
-    rest = rest.join(to.select(F.col("a").alias("lead"), F.col("b").alias("rep"), F.col("away").alias("d1")), ["lead", "rep"], "left").join(to.select(F.col("a").alias("rep"), F.col("b").alias("last"), F.col("away").alias("d2")), ["last", "rep"], "left")
-    rest = rest.select("cell", "rep", "n", "comp", "lead_comp", F.when(F.col("rep") == F.col("lead"), 0.0).otherwise(F.col("d1")).alias("d1"), F.when(F.col("rep") == F.col("last"), 0.0).otherwise(F.col("d2")).alias("d2"))
-    placed, placed_path = util.staged(rest, "placed")
-    aside = placed.where("comp != lead_comp").select(F.col("cell").alias("at"), F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("d1").alias("x_d1"), F.col("d2").alias("x_d2"))
-    close = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    second = placed.join(aside, (F.col("cell") == F.col("at")) & (F.col("comp") != F.col("x_comp")) & alike(F.col("n"), F.col("x_n")) & ((F.col("comp") == F.col("lead_comp")) | (F.col("rep") < F.col("x"))) & close("d1", "x_d1") & close("d2", "x_d2"))
-    second = second.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    aside = _in_cells(met.select("cell", "rep", "n", "lead", "last"), comps).where("comp != lead_comp").select("cell").distinct()
+    rest = _away(_away(met.join(aside, "cell", "left_semi"), links, "lead", "d1"), links, "last", "d2")
+    rest = _in_cells(rest.join(facts.select(F.col("rep").alias("_r"), "odd"), F.col("rep") == F.col("_r")).select("cell", "rep", "n", "odd", "lead", "d1", "d2"), comps)
+    now, placed_path = util.staged(rest, "placed")
+    aside = now.where("comp != lead_comp").select(F.col("cell").alias("at"), F.col("rep").alias("x"), F.col("comp").alias("x_comp"), *[F.col(c).alias(f"x_{c}") for c in ("n", "odd", "d1", "d2")])
+    second = now.join(aside, (F.col("cell") == F.col("at")) & (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("lead_comp")) | (F.col("rep") < F.col("x"))) & _possible(percent, ["d1", "d2"]))
+    second = second.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
     second, second_path = util.staged(second, "pairs")
     more, more_path = util.staged(verified(second, texts, width, percent), "links")
     edges = links.unionByName(more).where("ok").select("a", "b")
@@ -248,7 +281,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8,
     class_of = first.join(final, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("found"))
     out = sk.join(class_of, F.col("sig") == F.col("s"), "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    return util.result(out, sk_path, met_path, pair_path, text_path, link_path, comp_path, placed_path, second_path, more_path, final_path, *key_paths)
+    return util.result(out, sk_path, met_path, pair_path, text_path, link_path, comp_path, placed_path, second_path, more_path, final_path, fact_path, *key_paths)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
