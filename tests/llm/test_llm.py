@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 
@@ -46,18 +47,49 @@ def test_unit_encoder_is_exact():
     assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == want
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t = tokens.encoder(path), Tokenizer.from_file(path)
+    texts = ["Some  Words, here.", "", None, "x\n\ny 12.5", "é" * 40]
+    assert not e.cuts and [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_long_units_are_exact_and_not_kept():
+    random.seed(25)
+    texts = ["".join(random.choice("abcdeé中😀,.") for _ in range(n)) for n in (500, 513, 3000, 20_000)] + ["ab" * 5000, "中" * 3000]
+    t, e = libs(), tokens.encoder(tokens.default_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    p = pieces.encoder(pieces.default_path())
+    assert [np.frombuffer(b"".join(b for b, _ in u), "<i4").tolist() for u in p.encode(texts)] == p.library.encode(texts, num_threads=1)
+    assert max(map(len, [*e.cache.young, *p.cache.young, *p.segments.young])) <= util.LONG
+
+
 def test_grammar_round_trip():
     random.seed(2)
     for least in (1, 2, 5):
         ids = np.array([random.randint(1, 6) for _ in range(3000)], "<u4")
         firsts = np.array([0, 10, 11, 2000])
         s, f, rules, lengths = repair.compress(ids, firsts, 1 << 17, 8, least)
-        assert (repair.expand(s, rules, 1 << 17) == ids).all() and len(s) < len(ids)
-        block = {"symbols": s.tobytes(), "rules": rules.tobytes(), "firsts": f.tolist()}
+        assert (repair.expand(s, rules, lengths, 1 << 17) == ids).all() and len(s) < len(ids)
+        block = {"symbols": s.tobytes(), "rules": rules.tobytes(), "lengths": lengths.tobytes(), "firsts": f.tolist()}
         for k, (a, z) in enumerate(zip([0, 10, 11, 2000], [10, 11, 2000, 3000])):
             assert (repair.decode(block, k) == ids[a:z]).all()
+            for _ in range(30):
+                x, y = sorted((random.randint(0, z - a + 3), random.randint(0, z - a + 3)))
+                assert (repair.decode(block, k, x, y) == ids[a:z][x:y]).all()
         for i, n in enumerate(lengths.tolist()):
-            assert len(repair.expand(np.array([(1 << 17) + i]), rules, 1 << 17)) == n
+            assert len(repair.expand(np.array([(1 << 17) + i]), rules, lengths, 1 << 17)) == n
+
+
+def test_more_rounds_never_lengthen_a_block():
+    random.seed(22)
+    words = [[random.randint(1, 400) for _ in range(random.randint(1, 6))] for _ in range(300)]
+    ids = np.array([x for _ in range(4000) for x in random.choice(words)], "<u4")
+    sizes = [len(repair.compress(ids, np.array([0]), 1 << 17, n, 2)[0]) for n in (0, 1, 2, 3, 5, 8, None)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < 0.6 * sizes[0]
 
 
 def test_id_files(spark, edges, empty, tmp_path):
@@ -109,6 +141,25 @@ def test_packing(spark, edges, empty):
     assert sum(n for p in docs[4] for n in [p[1]]) == docs[4][0][2]
 
 
+def test_packing_covers_each_id_once(spark):
+    random.seed(19)
+    texts = [(i, " ".join(f"w{random.randrange(3000)}" for _ in range(random.choice([0, 1, 5, 40, 90, 700])))) for i in range(300)]
+    rows = packing.packed(frame(spark, texts), window=128, with_ids=True).collect()
+    t, docs, seqs = libs(), {}, {}
+    for r in rows:
+        docs.setdefault(r.doc_id, []).append((r.start, r.ids))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, x in texts:
+        at, whole = 0, b""
+        for start, ids in sorted(docs[i]):
+            assert start == at
+            at, whole = at + len(ids) // 4, whole + bytes(ids)
+        assert np.frombuffer(whole, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids + [0]
+    full = [sum(n for _, n in s) for s in seqs.values()]
+    # all but a few sequences of each task are full
+    assert sum(full) / (128 * len(full)) > 0.97 and max(full) <= 128
+
+
 def test_slack_is_least():
     random.seed(3)
     for _ in range(300):
@@ -185,6 +236,25 @@ def test_near_duplicates(spark, edges, empty):
     assert len(rows) == len(EDGES) and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
 
 
+def test_groups_that_the_first_text_does_not_reach(spark):
+    random.seed(20)
+    base, texts = [f"w{random.randrange(900)}" for _ in range(150)], []
+    for _ in range(110):  # copies with few and with many changes of their own
+        copy = list(base)
+        for k in random.sample(range(150), random.choice([0, 1, 2, 4, 6, 8, 12])):
+            copy[k] = f"x{random.randrange(10**6)}"
+        texts.append((len(texts), " ".join(copy)))
+    drift = [f"d{random.randrange(900)}" for _ in range(150)]
+    for i in range(60):  # each text a small step from the one before
+        for k in random.sample(range(150), 2):
+            drift[k] = f"y{random.randrange(10**6)}"
+        texts.append((1000 + i, " ".join(drift)))
+    random.shuffle(texts)
+    want, _ = components_of(texts, 3, 85)
+    rows = minhash.near_duplicates(frame(spark, texts), width=3, threshold=0.85, rows=7).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+
+
 @pytest.mark.parametrize("top", [900, (1 << 63) - 1])
 def test_texts_that_share_an_id_keep_their_links(spark, top):
     random.seed(13)
@@ -202,6 +272,15 @@ def test_texts_that_share_an_id_keep_their_links(spark, top):
         assert {(r.doc_id, r.component_id) for r in rows} == {(5, 5), (6, 5), (7, 5), (8, 5), (3, 3), (9, 3), (10, 3), (17, 17), (18, 17), (20, 17), (top, top)}
 
 
+def test_odd_sketches_bound_the_difference():
+    random.seed(21)
+    s = minhash.Sketcher(3, 7, 7)
+    for _ in range(200):
+        x, y = (np.unique(minhash.mix(np.array(random.sample(range(400), random.randrange(1, 300)), np.uint64))) for _ in range(2))
+        differ = sum(bin(int(a) & (1 << 64) - 1).count("1") for a in (s.odd(x) ^ s.odd(y)))
+        assert differ <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_sketch_fills_and_estimates():
     s = minhash.Sketcher(3, 336, 7)
     a = minhash.mix(np.arange(400, dtype=np.uint64))
@@ -275,21 +354,59 @@ def test_hot_names_are_dealt_by_windows(spark):
     assert {r._id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in out.collect()} == removed(texts, 50)
 
 
-def test_column_wise_order():
+def test_column_wise_order(tmp_path):
     random.seed(7)
     for _ in range(60):
         strings = list({"".join(random.choice("ab") for _ in range(random.randint(1, 9))).encode() for _ in range(random.randint(1, 12))})
         sizes = np.array([len(s) for s in strings])
         flat, begin = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1), np.cumsum(sizes) - sizes
-        for limit in (1 << 20, 4):  # in memory, and through files
-            text, common = suffixes.column_wise(flat, begin, sizes, limit)
+        for limit, block in ((1 << 20, 1 << 18), (1 << 20, 3), (4, 5)):  # in memory, and through files
+            store = suffixes.column_wise(flat, begin, sizes, 4, limit, f"file://{tmp_path}", block)
+            text, common, windows = (np.concatenate(x).tolist() for x in zip(*store.read()))
+            store.drop()
+            assert not list(tmp_path.iterdir())
             order = sorted((s[i:] + b"\0", k, len(s) - i) for k, s in enumerate(strings) for i in range(len(s) + 1))
             order.sort(key=lambda x: (x[0], x[1]))
-            assert text.tolist() == [strings[k][len(strings[k]) - n - 1] + 1 if n < len(strings[k]) else 0 for _, k, n in order]
+            assert text == [strings[k][len(strings[k]) - n - 1] + 1 if n < len(strings[k]) else 0 for _, k, n in order]
+            numbers = {x: i for i, x in enumerate((k, a) for k, s in enumerate(strings) for a in range(len(s) - 3))}
+            assert windows == [numbers.get((k, len(strings[k]) - n), -1) for _, k, n in order]
             for i in range(1, len(order)):
                 a, b = order[i - 1][0][:-1], order[i][0][:-1]
                 n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
                 assert common[i] == n
+            owner = np.array([random.randrange(20) for _ in strings])
+            got = suffixes.least_owner(flat, begin, sizes, owner, 4, limit, f"file://{tmp_path}", block).tolist()
+            assert got == [min(o for o, t in zip(owner.tolist(), strings) if s[a : a + 4] in t) for s in strings for a in range(len(s) - 3)]
+
+
+@pytest.mark.parametrize("length", [7, 300])
+def test_other_lengths(spark, length):
+    random.seed(15)
+    base = "".join(random.choice("abcdefg ") for _ in range(900))
+    texts = [(1, base[:350] + "one"), (2, "two " + base[:350] + " and more"), (3, "q" + base[300:800]), (4, base[350:790] + "x"), (5, "ab" * 400), (6, "ab" * 200 + "é" * 200), (7, "é" * 160)]
+    out, _ = suffixes.deduplicated(frame(spark, texts), length=length)
+    assert {r._id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in out.collect()} == removed(texts, length)
+    with pytest.raises(ValueError):
+        suffixes.deduplicated(frame(spark, texts), length=0)
+
+
+def test_names_are_dealt_evenly():
+    random.seed(24)
+    text = "".join(random.choice("abcdefghij ") for _ in range(400_000)).encode()
+    names = suffixes.names_of(suffixes.Names(50), [text])[0]
+    per = np.bincount(suffixes._group(names, 40), minlength=40)
+    assert per.max() < 1.3 * per.mean() and per.min() > 0.7 * per.mean()
+
+
+def test_one_name_with_thousands_of_strings(spark):
+    random.seed(16)
+    seed = "the very common twenty letters and some"  # a hot 20-gram, different windows around it
+    texts = [(i, "".join(random.choice("stuvwxyz") for _ in range(30)) + seed + "".join(random.choice("stuvwxyz") for _ in range(30))) for i in range(2500)]
+    texts += [(5000 + i, texts[i][1][random.randrange(9) :] + "end") for i in range(0, 2500, 7)]
+    want = removed(texts, 50)
+    for more in ({}, {"in_memory": 100}, {"hot": 64}):
+        out, _ = suffixes.deduplicated(frame(spark, texts), **more)
+        assert {r._id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in out.collect()} == want
 
 
 def test_lines(spark, edges, empty):
@@ -332,7 +449,7 @@ def test_neighbours(spark):
     rows += [(1000, None, "a"), (1001, [0.0] * 16, "a"), (1002, [float("nan")] * 16, "a"), (1003, [None] * 16, "a"), (1004, [1.0] * 3, "a"), (None, [1.0] * 16, "a"), (1005, rows[0][1], "a")]
     df = spark.createDataFrame(rows, schema)
     got = {}
-    for r in srs.nearest(df, df.where("vec_id % 100 = 0"), block=100, blocks=4).orderBy("query_id", "rank").collect():
+    for r in srs.nearest(df, df.where("vec_id % 100 = 0"), block=100, chunk=2, sure=0.7).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     v = {i: np.array(x, np.float32).astype(float) for i, x, _ in rows[:600]} | {1005: np.array(rows[0][1], np.float32).astype(float)}
     assert set(got) == {0, 100, 200, 300, 400, 500}
@@ -345,6 +462,33 @@ def test_neighbours(spark):
     assert srs.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_stop_early(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    queries = df.where("vec_id % 20 = 0")
+    for more in ({}, {"block": 200}, {"block": 200, "leaves": 4}):  # one leaf, many, and leaves in parts
+        got = {}
+        for r in srs.nearest(df, queries, **more).collect():
+            got.setdefault(r.query_id, ([], r.n_verified))[0].append(r.vec_id)
+        hits = 0
+        for q, (found, n) in got.items():
+            d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(axis=1))
+            hits += len(set(found) & set(ids[np.lexsort((ids, np.where(ids == q, np.inf, d)))][:10].tolist()))
+            assert n <= len(ids) - 1
+        share = sum(n for _, n in got.values()) / len(got) / (len(ids) - 1)
+        assert len(got) == len([i for i in ids if i % 20 == 0]) and hits >= 0.95 * 10 * len(got) and share < 0.99
+
+
+def test_leaves_deal_all_points():
+    rng = np.random.default_rng(23)
+    points = np.round(rng.standard_normal((3000, 4)), 1)
+    tree = srs.splits(points, 16)
+    leaf = srs.leaf_of(tree, points)
+    assert 8 <= len(set(leaf.tolist())) <= 16 and np.bincount(leaf).max() < 600
+    assert srs.leaf_of(srs.splits(points[:0], 8), points).max() == 0 and srs.leaf_of(srs.splits(points * 0, 8), points).max() == 0
+
+
 def test_chi_square():
     rng = np.random.default_rng(9)
     x = (rng.standard_normal((40000, 8)) ** 2).sum(axis=1)
@@ -371,19 +515,63 @@ def test_tail_is_exact():
     from math import comb
 
     for n, k, p in ((10, 0, 0.1), (50, 3, 0.05), (200, 1, 0.02), (30, 12, 0.2)):
-        assert abs(quality_rules.tail(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-9
+        assert abs(quality_rules.tail(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-12
+    p = 0.04 / 6
+    for n in (10**4, 10**6, 10**9, 10**10):
+        for away in (0, -4, 4):
+            k = int(n * p + away * (n * p * (1 - p)) ** 0.5)
+            # the whole distribution sums to 1, whichever end the sum begins at
+            assert abs(quality_rules.tail(k, n, p) + quality_rules.tail(n - k - 1, n, 1 - p) - 1) < 1e-9
+    # 4 standard deviations below, by integers
+    from fractions import Fraction
+
+    n, q = 3000, Fraction(1, 50)
+    exact = sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(31))
+    assert abs(quality_rules.tail(30, n, 0.02) / float(exact) - 1) < 1e-11
+    # sums of more than 2000 terms: at most 20000 terms of 10**10, one by one
+    n, k = 10**10, int(10**10 * p - 4 * (10**10 * p * (1 - p)) ** 0.5)
+    terms = [quality_rules.point(i, n, p) for i in range(k - 40000, k + 1)]
+    assert abs(quality_rules.tail(k, n, p) / sum(terms) - 1) < 1e-6 and sum(terms[-2000:]) < 0.7 * sum(terms)
+
+
+def test_kept_is_what_the_bounds_allow(spark):
+    from math import comb
+
+    random.seed(17)
+    texts, quality = [], {}
+    for i in range(900):
+        n_odd = random.choice([0, 0, 0, 1, 2, 12, 30]) if i % 4 else random.randint(0, 60)
+        texts.append((i, " ".join([f"w{i}x{j}" for j in range(60)] + ["$$$$$$"] * (n_odd and 1) + [f"a{j}$%&" for j in range(n_odd)])))
+        quality[i] = int(i % 4 > 0)
+    docs = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a"))
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r._kept for r in quality_rules.judged(docs, labels, risk=0.6, error=0.2)[0].collect()}
+    rules, share = quality_rules.RULES, 0.6 / len(quality_rules.RULES)
+    counts = {i: dict(zip(quality_rules.COUNTS + quality_rules.MORE, quality_rules.text_counts(x))) for i, x in texts}
+    ratio = lambda i, r: counts[i][rules[r][0]] / max(counts[i][rules[r][1]], 1)
+    failed = lambda i: counts[i]["n_words"] < 50 or 100 * counts[i]["n_repeat_words"] > 50 * counts[i]["n_words"]
+    cuts = {}
+    for stratum in (0, 1):
+        good = [i for i, _ in texts if i % 2 == stratum and quality[i] == 1 and zlib.crc32(str(i).encode()) % 4 != 2 and not failed(i)]
+        for r in rules:
+            for c in sorted(quality_rules.GRID, reverse=True):
+                k, n = sum(ratio(i, r) > c for i in good), len(good)
+                if sum(comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1)) <= 0.2 / (len(rules) * len(quality_rules.GRID) * 2):
+                    cuts[stratum, r] = c
+    assert cuts and got == {i: not failed(i) and not any(ratio(i, r) > cuts.get((i % 2, r), 1e9) for r in rules) for i, _ in texts}
+    assert len(set(got.values())) == 2
 
 
 def test_rules(spark, edges, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = quality_rules.judged(edges, labels).collect()
+    rows = quality_rules.judged(edges, labels)[0].collect()
     assert len(rows) == len(EDGES) and all(r._kept == (not r._base_failed) for r in rows)
-    assert quality_rules.judged(empty, labels).count() == 0
+    assert quality_rules.judged(empty, labels)[0].count() == 0
     good = "plain words in a row of some length that differ each time " + " ".join(f"w{i}" for i in range(60))
     bad = " ".join(f"x{i}$$$" for i in range(80))
     texts = [(i, (good + f" n{i}") if i % 5 else (bad + f" n{i}")) for i in range(6000)]
     labels = spark.createDataFrame([(i, 1 if i % 5 else 0, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r._kept for r in quality_rules.judged(frame(spark, texts), labels).collect()}
+    out = {r.doc_id: r._kept for r in quality_rules.judged(frame(spark, texts), labels)[0].collect()}
     assert not any(out[i] for i in range(0, 6000, 5)) and sum(out[i] for i in range(6000) if i % 5) > 0.95 * 4800
 
 
@@ -397,6 +585,26 @@ def test_rule_ensemble():
     assert rule_ensemble.fit(x[:0], y[:0]) == (0.0, []) and rule_ensemble.fit(x, y * 0)[1] == []
 
 
+def test_compiled_rules_are_the_rules(spark):
+    rng = np.random.default_rng(18)
+    x = np.round(rng.random((400, 3)), 2)  # values at the cuts too
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] < 0.3)).astype(float)
+    bias, rules = rule_ensemble.fit(x, y)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")
+    got = np.array([r.s for r in df.select("i", rule_ensemble.compiled(bias, rules, ["a", "b", "c"]).alias("s")).orderBy("i").collect()])
+    want = 1 / (1 + np.exp(-(bias + sum(w * rule_ensemble.holds(r, x) for r, w in rules))))
+    assert len(rules) > 1 and np.abs(got - want).max() < 1e-12
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    seen, fit = [], rule_ensemble.fit
+    monkeypatch.setattr(rule_ensemble, "fit", lambda x, y, **m: (seen.append(len(x)), fit(x, y, **m))[1])
+    texts = [(i, f"words {i} " * (5 + i % 50)) for i in range(1200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    assert rule_ensemble.scored(frame(spark, texts), labels, sample=400)[0].count() == 1200
+    assert 150 < seen[0] <= 400
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
