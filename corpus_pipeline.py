@@ -4,6 +4,8 @@ STAGES holds (name, function) pairs. Each function takes (spark, docs, sf_dir) a
 DataFrame that is written as Parquet and read again as the next one's docs; all but the last
 give the columns of ``documents``. Rows without a text pass the stages after the first, which
 rejects them; rows without a doc_id are left alone by the stages that compare documents.
+
+What a stage has staged for itself goes when the next stage begins, as its result is written then.
 """
 
 from __future__ import annotations
@@ -17,6 +19,15 @@ from tessera.llm import linededup, minhash, packing, quality_rules, suffixes, ut
 PASSAGE = 100
 
 
+#: staged tables behind the result that the latest stage gave
+_LEFT: list[str] = []
+
+
+def _begin(spark) -> None:
+    util.drop(spark, *_LEFT)
+    _LEFT.clear()
+
+
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, with n_chars of the text as it is now."""
     if "n_chars" in docs.columns:
@@ -26,19 +37,25 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that base rules and risk-controlled cutoffs keep."""
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.judged(docs, labels, keep=docs.columns).where("_kept").select(*docs.columns)
+    out, paths = quality_rules.judged(docs, labels, keep=docs.columns)
+    _LEFT.extend(paths)
+    return out.where("_kept").select(*docs.columns)
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without chunks of lines that occurred before; those of which nothing is left go."""
-    out, _ = linededup.deduplicated(docs)
+    _begin(spark)
+    out, paths = linededup.deduplicated(docs)
+    _LEFT.extend(paths)
     out = out.where("NOT (_ld_gone_chunks > 0 AND text = '')")
     return _columns(out, docs)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five words, similarity 0.8."""
+    _begin(spark)
     found = minhash.near_duplicates(docs, width=5, threshold=0.8, rows=6)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
@@ -46,13 +63,16 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a document with a smaller doc_id holds too; those of which nothing is left go."""
-    out, _ = suffixes.deduplicated(docs, length=PASSAGE, keep=docs.columns)
+    _begin(spark)
+    out, paths = suffixes.deduplicated(docs, length=PASSAGE, keep=docs.columns)
+    _LEFT.extend(paths)
     out = out.where("NOT (_n_removed > 0 AND coalesce(_kept, text) = '')")
     return _columns(out.withColumn("text", F.coalesce("_kept", "text")), docs)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 1024, with the ids as little-endian unsigned 32-bit bytes."""
+    _begin(spark)
     return packing.packed(docs, with_ids=True)
 
 
@@ -63,7 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = util.documents(spark, sf_dir)
+    docs, before = util.documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs, _ = util.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = util.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        util.drop(spark, *before)
+        before = [path]
+    return util.result(STAGES[-1][1](spark, docs, sf_dir), *before)
