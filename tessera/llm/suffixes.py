@@ -463,7 +463,8 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
     firsts_k = firsts.select(F.col("sha").alias("s"), "rep")
     names = names.join(firsts_k, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("rep", "sha", "names")
     parts = max(shuffles, util.parts(docs, 8))
-    groups = parts * 12
+    # groups follow the data and not the partitions: each chunk sends a row to each group at most
+    groups = max(parts, util.blocks(docs, 8) * 12)
 
     def chunked(batches):
         util.lean()

@@ -78,13 +78,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def parts(df: DataFrame, mb: int = 16) -> int:
-    """Partitions so that one holds about so many MB of the files that df reads, at least the session's own count."""
+def blocks(df: DataFrame, mb: int = 16) -> int:
+    """How many blocks of about so many MB the files have that df reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # sources without files say that they are larger than anything
-    size = sum(x for x in sizes if x < 1 << 50)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20) + 1, 1 << 17))
+    return min(sum(x for x in sizes if x < 1 << 50) // (mb << 20) + 1, 1 << 17)
+
+
+def parts(df: DataFrame, mb: int = 16) -> int:
+    """Partitions so that one holds about so many MB of the files that df reads, at least the session's own count."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks(df, mb))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
