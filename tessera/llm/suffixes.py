@@ -535,9 +535,10 @@ def removals(docs: DataFrame, *, length: int = 50, chunk_mb: int = 3, in_memory:
             who, values = _unpack(rows[0][2]), np.frombuffer(rows[0][3], "<u4")
             group = _group(values, groups)
             order = np.argsort(group, kind="stable")
+            ranked = group[order]
             hit, many, at = np.zeros(len(values), bool), np.zeros(len(values), bool), 0
             for _, g, _, raw in rows[1:]:
-                n = int(np.searchsorted(group[order], g, "right")) - at
+                n = int(np.searchsorted(ranked, g, "right")) - at
                 bits = np.frombuffer(raw, np.uint8).reshape(2, -1)
                 hit[order[at : at + n]] = np.unpackbits(bits[0], count=n).astype(bool)
                 many[order[at : at + n]] = np.unpackbits(bits[1], count=n).astype(bool)
