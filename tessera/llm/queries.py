@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import linededup, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
+from tessera.llm import linededup, manifest, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_risk_controlled_rules": quality_rules.op8,
         "op9_sketch_near_dedup": minhash.op9,
         "op10_column_suffix_dedup": suffixes.op10,
+        "op11_window_merkle_manifest": manifest.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_chunk_dedup": linededup.ORACLE, "op7_perspective_rotation": rotation.ORACLE}
+    return {"op6_line_chunk_dedup": linededup.ORACLE, "op7_perspective_rotation": rotation.ORACLE, "op11_window_merkle_manifest": manifest.ORACLE}
