@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import linededup, manifest, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
+from tessera.llm import factors, linededup, manifest, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_sketch_near_dedup": minhash.op9,
         "op10_column_suffix_dedup": suffixes.op10,
         "op11_window_merkle_manifest": manifest.op11,
+        "op13_reference_factor_dedup": factors.op13,
     }
 
 
