@@ -39,32 +39,53 @@ from tessera.llm import util
 from tessera.llm.minhash import mix
 
 #: words of a gram that names windows, and symbols from which a reference block is full
-K, BLOCK = 16, 1 << 17
+K, BLOCK = 16, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class Words:
-    """64-bit hashes of words, remembered up to a limit."""
-
-    def __init__(self, limit: int = 300_000):
-        self.limit, self.known = limit, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxh3_64_intdigest(w)
-        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if any(len(w) > util.LONG for w in words):
-            known.clear()
-        return out
-
-
+    """64-bit hashes of the words of texts, from sums over their bytes. They say where strings are sent; words decide."""
+
+    def __init__(self, block: int = 1 << 20):
+        self.block, self.up, self.down = block, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int):
+        if len(self.up) < n:
+            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            if n > 2 * self.block:  # of one very long text
+                return up, down
+            self.up, self.down = up, down
+        return self.up, self.down
+
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and how many each text has."""
+        parts, held, size = [], [], 0
+        for t in texts:
+            if held and size + len(t) > self.block:
+                parts.append(self._some(held))
+                held, size = [], 0
+            held.append(t)
+            size += len(t) + 1
+        if held:
+            parts.append(self._some(held))
+        parts.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _some(self, texts):
+        data = np.frombuffer(b"".join([b" ", *[x for t in texts for x in (t, b" ")]]), np.uint8)
+        up, down = self._powers(len(data))
+        blank = _BLANK[data]
+        first, end = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        total = np.cumsum((data + np.uint64(1)) * up[: len(data)])
+        h = mix((total[end - 1] - total[first - 1]) * down[first] + (end - first).astype(np.uint64))
+        edge = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        return h, np.diff(np.searchsorted(first, edge))
+
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _WORDS = Words()
-util.HELD.append(lambda: _WORDS.known.clear())
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -110,22 +131,23 @@ class Block:
     """The suffix order of a reference block: strings of symbols (1 and more), each with an owner."""
 
     def __init__(self, strings: list[np.ndarray], owners: np.ndarray):
+        owners = np.unique(owners, return_inverse=True)[1].astype(np.int32)
         self.size = np.array([len(s) for s in strings], np.int64)
         self.begin = np.cumsum(self.size + 1) - self.size - 1
         n = int(self.begin[-1] + self.size[-1] + 1)
-        flat, rest, self.owner = np.zeros(n, np.int64), np.zeros(n, np.int64), owners
-        own = np.full(n, np.iinfo(np.int64).max)  # the symbol 0 after a string belongs to nobody
+        flat, rest, self.owner = np.zeros(n, np.int64), np.zeros(n, np.int32), owners
+        own = np.full(n, np.iinfo(np.int32).max, np.int32)  # the symbol 0 after a string belongs to nobody
         for s, a, o in zip(strings, self.begin.tolist(), owners.tolist()):
             flat[a : a + len(s)] = s
             rest[a : a + len(s)] = np.arange(len(s), 0, -1)
             own[a : a + len(s)] = o
         # ranks by the first 1, 2, 4 ... symbols, until they tell all strings apart
-        ranks = [np.unique(flat, return_inverse=True)[1].astype(np.int64)]
+        ranks = [_ranks(flat)]
         while 1 << (len(ranks) - 1) <= self.size.max():
             w, r = 1 << (len(ranks) - 1), ranks[-1]
-            after = np.zeros(n, np.int64)
-            after[:-w] = r[w:] + 1
-            ranks.append(np.unique(r * (n + 2) + after, return_inverse=True)[1].astype(np.int64))
+            key = r * np.int64(n + 2)
+            key[:-w] += r[w:] + np.int64(1)
+            ranks.append(_ranks(key))
         order = np.argsort(ranks[-1], kind="stable")
         self.place = np.empty(n, np.int64)
         self.place[order] = np.arange(n)
@@ -136,14 +158,14 @@ class Block:
             ok[ok] = ranks[j][a[ok]] == ranks[j][b[ok]]
             common += ok.astype(np.int64) << j
         common = np.minimum(common, np.minimum(rest[order[:-1]], rest[order[1:]]))
-        self.n, self.least, self.common = n, _minima(own[order]), _minima(np.append(common, 0))
+        self.n, self.least, self.common = n, _minima(own[order]), _minima(np.append(common, 0).astype(np.int32))
 
     def longest(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """The longest match at each place with a string of a smaller owner than given."""
         n, place = self.n, self.place[at]
-        far = np.iinfo(np.int64).max
+        far = np.iinfo(np.int32).max
         left, right = place.copy(), place + 1
-        before, after = np.full(len(at), far), np.full(len(at), far)
+        before, after = np.full(len(at), far, np.int32), np.full(len(at), far, np.int32)
         for j in range(len(self.least) - 1, -1, -1):
             w = 1 << j
             ok = left >= w  # none of the w suffixes before has a smaller owner: go past them
@@ -160,12 +182,13 @@ class Block:
         after = np.where(ok, np.minimum(after, self.common[0][np.minimum(right, n - 1) - 1]), 0)
         return np.maximum(before, after)
 
-    def spans(self, length: int) -> list[list[tuple[int, int]]]:
-        """Of each string, runs (first window, windows) of windows that a string of a smaller owner has too."""
+    def spans(self, length: int, search: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+        """Of each string, runs (first window, windows) of windows that a string of a smaller owner has too;
+        search: strings that are to be factored (else all)."""
         own, end = self.owner, self.begin + self.size
         at, last = self.begin.copy(), np.zeros(len(own), np.int64)
         hits: list[tuple] = []
-        live = np.flatnonzero(self.size >= length)
+        live = np.flatnonzero(self.size >= length) if search is None else search
         while len(live):
             p, o = at[live], own[live]
             got = np.minimum(self.longest(p, o), end[live] - p)
@@ -194,6 +217,16 @@ class Block:
         return out
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """0, 1 ... for the distinct values in their order."""
+    order = np.argsort(values)
+    head = np.ones(len(values), np.int32)
+    head[1:] = np.diff(values[order]) != 0
+    out = np.empty(len(values), np.int32)
+    out[order] = np.cumsum(head, dtype=np.int32) - 1
+    return out
+
+
 def _minima(values: np.ndarray) -> list[np.ndarray]:
     """Least values of all ranges of 1, 2, 4 ... values."""
     out = [values]
@@ -208,11 +241,21 @@ def mark(text: bytes) -> bytes:
 
 
 def parsed(strings: list[tuple[int, bytes, int]], length: int):
-    """(name, mark, owner, spans) of distinct (name, text, owner), which make one reference block."""
-    ids: dict = {}
-    symbols = [np.array([ids.setdefault(w, len(ids) + 1) for w in text.split(b" ")], np.int64) for _, text, _ in strings]
-    block = Block(symbols, np.array([o for *_, o in strings], np.int64))
-    return [(name, mark(text), owner, spans) for (name, text, owner), spans in zip(strings, block.spans(length))]
+    """(name, mark, owner, spans) of distinct (name, text, owner), those of a name together; they make one reference block."""
+    named_ = np.array([name for name, *_ in strings], np.int64)
+    owners = np.array([o for *_, o in strings], np.int64)
+    head = np.append(True, named_[1:] != named_[:-1])
+    least = np.minimum.reduceat(owners, np.flatnonzero(head))[np.cumsum(head) - 1]
+    # windows of a name are nowhere but in its strings: the first owner's have no factor, nor has a name of one owner
+    search = owners > least
+    some = np.flatnonzero(np.logical_or.reduceat(search, np.flatnonzero(head))[np.cumsum(head) - 1])
+    spans: list = [[] for _ in strings]
+    if len(some):
+        ids: dict = {}
+        block = Block([np.array([ids.setdefault(w, len(ids) + 1) for w in strings[i][1].split(b" ")], np.int64) for i in some.tolist()], owners[some])
+        for i, x in zip(some.tolist(), block.spans(length, np.flatnonzero(search[some]))):
+            spans[i] = x
+    return [(name, mark(text), owner, x) for (name, text, owner), x in zip(strings, spans)]
 
 
 _RUNS = "array<struct<name:bigint,a:int,n:int>>"
@@ -237,12 +280,12 @@ def removals(docs: DataFrame, *, length: int = 50, hot: int = 256) -> tuple[Data
     def read(batches):
         util.lean()
         for batch in batches:
-            cut = [t.split() for t in batch.column(3).to_pylist()]
-            sizes = np.array([len(w) for w in cut], np.int64)
-            doc, name, first, count = named(_WORDS.hashes([w for words in cut for w in words]), sizes, length)
-            offsets = np.searchsorted(doc, np.arange(len(cut) + 1))
+            texts = batch.column(3).to_pylist()
+            hashes, sizes = _WORDS.hashes(texts)
+            doc, name, first, count = named(hashes, sizes, length)
+            offsets = np.searchsorted(doc, np.arange(len(texts) + 1))
             runs = pa.StructArray.from_arrays([pa.array(name, pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=["name", "a", "n"])
-            whole = [hashlib.sha256(b" ".join(w)).hexdigest() for w in cut]
+            whole = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(whole, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)], names=["u", "doc_id", "sha", "n_words", "whole", "runs"])
 
     texts = own.select(F.monotonically_increasing_id().alias("u"), "doc_id", "sha", "text")
@@ -262,48 +305,67 @@ def removals(docs: DataFrame, *, length: int = 50, hot: int = 256) -> tuple[Data
     texts = own.join(wanted, (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("rep"))).select("v", "rep", "sha", "text", "runs")
     if seen.where("doc_id IS NOT NULL").groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         texts = texts.dropDuplicates(["v"])  # rows that share doc_id and text
-    texts, text_path = util.staged(texts, "candidates")
+    texts, text_path = util.staged(texts.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), 7)), "candidates")
     util.drop(spark, seen_path, run_path)
 
-    # names in very many runs: windows by their full hash
+    # names in very many runs: windows by their full hash, each once for a chunk of texts
     def windows(batches):
         util.lean()
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for v, rep, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                full = grams(_WORDS.hashes(text.split()), length).view(np.int64)
-                at = np.unique(np.concatenate([np.arange(r["a"], r["a"] + r["n"]) for r in runs if r["hot"]]))
-                for col, x in zip(cols, (np.full(len(at), v), np.full(len(at), rep), full[at], at)):
-                    col.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["v", "rep", "w", "a"])
-
-    paths = [text_path]
-    spots = texts.where(F.exists("runs", lambda r: r["hot"]))
-    if spots.limit(1).count():
-        full, full_path = util.staged(spots.select("v", "rep", "text", "runs").mapInArrow(windows, "v long, rep long, w long, a int"), "windows")
-        twice = full.groupBy("w").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("w").alias("x"))
-        spots = full.join(twice, F.col("w") == F.col("x"), "left_semi").groupBy("v").agg(F.collect_list(F.struct(F.col("w").alias("name"), "a", F.lit(1).alias("n"))).alias("spots"))
-        spots, spot_path = util.staged(spots.select(F.col("v").alias("x"), "spots"), "spots")
-        paths += [full_path, spot_path]
-        cold = F.transform(F.filter("runs", lambda r: ~r["hot"]), lambda r: F.struct(r["name"].alias("name"), r["a"].alias("a"), r["n"].alias("n")))
-        pieces = texts.join(spots, F.col("v") == F.col("x"), "left").select("v", "rep", "text", F.concat(cold, F.coalesce("spots", F.expr(f"CAST(array() AS {_RUNS})"))).alias("runs"))
+            met: dict = {}
+            for chunk, rep, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                full = grams(_WORDS.hashes([text])[0], length).view(np.int64)
+                mine = met.setdefault(chunk, {})
+                for w in set(np.concatenate([full[r["a"] : r["a"] + r["n"]] for r in runs if r["hot"]]).tolist()):
+                    lo, hi = mine.get(w, (rep, rep))
+                    mine[w] = (min(lo, rep), max(hi, rep))
+            for chunk, mine in met.items():
+                lo, hi = zip(*mine.values())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(mine), pa.int64()), pa.array(list(mine), pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["chunk", "w", "lo", "hi"])
+
+    paths, hottest = [text_path], texts.where(F.exists("runs", lambda r: r["hot"]))
+    if hottest.limit(1).count():
+        full, full_path = util.staged(hottest.select("chunk", "rep", "text", "runs").mapInArrow(windows, "chunk long, w long, lo long, hi long"), "windows")
+        twice = full.groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select(F.col("w").alias("x"))
+        again = full.join(twice, F.col("w") == F.col("x"), "left_semi").groupBy("chunk").agg(F.collect_set("w").alias("again"))
+        again, again_path = util.staged(again.select(F.col("chunk").alias("c"), "again"), "again")
+        paths += [full_path, again_path]
+        # a chunk's list comes before its texts
+        pieces = texts.select("chunk", "v", "rep", "text", "runs").unionByName(again.select(F.col("c").alias("chunk"), F.col("again")), allowMissingColumns=True)
+        pieces = pieces.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("v").asc_nulls_first())
     else:
-        pieces = texts.select("v", "rep", "text", "runs")
+        pieces = texts.select("chunk", "v", "rep", "text", "runs", F.lit(None).cast("array<bigint>").alias("again"))
+
+    def strings_of(text, runs, again):
+        """(name, first window, windows): runs of windows, single windows of names in very many runs."""
+        yield from ((r["name"], r["a"], r["n"]) for r in runs if not r["hot"])
+        at = [np.arange(r["a"], r["a"] + r["n"]) for r in runs if r["hot"]]
+        if at and len(again):
+            at = np.concatenate(at)
+            full = grams(_WORDS.hashes([text])[0], length).view(np.int64)[at]
+            ok = np.isin(full, again)
+            yield from zip(full[ok].tolist(), at[ok].tolist(), [1] * int(ok.sum()))
 
     # 2: strings, in a batch of texts each once with its least doc_id
     def cut_out(batches):
         util.lean()
+        of, again = None, ()
         for batch in batches:
             least: dict = {}
-            rows = []
-            for v, rep, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            rows: list = []
+            lists = batch.column(5)
+            for i, (chunk, v, rep, text, runs) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+                if chunk != of:
+                    of, again = chunk, ()
+                if v is None:
+                    again = lists[i].values.to_numpy()
+                    continue
                 words = text.split()
-                for r in runs:
-                    key = (r["name"], b" ".join(words[r["a"] : r["a"] + r["n"] + length - 1]))
+                for name, a, n in strings_of(text, runs, again):
+                    key = (name, b" ".join(words[a : a + n + length - 1]))
                     if least.get(key, rep) >= rep:
                         least[key] = rep
-                    rows.append((r["name"], mark(key[1]), v, rep, r["a"], r["n"], None))
+                    rows.append((name, mark(key[1]), v, rep, a, n, None))
             rows += [(name, None, None, rep, None, None, text) for (name, text), rep in least.items()]
             types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             for a in range(0, len(rows), 1 << 14):

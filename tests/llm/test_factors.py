@@ -115,7 +115,7 @@ def test_block_by_brute_force(seed):
     block = factors.Block(strings, owners)
     for i, s in enumerate(strings):
         at = np.arange(len(s))
-        got = np.minimum(block.longest(block.begin[i] + at, np.full(len(s), owners[i])), len(s) - at)
+        got = np.minimum(block.longest(block.begin[i] + at, np.full(len(s), block.owner[i])), len(s) - at)
         assert got.tolist() == [longest(strings, owners, i, a) for a in at]
     for length in (1, 2, 4, 9):
         for i, spans in enumerate(block.spans(length)):
