@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import factors, linededup, manifest, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
+from tessera.llm import collocations, factors, linededup, manifest, minhash, packing, pieces, quality_rules, repair, rotation, rule_ensemble, srs, suffixes
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_sketch_near_dedup": minhash.op9,
         "op10_column_suffix_dedup": suffixes.op10,
         "op11_window_merkle_manifest": manifest.op11,
+        "op12_apriori_collocations": collocations.op12,
         "op13_reference_factor_dedup": factors.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_chunk_dedup": linededup.ORACLE, "op7_perspective_rotation": rotation.ORACLE, "op11_window_merkle_manifest": manifest.ORACLE}
+    return {"op6_line_chunk_dedup": linededup.ORACLE, "op7_perspective_rotation": rotation.ORACLE, "op11_window_merkle_manifest": manifest.ORACLE, "op12_apriori_collocations": collocations.ORACLE}
