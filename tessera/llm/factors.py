@@ -323,55 +323,60 @@ def removals(docs: DataFrame, *, length: int = 50, hot: int = 256) -> tuple[Data
                 lo, hi = zip(*mine.values())
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(mine), pa.int64()), pa.array(list(mine), pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["chunk", "w", "lo", "hi"])
 
+    def after(lists: DataFrame, *columns: str) -> DataFrame:
+        """A chunk's list and then its texts."""
+        rows = texts.select("chunk", "v", *columns).unionByName(lists, allowMissingColumns=True)
+        return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("v").asc_nulls_first())
+
     paths, hottest = [text_path], texts.where(F.exists("runs", lambda r: r["hot"]))
     if hottest.limit(1).count():
         full, full_path = util.staged(hottest.select("chunk", "rep", "text", "runs").mapInArrow(windows, "chunk long, w long, lo long, hi long"), "windows")
         twice = full.groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select(F.col("w").alias("x"))
         again = full.join(twice, F.col("w") == F.col("x"), "left_semi").groupBy("chunk").agg(F.collect_set("w").alias("again"))
-        again, again_path = util.staged(again.select(F.col("chunk").alias("c"), "again"), "again")
+        again, again_path = util.staged(again, "again")
         paths += [full_path, again_path]
-        # a chunk's list comes before its texts
-        pieces = texts.select("chunk", "v", "rep", "text", "runs").unionByName(again.select(F.col("c").alias("chunk"), F.col("again")), allowMissingColumns=True)
-        pieces = pieces.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("v").asc_nulls_first())
+        pieces = after(again, "rep", "text", "runs")
     else:
         pieces = texts.select("chunk", "v", "rep", "text", "runs", F.lit(None).cast("array<bigint>").alias("again"))
 
     def strings_of(text, runs, again):
-        """(name, first window, windows): runs of windows, single windows of names in very many runs."""
-        yield from ((r["name"], r["a"], r["n"]) for r in runs if not r["hot"])
+        """(name, first window, windows, string): runs of windows; single windows of names in very many runs."""
+        words = text.split()
+        spots = [(r["name"], r["a"], r["n"]) for r in runs if not r["hot"]]
         at = [np.arange(r["a"], r["a"] + r["n"]) for r in runs if r["hot"]]
         if at and len(again):
             at = np.concatenate(at)
             full = grams(_WORDS.hashes([text])[0], length).view(np.int64)[at]
             ok = np.isin(full, again)
-            yield from zip(full[ok].tolist(), at[ok].tolist(), [1] * int(ok.sum()))
+            spots += zip(full[ok].tolist(), at[ok].tolist(), [1] * int(ok.sum()))
+        return words, [(name, a, n, b" ".join(words[a : a + n + length - 1])) for name, a, n in spots]
 
-    # 2: strings, in a batch of texts each once with its least doc_id
+    # 2: strings, in a chunk of texts each once with its least and greatest doc_id
     def cut_out(batches):
         util.lean()
-        of, again = None, ()
+        of, again, met = None, (), {}
+
+        def out():
+            for a in range(0, len(met), 1 << 13):
+                rows = [(of, name, mark(x), x, lo, hi) for (name, x), (lo, hi) in list(met.items())[a : a + (1 << 13)]]
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["chunk", "name", "mark", "string", "lo", "hi"])
+
         for batch in batches:
-            least: dict = {}
-            rows: list = []
             lists = batch.column(5)
             for i, (chunk, v, rep, text, runs) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
                 if chunk != of:
-                    of, again = chunk, ()
+                    yield from out()
+                    of, again, met = chunk, (), {}
                 if v is None:
                     again = lists[i].values.to_numpy()
                     continue
-                words = text.split()
-                for name, a, n in strings_of(text, runs, again):
-                    key = (name, b" ".join(words[a : a + n + length - 1]))
-                    if least.get(key, rep) >= rep:
-                        least[key] = rep
-                    rows.append((name, mark(key[1]), v, rep, a, n, None))
-            rows += [(name, None, None, rep, None, None, text) for (name, text), rep in least.items()]
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            for a in range(0, len(rows), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + (1 << 14)]), types)], names=["name", "mark", "v", "rep", "a", "n", "string"])
-
-    cut, cut_path = util.staged(pieces.mapInArrow(cut_out, "name long, mark binary, v long, rep long, a int, n int, string binary"), "strings")
+                for name, _, _, x in strings_of(text, runs, again)[1]:
+                    lo, hi = met.get((name, x), (rep, rep))
+                    met[name, x] = (min(lo, rep), max(hi, rep))
+        yield from out()
+
+    cut, cut_path = util.staged(pieces.mapInArrow(cut_out, "chunk long, name long, mark binary, string binary, lo long, hi long"), "strings")
 
     def factored(batches):
         util.lean()
@@ -392,37 +397,43 @@ def removals(docs: DataFrame, *, length: int = 50, hot: int = 256) -> tuple[Data
         spans = pa.array([[{"a": a, "n": n} for a, n in x[3]] for x in got], pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.int64()), spans], names=["of", "id", "owner", "spans"])
 
-    strings = cut.where("string IS NOT NULL").groupBy("name", "string").agg(F.min("rep").alias("owner"))
+    strings = cut.groupBy("name", "string").agg(F.min("lo").alias("owner"))
     strings = strings.repartition(parts, "name").sortWithinPartitions("name", "owner").select("name", "string", "owner")
     answers, answer_path = util.staged(strings.mapInArrow(factored, "of long, id binary, owner long, spans array<struct<a:int,n:int>>"), "factors")
 
-    # 3: back to the texts
-    whole = F.array(F.struct("a", "n"))
-    mine = F.transform("spans", lambda s: F.struct((s["a"] + F.col("a")).alias("a"), s["n"].alias("n")))
-    hits = cut.where("string IS NULL").join(answers, (F.col("name") == F.col("of")) & (F.col("mark") == F.col("id")))
-    hits = hits.select("v", F.when(F.col("rep") > F.col("owner"), whole).otherwise(mine).alias("spans")).where(F.size("spans") > 0)
-    hits = hits.groupBy("v").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # 3: back to the chunks, and their texts
+    known = cut.select("chunk", "name", "mark", "hi").join(answers, (F.col("name") == F.col("of")) & (F.col("mark") == F.col("id"))).where((F.col("hi") > F.col("owner")) | (F.size("spans") > 0))
+    known = known.groupBy("chunk").agg(F.collect_list(F.struct("name", "mark", "owner", "spans")).alias("known"))
 
     def applied(batches):
         util.lean()
+        of, facts, names = None, {}, ()
         for batch in batches:
             out = []
-            for sha, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                words = text.split()
+            for chunk, v, rep, sha, text, runs, known in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != of:
+                    of, facts, names = chunk, {}, ()
+                if v is None:
+                    facts = {(x["name"], x["mark"]): (x["owner"], x["spans"]) for x in known}
+                    names = np.array([x["name"] for x in known], np.int64)
+                    continue
+                words, strings = strings_of(text, runs, names) if facts else ([], [])
                 diff = np.zeros(len(words) + 1, np.int64)
-                a = np.array([s["a"] for s in spans])
-                np.add.at(diff, a, 1)
-                np.add.at(diff, a + np.array([s["n"] for s in spans]) + length - 1, -1)
+                for name, a, n, x in strings:
+                    owner, spans = facts.get((name, mark(x)), (rep, ()))
+                    for at, m in [(0, n)] if rep > owner else [(y["a"], y["n"]) for y in spans]:
+                        diff[a + at] += 1
+                        diff[a + at + m + length - 1] -= 1
                 gone = np.cumsum(diff[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                out.append((sha, int(gone.sum()), [{"a": x, "n": z - x} for x, z in zip(edge[::2], edge[1::2])], hashlib.sha256(kept).hexdigest(), kept.decode()))
+                if gone.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
+                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                    out.append((sha, int(gone.sum()), [{"a": x, "n": z - x} for x, z in zip(edge[::2], edge[1::2])], hashlib.sha256(kept).hexdigest(), kept.decode()))
             if out:
                 types = (pa.binary(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["s", "n_removed", "spans", "kept_sha256", "kept"])
 
-    done = texts.select(F.col("v").alias("t"), "sha", "text").join(hits, F.col("t") == F.col("v")).select("sha", "text", "spans")
-    done, done_path = util.staged(done.mapInArrow(applied, "s binary, n_removed long, spans array<struct<a:int,n:int>>, kept_sha256 string, kept string"), "removed")
+    done, done_path = util.staged(after(known, "rep", "sha", "text", "runs").mapInArrow(applied, "s binary, n_removed long, spans array<struct<a:int,n:int>>, kept_sha256 string, kept string"), "removed")
     util.drop(spark, *paths, cut_path, answer_path)
     return facts, done, [fact_path, done_path]
 
