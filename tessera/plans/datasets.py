@@ -124,6 +124,64 @@ def l1(spark, d):
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+_SPAN = "span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)"
+_ARRIVED = "ev AS (SELECT events.*, epoch_us(ts) AS us, least(2, 3 * (epoch_us(ts) - lo) // (hi - lo + 1) + (event_id % 11 = 0)::INT) AS arrival FROM events, span)"
+#: the watermark after each arrival, in whole milliseconds; none before the first
+_MARKS = "wm AS (SELECT a.arrival, max(ev.us) // 1000 * 1000 - 3600000000 AS mark FROM (SELECT DISTINCT arrival FROM ev) a JOIN ev ON ev.arrival <= a.arrival GROUP BY 1 UNION ALL SELECT -1, -1)"
+
+
+def _closed_sql(size: int, slide: int) -> str:
+    """Windows of minutes that are closed at the end, of rows whose window was open when they came."""
+    cells = f"SELECT (us // {slide * 60_000_000} - k) * {slide * 60_000_000} AS s, ev.event_type, value, arrival FROM ev, range({size // slide}) r(k)"
+    end = f"s + {size * 60_000_000}"
+    return f"SELECT strftime(make_timestamp(s), '%Y-%m-%d %H:%M') AS start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM ({cells}) JOIN wm ON wm.arrival = cells.arrival - 1 WHERE {end} > mark AND {end} <= (SELECT max(mark) FROM wm) GROUP BY 1, 2".replace(") JOIN wm", ") cells JOIN wm")
+
+
+def _closed(spark, d, kind: str):
+    rows = sessions.closed(spark, d, kind)
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "key", "n", F.round("total", 4).alias("total"))
+
+
+@query("l1_closed_windows", _closed_sql(10, 10), _SPAN, _ARRIVED, _MARKS)
+def l1_closed(spark, d):
+    """Ten-minute windows that the watermark has passed, from arrivals with late rows."""
+    return _closed(spark, d, "tumbling")
+
+
+@query("l1_sliding_windows", _closed_sql(30, 10), _SPAN, _ARRIVED, _MARKS)
+def l1_sliding(spark, d):
+    """Half hours, a new one every ten minutes, that the watermark has passed."""
+    return _closed(spark, d, "sliding")
+
+
+_PAUSE = 6 * 3_600_000_000
+
+
+def _sessions_sql(k: int) -> str:
+    """Sessions after an arrival: those still open and the rows that aren't late, joined where they overlap; closed ones are known by their end."""
+    rows = f"SELECT user_id, us AS s, us + {_PAUSE} AS e, 1 AS n, value AS total FROM ev WHERE arrival = {k} AND us + {_PAUSE} > (SELECT mark FROM wm WHERE arrival = {k - 1})"
+    still = f" UNION ALL SELECT user_id, s, e, n, total FROM ses{k - 1} WHERE e > (SELECT mark FROM wm WHERE arrival = {k - 1})" if k else ""
+    return f"""ses{k} AS (SELECT user_id, min(s) AS s, max(e) AS e, sum(n) AS n, sum(total) AS total FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM (
+    SELECT *, (s > coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS fresh FROM ({rows}{still}))) GROUP BY user_id, island)"""
+
+
+@query("l1_session_windows", "SELECT strftime(make_timestamp(s), '%Y-%m-%d %H:%M') AS start, CAST(user_id AS VARCHAR) AS key, CAST(n AS BIGINT) AS n, round(total, 4) AS total FROM (" + " UNION ALL ".join(f"SELECT ses{k}.* FROM ses{k}, wm WHERE arrival = {k} AND e <= mark" for k in range(3)) + ")", _SPAN, _ARRIVED, _MARKS, *[_sessions_sql(k) for k in range(3)])
+def l1_sessions(spark, d):
+    """Users' sessions, ended by a pause, that the watermark has passed."""
+    return _closed(spark, d, "session")
+
+
+@query("l2_turn_history", f"""SELECT user_id AS session, event_id, coalesce(array_to_string(list_reverse(list_slice(before, -{sessions.HISTORY}, -1)), ' '), '') AS history FROM (
+  SELECT *, list(event_type) OVER (PARTITION BY user_id, island ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS island FROM (
+      SELECT *, coalesce((us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > {sessions.IDLE_DAYS} * 86400000000)::INT, 1) AS fresh FROM (SELECT *, epoch_us(ts) AS us FROM events))))
+  WHERE (us // 86400000000 + 1) * 86400000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)""")
+def l2_history(spark, d):
+    """What a turn's history was, from state that lives through the arrivals."""
+    return sessions.histories(spark, d)
+
+
 _USED = r"list_reduce(list_prepend({'used': 0::BIGINT, 't': ''}, parts), lambda a, x: CASE WHEN a.used + len(string_split_regex(x.t, '\s+')) <= 60 THEN {'used': a.used + len(string_split_regex(x.t, '\s+')), 't': ''} ELSE a END).used"
 
 
