@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,10 +121,13 @@ def dense(queries: DataFrame, items: DataFrame, k: int, *, itself: bool = True,
     return found if cells else found.drop("cell")
 
 
-def mean_vectors(rows: DataFrame, by: list[str], dims: int) -> DataFrame:
-    """by, v: the mean of v over each group, scaled to length 1. Sums of columns, so groups are combined before the shuffle."""
-    mean = F.array(*[F.avg(F.element_at("v", i + 1)) for i in range(dims)])
-    return rows.groupBy(*by).agg(mean.alias("v")).withColumn("v", vector.unit(F.col("v")))
+def mean_vectors(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, v: the mean of v over each group, scaled to length 1, of vectors of any one length (others raise an error).
+
+    One aggregate over vectors, with a buffer for each group, that is combined before the shuffle.
+    """
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("v"))))
+    return rows.where(F.col("v").isNotNull()).groupBy(*by).agg(mean.alias("v")).withColumn("v", vector.unit(F.col("v")))
 
 
 def bucket_members(top: DataFrame, members: DataFrame, cap: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
-from tessera.operators import codebook, cooccur, retrieval
+from tessera.operators import codebook, cooccur, reduction, retrieval
 from tessera.plans.base import CAT, EPLAYS, PLAYS, PRED, TURNS, VECS, query
 from tessera.plans.joins import CENT
 from tessera.plans.windows import LIST, lists
@@ -22,9 +22,29 @@ def j1(spark, d):
 
 @query("j2_projected_codes")
 def j2(spark, d):
-    """Two modalities, the vector's halves: each scaled by itself, then coded together."""
-    v = F.col("v")
-    return codebook.multimodal(t.vectors(spark, d), [F.slice(v, 1, 32), F.slice(v, 33, 32)], 8, 8)
+    """Two modalities, the vector's halves: each scaled by itself, then reduced and coded together."""
+    return codebook.multimodal(t.vectors(spark, d), _halves(), 8, 8, 64, 16)
+
+
+def _halves() -> list:
+    return [F.slice("v", 1, 32), F.slice("v", 33, 32)]
+
+
+_JOINT = """jn AS (SELECT item, list_concat(list_transform(a, lambda x: x / na), list_transform(b, lambda x: x / nb)) AS j FROM (
+  SELECT item, v[1:32] AS a, v[33:64] AS b, greatest(sqrt(list_dot_product(v[1:32], v[1:32])), 1e-8) AS na, greatest(sqrt(list_dot_product(v[33:64], v[33:64])), 1e-8) AS nb FROM vecs)),
+ju AS (SELECT item, list_transform(j, lambda x: x / greatest(sqrt(list_dot_product(j, j)), 1e-8)) AS j FROM jn),
+gm AS (SELECT i, k, sum(j[i] * j[k]) AS g FROM ju, range(1, 65) a(i), range(1, 65) b(k) GROUP BY 1, 2)"""
+
+
+@query("j2_explained_energy", "SELECT (SELECT count(*) FROM ju) AS items, round((SELECT sum(g) FROM gm WHERE i = k), 4) AS energy, round((SELECT sum(g * g) FROM gm), 3) AS squares, true AS left_out, true AS orthogonal", VECS, _JOINT)
+def j2_energy(spark, d):
+    """The energies' sum and sum of squares (trace and norm of the Gram matrix); that what 16 directions leave out of the rows is the rest of the energy, and that they are orthogonal."""
+    rows = t.vectors(spark, d).select("item", vector.unit(F.concat(*[vector.unit(p) for p in _halves()])).alias("v"))
+    energy, directions = reduction.leading(reduction.gram(rows, 64), 16)
+    apart = abs(directions @ directions.T - np.eye(len(directions))).max()
+    left = reduction.projected(rows, directions).agg(F.count(F.lit(1)).alias("items"), F.sum("left").alias("left"))
+    fits = F.abs(F.col("left") - float(energy[16:].sum())) < 1e-6 * F.greatest(F.col("items"), F.lit(1))
+    return left.select("items", F.lit(round(float(energy.sum()), 4)).alias("energy"), F.lit(round(float((energy**2).sum()), 3)).alias("squares"), fits.alias("left_out"), F.lit(bool(apart < 1e-9)).alias("orthogonal"))
 
 
 @query("j3_flat_codes")
@@ -32,12 +52,6 @@ def j3(spark, d):
     return codebook.assign(t.vectors(spark, d).select("item", vector.unit(F.col("v")).alias("v")), 20, 42)[0].select("item", "code")
 
 
-@query("j5_sequences", "SELECT session, string_agg(item % 64, ' ' ORDER BY pos) AS codes, count(*) AS n FROM plays GROUP BY 1 HAVING count(*) >= 3", PLAYS)
-def j5(spark, d):
-    rows = t.plays(spark, d).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"] % 64).alias("c"))
-    return rows.where(F.size("c") >= 3).select("session", F.array_join(F.col("c").cast("array<string>"), " ").alias("codes"), F.size("c").cast("long").alias("n"))
-
-
 @query("j6_cooccurrence_events", "SELECT src, dst, w FROM (SELECT a.item AS src, b.item AS dst, sum(CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END) AS w FROM eplays a JOIN eplays b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item GROUP BY 1, 2) WHERE w >= 1", EPLAYS)
 def j6(spark, d):
     return cooccur.neighbours(t.event_plays(spark, d)).select("src", "dst", "w")
@@ -56,27 +70,6 @@ def j10(spark, d):
     return cold.select("item", F.when(even, F.col("name")).otherwise(F.col("artist")).alias("a"), F.when(even, F.col("artist")).otherwise(F.col("name")).alias("b"))
 
 
-@query("j12_instruction_rows", "SELECT item, 'code' AS kind, name AS prompt, CAST(item % 64 AS VARCHAR) AS reply FROM cat UNION ALL SELECT item, 'text', CAST(item % 64 AS VARCHAR), name FROM cat, range(1, 4)", CAT)
-def j12(spark, d):
-    c = t.catalog(spark, d)
-    code = (F.col("item") % 64).cast("string")
-    a = c.select("item", F.lit("code").alias("kind"), F.col("name").alias("prompt"), code.alias("reply"))
-    b = c.select("item", F.lit("text").alias("kind"), code.alias("prompt"), F.col("name").alias("reply"), F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("col")
-    return a.unionByName(b)
-
-
-@query("j13_balanced_rows", "SELECT item, item % 64 AS code FROM cat QUALIFY row_number() OVER (PARTITION BY item % 64 ORDER BY sha256(CAST(item AS VARCHAR)), item) <= 20", CAT)
-def j13(spark, d):
-    c = t.catalog(spark, d).select("item", (F.col("item") % 64).alias("code"))
-    n = F.row_number().over(Window.partitionBy("code").orderBy(F.sha2(F.col("item").cast("string"), 256), "item"))
-    return c.withColumn("n", n).where("n <= 20").select("item", "code")
-
-
-@query("j19_prefix_table", "SELECT artist, string_agg(DISTINCT size, ',' ORDER BY size) AS fine FROM cat GROUP BY 1", CAT)
-def j19(spark, d):
-    return t.catalog(spark, d).groupBy("artist").agg(F.array_join(F.array_sort(F.collect_set("size")).cast("array<string>"), ",").alias("fine"))
-
-
 @query("l2_session_state", "SELECT session, count(*) AS plays, count(DISTINCT item) AS kinds FROM eplays GROUP BY 1", EPLAYS)
 def l2(spark, d):
     return sessions.running_state(spark, d)

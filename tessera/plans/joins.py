@@ -120,7 +120,7 @@ CENT = "cent AS (SELECT l0, list(a ORDER BY i) AS c FROM (SELECT l0, i, avg(x) A
 
 @query("c13_neighbour_codes", "SELECT l0, near FROM (SELECT a.l0, b.l0 AS near, row_number() OVER (PARTITION BY a.l0 ORDER BY round(list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)), 9) DESC, b.l0) AS n FROM cent a JOIN cent b ON a.l0 <> b.l0) WHERE n <= 3", VECS, CENT)
 def c13(spark, d):
-    c = retrieval.mean_vectors(t.vectors(spark, d), ["l0"], 64)
+    c = retrieval.mean_vectors(t.vectors(spark, d), ["l0"])
     near = retrieval.scores(c.select(F.col("l0").alias("query"), F.col("v").alias("q")), c.select(F.col("l0").alias("item"), "v")).where("query != item")
     return retrieval.top_k(near.withColumn("score", F.round("score", 9)), ["query"], 3).select(F.col("query").alias("l0"), F.col("item").alias("near"))
 
@@ -231,7 +231,7 @@ def d12(spark, d):
 
 @query("d13_centroids", "SELECT l0, round(c[1] / sqrt(list_dot_product(c, c)), 6) AS first, round(c[64] / sqrt(list_dot_product(c, c)), 6) AS last FROM cent", VECS, CENT)
 def d13(spark, d):
-    return retrieval.mean_vectors(t.vectors(spark, d), ["l0"], 64).select("l0", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+    return retrieval.mean_vectors(t.vectors(spark, d), ["l0"]).select("l0", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
 
 
 @query("d15_quantiles", "SELECT role, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90 FROM (SELECT role, length(text) AS n FROM turns) GROUP BY 1", TURNS)

@@ -74,7 +74,7 @@ def means(h: DataFrame, items: DataFrame) -> DataFrame:
     """query, role, v: mean vectors of parts of the history, scaled to length 1."""
     roles = F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(role)) for role, cond in ROLES.items()]))
     rows = h.join(items.select("item", "v"), "item").select("query", "v", F.explode(roles).alias("role"))
-    return retrieval.mean_vectors(rows, ["query", "role"], 64)
+    return retrieval.mean_vectors(rows, ["query", "role"])
 
 
 class World:
@@ -137,7 +137,7 @@ class World:
         return got.withColumn("rank", F.row_number().over(order)).where("rank <= 20").select("query", "item", "rank")
 
     def centres(self) -> DataFrame:
-        return retrieval.mean_vectors(self.items, ["l0"], 64)
+        return retrieval.mean_vectors(self.items, ["l0"])
 
     def centroid_top(self, role: str, k: int) -> DataFrame:
         """query, cell, rank, score: the buckets whose centroids are nearest."""

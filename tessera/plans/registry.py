@@ -6,7 +6,7 @@ from tessera.plans.base import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from tessera.plans import datasets, entities, features, joins, pooling, rankers, retrieval, scalars, scans, windows  # noqa: F401
+    from tessera.plans import codes, datasets, entities, features, joins, pooling, rankers, retrieval, scalars, scans, sketches, windows  # noqa: F401
 
 
 def queries() -> dict:
