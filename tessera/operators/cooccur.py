@@ -25,10 +25,11 @@ def neighbours(plays: DataFrame, *, decay: list[float] = DECAY, least: float = 1
 
 
 def expanded(history: DataFrame, table: DataFrame, ks: list[int]) -> DataFrame:
-    """history(turn, back, item), back 1 = latest: the ks[back - 1] best neighbours that the turn hasn't played; turn, item, rank, w, n_from."""
+    """history(turn, back, item), back 1 = latest: of the neighbours that the turn hasn't played, the first ks[back - 1] of each
+    place; turn, item, rank (the best place in a neighbour list from 0, played items counted), w, n_from."""
     limit = F.coalesce(*[F.when(F.col("back") == i, F.lit(k)) for i, k in enumerate(ks, 1)], F.lit(0))
-    got = history.where(F.col("back") <= len(ks)).join(table, F.col("item") == F.col("src")).select("turn", "back", F.col("dst").alias("cand"), "w")
+    got = history.where(F.col("back") <= len(ks)).join(table, F.col("item") == F.col("src")).select("turn", "back", F.col("dst").alias("cand"), "w", (F.col("rank") - 1).alias("rank"))
     new = got.join(history.select("turn", F.col("item").alias("cand")).distinct(), ["turn", "cand"], "left_anti")
-    order = Window.partitionBy("turn", "back").orderBy(F.desc("w"), "cand")
-    ranked = new.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+    taken = F.row_number().over(Window.partitionBy("turn", "back").orderBy("rank"))
+    ranked = new.withColumn("taken", taken).where(F.col("taken") <= limit)
     return ranked.groupBy("turn", F.col("cand").alias("item")).agg(F.min("rank").alias("rank"), F.max("w").alias("w"), F.count(F.lit(1)).alias("n_from"))

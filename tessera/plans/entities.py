@@ -13,7 +13,7 @@ from tessera.operators import pool, retrieval
 from tessera.plans.base import CAT, TURNS, query
 from tessera.plans.features import _FACTS, FUSED, MESSAGES, _fused, facts, messages
 from tessera.plans.joins import gold
-from tessera.plans.pooling import AGAIN, MORE, POOL, SIGNALS, WORLD, World, _of, asked
+from tessera.plans.pooling import AGAIN, ARTIST_CAP, MORE, POOL, SIGNALS, SOURCES, WORLD, World, _of, asked
 from tessera.plans.scalars import QUOTED, sql_text
 from tessera.sources import tables as t
 
@@ -55,6 +55,22 @@ def i3(spark, d):
     return retrieval.bm25(q, w.docs, 20, exclude=w.seen).select("query", "item", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
+@query("i8_artist_expansion", f"""SELECT query, item, min(n) AS rank, min(src) AS found_by FROM (
+  SELECT query, p_brand, 'played_track_artist' AS src FROM hs JOIN part ON p_partkey = item UNION ALL SELECT query, p_brand, 'message' FROM named JOIN (SELECT DISTINCT p_brand FROM part) ON lower(p_brand) = name)
+  JOIN alist USING (p_brand) ANTI JOIN seen USING (query, item) GROUP BY 1, 2""", WORLD, MESSAGES, NAMED, SOURCES["artist"][0])
+def i8(spark, d):
+    """Items of the artists that the message names or the history holds: the best place in an artist's list, seen items counted, and where the artist came from (the message first)."""
+    w, items = World(spark, d), facts(spark, d)
+    said = messages(w.h, items).withColumnRenamed("said", "text")
+    artists = items.select("artist").distinct()
+    named = found.mentions(said, _artists(items)).join(artists, F.lower("artist") == F.col("name")).select("query", "artist").distinct()
+    all_ = w.artist(named)
+    first = items.select("artist", "item", "popularity")
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("popularity"), "item"))).where(F.col("n") <= ARTIST_CAP)
+    said_ = named.join(first, "artist").select("query", "item", F.lit("message").alias("found_by")).distinct()
+    return all_.join(said_, ["query", "item"], "left").select("query", "item", F.col("rank").cast("long").alias("rank"), F.coalesce("found_by", F.lit("played_track_artist")).alias("found_by"))
+
+
 #: sources that give way where the message names an artist
 GATED = ["nn", "mean_nn", "collab"]
 
@@ -69,14 +85,14 @@ def b19(spark, d):
     return rows.where(~F.col("source").isin(GATED)).unionByName(gated)
 
 
-@query("c17_decision_join", "SELECT query, item, source, row_number() OVER (PARTITION BY query ORDER BY src, rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, item ORDER BY src) AS n FROM (SELECT query, item, rank, 0 AS src, 'kept' AS source FROM s_bm25 WHERE rank <= 8 UNION ALL SELECT query, item, rank, 1, 'added' FROM s_tt WHERE rank <= 8 UNION ALL SELECT query, item, rank, 2, 'pad' FROM s_artist)) WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY src, rank) <= 20", *_of("bm25", "tt", "artist"))
+@query("c17_decision_join", "SELECT query, item, source, row_number() OVER (PARTITION BY query ORDER BY src, rank, item) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, item ORDER BY src) AS n FROM (SELECT query, item, rank, 0 AS src, 'kept' AS source FROM s_bm25 WHERE rank <= 8 UNION ALL SELECT query, item, rank, 1, 'added' FROM s_tt WHERE rank <= 8 UNION ALL SELECT query, item, rank, 2, 'pad' FROM s_artist)) WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY src, rank, item) <= 20", *_of("bm25", "tt", "artist"))
 def c17(spark, d):
     """What was kept of a list, then what was added, then what fills it up; each item by its first decision."""
     w = World(spark, d)
     parts = [("kept", w.bm25().where("rank <= 8")), ("added", w.unseen(w.dense("tt")).where("rank <= 8")), ("pad", w.artist())]
     rows = reduce(DataFrame.unionByName, [s.select("query", "item", F.col("rank").cast("long").alias("rank"), F.lit(i).alias("src"), F.lit(n).alias("source")) for i, (n, s) in enumerate(parts)])
     first = rows.groupBy("query", "item").agg(F.min(F.struct("src", "rank", "source")).alias("x")).select("query", "item", "x.*")
-    out = first.withColumn("new", F.row_number().over(Window.partitionBy("query").orderBy("src", "rank"))).where("new <= 20")
+    out = first.withColumn("new", F.row_number().over(Window.partitionBy("query").orderBy("src", "rank", "item"))).where("new <= 20")
     return out.select("query", "item", "source", F.col("new").cast("long").alias("rank"))
 
 

@@ -102,7 +102,7 @@ def matrix(spark, d) -> DataFrame:
         "nn_source_count": num("nn_from"),
         "mean_nn_origin": has("mean_nn"),
         "dist_to_last": cos("last"),
-        "dist_to_recent_mean": cos("recent"),
+        "dist_to_recent_mean": cos("positive"),
         "collab_origin": has("collab"),
         "collab_score": num("collab_w"),
         "collab_source_count": num("collab_from"),
@@ -205,7 +205,7 @@ def _tags(words: str) -> str:
 #: what a column is in SQL, where it isn't a signal's or the catalog's name
 IN_SQL = {
     "artist_origin": _has("artist"), "tt_origin": _has("tt"), "pool_size": "count(*) OVER (PARTITION BY query)", "qm_origin": _has("qm"), "nn_source_count": "coalesce(nn_from, 0)", "mean_nn_origin": _has("mean_nn"),
-    "dist_to_last": _cos("v_tt", "u_last"), "dist_to_recent_mean": _cos("v_tt", "u_recent"), "collab_origin": _has("collab"), "collab_score": "coalesce(collab_w, 0)", "collab_source_count": "coalesce(collab_from, 0)", "track_year": "year",
+    "dist_to_last": _cos("v_tt", "u_last"), "dist_to_recent_mean": _cos("v_tt", "u_positive"), "collab_origin": _has("collab"), "collab_score": "coalesce(collab_w, 0)", "collab_source_count": "coalesce(collab_from, 0)", "track_year": "year",
     "turn_number": "turn + 1", "popularity_pctile": "pctile", "years_since_release": "2026 - year", "tag_overlap_count": _tags("wanted_words"), "query_len_tokens": "n_words", "cf_dist_to_last": _cos("v_cf", "c_last"), "cf_dist_to_recent_mean": _cos("v_cf", "c_recent"),
     "goal_category": "goal", "user_has_negation": "negation", "user_has_followup": "followup", "query_track_tag_sim": f"{_tags('said_words')} / len(tags)", "n_sources_norm": "n_sources / (turn + 2)", "log1p_n_sources": "ln(1 + n_sources)", "bm25_top1": "coalesce((bm25_rank = 1)::INT, 0)",
     "sim_to_pos_hist_mean": _cos("v_tt", "u_liked"), "sim_to_neg_hist_mean": _cos("v_tt", "u_no"), "artist_in_rejected_set": "coalesce(artist_no, 0)", "n_rejected_in_history": "least(n_no, 10) / 10",

@@ -100,11 +100,13 @@ def c9(spark, d):
     return history.running_feedback(t.plays(spark, d)).select("session", F.col("pos").cast("long").alias("pos"), "last_liked")
 
 
-@query("c11_artist_expansion", "SELECT DISTINCT p.session, x.item FROM plays p JOIN cat c USING (item) JOIN (SELECT item, artist, row_number() OVER (PARTITION BY artist ORDER BY popularity DESC, item) AS n FROM cat) x ON x.artist = c.artist AND n <= 5 WHERE p.pos <= 3", PLAYS, CAT)
+@query("c11_artist_expansion", "SELECT session, x.item, min(n) AS rank FROM (SELECT DISTINCT session, artist FROM plays JOIN cat USING (item)) JOIN (SELECT item, artist, row_number() OVER (PARTITION BY artist ORDER BY popularity DESC, item) AS n FROM cat) x USING (artist) WHERE n <= 5 GROUP BY 1, 2", PLAYS, CAT)
 def c11(spark, d):
+    """The first items of every artist that a session has played, with their place in the artist's list."""
     c = t.catalog(spark, d)
-    best = c.withColumn("n", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("popularity"), "item"))).where("n <= 5").select("artist", F.col("item").alias("cand"))
-    return t.plays(spark, d).where("pos <= 3").join(c.select("item", "artist"), "item").join(best, "artist").select("session", F.col("cand").alias("item")).distinct()
+    best = c.withColumn("n", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("popularity"), "item"))).where("n <= 5").select("artist", F.col("item").alias("cand"), "n")
+    artists = t.plays(spark, d).select("session", "item").join(c.select("item", "artist"), "item").select("session", "artist").distinct()
+    return artists.join(best, "artist").groupBy("session", F.col("cand").alias("item")).agg(F.min("n").cast("long").alias("rank"))
 
 
 @query("c12_bucket_expansion", "SELECT query, item, rank FROM (SELECT q.item AS query, x.item, row_number() OVER (PARTITION BY q.item ORDER BY round(list_dot_product(q.v, x.v), 9) DESC, x.item) AS rank FROM vecs q JOIN vecs x ON q.l0 = x.l0 WHERE q.item % 20 = 0) WHERE rank <= 5", VECS)

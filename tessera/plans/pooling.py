@@ -24,11 +24,13 @@ from tessera.sources.staging import kept
 
 #: slice of the vector (first, number) and the history whose mean asks, by space
 SPACES = {"tt": (1, 64, "two"), "qm": (1, 32, "last"), "ql": (33, 32, "two"), "cf": (17, 32, "liked"), "clap": (49, 16, "recent"), "ah": (1, 16, "recent")}
-ROLES = {"last": "back = 1", "two": "back <= 2", "recent": "back <= 4", "liked": "label = 'MOVES'", "no": "label = 'DOES_NOT'"}
+ROLES = {"last": "back = 1", "two": "back <= 2", "recent": "back <= 4", "liked": "label = 'MOVES'", "no": "label = 'DOES_NOT'", "positive": "nth <= 4"}
 #: how many candidates a source gives
 K = {"bm25": 30, "tt": 30, "qm": 20, "ql": 20, "cf": 20}
 NEAR = [20, 10, 5]
 COLLAB = [30, 15, 5]
+#: items of an artist's list, plays whose buckets a predictor looks back at, buckets and new items of a bucket source
+ARTIST_CAP, ORDER, BUCKETS, BUCKET_CAP = 10, 3, 3, 60
 WEIGHTS = {"tt_cos": 0.25, "qm_cos": 0.15, "ql_cos": 0.05, "clap_cos": 0.05, "cf_cos": 0.1, "ah_cos": 0.05, "bm25_signal": 0.2, "tt_rank_sig": 0.05, "artist_sig": 0.04, "nn_sig": 0.04, "bm25_origin": 0.02}
 BASELINE = {"tt_cos": 0.3, "qm_cos": 0.2, "clap_cos": 0.05, "cf_cos": 0.1, "ah_cos": 0.05, "bm25_rr": 0.2, "artist_sig": 0.1}
 
@@ -37,10 +39,15 @@ BASELINE = {"tt_cos": 0.3, "qm_cos": 0.2, "clap_cos": 0.05, "cf_cos": 0.1, "ah_c
 
 
 def history(spark, d) -> DataFrame:
-    """query, item, label, back (1 = the latest) of the asked turns."""
+    """query, item, label, back (1 = the latest) of the asked turns, and nth: the place in the positive history, which
+    leaves out rejected plays unless nothing else is there."""
     p = t.plays(spark, d).where("session % 20 = 0")
     n = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos")))
-    return p.select(F.col("session").alias("query"), "item", "label", (n - 1).alias("back")).where("back > 0")
+    rows = p.select(F.col("session").alias("query"), "item", "label", (n - 1).alias("back")).where("back > 0")
+    good = F.coalesce(F.col("label"), F.lit("")) != "DOES_NOT"
+    rows = rows.withColumn("good", good | (F.sum(good.cast("int")).over(Window.partitionBy("query")) == 0))
+    place = F.row_number().over(Window.partitionBy("query", "good").orderBy("back"))
+    return rows.withColumn("nth", F.when(F.col("good"), place)).drop("good")
 
 
 def train(spark, d) -> DataFrame:
@@ -83,7 +90,7 @@ class World:
     def __init__(self, spark, d):
         self.spark, self.d = spark, d
         # every source reads the history, and all dense ones its means
-        self.h, self.items = kept(history(spark, d)), item_vectors(spark, d)
+        self.h, self.items, self._found = kept(history(spark, d)), kept(item_vectors(spark, d)), None
         self.seen = self.h.select("query", "item").distinct()
         self.means, self.docs = kept(means(self.h, self.items)), documents(spark, d)
 
@@ -106,11 +113,8 @@ class World:
         return retrieval.dense(self.asking(space), self.spaced(space), K[space])
 
     def near_last(self) -> DataFrame:
-        """Neighbours of the latest items that were not rejected (of all, if none is left): so many for each place."""
-        kept = F.coalesce(F.col("label"), F.lit("")) != "DOES_NOT"
-        over = Window.partitionBy("query")
-        rows = self.h.withColumn("good", F.sum(kept.cast("int")).over(over)).where(kept | (F.col("good") == 0))
-        rows = rows.withColumn("at", F.row_number().over(over.orderBy("back"))).where(F.col("at") <= len(NEAR)).select("query", F.col("item").alias("seed"), "at")
+        """Neighbours of the latest items of the positive history: so many for each place; ranks are places in the neighbour lists."""
+        rows = self.h.where(F.col("nth") <= len(NEAR)).select("query", F.col("item").alias("seed"), F.col("nth").alias("at"))
         space = self.spaced("tt")
         seeds = space.join(rows.select(F.col("seed").alias("item")).distinct(), "item").select(F.col("item").alias("query"), F.col("v").alias("q"))
         table = retrieval.dense(seeds, space, max(NEAR), itself=False).select(F.col("query").alias("seed"), "item", "rank")
@@ -119,22 +123,25 @@ class World:
         return self.unseen(got).groupBy("query", "item").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n_from"))
 
     def near_mean(self) -> DataFrame:
-        q = self.means.where("role = 'recent'").select("query", in_space(F.col("v"), "tt").alias("q"))
-        return retrieval.dense(q, self.spaced("tt"), 20, exclude=self.seen)
+        """Neighbours of the mean of the latest positive plays, which are no candidates themselves; other seen items go after ranks are counted."""
+        q = self.means.where("role = 'positive'").select("query", in_space(F.col("v"), "tt").alias("q"))
+        averaged = self.h.where(F.expr(ROLES["positive"])).select("query", "item").distinct()
+        return self.unseen(retrieval.dense(q, self.spaced("tt"), 20, exclude=averaged))
 
     def collab(self) -> DataFrame:
         hist = self.h.select(F.col("query").alias("turn"), "item", "back")
         return cooccur.expanded(hist, cooccur.neighbours(train(self.spark, self.d)), COLLAB).select(F.col("turn").alias("query"), "item", (F.col("rank") + 1).alias("rank"), "w", "n_from")
 
-    def artist(self) -> DataFrame:
-        """Popular items of the artists of the two latest plays. An artist's list is cut to what the turn can need."""
+    def artist(self, named: DataFrame | None = None) -> DataFrame:
+        """Items of all artists of the history (and of named(query, artist)); ranks are the best places in the artists'
+        lists, seen items counted. The turns' made-up messages name the last item's artist only, which the history holds."""
         c = t.catalog(self.spark, self.d).select("item", "artist", "popularity")
-        best = c.withColumn("nth", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("popularity"), "item")))
-        n_seen = self.seen.groupBy("query").agg(F.count(F.lit(1)).alias("n_seen"))
-        seeds = self.h.where("back <= 2").join(c.select("item", "artist"), "item").groupBy("query", "artist").agg(F.min("back").alias("back")).join(n_seen, "query")
-        got = self.unseen(seeds.join(best, "artist").where(F.col("nth") <= 20 + F.col("n_seen")).select("query", "item", "back", "popularity"))
-        order = Window.partitionBy("query").orderBy("back", F.desc("popularity"), "item")
-        return got.withColumn("rank", F.row_number().over(order)).where("rank <= 20").select("query", "item", "rank")
+        best = c.withColumn("rank", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc("popularity"), "item"))).where(F.col("rank") <= ARTIST_CAP)
+        seeds = self.h.join(c.select("item", "artist"), "item").select("query", "artist")
+        if named is not None:
+            seeds = seeds.unionByName(named.select("query", "artist"))
+        got = seeds.distinct().join(best.select("artist", "item", "rank"), "artist")
+        return self.unseen(got.groupBy("query", "item").agg(F.min("rank").alias("rank")))
 
     def centres(self) -> DataFrame:
         return retrieval.mean_vectors(self.items, ["l0"])
@@ -145,47 +152,80 @@ class World:
         near = retrieval.dense(q, self.centres().select(F.col("l0").alias("item"), "v"), k)
         return near.select("query", F.col("item").alias("cell"), F.col("rank").alias("l0_rank"), F.col("score").alias("l0_score"))
 
-    def markov_top(self, k: int = 3) -> DataFrame:
-        """Buckets that most often follow the last item's bucket, without those of recently rejected items."""
+    def predicted(self) -> DataFrame:
+        """query, cell, l0_score: chances of the next bucket by the buckets of the latest liked plays (of all, if none is liked).
+
+        Suffixes of up to ORDER buckets; what a suffix hasn't seen takes its share by the number of
+        different buckets that followed it, and is dealt by the next shorter suffix.
+        """
         l0 = self.items.select("item", "l0")
         order = Window.partitionBy("session").orderBy("pos")
-        steps = train(self.spark, self.d).join(l0, "item").select(F.col("l0").alias("src"), F.lead("l0").over(order).alias("cell")).where("cell IS NOT NULL")
-        table = steps.groupBy("src", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("l0_score", F.col("n") / F.sum("n").over(Window.partitionBy("src")))
-        last = self.h.where("back = 1").join(l0, "item").select("query", F.col("l0").alias("src"))
-        no = self.h.where("back <= 3 AND label = 'DOES_NOT'").join(l0, "item").select("query", F.col("l0").alias("cell"))
-        got = last.join(table, "src").join(no, ["query", "cell"], "left_anti")
-        by = Window.partitionBy("query").orderBy(F.desc("n"), "cell")
+        steps = train(self.spark, self.d).join(l0, "item").select(F.col("l0").alias("cell"), *[F.lag("l0", i).over(order).alias(f"a{i}") for i in range(1, ORDER + 1)])
+        liked = F.coalesce((F.col("label") == "MOVES").cast("int"), F.lit(0))
+        asked_ = self.h.join(l0, "item").withColumn("liked", liked).withColumn("any", F.max("liked").over(Window.partitionBy("query"))).where("liked = any")
+        asked_ = asked_.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("back"))).where(F.col("k") <= ORDER)
+        out = asked_.groupBy("query").agg(*[F.max(F.when(F.col("k") == i, F.col("l0"))).alias(f"a{i}") for i in range(1, ORDER + 1)])
+        # counts of buckets and of suffixes: a codebook's size to the power of the order at most
+        every = steps.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+        every = every.crossJoin(F.broadcast(every.agg(F.sum("m").alias("of")))).select("cell", (F.col("m") / F.col("of")).alias("p"))
+        out = out.crossJoin(F.broadcast(every))
+        for i in range(1, ORDER + 1):
+            key = [f"a{j}" for j in range(1, i + 1)]
+            n = steps.where(f"a{i} IS NOT NULL").groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n"))
+            total = n.groupBy(*key).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"))
+            out = out.join(n, [*key, "cell"], "left").join(total, key, "left")
+            mixed = (F.coalesce("n", F.lit(0)) + F.col("d") * F.col("p")) / (F.col("t") + F.col("d"))
+            out = out.withColumn("p", F.when(F.col("t").isNotNull(), mixed).otherwise(F.col("p"))).drop("n", "t", "d")
+        return out.select("query", "cell", F.round("p", 9).alias("l0_score"))
+
+    def markov_top(self, k: int = BUCKETS) -> DataFrame:
+        """The likeliest next buckets, without those of items that the session has rejected."""
+        no = self.h.where("label = 'DOES_NOT'").join(self.items.select("item", "l0"), "item").select("query", F.col("l0").alias("cell")).distinct()
+        got = self.predicted().join(no, ["query", "cell"], "left_anti")
+        by = Window.partitionBy("query").orderBy(F.desc("l0_score"), "cell")
         return got.withColumn("l0_rank", F.row_number().over(by)).where(F.col("l0_rank") <= k).select("query", "cell", "l0_rank", "l0_score")
 
-    def members(self, buckets: DataFrame, cap: int) -> DataFrame:
-        """query, item, rank, cell, l0_rank, l0_score: the nearest members of each bucket."""
-        q = self.means.where("role = 'recent'").select("query", in_space(F.col("v"), "tt").alias("q")).join(buckets, "query")
+    def members(self, buckets: DataFrame, earlier: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
+        """query, item, rank, cell, l0_rank, l0_score, score: members of the buckets that are new to the pool, those nearest to the turn's own vector first, so many of all buckets."""
+        known = earlier.select("query", "item").unionByName(self.seen).distinct()
         x = self.items.select("item", F.col("l0").alias("cell"), in_space(F.col("v"), "tt").alias("v"))
-        got = retrieval.dense(q.select("query", "q", "cell"), x, cap, cells=True)
+        got = retrieval.dense(self.asking("tt").join(buckets, "query").select("query", "q", "cell"), x, cap, cells=True, exclude=known)
+        first = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+        got = got.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= cap)
         return got.join(buckets, ["query", "cell"]).select("query", "item", "rank", "cell", "l0_rank", "l0_score", "score")
 
-    def bucket(self) -> DataFrame:
-        return self.members(self.markov_top(), 20)
+    def found(self) -> DataFrame:
+        """query, item, source, rank and what a source says of its items, of all sources in the order of insertion; written once.
+
+        The bucket sources come last and name only items that are new to the pool.
+        """
+        if self._found is None:
+            facts = {"score": "double", "w": "double", "n_from": "long", "cell": "long", "l0_rank": "int", "l0_score": "double"}
+
+            def told(name, rows):
+                own = [F.col(c).cast(k).alias(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in facts.items()]
+                return rows.select("query", "item", F.lit(name).alias("source"), F.col("rank").cast("int").alias("rank"), *own)
+
+            first = [("bm25", self.bm25()), ("tt", self.unseen(self.dense("tt"))), ("qm", self.unseen(self.dense("qm"))), ("nn", self.near_last()), ("mean_nn", self.near_mean()), ("collab", self.collab()), ("artist", self.artist())]
+            rows = kept(reduce(DataFrame.unionByName, [told(n, r) for n, r in first]))
+            bucket = kept(told("bucket", self.members(self.markov_top(), rows)))
+            both = rows.unionByName(bucket)
+            self._found = kept(both.unionByName(told("centroid", self.members(self.centroid_top("two", BUCKETS), both))))
+        return self._found
 
-    def centroid(self) -> DataFrame:
-        return self.members(self.centroid_top("recent", 3), 20)
+    def source(self, name: str) -> DataFrame:
+        return self.found().where(F.col("source") == name)
 
     def sources(self) -> list[tuple[str, DataFrame]]:
         """In the order of insertion; seen items are gone."""
-        found = [("bm25", self.bm25()), ("tt", self.dense("tt")), ("qm", self.dense("qm")), ("nn", self.near_last()), ("mean_nn", self.near_mean()), ("collab", self.collab()), ("artist", self.artist()), ("bucket", self.bucket()), ("centroid", self.centroid())]
-        return [(name, self.unseen(rows) if name in ("tt", "qm", "bucket", "centroid") else rows) for name, rows in found]
+        return [(name, self.source(name)) for name in NAMES]
 
     def pool(self) -> DataFrame:
         return pool.union_sources(self.sources())
 
     def signals(self) -> DataFrame:
         """query, item and all signals of the pool's rows; null where a source lacks the item. One pass over all sources' rows."""
-        facts = {"score": "double", "w": "double", "n_from": "long", "l0_rank": "int", "l0_score": "double"}
-        rows = None
-        for name, found in self.sources():
-            own = [F.col(c).cast(k).alias(c) if c in found.columns else F.lit(None).cast(k).alias(c) for c, k in facts.items()]
-            found = found.select("query", "item", F.lit(name).alias("source"), F.col("rank").cast("int").alias("rank"), *own)
-            rows = found if rows is None else rows.unionByName(found)
+        rows = self.found()
         take = lambda name, c: F.max(F.when(F.col("source") == name, F.col(c)))
         wanted = [(f"{n}_rank", n, "rank") for n in ("bm25", "tt", "qm", "artist", "nn", "mean_nn", "collab")] + [("bm25_score", "bm25", "score"), ("nn_from", "nn", "n_from"), ("collab_w", "collab", "w"), ("collab_from", "collab", "n_from")]
         wanted += [(f"{n}_{c}", n, c) for n in ("bucket", "centroid") for c in ("l0_rank", "l0_score")]
@@ -218,13 +258,13 @@ def _slice(x: str, name: str) -> str:
 
 WORLD = ", ".join([
     PLAYS,
-    "hs AS (SELECT session AS query, item, label, back - 1 AS back FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays WHERE session % 20 = 0) WHERE back > 1)",
+    "hs AS (SELECT query, item, label, back, CASE WHEN good THEN row_number() OVER (PARTITION BY query, good ORDER BY back) END AS nth FROM (SELECT *, coalesce(label, '') <> 'DOES_NOT' OR count(*) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT') OVER (PARTITION BY query) = 0 AS good FROM (SELECT session AS query, item, label, back - 1 AS back FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays WHERE session % 20 = 0) WHERE back > 1)))",
     "train AS (SELECT * FROM plays WHERE session % 20 <> 0)",
     "seen AS (SELECT DISTINCT query, item FROM hs)",
     "iv AS (SELECT p_partkey AS item, CAST(embedding AS DOUBLE[]) AS v, label AS l0 FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))",
     "mv AS (SELECT query, role, list(a ORDER BY i) AS m FROM (SELECT query, role, i, avg(x) AS a FROM (SELECT query, role, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (" + " UNION ALL ".join(f"SELECT query, item, '{r}' AS role FROM hs WHERE {cond}" for r, cond in ROLES.items()) + ") JOIN iv USING (item)) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
     "sv AS (SELECT item, l0, " + ", ".join(f"{_unit(_slice('v', n))} AS {n}" for n in SPACES) + " FROM iv)",
-    "qv AS (SELECT query, " + ", ".join(f"{_unit(_slice(f'm_{role}', n))} AS {n}" for n, (_, _, role) in SPACES.items()) + f", {_unit(_slice('m_recent', 'tt'))} AS mean_tt, {_unit('m_recent')} AS mean_all, {_unit('m_two')} AS two_all, " + ", ".join(f"{_unit(f'm_{r}')} AS u_{r}" for r in ("last", "recent", "liked", "no")) + f", {_unit(_slice('m_last', 'cf'))} AS c_last, {_unit(_slice('m_recent', 'cf'))} AS c_recent FROM (SELECT query, " + ", ".join(f"any_value(m) FILTER (WHERE role = '{r}') AS m_{r}" for r in ROLES) + " FROM mv GROUP BY 1))",
+    "qv AS (SELECT query, " + ", ".join(f"{_unit(_slice(f'm_{role}', n))} AS {n}" for n, (_, _, role) in SPACES.items()) + f", {_unit(_slice('m_positive', 'tt'))} AS mean_tt, {_unit('m_two')} AS two_all, " + ", ".join(f"{_unit(f'm_{r}')} AS u_{r}" for r in ("last", "positive", "liked", "no")) + f", {_unit(_slice('m_last', 'cf'))} AS c_last, {_unit(_slice('m_recent', 'cf'))} AS c_recent FROM (SELECT query, " + ", ".join(f"any_value(m) FILTER (WHERE role = '{r}') AS m_{r}" for r in ROLES) + " FROM mv GROUP BY 1))",
     # the text of the turns and of the items
     "documents AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_brand || ' ' || lower(p_type) AS text FROM part)",
     "asked AS (SELECT query, string_agg(p_name || ' ' || lower(p_type), ' ' ORDER BY back) AS text FROM hs JOIN part ON p_partkey = item WHERE back <= 2 GROUP BY 1)",
@@ -237,31 +277,47 @@ def _top(name: str, q: str, x: str, k: int, extra: str = "") -> str:
     return f"{name} AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (SELECT query, item, {score} AS score FROM qv, sv WHERE {q} IS NOT NULL {extra}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= {k})"
 
 
+def _keys(n: int) -> str:
+    return ", ".join(f"a{i}" for i in range(1, n + 1))
+
+
+def _members(name: str, buckets: str, known: str) -> str:
+    score = "round(list_dot_product(qv.tt, sv.tt), 9)"
+    return f"{name} AS (SELECT query, item, cell, l0_rank, l0_score, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (SELECT query, item, cell, l0_rank, l0_score, {score} AS score FROM {buckets} JOIN qv USING (query) JOIN sv ON l0 = cell) ANTI JOIN {known} USING (query, item) QUALIFY rank <= {BUCKET_CAP})"
+
+
 SOURCES = {
     "bm25": [f"s_bm25 AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (SELECT * FROM sc ANTI JOIN seen USING (query, item)) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= {K['bm25']})"],
     "nn": [
-        "good AS (SELECT query, item AS seed, row_number() OVER (PARTITION BY query ORDER BY back) AS nth FROM (SELECT *, coalesce(label, '') <> 'DOES_NOT' AS ok, count(*) FILTER (WHERE coalesce(label, '') <> 'DOES_NOT') OVER (PARTITION BY query) AS n FROM hs) WHERE ok OR n = 0)",
+        "good AS (SELECT query, item AS seed, nth FROM hs WHERE nth <= 3)",
         "near AS (SELECT a.item AS seed, b.item, row_number() OVER (PARTITION BY a.item ORDER BY round(list_dot_product(a.tt, b.tt), 9) DESC, b.item) AS rank FROM sv a, sv b WHERE a.item <> b.item AND a.item IN (SELECT seed FROM good WHERE nth <= 3) QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY round(list_dot_product(a.tt, b.tt), 9) DESC, b.item) <= 20)",
         f"s_nn AS (SELECT query, item, min(rank) AS rank, count(*) AS n_from FROM (SELECT query, item, rank FROM good JOIN near USING (seed) WHERE nth <= 3 AND rank <= CASE nth WHEN 1 THEN {NEAR[0]} WHEN 2 THEN {NEAR[1]} ELSE {NEAR[2]} END) ANTI JOIN seen USING (query, item) GROUP BY 1, 2)",
     ],
-    "mean_nn": [_top("s_mean_nn", "qv.mean_tt", "sv.tt", 20, "AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.query = qv.query AND seen.item = sv.item)")],
+    "mean_nn": [_top("d_mean_nn", "qv.mean_tt", "sv.tt", 20, "AND NOT EXISTS (SELECT 1 FROM hs WHERE hs.query = qv.query AND hs.item = sv.item AND nth <= 4)"), "s_mean_nn AS (SELECT * FROM d_mean_nn ANTI JOIN seen USING (query, item))"],
     "collab": [
-        "tab AS (SELECT src, dst, w FROM (SELECT src, dst, sum(w) AS w, row_number() OVER (PARTITION BY src ORDER BY sum(w) DESC, dst) AS n FROM (SELECT a.item AS src, b.item AS dst, CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END AS w FROM train a JOIN train b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item) GROUP BY 1, 2 HAVING sum(w) >= 1) WHERE n <= 300)",
-        f"s_collab AS (SELECT query, item, min(r) AS rank, max(w) AS w, count(*) AS n_from FROM (SELECT query, back, dst AS item, w, row_number() OVER (PARTITION BY query, back ORDER BY w DESC, dst) AS r FROM hs JOIN tab ON src = item WHERE back <= 3 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.query = hs.query AND seen.item = dst)) WHERE r <= CASE back WHEN 1 THEN {COLLAB[0]} WHEN 2 THEN {COLLAB[1]} ELSE {COLLAB[2]} END GROUP BY 1, 2)",
+        "tab AS (SELECT src, dst, w, n FROM (SELECT src, dst, sum(w) AS w, row_number() OVER (PARTITION BY src ORDER BY sum(w) DESC, dst) AS n FROM (SELECT a.item AS src, b.item AS dst, CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END AS w FROM train a JOIN train b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item) GROUP BY 1, 2 HAVING sum(w) >= 1) WHERE n <= 300)",
+        f"s_collab AS (SELECT query, item, min(n) AS rank, max(w) AS w, count(*) AS n_from FROM (SELECT query, back, dst AS item, w, n, row_number() OVER (PARTITION BY query, back ORDER BY n) AS r FROM hs JOIN tab ON src = item WHERE back <= 3 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.query = hs.query AND seen.item = dst)) WHERE r <= CASE back WHEN 1 THEN {COLLAB[0]} WHEN 2 THEN {COLLAB[1]} ELSE {COLLAB[2]} END GROUP BY 1, 2)",
+    ],
+    "artist": [
+        f"alist AS (SELECT p_brand, p_partkey AS item, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part QUALIFY n <= {ARTIST_CAP})",
+        "s_artist AS (SELECT query, item, min(n) AS rank FROM (SELECT DISTINCT query, p_brand FROM hs JOIN part ON p_partkey = item) JOIN alist USING (p_brand) ANTI JOIN seen USING (query, item) GROUP BY 1, 2)",
     ],
-    "artist": ["s_artist AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY back, p DESC, item) AS rank FROM (SELECT s.query, x.p_partkey AS item, min(s.back) AS back, x.p_retailprice AS p FROM hs s JOIN part c ON c.p_partkey = s.item JOIN part x ON x.p_brand = c.p_brand WHERE s.back <= 2 GROUP BY 1, 2, 4) ANTI JOIN seen USING (query, item) QUALIFY row_number() OVER (PARTITION BY query ORDER BY back, p DESC, item) <= 20)"],
     "bucket": [
-        "steps AS (SELECT src, cell, count(*) AS n FROM (SELECT l0 AS src, lead(l0) OVER (PARTITION BY session ORDER BY pos) AS cell FROM train JOIN iv USING (item)) WHERE cell IS NOT NULL GROUP BY 1, 2)",
-        "probs AS (SELECT src, cell, n, n / sum(n) OVER (PARTITION BY src) AS l0_score FROM steps)",
-        "markov AS (SELECT query, cell, l0_score, row_number() OVER (PARTITION BY query ORDER BY n DESC, cell) AS l0_rank FROM (SELECT query, cell, n, l0_score FROM hs JOIN iv USING (item) JOIN probs ON src = l0 WHERE back = 1) ANTI JOIN (SELECT query, l0 AS cell FROM hs JOIN iv USING (item) WHERE back <= 3 AND label = 'DOES_NOT') USING (query, cell) QUALIFY l0_rank <= 3)",
-        "m_bucket AS (SELECT query, item, cell, l0_rank, l0_score, round(list_dot_product(mean_tt, sv.tt), 9) AS score, row_number() OVER (PARTITION BY query, cell ORDER BY round(list_dot_product(mean_tt, sv.tt), 9) DESC, item) AS rank FROM markov JOIN qv USING (query) JOIN sv ON l0 = cell QUALIFY rank <= 20)",
-        "s_bucket AS (SELECT * FROM m_bucket ANTI JOIN seen USING (query, item))",
+        f"tl AS (SELECT l0 AS cell, {', '.join(f'lag(l0, {i}) OVER w AS a{i}' for i in range(1, ORDER + 1))} FROM train JOIN iv USING (item) WINDOW w AS (PARTITION BY session ORDER BY pos))",
+        "g0 AS (SELECT cell, m / sum(m) OVER () AS p FROM (SELECT cell, count(*) AS m FROM tl GROUP BY 1))",
+        *[f"g{i} AS (SELECT *, sum(n) OVER (PARTITION BY {_keys(i)}) AS t, count(*) OVER (PARTITION BY {_keys(i)}) AS d FROM (SELECT {_keys(i)}, cell, count(*) AS n FROM tl WHERE a{i} IS NOT NULL GROUP BY ALL))" for i in range(1, ORDER + 1)],
+        f"asks AS (SELECT query, {', '.join(f'max(l0) FILTER (WHERE k = {i}) AS a{i}' for i in range(1, ORDER + 1))} FROM (SELECT query, l0, row_number() OVER (PARTITION BY query ORDER BY back) AS k FROM (SELECT query, back, l0, label = 'MOVES' AS liked, count(*) FILTER (WHERE label = 'MOVES') OVER (PARTITION BY query) AS m FROM hs JOIN iv USING (item)) WHERE liked OR m = 0) GROUP BY 1)",
+        "pr0 AS (SELECT asks.*, cell, p FROM asks, g0)",
+        *[f"pr{i} AS (SELECT pr{i - 1}.* REPLACE (CASE WHEN x.t IS NULL THEN p ELSE (coalesce(g{i}.n, 0) + x.d * p) / (x.t + x.d) END AS p) FROM pr{i - 1} LEFT JOIN g{i} USING ({_keys(i)}, cell) LEFT JOIN (SELECT DISTINCT {_keys(i)}, t, d FROM g{i}) x USING ({_keys(i)}))" for i in range(1, ORDER + 1)],
+        f"markov AS (SELECT query, cell, round(p, 9) AS l0_score, row_number() OVER (PARTITION BY query ORDER BY round(p, 9) DESC, cell) AS l0_rank FROM pr{ORDER} ANTI JOIN (SELECT query, l0 AS cell FROM hs JOIN iv USING (item) WHERE label = 'DOES_NOT') USING (query, cell) QUALIFY l0_rank <= {BUCKETS})",
+        "earlier AS (" + " UNION ALL ".join(f"SELECT query, item FROM s_{n}" for n in ("bm25", "tt", "qm", "nn", "mean_nn", "collab", "artist")) + " UNION ALL SELECT query, item FROM seen)",
+        _members("s_bucket", "markov", "earlier"),
     ],
     "centroid": [
         "cen AS (SELECT l0, list(a ORDER BY i) AS c FROM (SELECT l0, i, avg(x) AS a FROM (SELECT l0, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM iv) GROUP BY 1, 2) GROUP BY 1)",
-        "ctop AS (SELECT query, l0 AS cell, l0_score, row_number() OVER (PARTITION BY query ORDER BY l0_score DESC, l0) AS l0_rank FROM (SELECT query, l0, round(list_dot_product(mean_all, c) / greatest(sqrt(list_dot_product(c, c)), 1e-8), 9) AS l0_score FROM qv, cen WHERE mean_all IS NOT NULL) QUALIFY l0_rank <= 3)",
-        "m_centroid AS (SELECT query, item, cell, l0_rank, l0_score, round(list_dot_product(mean_tt, sv.tt), 9) AS score, row_number() OVER (PARTITION BY query, cell ORDER BY round(list_dot_product(mean_tt, sv.tt), 9) DESC, item) AS rank FROM ctop JOIN qv USING (query) JOIN sv ON l0 = cell QUALIFY rank <= 20)",
-        "s_centroid AS (SELECT * FROM m_centroid ANTI JOIN seen USING (query, item))",
+        f"ctop AS (SELECT query, l0 AS cell, l0_score, row_number() OVER (PARTITION BY query ORDER BY l0_score DESC, l0) AS l0_rank FROM (SELECT query, l0, round(list_dot_product(two_all, c) / greatest(sqrt(list_dot_product(c, c)), 1e-8), 9) AS l0_score FROM qv, cen WHERE two_all IS NOT NULL) QUALIFY l0_rank <= {BUCKETS})",
+        "later AS (SELECT * FROM earlier UNION ALL SELECT query, item FROM s_bucket)",
+        _members("s_centroid", "ctop", "later"),
     ],
 }
 for _space in K:
@@ -275,7 +331,7 @@ def _sig(rank: str) -> str:
     return f"coalesce(1 / log2({rank} + 1), 0)"
 
 
-SIGNALS = "sig AS (SELECT pool.*, sv.l0, sv.tt AS v_tt, sv.cf AS v_cf, qv.u_last, qv.u_recent, qv.u_liked, qv.u_no, qv.c_last, qv.c_recent, bu.l0_rank AS bucket_l0_rank, bu.l0_score AS bucket_l0_score, ce.l0_rank AS centroid_l0_rank, ce.l0_score AS centroid_l0_score, " + ", ".join(f"round(coalesce(list_dot_product(sv.{n}, qv.{n}), 0), 9) AS {n}_cos" for n in SPACES) + """,
+SIGNALS = "sig AS (SELECT pool.*, sv.l0, sv.tt AS v_tt, sv.cf AS v_cf, qv.u_last, qv.u_positive, qv.u_liked, qv.u_no, qv.c_last, qv.c_recent, bu.l0_rank AS bucket_l0_rank, bu.l0_score AS bucket_l0_score, ce.l0_rank AS centroid_l0_rank, ce.l0_score AS centroid_l0_score, " + ", ".join(f"round(coalesce(list_dot_product(sv.{n}, qv.{n}), 0), 9) AS {n}_cos" for n in SPACES) + """,
   b.rank AS bm25_rank, b.score AS bm25_score, coalesce(b.score / CASE WHEN max(b.score) OVER (PARTITION BY query) <= 1e-8 THEN 1 ELSE max(b.score) OVER (PARTITION BY query) END, .05) AS bm25_signal, coalesce(1 / b.rank, 0) AS bm25_rr, (b.rank IS NOT NULL)::INT AS bm25_origin,
   tt.rank AS tt_rank, qm.rank AS qm_rank, nn.rank AS nn_rank, nn.n_from AS nn_from, mean_nn.rank AS mean_nn_rank, co.rank AS collab_rank, co.w AS collab_w, co.n_from AS collab_from, ar.rank AS artist_rank,
   """ + ", ".join(f"{_sig(r)} AS {n}" for r, n in (("tt.rank", "tt_rank_sig"), ("qm.rank", "qm_rank_sig"), ("ar.rank", "artist_sig"), ("nn.rank", "nn_sig"), ("mean_nn.rank", "mean_nn_rank_sig"), ("co.rank", "collab_rank_sig"))) + """
@@ -329,14 +385,14 @@ def i6(spark, d):
     return _listed(World(spark, d).near_mean(), F.round("score", 9).alias("score"))
 
 
-@query("i9_markov_buckets", "SELECT query, item, rank, cell, l0_rank, round(l0_score, 6) AS l0_score FROM m_bucket", *_of("bucket"))
+@query("i9_markov_buckets", "SELECT query, item, rank, cell, l0_rank, round(l0_score, 6) AS l0_score FROM s_bucket", WORLD, POOL)
 def i9(spark, d):
-    return _listed(World(spark, d).bucket(), "cell", F.col("l0_rank").cast("long").alias("l0_rank"), F.round("l0_score", 6).alias("l0_score"))
+    return _listed(World(spark, d).source("bucket"), "cell", F.col("l0_rank").cast("long").alias("l0_rank"), F.round("l0_score", 6).alias("l0_score"))
 
 
-@query("i10_centroid_buckets", "SELECT query, item, rank, cell, l0_rank, round(l0_score, 9) AS l0_score FROM m_centroid", *_of("centroid"))
+@query("i10_centroid_buckets", "SELECT query, item, rank, cell, l0_rank, round(l0_score, 9) AS l0_score FROM s_centroid", WORLD, POOL)
 def i10(spark, d):
-    return _listed(World(spark, d).centroid(), "cell", F.col("l0_rank").cast("long").alias("l0_rank"), F.round("l0_score", 9).alias("l0_score"))
+    return _listed(World(spark, d).source("centroid"), "cell", F.col("l0_rank").cast("long").alias("l0_rank"), F.round("l0_score", 9).alias("l0_score"))
 
 
 @query("i12_pool", "SELECT * FROM pool", WORLD, POOL)
@@ -404,7 +460,7 @@ def i21(spark, d):
     return rows.select("query", "item", F.col("new_rank").cast("long").alias("rank"))
 
 
-@query("i22_cluster_recall", "SELECT query, item, max(c) AS from_cluster, max(b) AS from_bm25 FROM (SELECT query, item, 1 AS c, 0 AS b FROM (SELECT query, l0 AS cell FROM (SELECT query, l0, round(list_dot_product(two_all, c) / greatest(sqrt(list_dot_product(c, c)), 1e-8), 9) AS s FROM qv, cen WHERE two_all IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, l0) <= 2) JOIN iv ON l0 = cell UNION ALL SELECT query, item, 0, 1 FROM s_bm25) GROUP BY 1, 2", *_of("bm25", "centroid"))
+@query("i22_cluster_recall", "SELECT query, item, max(c) AS from_cluster, max(b) AS from_bm25 FROM (SELECT query, item, 1 AS c, 0 AS b FROM (SELECT query, l0 AS cell FROM (SELECT query, l0, round(list_dot_product(two_all, c) / greatest(sqrt(list_dot_product(c, c)), 1e-8), 9) AS s FROM qv, cen WHERE two_all IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, l0) <= 2) JOIN iv ON l0 = cell UNION ALL SELECT query, item, 0, 1 FROM s_bm25) GROUP BY 1, 2", WORLD, *SOURCES["bm25"], SOURCES["centroid"][0])
 def i22(spark, d):
     """All members of the two clusters that are nearest to the turn, and what BM25 finds."""
     w = World(spark, d)

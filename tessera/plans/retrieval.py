@@ -38,27 +38,18 @@ def i1s(spark, d):
     return rows.select("query", "item", F.round(retrieval.signal(F.col("score"), Window.partitionBy("query")), 6).alias("signal"))
 
 
-EXP = """tab AS (SELECT src, dst, w FROM (SELECT src, dst, sum(w) AS w FROM (SELECT a.item AS src, b.item AS dst, CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END AS w FROM plays a JOIN plays b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item) GROUP BY 1, 2 HAVING sum(w) >= 1)),
+EXP = """tab AS (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) - 1 AS place FROM (SELECT src, dst, sum(w) AS w FROM (SELECT a.item AS src, b.item AS dst, CASE abs(b.pos - a.pos) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN .5 ELSE .25 END AS w FROM plays a JOIN plays b ON a.session = b.session AND abs(b.pos - a.pos) BETWEEN 1 AND 3 AND a.item <> b.item) GROUP BY 1, 2 HAVING sum(w) >= 1) QUALIFY place < 300),
 hs AS (SELECT session AS turn, item, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS back FROM plays),
-ex AS (SELECT turn, back, dst, w, row_number() OVER (PARTITION BY turn, back ORDER BY w DESC, dst) - 1 AS r FROM hs JOIN tab ON src = item WHERE back <= 3 AND NOT EXISTS (SELECT 1 FROM plays p WHERE p.session = turn AND p.item = dst))"""
+ex AS (SELECT turn, back, dst, w, place, row_number() OVER (PARTITION BY turn, back ORDER BY place) - 1 AS r FROM hs JOIN tab ON src = item WHERE back <= 3 AND NOT EXISTS (SELECT 1 FROM plays p WHERE p.session = turn AND p.item = dst))"""
 
 
-@query("i7_cooccurrence_expansion", "SELECT turn, dst AS item, min(r) AS rank, max(w) AS w, count(*) AS n_from FROM ex WHERE r < CASE back WHEN 1 THEN 30 WHEN 2 THEN 15 ELSE 5 END GROUP BY 1, 2", PLAYS, EXP)
+@query("i7_cooccurrence_expansion", "SELECT turn, dst AS item, min(place) AS rank, max(w) AS w, count(*) AS n_from FROM ex WHERE r < CASE back WHEN 1 THEN 30 WHEN 2 THEN 15 ELSE 5 END GROUP BY 1, 2", PLAYS, EXP)
 def i7(spark, d):
     p = t.plays(spark, d)
     hist = p.select(F.col("session").alias("turn"), "item", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("pos"))).alias("back"))
     return cooccur.expanded(hist, cooccur.neighbours(p), [30, 15, 5]).select("turn", "item", F.col("rank").cast("long").alias("rank"), "w", "n_from")
 
 
-@query("i8_artist_expansion", "SELECT query, item FROM (SELECT p.query, x.item, row_number() OVER (PARTITION BY p.query ORDER BY min(p.rank), x.popularity DESC, x.item) AS n FROM pred p JOIN cat c ON c.item = p.item JOIN cat x ON x.artist = c.artist WHERE p.rank <= 2 GROUP BY p.query, x.item, x.popularity) WHERE n <= 20", PRED, CAT)
-def i8(spark, d):
-    c = t.catalog(spark, d)
-    seeds = predictions(spark, d, 2).join(c.select("item", "artist"), "item").select("query", "rank", "artist")
-    got = seeds.join(c.select(F.col("item").alias("cand"), "artist", "popularity"), "artist").groupBy("query", "cand", "popularity").agg(F.min("rank").alias("rank"))
-    n = F.row_number().over(Window.partitionBy("query").orderBy("rank", F.desc("popularity"), "cand"))
-    return got.withColumn("n", n).where("n <= 20").select("query", F.col("cand").alias("item"))
-
-
 @query("i29_labels", "SELECT session, pos, CASE label WHEN 'MOVES' THEN 2 WHEN 'DOES_NOT' THEN 0 ELSE 1 END AS soft, (label = 'MOVES') IS TRUE AS hard FROM plays", PLAYS)
 def i29(spark, d):
     soft = F.when(F.col("label") == "MOVES", 2).when(F.col("label") == "DOES_NOT", 0).otherwise(1)
