@@ -5,11 +5,16 @@ DataFrame that is written as Parquet and read again as the next one's docs; all
 give the columns of ``documents``. Rows without a text pass the stages after the first, which
 rejects them; rows without a doc_id are left alone by the stages that compare documents.
 
-What a stage has staged for itself goes when the next stage begins, as its result is written then.
+What a stage has staged for itself goes when the next stage of the same thread begins, as its
+result is written then. Columns beside those of ``documents`` may have any names: operators see
+them under others.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +24,28 @@ from tessera.llm import linededup, minhash, packing, quality_rules, suffixes, ut
 PASSAGE = 100
 
 
-#: staged tables behind the result that the latest stage gave
-_LEFT: list[str] = []
+#: columns that operators read by name
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: staged tables behind the result that the latest stage of this thread gave
+_LEFT = threading.local()
+
+
+def _begin(spark, *paths: str) -> None:
+    """Earlier staged tables go; these go next."""
+    util.drop(spark, *getattr(_LEFT, "paths", ()))
+    _LEFT.paths = paths
+
+
+def _plain(stage):
+    """The stage on docs whose other columns have names that no operator uses; they get their own back."""
 
+    @functools.wraps(stage)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*[c if c in READ else f"extra_{i}" for i, c in enumerate(names)]), sf_dir).toDF(*names)
 
-def _begin(spark) -> None:
-    util.drop(spark, *_LEFT)
-    _LEFT.clear()
+    return run
 
 
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -35,24 +55,27 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_plain
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that base rules and risk-controlled cutoffs keep."""
     _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out, paths = quality_rules.judged(docs, labels, keep=docs.columns)
-    _LEFT.extend(paths)
+    _begin(spark, *paths)
     return out.where("_kept").select(*docs.columns)
 
 
+@_plain
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without chunks of lines that occurred before; those of which nothing is left go."""
     _begin(spark)
     out, paths = linededup.deduplicated(docs)
-    _LEFT.extend(paths)
+    _begin(spark, *paths)
     out = out.where("NOT (_ld_gone_chunks > 0 AND text = '')")
     return _columns(out, docs)
 
 
+@_plain
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five words, similarity 0.8."""
     _begin(spark)
@@ -61,11 +84,12 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
+@_plain
 def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a document with a smaller doc_id holds too; those of which nothing is left go."""
     _begin(spark)
     out, paths = suffixes.deduplicated(docs, length=PASSAGE, keep=docs.columns)
-    _LEFT.extend(paths)
+    _begin(spark, *paths)
     out = out.where("NOT (_n_removed > 0 AND coalesce(_kept, text) = '')")
     return _columns(out.withColumn("text", F.coalesce("_kept", "text")), docs)
 
@@ -73,7 +97,7 @@ def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 1024, with the ids as little-endian unsigned 32-bit bytes."""
     _begin(spark)
-    return packing.packed(docs, with_ids=True)
+    return packing.packed(docs.select("doc_id", "text"), with_ids=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near), ("repeated passages", passages), ("packing", pack)]
