@@ -655,3 +655,30 @@ def test_pipeline_edges(spark, edges, empty, sf):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, empty, sf).count()
         stage(spark, edges, sf).count()
+
+
+def test_pipeline_with_any_extra_columns(spark, sf):
+    """Columns under the operators' own names pass through, with the values of their rows; two threads keep apart."""
+    import threading
+
+    import corpus_pipeline
+
+    docs = util.documents(spark, sf)
+    more = ["_id", "_text", "_s", "_gone", "_ld_id", "_kept", "_row", "_sha", "_key", "rep", "sha", "kept", "Text", "extra_0"]
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) if c != "Text" else F.lit("t").alias("extra_t") for c in more])
+    wide = wide.toDF(*["Text" if c == "extra_t" else c for c in wide.columns])
+    plain, got = docs, wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, _ = util.staged(stage(spark, plain, sf), "plain")
+        got = stage(spark, got, sf).toDF(*docs.columns, *[f"m{i}" for i in range(len(more))])
+        got, _ = util.staged(got, "wide")
+        assert got.where("m0 <> concat('_id', doc_id) OR m12 <> 't'").count() == 0
+        assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in plain.select("doc_id").collect())
+        got = got.toDF(*docs.columns, *more)
+    left: list = []
+    one = threading.Thread(target=lambda: (corpus_pipeline._begin(spark), left.append(getattr(corpus_pipeline._LEFT, "paths", None))))
+    corpus_pipeline._begin(spark, "/tmp/no-such-table")
+    one.start()
+    one.join()
+    assert left == [()] and corpus_pipeline._LEFT.paths == ("/tmp/no-such-table",)
+    corpus_pipeline._begin(spark)
