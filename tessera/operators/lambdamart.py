@@ -193,19 +193,19 @@ def splits(cells: DataFrame, points: list[Parameters]) -> DataFrame:
     leaf = lambda g, h: -g / (h + of("l2")) * of("rate")
     worth = lambda g, h: g * g / (h + of("l2"))
     column = Window.partitionBy("model", "node", "col")
-    x = cells.where("col >= 0")
+    x = cells  # one flow for all: the pass behind the cells runs once
     for c in ("g", "h", "n"):
         x = x.withColumn(f"l{c}", F.sum(c).over(column.orderBy("bin"))).withColumn(f"t{c}", F.sum(c).over(column))
     x = x.withColumns({f"r{c}": F.col(f"t{c}") - F.col(f"l{c}") for c in ("g", "h", "n")})
     gain = F.round(worth(F.col("lg"), F.col("lh")) + worth(F.col("rg"), F.col("rh")) - worth(F.col("tg"), F.col("th")), 9)
-    fits = (F.least("ln", "rn") >= of("least_rows")) & (F.least("lh", "rh") >= of("least_hessian")) & (gain > 0)
+    fits = (F.least("ln", "rn") >= of("least_rows")) & (F.least("lh", "rh") >= of("least_hessian")) & (gain > 0) & (F.col("col") >= 0)
     x = x.withColumn("gain", F.when(fits, gain))
     best = F.max(F.when(F.col("gain").isNotNull(), F.struct("gain", (-F.col("col")).alias("c"), (-F.col("bin")).alias("b"), "lg", "lh", "rg", "rh")))
-    out = x.groupBy("model", "node").agg(best.alias("s"), F.max(F.struct((-F.col("col")).alias("c"), "tg", "th")).alias("t"))
+    test = (F.col("col") < 0).alias("test")
+    out = x.groupBy("model", "node", test).agg(best.alias("s"), F.max(F.struct((-F.col("col")).alias("c"), "tg", "th", "tn")).alias("t"))
     some = F.col("s").isNotNull()
-    out = out.select("model", "node", F.when(some, -F.col("s.c")).otherwise(0).alias("col"), F.when(some, -F.col("s.b")).otherwise(-1).alias("bin"), F.coalesce("s.gain", F.lit(0.0)).alias("gain"), F.when(some, leaf(F.col("s.lg"), F.col("s.lh"))).otherwise(leaf(F.col("t.tg"), F.col("t.th"))).alias("left"), F.when(some, leaf(F.col("s.rg"), F.col("s.rh"))).otherwise(0.0).alias("right"))
-    tests = cells.where("col < 0").select("model", "node", "col", "bin", (F.col("g") / F.col("n")).alias("gain"), F.lit(0.0).alias("left"), F.lit(0.0).alias("right"))
-    return out.unionByName(tests)
+    pick = lambda held, split, none: F.when(F.col("test"), held).when(some, split).otherwise(none).cast("double")
+    return out.select("model", "node", pick(F.lit(-1), -F.col("s.c"), F.lit(0)).cast("int").alias("col"), pick(F.lit(0), -F.col("s.b"), F.lit(-1)).cast("int").alias("bin"), pick(F.col("t.tg") / F.col("t.tn"), F.col("s.gain"), F.lit(0)).alias("gain"), pick(F.lit(0), leaf(F.col("s.lg"), F.col("s.lh")), leaf(F.col("t.tg"), F.col("t.th"))).alias("left"), pick(F.lit(0), leaf(F.col("s.rg"), F.col("s.rh")), F.lit(0)).alias("right"))
 
 
 def _carried(turns: DataFrame, width: int, models: int, done: list[list[Tree]]) -> DataFrame:
