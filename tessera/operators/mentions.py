@@ -10,15 +10,19 @@ def mentions(texts: DataFrame, names: DataFrame, column: str = "text", piece: in
     """The columns of texts (without column) and name, for every name that its text holds anywhere, in lower case.
 
     A name is found by its first ``piece`` characters (all of a shorter one), which meet the
-    text's own pieces of that length: linear in the texts, whatever the number of names.
+    text's own pieces of that length: linear in the texts, whatever the number of names. What
+    travels is a checksum of the text with a piece; the text itself meets only the names whose
+    piece it holds, and the whole name decides (texts of one checksum share candidates, no more).
+    Null texts and null or empty names match nothing; equal rows of texts stay apart.
     """
     keyed = names.select(F.lower("name").alias("name")).where("name != ''").distinct().withColumn("_key", F.substring("name", 1, piece))
     sizes = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]  # piece values at most
-    low = F.lower(F.col(column))
+    low = F.col("_low")
     cut = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     pieces = F.array_distinct(F.concat(*[cut(k) for k in sizes])) if sizes else F.array().cast("array<string>")
-    rows = texts.withColumn("_low", low).withColumn("_key", F.explode(pieces)).join(keyed, "_key").where(F.col("_low").contains(F.col("name")))
-    return rows.drop("_key", "_low", column)
+    rows = texts.withColumn("_low", F.lower(F.col(column))).withColumn("_text", F.xxhash64("_low"))
+    near = rows.select("_text", F.explode(pieces).alias("_key")).join(keyed, "_key").select("_text", "name").distinct()
+    return rows.join(near, "_text").where(low.contains(F.col("name"))).drop("_text", "_low", column)
 
 
 def greedy(texts: DataFrame, names: DataFrame, keys: list[str], column: str = "text") -> DataFrame:

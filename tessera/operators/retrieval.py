@@ -23,8 +23,8 @@ def index(docs: DataFrame, tokens=text.words) -> tuple[DataFrame, DataFrame]:
     return tf, words.select("item", F.size("w").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.5, b: float = 0.75, repeats: bool = False, tokens=text.words, exclude: DataFrame | None = None) -> DataFrame:
-    """query, item, score, rank of queries(query, text). Words are cut to the queries' terms before they are counted; repeats: a term counts as often as the query says it; exclude(query, item): no candidates."""
+def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, repeats: bool = False, tokens=text.words) -> DataFrame:
+    """query, item, score (9 digits) of every document that shares a term with queries(query, text). All of a document's words are listed and only the queries' terms counted; repeats: a term counts as often as the query says it."""
     words = docs.select("item", tokens(F.col("text")).alias("w")).select("item", F.size("w").alias("dl"), "w")
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     met = words.select("item", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
@@ -36,9 +36,15 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.5, b: flo
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = weight.select("term", "item", part.alias("part")).join(asked, "term").groupBy("query", "item").agg(F.sum(F.col("part") * (F.col("qtf") if repeats else F.lit(1))).alias("score"))
+    return scored.withColumn("score", F.round("score", 9))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, *, exclude: DataFrame | None = None, **options) -> DataFrame:
+    """query, item, score, rank: the k best by bm25_scores (and its options); exclude(query, item): no candidates."""
+    scored = bm25_scores(queries, docs, **options)
     if exclude is not None:
         scored = scored.join(exclude.select("query", "item"), ["query", "item"], "left_anti")
-    return top_k(scored.withColumn("score", F.round("score", 9)), ["query"], k)
+    return top_k(scored, ["query"], k)
 
 
 def _blocks(rows: DataFrame, key: str, vector_col: str, size: int, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -48,14 +54,17 @@ def _blocks(rows: DataFrame, key: str, vector_col: str, size: int, *more: str) -
     return dealt.groupBy("cell", "block").agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector_col).alias("v"), *more)).alias("rows")), n
 
 
-def _products(queries: DataFrame, items: DataFrame, k: int | None, size: int) -> DataFrame:
-    """cell, query, item, score of queries(cell, query, q, more) and items(cell, item, v): in each pair of blocks of a cell the k + more best of each query, all without k."""
+def _products(queries: DataFrame, items: DataFrame, size: int, pick, *more: str) -> DataFrame:
+    """cell, query, item, score: what pick(ids, scores, *more) keeps of queries(cell, query, q, more) against each block of items(cell, item, v).
+
+    ids ascend, scores are those of one query (9 digits); pick gives ids and scores.
+    """
     import numpy as np
     import pyarrow as pa
 
     kind = queries.schema["cell"].dataType.simpleString()
     left, n_left = _blocks(items.withColumn("cell", F.col("cell").cast(kind)), "item", "v", size)
-    right, n_right = _blocks(queries, "query", "q", size, "more")
+    right, n_right = _blocks(queries, "query", "q", size, *more)
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = left.withColumnRenamed("block", "b").join(n_right.withColumnRenamed("n", "nr"), "cell").select("cell", "b", span("nr").alias("c"), F.col("rows").alias("items"))
     right = right.withColumnRenamed("block", "c").join(n_left.withColumnRenamed("n", "nl"), "cell").select("cell", span("nl").alias("b"), "c", F.col("rows").alias("asked"))
@@ -69,32 +78,63 @@ def _products(queries: DataFrame, items: DataFrame, k: int | None, size: int) ->
         flat = v.flatten().to_numpy(zero_copy_only=False)
         return column(part, 0).to_numpy(zero_copy_only=False), flat.reshape(len(part), -1)
 
-    def best(batches):
+    def kept(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, v = matrix(batch.column(1)[i].values)
-                q_ids, w = matrix(batch.column(2)[i].values)
-                more = column(batch.column(2)[i].values, 2).to_numpy(zero_copy_only=False)
+                asked = batch.column(2)[i].values
+                q_ids, w = matrix(asked)
+                extra = [column(asked, 2 + k).to_numpy(zero_copy_only=False) for k in range(len(more))]
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], np.ascontiguousarray(v[order].T)
                 found = []
                 for a in range(0, len(q_ids), 256):
                     for j, row in enumerate(np.round(w[a : a + 256] @ v, 9)):
-                        need = len(ids) if k is None else min(len(ids), k + int(more[a + j]))
-                        at = np.flatnonzero(row >= np.partition(row, len(row) - need)[len(row) - need])
-                        at = at[np.argsort(-row[at], kind="stable")][:need]  # ids ascend, so ties go to the smaller
-                        found.append((np.full(len(at), q_ids[a + j]), ids[at], row[at]))
+                        got, score = pick(ids, row, *[x[a + j] for x in extra])
+                        found.append((np.full(len(got), q_ids[a + j]), got, score))
                 cols = [pa.array(np.concatenate(x)) for x in zip(*found)]
                 cell = pa.array([batch.column(0)[i].as_py()] * len(cols[0]), batch.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays([cell, *cols], names=["cell", "query", "item", "score"])
 
-    return both.mapInArrow(best, f"cell {kind}, query long, item long, score double")
+    return both.mapInArrow(kept, f"cell {kind}, query long, item long, score double")
+
+
+def _best(k: int):
+    """The k best of a block, and so many more: ties to the smaller id."""
+    import numpy as np
+
+    def pick(ids, row, more):
+        need = min(len(ids), k + int(more))
+        at = np.flatnonzero(row >= np.partition(row, len(row) - need)[len(row) - need])
+        at = at[np.argsort(-row[at], kind="stable")][:need]
+        return ids[at], row[at]
+
+    return pick
 
 
 def scores(queries: DataFrame, items: DataFrame, *, size: int = 4096) -> DataFrame:
     """query, item, score (dot product, 9 digits) of all of queries(query, q) and items(item, v)."""
-    q = queries.select("query", "q", F.lit(0).alias("cell"), F.lit(0).alias("more"))
-    return _products(q, items.select("item", "v", F.lit(0).alias("cell")), None, size).drop("cell")
+    q = queries.select("query", "q", F.lit(0).alias("cell"))
+    return _products(q, items.select("item", "v", F.lit(0).alias("cell")), size, lambda ids, row: (ids, row)).drop("cell")
+
+
+def places(queries: DataFrame, items: DataFrame, wanted: DataFrame, *, size: int = 4096) -> DataFrame:
+    """query, place (from 1): where wanted(query, item) stands among all of items(item, v) by dot product (9 digits) with queries(query, q).
+
+    The wanted item's own score goes with its query, and a block of items answers with one
+    number: how many of it are ahead. No row is made for a pair. Queries or wanted items without a vector have no place.
+    """
+    import numpy as np
+
+    def ahead(ids, row, gold, mine):
+        n = np.count_nonzero(((row > mine) & (ids != gold)) | ((row == mine) & (ids < gold)))
+        return np.array([n], dtype=np.int64), np.array([0.0])
+
+    own = wanted.select("query", F.col("item").alias("gold")).join(items.select(F.col("item").alias("gold"), F.col("v").alias("_v")), "gold")
+    asked = queries.select("query", "q").join(own, "query").withColumn("mine", F.round(vector.dot(F.col("q"), F.col("_v")), 9))
+    asked = asked.select("query", "q", F.col("gold").cast("long").alias("gold"), "mine", F.lit(0).alias("cell"))
+    counts = _products(asked, items.select("item", "v", F.lit(0).alias("cell")), size, ahead, "gold", "mine")
+    return counts.groupBy("query").agg((F.sum("item") + 1).alias("place"))
 
 
 def dense(queries: DataFrame, items: DataFrame, k: int, *, itself: bool = True, exclude: DataFrame | None = None, cells: bool = False, size: int = 4096) -> DataFrame:
@@ -112,7 +152,7 @@ def dense(queries: DataFrame, items: DataFrame, k: int, *, itself: bool = True,
     if exclude is not None:
         q = q.join(exclude.groupBy("query").agg(F.count(F.lit(1)).alias("_n")), "query", "left")
         more = more + F.coalesce("_n", F.lit(0))
-    got = _products(q.select("query", "q", "cell", more.cast("int").alias("more")), x.select("item", "v", "cell"), k, size)
+    got = _products(q.select("query", "q", "cell", more.cast("int").alias("more")), x.select("item", "v", "cell"), size, _best(k), "more")
     if not itself:
         got = got.where(F.col("query") != F.col("item"))
     if exclude is not None:

@@ -147,17 +147,17 @@ def h12(spark, d):
     w, items = World(spark, d), facts(spark, d)
     g = gold(spark, d).select("query", "gold").join(w.h.groupBy("query").agg(F.count(F.lit(1)).alias("history_len")), "query")
 
+    wanted = g.select("query", F.col("gold").alias("item"))
+
     def place(space: str, name: str) -> DataFrame:
-        rows = retrieval.scores(w.asking(space), w.spaced(space)).join(g.select("query", "gold"), "query")
-        mine = F.max(F.when(F.col("item") == F.col("gold"), F.col("score"))).over(Window.partitionBy("query"))
-        rows = rows.withColumn("mine", mine)
-        ahead = (F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("item") < F.col("gold")))
-        return rows.groupBy("query").agg((F.count(F.when(ahead, 1)) + 1).alias(name))
-
-    ranked = retrieval.bm25(asked(w.h, spark, d), w.docs, 1 << 30)
-    ranked = ranked.select("query", F.col("item").alias("gold"), F.col("rank").alias("b"))
+        return retrieval.places(w.asking(space), w.spaced(space), wanted).withColumnRenamed("place", name)
+
+    scored = retrieval.bm25_scores(asked(w.h, spark, d), w.docs)
+    mine = scored.join(wanted, ["query", "item"]).select("query", F.col("item").alias("gold"), F.col("score").alias("mine"))
+    ahead = (F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("item") < F.col("gold")))
+    ranked = scored.join(mine, "query").groupBy("query").agg((F.count(F.when(ahead, 1)) + 1).alias("b"))
     said = found.mentions(messages(w.h, items).withColumnRenamed("said", "text"), _artists(items)).select("query", F.lit(True).alias("named")).distinct()
-    rows = g.join(place("tt", "a"), "query", "left").join(place("cf", "c"), "query", "left").join(ranked, ["query", "gold"], "left").join(said, "query", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    rows = g.join(place("tt", "a"), "query", "left").join(place("cf", "c"), "query", "left").join(ranked, "query", "left").join(said, "query", "left").withColumn("named", F.coalesce("named", F.lit(False)))
     rows = rows.withColumn("n", F.lit(t.table(spark, d, "part").count()))
     out = F.when(F.lit(False), "")
     for cond, name in REACH:

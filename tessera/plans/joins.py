@@ -152,9 +152,9 @@ def c16(spark, d):
     return predictions(spark, d, 20).join(log, "item", "left").select("query", "item", F.coalesce("popularity", -F.col("rank").cast("double")).alias("score"))
 
 
-@query("c18_parallel_join", "SELECT session, pos, item, label FROM plays WHERE pos <= 5", PLAYS)
+@query("c18_parallel_join", "SELECT session, pos, item, label FROM plays", PLAYS)
 def c18(spark, d):
-    a = t.plays(spark, d).where("pos <= 5").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "item", "label"))).alias("x"))
+    a = t.plays(spark, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "item", "label"))).alias("x"))
     z = a.select("session", F.explode(F.arrays_zip(F.col("x.pos").alias("pos"), F.col("x.item").alias("item"), F.col("x.label").alias("label"))).alias("z"))
     return z.select("session", F.col("z.pos").cast("long").alias("pos"), F.col("z.item").alias("item"), F.col("z.label").alias("label"))
 
@@ -250,9 +250,9 @@ def d16(spark, d):
     return by.crossJoin(F.broadcast(total)).select("source", F.round((F.col("t") / F.col("t_all")) / (F.col("n") / F.col("n_all")), 6).alias("ratio"))
 
 
-@query("d17_majority_vote", "SELECT session, artist FROM (SELECT session, artist, row_number() OVER (PARTITION BY session ORDER BY count(*) DESC, min(pos)) AS n FROM plays JOIN cat USING (item) WHERE pos <= 20 GROUP BY 1, 2) WHERE n = 1", PLAYS, CAT)
+@query("d17_majority_vote", "SELECT session, artist FROM (SELECT session, artist, row_number() OVER (PARTITION BY session ORDER BY count(*) DESC, min(pos)) AS n FROM plays JOIN cat USING (item) GROUP BY 1, 2) WHERE n = 1", PLAYS, CAT)
 def d17(spark, d):
-    n = t.plays(spark, d).where("pos <= 20").join(t.catalog(spark, d).select("item", "artist"), "item").groupBy("session", "artist").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("first"))
+    n = t.plays(spark, d).join(t.catalog(spark, d).select("item", "artist"), "item").groupBy("session", "artist").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("first"))
     return n.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("c"), "first"))).where("n = 1").select("session", "artist")
 
 

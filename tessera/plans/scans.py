@@ -133,9 +133,9 @@ def a20(spark, d):
     return t.turns(spark, d).groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda r: r["x"]), "\n").alias("report"))
 
 
-@query("a21_rerank_export", "SELECT session, string_agg(item || ':' || name, ';' ORDER BY pos) AS docs FROM plays JOIN cat USING (item) WHERE pos <= 20 GROUP BY 1", PLAYS, CAT)
+@query("a21_rerank_export", "SELECT session, string_agg(item || ':' || name, ';' ORDER BY pos) AS docs FROM plays JOIN cat USING (item) GROUP BY 1", PLAYS, CAT)
 def a21(spark, d):
-    rows = t.plays(spark, d).where("pos <= 20").join(t.catalog(spark, d).select("item", "name"), "item")
+    rows = t.plays(spark, d).join(t.catalog(spark, d).select("item", "name"), "item")
     one = F.concat(F.col("item").cast("string"), F.lit(":"), F.col("name"))
     return rows.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda r: r["x"]), ";").alias("docs"))
 
@@ -201,10 +201,11 @@ def b9(spark, d):
     return t.turns(spark, d).groupBy("session", F.floor(F.col("turn") / 2).alias("pair")).agg(side("user").alias("user_text"), side("assistant").alias("assistant_text"))
 
 
-@query("b10_seen_exclusion", "SELECT session, item FROM plays GROUP BY 1, 2 HAVING min(pos) > 10", PLAYS)
+@query("b10_seen_exclusion", "SELECT session, item FROM (SELECT session, item, pos, max(pos) OVER (PARTITION BY session) AS last FROM plays) GROUP BY 1, 2 HAVING min(pos) = min(last)", PLAYS)
 def b10(spark, d):
-    p = t.plays(spark, d)
-    return p.select("session", "item").distinct().join(p.where("pos <= 10").select("session", "item"), ["session", "item"], "left_anti")
+    """Last plays of sessions whose item the session hasn't seen before."""
+    p = t.plays(spark, d).withColumn("last", F.max("pos").over(Window.partitionBy("session")))
+    return p.where("pos = last").select("session", "item").join(p.where("pos < last").select("session", "item"), ["session", "item"], "left_anti")
 
 
 @query("b11_session_filter", "SELECT session, turn FROM turns WHERE session IN (SELECT doc_id FROM labels)", TURNS)
@@ -313,9 +314,9 @@ def b29(spark, d):
     return t.table(spark, d, "documents").select("doc_id").join(t.table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_anti")
 
 
-@query("b30_duplicate_predictions", "SELECT session, count(*) - count(DISTINCT item) AS repeated FROM plays WHERE pos <= 20 GROUP BY 1 HAVING count(*) <> count(DISTINCT item)", PLAYS)
+@query("b30_duplicate_predictions", "SELECT session, count(*) - count(DISTINCT item) AS repeated FROM plays GROUP BY 1 HAVING count(*) <> count(DISTINCT item)", PLAYS)
 def b30(spark, d):
-    lists = t.plays(spark, d).where("pos <= 20").groupBy("session").agg(F.collect_list("item").alias("ids"))
+    lists = t.plays(spark, d).groupBy("session").agg(F.collect_list("item").alias("ids"))
     return lists.where(F.size("ids") != F.size(F.array_distinct("ids"))).select("session", (F.size("ids") - F.size(F.array_distinct("ids"))).cast("long").alias("repeated"))
 
 

@@ -196,6 +196,38 @@ def test_dense_blocks_by_brute_force(spark):
     assert retrieval.dense(queries.limit(0), items, 3).count() == 0
 
 
+def test_places_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.standard_normal((70, 4)), 1)
+    v[60:] = v[:10]  # ties
+    items = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item long, v array<double>")
+    queries = items.where("item % 5 = 0").selectExpr("item AS query", "v AS q")
+    wanted = spark.createDataFrame([(q, (q * 7 + 3) % 75) for q in range(0, 70, 5)], "query long, item long")
+    for size in (3, 1000):
+        got = {r.query: r.place for r in retrieval.places(queries, items, wanted, size=size).collect()}
+        want = {}
+        for q in range(0, 70, 5):
+            own = sorted((-round(float(v[q] @ v[i]), 9), i) for i in range(70))
+            if (q * 7 + 3) % 75 < 70:
+                want[q] = [i for _, i in own].index((q * 7 + 3) % 75) + 1
+        assert got == want
+    assert retrieval.places(queries, items, wanted.limit(0)).count() == 0
+
+
+def test_mentions_of_equal_empty_and_missing_texts(spark):
+    from tessera.operators import mentions
+
+    rows = [(1, "The Cure and the CURE"), (1, "The Cure and the CURE"), (2, ""), (3, None), (4, "ab the cur"), (5, "x" * 20_000 + "abba")]
+    names = spark.createDataFrame([("the cure",), ("Cure",), ("abba",), ("ab",), ("",), (None,)], "name string")
+    texts = spark.createDataFrame(rows, "i int, text string")
+    got = sorted((r.i, r["name"]) for r in mentions.mentions(texts, names).collect())
+    want = sorted((i, n) for i, s in rows if s for n in ("the cure", "cure", "abba", "ab") if n in s.lower())
+    assert got == want
+    assert mentions.mentions(texts, names.limit(0)).count() == 0 == mentions.mentions(texts.limit(0), names).count()
+
+
 def test_windows_that_the_watermark_has_passed(spark, sf):
     from tessera.streaming import sessions
 
