@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import codebook, lambdamart, retrieval
+from tessera.operators import codebook, importance, lambdamart, retrieval
 from tessera.operators.lambdamart import Parameters
 from tessera.plans.base import query
 from tessera.plans.features import ALL, COLUMNS, _rounded, matrix
+from tessera.plans.pooling import WEIGHTS
 from tessera.sources.staging import kept
 
 FOLDS = 5
@@ -83,6 +84,37 @@ def i15(spark, d):
     return retrieval.top_k(ranked, ["query"], 20).select("query", "item", "rank")
 
 
+#: a fixed weighted sum of columns
+LINEAR = {c: w for c, w in WEIGHTS.items() if c in COLUMNS}
+_MOVED = "o_{c} * {w} - {c} * {w} + off"
+LOST = [
+    "mo AS (SELECT " + " + ".join(f"{w} * {c}" for c, w in LINEAR.items()) + " - label AS off, " + ", ".join(f"{c}, coalesce(lead({c}) OVER o, first({c}) OVER a) AS o_{c}" for c in LINEAR)
+    + " FROM (SELECT query, item, label, " + ", ".join(f"coalesce(round({c}, 9), 0) AS {c}" for c in LINEAR) + " FROM mx) WINDOW o AS (PARTITION BY query ORDER BY sha256(query || '/' || item), item), a AS (PARTITION BY query ORDER BY sha256(query || '/' || item), item ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+    "lost AS (SELECT " + ", ".join(f"avg(({_MOVED.format(c=c, w=w)}) ** 2 - off ** 2) AS {c}" for c, w in LINEAR.items()) + " FROM mo)",
+]
+
+
+@query("j20_permutation_importance", " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name, " + (f"round({c}, 9) + 0.0 AS importance, round({c}, 9) = 0 AS dead" if c in LINEAR else "0.0 AS importance, true AS dead") + " FROM lost" for i, c in enumerate(COLUMNS, 1)), *ALL, *LOST)
+def j20_importance(spark, d):
+    """How much worse the weighted sum tells a turn's item once a column's values go to other candidates of the turn; columns that change nothing are dead."""
+    got = importance.linear(matrix(spark, d).select("query", "item", "label", *_rounded(list(LINEAR))), COLUMNS, LINEAR)
+    lost = F.round("importance", 9) + 0.0
+    return got.select("place", "name", lost.alias("importance"), (lost == 0).alias("dead"))
+
+
+@query("j20_model_guard")
+def j20_model(spark, d):
+    """A saved ranker against the columns it is to score: each column's place in the model, its splits, the nDCG that turns lose without it, and whether the two agree (a column without splits loses nothing)."""
+    from tessera.plans.scans import _temp
+
+    at, found = _temp(spark), rows(spark, d)
+    (model,), _ = lambdamart.fit(found, COLUMNS, 0, [Parameters(rounds=4)])
+    lambdamart.saved(spark, model, at)
+    again = lambdamart.loaded(spark, at, COLUMNS)
+    got = importance.trees(again, lambdamart.grouped(found, COLUMNS, again.cuts))
+    return got.withColumn("passes", (F.element_at(F.array(*map(F.lit, COLUMNS)), F.col("place")) == F.col("name")) & ((F.col("splits") > 0) | (F.col("importance") == 0)))
+
+
 #: depths (31, 63 and 127 leaves) and rates of the nine points
 GRID = [(depth, rate) for depth in (5, 6, 7) for rate in (0.03, 0.05, 0.08)]
 
