@@ -11,6 +11,7 @@ from tessera.functions import ranking, text, vector
 from tessera.operators import history
 from tessera.plans.base import CAT, PLAYS, TURNS, VECS, query
 from tessera.operators.ordering import numbered
+from tessera.sources import jsonarray
 from tessera.sources import tables as t
 
 
@@ -48,6 +49,20 @@ def a3(spark, d):
     return t.json_array(spark, at, t.PREDICTIONS).select("session_id", "turn_number", "predicted_response")
 
 
+@query("a3_json_array_ranges", "SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INT) AS turn_number, text AS predicted_response FROM conversations")
+def a3_ranges(spark, d):
+    """Arrays read in ranges of bytes, as files too long for a task are: a range holds several elements and cuts some."""
+    rows = t.turns(spark, d).select(F.col("session").cast("string").alias("session_id"), F.col("turn").cast("int").alias("turn_number"), F.col("text").alias("predicted_response"))
+    at = _temp(spark)
+    # a file for each turn number holds all sessions' turns of it, an element a line
+    lines = rows.select("turn_number", F.to_json(F.struct(*rows.columns)).alias("value"))
+    n = F.row_number().over(Window.partitionBy("turn_number").orderBy(F.xxhash64("value"), "value"))
+    lines = lines.withColumn("n", n).select("turn_number", F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "value").alias("value"), F.lit(0).alias("end"), "n")
+    ends = lines.groupBy("turn_number").agg(F.lit("]").alias("value"), F.lit(1).alias("end"), F.lit(0).alias("n"))
+    lines.unionByName(ends).repartition("turn_number").sortWithinPartitions("turn_number", "end", "n").select("value", F.col("turn_number").alias("file")).write.partitionBy("file").text(at)
+    return jsonarray.rows(spark, at, t.PREDICTIONS, 1 << 18).select("session_id", "turn_number", "predicted_response")
+
+
 @query("a4_json_lines_scan", "SELECT conv_id AS session, turn, role, text FROM conversations")
 def a4(spark, d):
     rows, at = t.turns(spark, d), _temp(spark)

@@ -13,8 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON array of rows in a file; the schema is stated, so the file is read once."""
+def json_array(spark: SparkSession, path: str, schema: T.StructType, whole: int = 128 << 20) -> DataFrame:
+    """One JSON array of rows in a file; the schema is stated, so files are read once.
+
+    Spark's own reader takes a file in one task. Where a file is longer than ``whole`` bytes, all are read in byte ranges.
+    """
+    longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    if longest > whole:
+        from tessera.sources import jsonarray
+
+        return jsonarray.rows(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
