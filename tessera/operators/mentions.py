@@ -18,7 +18,8 @@ def mentions(texts: DataFrame, names: DataFrame, column: str = "text", piece: in
     keyed = names.select(F.lower("name").alias("name")).where("name != ''").distinct().withColumn("_key", F.substring("name", 1, piece))
     sizes = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]  # piece values at most
     low = F.col("_low")
-    cut = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    # every place's next k characters; a substring by place would read the text from its start each time
+    cut = lambda k: F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
     pieces = F.array_distinct(F.concat(*[cut(k) for k in sizes])) if sizes else F.array().cast("array<string>")
     rows = texts.withColumn("_low", F.lower(F.col(column))).withColumn("_text", F.xxhash64("_low"))
     near = rows.select("_text", F.explode(pieces).alias("_key")).join(keyed, "_key").select("_text", "name").distinct()
