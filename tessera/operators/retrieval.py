@@ -23,10 +23,14 @@ def index(docs: DataFrame, tokens=text.words) -> tuple[DataFrame, DataFrame]:
     return tf, words.select("item", F.size("w").alias("dl"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, repeats: bool = False, tokens=text.words) -> DataFrame:
-    """query, item, score (9 digits) of every document that shares a term with queries(query, text). All of a document's words are listed and only the queries' terms counted; repeats: a term counts as often as the query says it."""
+def bm25_asked(queries: DataFrame, tokens=text.words) -> DataFrame:
+    """query, term, qtf of queries(query, text)."""
+    return queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def bm25_parts(asked: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, tokens=text.words) -> DataFrame:
+    """term, item, part: what a term of asked(term) adds to a document's score. All of a document's words are listed and only the asked terms counted."""
     words = docs.select("item", tokens(F.col("text")).alias("w")).select("item", F.size("w").alias("dl"), "w")
-    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     met = words.select("item", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = met.groupBy("term", "item").agg(F.count(F.lit(1)).alias("tf"), F.min("dl").alias("dl"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -35,13 +39,20 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: floa
     weight = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weight.select("term", "item", part.alias("part")).join(asked, "term").groupBy("query", "item").agg(F.sum(F.col("part") * (F.col("qtf") if repeats else F.lit(1))).alias("score"))
+    return weight.select("term", "item", part.alias("part"))
+
+
+def bm25_summed(parts: DataFrame, asked: DataFrame, repeats: bool = False) -> DataFrame:
+    """query, item, score (9 digits) of every document that shares a term with asked(query, term, qtf); with a column item in asked, of that document only. repeats: a term counts as often as the query says it."""
+    on = ["term", "item"] if "item" in asked.columns else ["term"]
+    scored = parts.join(asked, on).groupBy("query", "item").agg(F.sum(F.col("part") * (F.col("qtf") if repeats else F.lit(1))).alias("score"))
     return scored.withColumn("score", F.round("score", 9))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, *, exclude: DataFrame | None = None, **options) -> DataFrame:
-    """query, item, score, rank: the k best by bm25_scores (and its options); exclude(query, item): no candidates."""
-    scored = bm25_scores(queries, docs, **options)
+def bm25(queries: DataFrame, docs: DataFrame, k: int, *, repeats: bool = False, tokens=text.words, exclude: DataFrame | None = None, **constants) -> DataFrame:
+    """query, item, score, rank: the k best of queries(query, text); exclude(query, item): no candidates; constants are those of bm25_parts."""
+    asked = bm25_asked(queries, tokens)
+    scored = bm25_summed(bm25_parts(asked, docs, tokens=tokens, **constants), asked, repeats)
     if exclude is not None:
         scored = scored.join(exclude.select("query", "item"), ["query", "item"], "left_anti")
     return top_k(scored, ["query"], k)

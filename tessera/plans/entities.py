@@ -16,6 +16,7 @@ from tessera.plans.joins import gold
 from tessera.plans.pooling import AGAIN, ARTIST_CAP, MORE, POOL, SIGNALS, SOURCES, WORLD, World, _of, asked
 from tessera.plans.scalars import QUOTED, sql_text
 from tessera.sources import tables as t
+from tessera.sources.staging import kept
 
 
 def _tag_names(spark, d) -> DataFrame:
@@ -147,13 +148,16 @@ def h12(spark, d):
     w, items = World(spark, d), facts(spark, d)
     g = gold(spark, d).select("query", "gold").join(w.h.groupBy("query").agg(F.count(F.lit(1)).alias("history_len")), "query")
 
+    g = kept(g)
     wanted = g.select("query", F.col("gold").alias("item"))
 
     def place(space: str, name: str) -> DataFrame:
         return retrieval.places(w.asking(space), w.spaced(space), wanted).withColumnRenamed("place", name)
 
-    scored = retrieval.bm25_scores(asked(w.h, spark, d), w.docs)
-    mine = scored.join(wanted, ["query", "item"]).select("query", F.col("item").alias("gold"), F.col("score").alias("mine"))
+    terms = kept(retrieval.bm25_asked(asked(w.h, spark, d)))
+    parts = kept(retrieval.bm25_parts(terms, w.docs))  # the index of the queries' terms, read twice
+    scored = retrieval.bm25_summed(parts, terms)
+    mine = retrieval.bm25_summed(parts, terms.join(wanted, "query")).select("query", F.col("item").alias("gold"), F.col("score").alias("mine"))
     ahead = (F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("item") < F.col("gold")))
     ranked = scored.join(mine, "query").groupBy("query").agg((F.count(F.when(ahead, 1)) + 1).alias("b"))
     said = found.mentions(messages(w.h, items).withColumnRenamed("said", "text"), _artists(items)).select("query", F.lit(True).alias("named")).distinct()
