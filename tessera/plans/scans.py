@@ -54,12 +54,13 @@ def a3_ranges(spark, d):
     """Arrays read in ranges of bytes, as files too long for a task are: a range holds several elements and cuts some."""
     rows = t.turns(spark, d).select(F.col("session").cast("string").alias("session_id"), F.col("turn").cast("int").alias("turn_number"), F.col("text").alias("predicted_response"))
     at = _temp(spark)
-    # a file for each turn number holds all sessions' turns of it, an element a line
-    lines = rows.select("turn_number", F.to_json(F.struct(*rows.columns)).alias("value"))
-    n = F.row_number().over(Window.partitionBy("turn_number").orderBy(F.xxhash64("value"), "value"))
-    lines = lines.withColumn("n", n).select("turn_number", F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "value").alias("value"), F.lit(0).alias("end"), "n")
-    ends = lines.groupBy("turn_number").agg(F.lit("]").alias("value"), F.lit(1).alias("end"), F.lit(0).alias("n"))
-    lines.unionByName(ends).repartition("turn_number").sortWithinPartitions("turn_number", "end", "n").select("value", F.col("turn_number").alias("file")).write.partitionBy("file").text(at)
+    # a file for each turn number holds all sessions' turns of it, an element a line; the writer keeps an order that begins with its own column
+    lines = rows.select(F.col("turn_number").alias("file"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    order = Window.partitionBy("file").orderBy(F.xxhash64("value"), "value")
+    n, last = F.row_number().over(order), F.count(F.lit(1)).over(Window.partitionBy("file"))
+    lines = lines.withColumn("n", n).withColumn("last", last)
+    value = F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "value", F.when(F.col("n") == F.col("last"), "]").otherwise(""))
+    lines.select("file", "n", value.alias("value")).repartition("file").sortWithinPartitions("file", "n").drop("n").write.partitionBy("file").text(at)
     return jsonarray.rows(spark, at, t.PREDICTIONS, 1 << 18).select("session_id", "turn_number", "predicted_response")
 
 
