@@ -236,3 +236,74 @@ def test_windows_that_the_watermark_has_passed(spark, sf):
     assert closed.items() <= whole.items()
     last = max(k[0] for k in whole)
     assert all((last - k[0]).total_seconds() < 7200 for k in whole.keys() - closed.keys())
+
+
+def test_equal_vectors_are_multiplied_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    v = np.round(rng.standard_normal((9, 4)), 1)
+    v[8] = v[2]  # equal vectors under two numbers too
+    vectors = spark.createDataFrame([(i, [float(x) for x in r], int(i % 2)) for i, r in enumerate(v)], "item long, v array<double>, cell int")
+    of = {i: (i * 5 + i // 7) % 9 for i in range(100, 180)}
+    members = spark.createDataFrame([(o, i) for i, o in of.items()], "of long, item long")
+    queries = vectors.selectExpr("item AS query", "v AS q", "cell")
+    gone = {(q, i) for q in range(9) for i in of if (i + q) % 4 == 0}
+    exclude = spark.createDataFrame(sorted(gone), "query long, item long")
+    wanted = spark.createDataFrame([(q, 100 + q * 8) for q in range(9)], "query long, item long")
+    for size in (2, 1000):
+        for cells in (False, True):
+            got = {}
+            for r in retrieval.dense(queries, vectors, 12, exclude=exclude, cells=cells, members=members, size=size).orderBy("query", "rank").collect():
+                got.setdefault(r.query, []).append(r.item)
+            for q in range(9):
+                own = sorted((-round(float(v[q] @ v[of[i]]), 9), i) for i in of if (q, i) not in gone and (not cells or of[i] % 2 == q % 2))
+                assert got[q] == [i for _, i in own[:12]]
+        places = {r.query: r.place for r in retrieval.places(queries, vectors, wanted, members=members, size=size).collect()}
+        for q in range(9):
+            own = sorted((-round(float(v[q] @ v[of[i]]), 9), i) for i in of)
+            assert places[q] == 1 + [i for _, i in own].index(100 + q * 8)
+
+
+def test_bm25_blocks_by_brute_force(spark):
+    import math
+    import random
+
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices("abcdefgh", k=draw.randint(0, 5))) for _ in range(25)]
+    docs = {i: draw.choice(texts) for i in range(120)}
+    asks = {q: " ".join(draw.choices("abcdefghxyz", k=draw.randint(1, 5))) for q in range(12)}
+    gone = {(q, i) for q in asks for i in docs if (i * 3 + q) % 5 == 0}
+    n, mean = len(docs), sum(len(x.split()) for x in docs.values()) / len(docs)
+    df = {t: sum(t in x.split() for x in docs.values()) for t in "abcdefgh"}
+
+    def score(q, i, repeats):
+        said, x, total = asks[q].split(), docs[i].split(), 0.0
+        for t in said if repeats else set(said):
+            if t in x:
+                total += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * x.count(t) / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean))
+        return round(total, 9)
+
+    queries = spark.createDataFrame(list(asks.items()), "query long, text string")
+    items = spark.createDataFrame(list(docs.items()), "item long, text string")
+    exclude = spark.createDataFrame(sorted(gone), "query long, item long")
+    wanted = spark.createDataFrame([(q, q * 9) for q in asks], "query long, item long")
+    asked = retrieval.bm25_asked(queries)
+    for once in (False, True):
+        for repeats, size in ((False, 3), (True, 1000)):
+            got = {}
+            for r in retrieval.bm25(queries, items, 9, repeats=repeats, exclude=exclude, once=once, size=size).orderBy("query", "rank").collect():
+                got.setdefault(r.query, []).append(r.item)
+            for q in asks:
+                own = sorted((-score(q, i, repeats), i) for i in docs if (q, i) not in gone and score(q, i, repeats) > 0)
+                assert got.get(q, []) == [i for _, i in own[:9]]
+        places = {r.query: r.place for r in retrieval.bm25_places(asked, items, wanted, once=once, size=4).collect()}
+        own = {q: sorted((-score(q, i, False), i) for i in docs if score(q, i, False) > 0) for q in asks}
+        assert places == {q: 1 + [i for _, i in own[q]].index(q * 9) for q in asks if score(q, q * 9, False) > 0}
+
+
+def test_neighbours_of_some_items(spark):
+    whole = {tuple(r) for r in cooccur.neighbours(plays(spark)).collect()}
+    some = spark.createDataFrame([(next(iter(whole))[0],)], "item long")
+    src = some.first().item
+    assert {tuple(r) for r in cooccur.neighbours(plays(spark), of=some).collect()} == {r for r in whole if r[0] == src}
