@@ -55,7 +55,8 @@ def d15_sketch(spark, d):
 @query("d8_sketch_top_items", "SELECT row_number() OVER (ORDER BY n DESC, item) AS rank, n AS plays, true AS within FROM (SELECT item, count(*) AS n FROM plays GROUP BY 1) QUALIFY rank <= 20", PLAYS)
 def d8_sketch(spark, d):
     """The 20 largest play counts, and whether the frequency sketches of 16 shares, combined, give the items of those
-    ranks with counts that are right to 3.5 parts in the tracked number of all plays."""
+    ranks with counts that are right to 3.5 parts in the tracked number of all plays. Where no count is above its error
+    the sketch names fewer items; one that it doesn't name counts as 0."""
     rows = t.plays(spark, d).select("session", "item")
     shares = kept(rows.groupBy((F.col("session") % 16).alias("share")).agg(F.expr(f"approx_top_k_accumulate(item, {ITEMS})").alias("state")))
     found = shares.agg(F.expr(f"approx_top_k_combine(state, {ITEMS})").alias("state")).select(F.explode(F.expr("approx_top_k_estimate(state, 20)")).alias("x")).select(F.col("x.item").alias("item"), F.col("x.count").alias("estimate"))
@@ -64,6 +65,6 @@ def d8_sketch(spark, d):
     place = lambda c, *more: F.row_number().over(Window.orderBy(F.desc(c), *more))  # noqa: E731  over 20 rows
     found = found.join(counts, "item").withColumn("place", place("estimate", "item")).select("place", "estimate", F.col("plays").alias("own"))
     first = counts.orderBy(F.desc("plays"), "item").limit(20).withColumn("rank", place("plays", "item"))
-    both = first.join(found, F.col("rank") == F.col("place")).crossJoin(F.broadcast(error))
+    both = first.join(found, F.col("rank") == F.col("place"), "left").crossJoin(F.broadcast(error)).fillna(0, ["estimate", "own"])
     near = (F.abs(F.col("estimate") - F.col("own")) <= F.col("error")) & (F.abs(F.col("own") - F.col("plays")) <= F.col("error"))
     return both.select(F.col("rank").cast("long").alias("rank"), "plays", near.alias("within"))

@@ -307,3 +307,11 @@ def test_neighbours_of_some_items(spark):
     some = spark.createDataFrame([(next(iter(whole))[0],)], "item long")
     src = some.first().item
     assert {tuple(r) for r in cooccur.neighbours(plays(spark), of=some).collect()} == {r for r in whole if r[0] == src}
+
+
+def test_sketch_of_fewer_items_than_there_are(spark, sf, monkeypatch):
+    from tessera.plans import sketches
+
+    monkeypatch.setattr(sketches, "ITEMS", 32)  # no count is above the sketch's error
+    rows = sketches.d8_sketch(spark, sf).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 21)) and all(r.within for r in rows)
