@@ -1,6 +1,7 @@
 """What is shuffled does not grow with the pairs that are only looked at."""
 
 import __spark_entry__
+from tessera.operators import cooccur
 
 
 def plan(df):
@@ -12,3 +13,11 @@ def test_members_of_clusters_are_not_shuffled(spark, sf):
     # a turn's clusters are dealt by turn; no exchange is keyed by the members
     assert not [x for x in plan(df).splitlines() if "Exchange hashpartitioning(query" in x and "item" in x]
     assert df.count() == df.select("query", "item").distinct().count()
+
+
+def test_expansion_shuffles_what_is_taken_only(spark):
+    history = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 11)], "turn long, back int, item long")
+    table = spark.createDataFrame([(10, 11, 9.0, 1), (10, 20, 5.0, 2), (10, 21, 4.0, 3), (10, 22, 3.0, 4), (11, 12, 7.0, 1), (11, 20, 6.0, 2)], "src long, dst long, w double, rank int")
+    df = cooccur.expanded(history, table, [2, 1])
+    assert sorted(map(tuple, df.collect())) == [(1, 20, 1, 6.0, 2), (1, 21, 2, 4.0, 1), (2, 12, 0, 7.0, 1), (2, 20, 1, 6.0, 1)]
+    assert "LeftAnti" not in plan(df) and "Window" not in plan(df)
