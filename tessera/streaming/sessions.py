@@ -97,11 +97,15 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     Plays wait in a user's list state until the watermark passes the end of their day, which a
     timer tells; then they are taken in event time, whatever order they came in, and the list of
     the last plays goes with the user from arrival to arrival. After a long pause it is empty.
+    A user's timer is for the earliest day that waits; all days that are over by then are taken at once.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
     day, idle = 86_400_000_000, IDLE_DAYS * 86_400_000_000
 
+    def over(play) -> int:
+        return (play[0] // day + 1) * day // 1000
+
     class Plays(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
@@ -111,25 +115,28 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
-            days: set = set()
+            first = []
             for frame in rows:
                 plays = [(int(u), int(e), None if pd.isna(i) else str(i)) for u, e, i in zip(frame["us"], frame["event_id"], frame["event_type"])]
                 self.waiting.appendList(plays)
-                days.update(u // day + 1 for u, *_ in plays)
-            for d in days:
-                self.handle.registerTimer(d * day // 1000)
+                first.append(min(map(over, plays)))
+            self.handle.registerTimer(min(first))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
-            end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            mark = timerValues.getCurrentWatermarkInMs()
             plays, left = [], []
             for x in self.waiting.get():
-                (plays if x[0] < end else left).append(tuple(x))
+                (plays if over(x) <= mark else left).append(tuple(x))
             if not plays:
                 return
-            self.waiting.put(left) if left else self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(min(map(over, left)))
+            else:
+                self.waiting.clear()
             held, out = [tuple(x) for x in self.history.get()], []
             for us, event_id, item in sorted(plays, key=lambda x: x[:2]):
                 held = held if held and us - held[0][0] <= idle else []

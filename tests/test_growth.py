@@ -21,3 +21,38 @@ def test_expansion_shuffles_what_is_taken_only(spark):
     df = cooccur.expanded(history, table, [2, 1])
     assert sorted(map(tuple, df.collect())) == [(1, 20, 1, 6.0, 2), (1, 21, 2, 4.0, 1), (2, 12, 0, 7.0, 1), (2, 20, 1, 6.0, 1)]
     assert "LeftAnti" not in plan(df) and "Window" not in plan(df)
+
+
+def test_one_timer_for_each_user_and_batch(spark, sf):
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    timers, rows = [], []
+
+    class Seen(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            timers.extend(x.customMetrics.get("numRegisteredTimers", 0) for x in event.progress.stateOperators)
+            rows.append(event.progress.numInputRows)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Seen()
+    spark.streams.addListener(listener)
+    try:
+        __spark_entry__.queries()["l2_turn_history"](spark, sf).count()
+        import time
+
+        until = time.time() + 20
+        while sum(rows) < 1000 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    # three arrivals: a timer when rows come, and one for what is left
+    assert sum(rows) == 1000 and 0 < sum(timers) <= 6 * users
