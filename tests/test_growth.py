@@ -56,3 +56,29 @@ def test_one_timer_for_each_user_and_batch(spark, sf):
     users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
     # three arrivals: a timer when rows come, and one for what is left
     assert sum(rows) == 1000 and 0 < sum(timers) <= 6 * users
+
+
+def test_unlabelled_plays_leave_out_the_columns_that_order_labels(spark, sf):
+    from tessera.sources import tables
+
+    bare = tables.plays(spark, sf, labels=False)
+    assert not [c for c in ("l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag") if c in plan(bare)]
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, tables.plays(spark, sf).select("session", "pos", "item").collect()))
+
+
+def test_a_row_holds_banned_items_of_its_own_cell_only(spark):
+    from tessera.operators import retrieval
+
+    q = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0])], "query long, cell int, q array<double>")
+    gone = spark.createDataFrame([(1, 0, 7), (1, 0, 8), (1, 1, 9)], "query long, cell int, item long")
+    got, most = retrieval._banned(q, True, gone)
+    assert most == 2 and {r.cell: sorted(r.banned) for r in got.collect()} == {0: [7, 8], 1: [9]}
+    x = spark.createDataFrame([(7, 0, [3.0]), (5, 0, [2.0]), (9, 1, [3.0]), (6, 1, [1.0])], "item long, cell int, v array<double>")
+    assert sorted((r.cell, r.item) for r in retrieval.dense(q, x, 2, cells=True, exclude=gone).collect()) == [(0, 5), (1, 6)]
+
+
+def test_signals_are_dealt_by_turn_only(spark, sf):
+    from tessera.plans import pooling
+
+    shown = plan(pooling.World(spark, sf).signals())
+    assert "hashpartitioning(query" in shown and "hashpartitioning(item" not in shown and "hashpartitioning(of" not in shown
