@@ -77,8 +77,27 @@ def test_a_row_holds_banned_items_of_its_own_cell_only(spark):
     assert sorted((r.cell, r.item) for r in retrieval.dense(q, x, 2, cells=True, exclude=gone).collect()) == [(0, 5), (1, 6)]
 
 
-def test_signals_are_dealt_by_turn_only(spark, sf):
+def test_signals_are_dealt_by_turn_and_products_give_the_same(spark, sf):
     from tessera.plans import pooling
 
-    shown = plan(pooling.World(spark, sf).signals())
-    assert "hashpartitioning(query" in shown and "hashpartitioning(item" not in shown and "hashpartitioning(of" not in shown
+    w = pooling.World(spark, sf)
+    by_product = w.signals()
+    shown = plan(by_product)
+    assert "MapInArrow" in shown and "hashpartitioning(query" in shown and "hashpartitioning(item" not in shown and "hashpartitioning(of" not in shown
+    w.n_vectors = pooling.SENT + 1  # too many to be sent
+    assert w.table() is None
+    by_expression = {(r.query, r.item): r.asDict() for r in w.signals().collect()}
+    got = {(r.query, r.item): r.asDict() for r in by_product.collect()}
+    assert got.keys() == by_expression.keys() and len(got) > 1000
+    for key, row in got.items():
+        assert all(row[c] == y or abs(row[c] - y) <= 2e-9 for c, y in by_expression[key].items()), key
+
+
+def test_plays_meet_labels_by_merging(spark, sf, monkeypatch):
+    from tessera.plans import pooling
+
+    seen = []
+    monkeypatch.setattr(pooling, "kept", lambda df, free=False: (seen.append(plan(df)), df)[1])
+    pooling.World(spark, sf).predicted()
+    steps = seen[-1]
+    assert "SortMergeJoin [item" in steps
