@@ -101,3 +101,28 @@ def test_plays_meet_labels_by_merging(spark, sf, monkeypatch):
     pooling.World(spark, sf).predicted()
     steps = seen[-1]
     assert "SortMergeJoin [item" in steps
+
+
+def test_only_the_means_asked_for_are_made_and_parts_are_merged(spark, sf, monkeypatch):
+    from tessera.plans import pooling
+
+    full = pooling.World(spark, sf)
+    all_means = {tuple(r) for r in full.means.selectExpr("query", "role", "cast(v as string) v").collect()}
+    seen = []
+    monkeypatch.setattr(pooling, "kept", lambda df, free=False: (seen.append(plan(df)), df)[1])
+    w = pooling.World(spark, sf, ["positive"])
+    got = {tuple(r) for r in w.means.selectExpr("query", "role", "cast(v as string) v").collect()}
+    assert got and {r[:2] for r in got} == {r[:2] for r in all_means if r[1] == "positive"}
+    assert "SortMergeJoin [item" in seen[-1]
+    row = lambda r: (r.query, r.item, r["rank"], round(r.score, 9))
+    assert sorted(map(row, w.near_mean().collect())) == sorted(map(row, full.near_mean().collect()))
+
+
+def test_pairs_of_blocks_go_to_python_in_small_batches(spark):
+    from tessera.operators import retrieval
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    q = spark.createDataFrame([(1, [1.0])], "query long, q array<double>")
+    x = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "item long, v array<double>")
+    assert [r.item for r in retrieval.dense(q, x, 2).orderBy("rank").collect()] == [4, 3]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
