@@ -66,16 +66,17 @@ def compress(ids: np.ndarray, firsts: np.ndarray, terminals: int, rounds: int |
         table[home] = chosen
         base = terminals + n_rules
         symbol[home] = np.arange(base, base + len(chosen), dtype=np.uint32)
-        hit = table[slot] == keys
+        hit = np.flatnonzero(table[slot] == keys)
         where, slot = place[hit], slot[hit]
         run = np.flatnonzero(np.diff(where, prepend=-2) != 1)
         within = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
-        where, slot = where[within % 2 == 0], slot[within % 2 == 0]
+        even = np.flatnonzero(within & 1 == 0)
+        where, slot = where[even], slot[even]
         s[where] = symbol[slot]
         left = np.ones(len(s), bool)
         left[where + 1] = False
         firsts = firsts - np.searchsorted(where + 1, firsts)
-        s = s[left]
+        s = s[np.flatnonzero(left)]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype("<u4"))
         n_rules += len(chosen)
     return s.astype("<u4"), firsts, np.concatenate([np.zeros((0, 2), "<u4"), *rules]), _lengths(rules, terminals)
@@ -151,7 +152,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end: int
 
         schema = pa.schema([("block_of", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("n_tokens", pa.int64())])
         for batch in batches:
-            for d, ids in zip(batch.column(0).to_pylist(), coder.ids(batch.column(1).to_pylist())):
+            for d, ids in zip(batch.column(0).to_pylist(), coder.ids(batch.column(1))):
                 held.append((d, ids + last))
                 size += len(ids) // 4 + 1
                 if size >= block_tokens:

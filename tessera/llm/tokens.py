@@ -19,6 +19,10 @@ _UNIT = re.compile(r"(?<=\S)(?=\s)")
 #: white space other than a space or a line's end, after which neither begins a part
 _BLANK = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: texts that units() cuts by its pattern; the others are cut before each space and line's end
+_RARE = "[ \n]{2}|[\\x00" + "".join(f"\\x{{{ord(c):x}}}" for c in _OTHER) + "]"
+#: a run of these after a letter is a part of its own to the unit's end
+_ENDS = ".,&%$#*!?;:"
 _LOADED: dict = {}
 
 
@@ -58,12 +62,18 @@ class UnitEncoder:
 
     def ask(self, units: list[str], into: dict) -> None:
         """Encodes units; many that begin with white space and end otherwise as one text, whose ids are cut at the units' bytes."""
-        odd, plain, ended = [], [], []
+        odd, plain, ended, old = [], [], [], self.cache.old
         for u in units:
-            if u[-1] in ".," and (base := u.rstrip(".,"))[-1:].isalpha():
+            if not u:
+                into[u] = b""
+                continue
+            if u[-1] in _ENDS and (base := u.rstrip(_ENDS))[-1:].isalpha():
                 ended.append((u, base, u[len(base) :]))
                 if base in into:
                     continue
+                if (ids := old.get(base)) is not None:
+                    into[base] = ids
+                    continue
                 u, into[base] = base, b""
             (plain if u[0] in " \n" and u[-1] not in _BLANK and "<|" not in u else odd).append(u)
         odd += {e for _, _, e in ended if e not in into}
@@ -79,40 +89,66 @@ class UnitEncoder:
                 start = end
         into.update([(u, into[base] + into[end]) for u, base, end in ended])
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts) -> list[bytes]:
+        """texts: a list, or an Arrow column."""
         gc.disable()  # a batch makes many short-lived lists and no cycles
         try:
             return self._ids(texts)
         finally:
             gc.enable()
 
-    def _ids(self, texts: list[str | None]) -> list[bytes]:
+    def _ids(self, texts) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.cuts:
-            return self.alone([t or "" for t in texts])
+            return self.alone(column.to_pylist())
         if len(self.cache.young) > self.cache.limit:
             self.cache.turn()
+        # texts without runs of white space are cut by Arrow; an empty unit before a text's first white space has no ids
+        rare = pc.match_substring_regex(column, _RARE)
+        out: list[bytes] = [b""] * len(column)
+        for places, cut in ((pc.indices_nonzero(pc.invert(rare)), True), (pc.indices_nonzero(rare), False)):
+            if len(places):
+                some = column.take(places)
+                if cut:
+                    lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(some, "\n", "\0\n"), " ", "\0 "), "\0")
+                else:
+                    lists = pa.array(list(map(units, some.to_pylist())), pa.list_(pa.string()))
+                for i, ids in zip(places.to_pylist(), self._joined(lists)):
+                    out[i] = ids
+        return out
+
+    def _joined(self, lists) -> list[bytes]:
+        """The ids of each list of units: a unit is looked up once for all lists."""
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         young, old = self.cache.young, self.cache.old
-        held, need = [], set()
-        for text in texts:
-            cut = units(text) if text else []
-            got = list(map(young.get, cut))
-            holes = [i for i, ids in enumerate(got) if ids is None]
-            need.update([cut[i] for i in holes])
-            held.append((cut, got, holes))
+        got = list(map(young.get, names))
+        holes = [i for i, ids in enumerate(got) if ids is None]
         ask = []
-        for u in need:
+        for i in holes:
+            u = names[i]
             if (ids := old.get(u)) is None:
                 ask.append(u)
             else:
                 young[u] = ids
         self.ask(ask, young)
-        for cut, got, holes in held:
-            for i in holes:
-                got[i] = young[cut[i]]
-        for u in need:  # a bound in entries is one in bytes only without long units
-            if len(u) > LONG:
-                del young[u]
-        return [b"".join(got) for _, got, _ in held]
+        for i in holes:
+            got[i] = young[names[i]]
+        for i in holes:  # a bound in entries is one in bytes only without long units
+            if len(names[i]) > LONG:
+                del young[names[i]]
+        flat, n = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        at = coded.indices.to_numpy()
+        size = n[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat((np.cumsum(n) - n)[at] - ends[:-1], size)
+        place += np.arange(len(place))
+        whole = flat[place].tobytes()
+        bounds = (4 * ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]).tolist()
+        return [whole[a:z] for a, z in zip(bounds, bounds[1:])]
 
 
 def encoder(path: str) -> UnitEncoder:

@@ -84,6 +84,27 @@ def test_grammar_round_trip():
             assert len(repair.expand(np.array([(1 << 17) + i]), rules, lengths, 1 << 17)) == n
 
 
+def test_a_unit_is_looked_up_once_for_all_texts_of_a_column():
+    import pyarrow as pa
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+    t, e = libs(), tokens.UnitEncoder(tokens.default_path())
+    e.cache.young = Counted()
+    odd = ["", " ", "\n", " lead", "tail ", "a  b", "a\n\nb c", "x \n y", "tab\tin text", "nul\0 in\0it", "no\xa0break a\u3000b", "\x1c a \x85b", "it's we'll.", "big&&& big.%%% big,### Bég*** 9!! ñ:; 中文, ...", "<|endoftext|>. a<|endoftext|>&& b", "a" * 2000 + " b"]
+    texts = [None, *odd, *["one two three, two. one&&&\nthree"] * 500]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(pa.array(texts))] == want
+    assert e.cache.young.n < 200
+    e.cache.turn()
+    assert np.frombuffer(e.ids([" two three,"])[0], "<u4").tolist() == t.encode(" two three,", add_special_tokens=False).ids
+
+
 def test_more_rounds_never_lengthen_a_block():
     random.seed(22)
     words = [[random.randint(1, 400) for _ in range(random.randint(1, 6))] for _ in range(300)]
